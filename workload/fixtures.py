@@ -1,0 +1,106 @@
+"""Inputs of the registered queries, derived from the given tables.
+
+Every fixture exists twice: as a DataFrame and as a SQL common table expression.
+Both use whole tables and whole texts. Times are integer milliseconds until the
+API edge.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ segments
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document as timed segments, 400 ms a word."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    lines = docs.select("source_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    lines = lines.select(
+        "source_id", "seq", F.trim("line").alias("text"),
+        F.regexp_count("line", F.lit(r"[^\s]+")).alias("nw"),
+    ).where(F.col("text") != "")
+    upto = W.partitionBy("source_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    timed = lines.withColumn("start_ms", 400 * F.coalesce(F.sum("nw").over(upto), F.lit(0)))
+    pause = F.when((F.col("seq") % 5 == 0) & (F.col("nw") >= 5), 1000).otherwise(0)
+    timed = timed.withColumn("end_ms", F.col("start_ms") + 400 * F.col("nw") - pause)
+    return timed.select(
+        "source_id", "seq", "text",
+        (F.col("start_ms") / F.lit(1000.0)).alias("start"),
+        (F.col("end_ms") / F.lit(1000.0)).alias("end"),
+        "nw", "start_ms", "end_ms",
+    )
+
+
+SEGMENTS = r"""
+lines AS (
+  SELECT doc_id AS source_id, CAST(pos - 1 AS INTEGER) AS seq, trim(line, ' ') AS text,
+         CAST(len(regexp_extract_all(line, '[^\s]+')) AS INTEGER) AS nw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE trim(line, ' ') <> ''),
+timed AS (
+  SELECT *, CAST(400 * coalesce(sum(nw) OVER (PARTITION BY source_id ORDER BY seq
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM lines),
+segments AS (
+  SELECT source_id, seq, text, nw, start_ms,
+         start_ms + 400 * nw - CASE WHEN seq % 5 = 0 AND nw >= 5 THEN 1000 ELSE 0 END AS end_ms,
+         CAST(start_ms AS DOUBLE) / 1000 AS start,
+         CAST(start_ms + 400 * nw - CASE WHEN seq % 5 = 0 AND nw >= 5 THEN 1000 ELSE 0 END
+              AS DOUBLE) / 1000 AS "end"
+  FROM timed)"""
+
+
+def worn_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments whose case or punctuation is lost in some sources."""
+    rows = segments(spark, sf)
+    text = F.when(F.col("source_id") % 3 == 0, F.lower("text")).otherwise(F.col("text"))
+    text = F.when(
+        F.col("source_id") % 6 == 0, F.regexp_replace(text, "[.!?]", "")
+    ).otherwise(text)
+    return rows.withColumn("text", text)
+
+
+WORN = SEGMENTS + r""",
+worn AS (
+  SELECT source_id, seq, start, "end", start_ms, end_ms,
+    CASE WHEN source_id % 6 = 0 THEN regexp_replace(lower(text), '[.!?]', '', 'g')
+         WHEN source_id % 3 = 0 THEN lower(text) ELSE text END AS text
+  FROM segments)"""
+
+
+def marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate topic marks: every line of twelve words or more opens one."""
+    return segments(spark, sf).where("nw >= 12").select(
+        "source_id", "seq", F.col("start").alias("ts"),
+        F.concat(F.lit("T"), F.col("seq").cast("string")).alias("title"),
+    )
+
+
+MARKS = SEGMENTS + r""",
+marks AS (
+  SELECT source_id, seq, start AS ts, start_ms AS ts_ms, 'T' || CAST(seq AS VARCHAR) AS title
+  FROM segments WHERE nw >= 12)"""
+
+
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per source with a title and its end."""
+    return segments(spark, sf).groupBy("source_id").agg(
+        F.concat(F.lit("Doc "), F.col("source_id").cast("string")).alias("title"),
+        F.max_by("end", "seq").alias("end_of_source"),
+        F.max_by("end", "seq").alias("duration"),
+    )
+
+
+SOURCES = r"""
+sources AS (
+  SELECT source_id, 'Doc ' || CAST(source_id AS VARCHAR) AS title,
+         max_by("end", seq) AS end_of_source, max_by("end", seq) AS duration
+  FROM segments GROUP BY source_id)"""
