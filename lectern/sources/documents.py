@@ -19,8 +19,7 @@ def read_text_blocks(
     longer than ``single``. Works row by row, without a shuffle.
     """
     body = F.regexp_replace(F.col("text"), r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
-    pieces = F.transform(F.split(body, r"(?m)^(?=#{1,2}(?U:\s))"), strip)
-    # a heading line that ends in nothing but its own line break is no heading
+    pieces = F.transform(F.split(body, r"(?m)^(?=#{1,2}(?U:[^\S\n]))"), strip)
     blocks = F.filter(pieces, lambda b: b != "")
     whole = strip(F.col("text"))
     starts = F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / size).cast("int"))
