@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import BLOCK_ROWS
+from .stage import stage
 
 
 @dataclass(frozen=True)
@@ -284,13 +285,15 @@ def _entered(slim: DataFrame, keys: list[str], order: list[str], rule: Rule) ->
         [*key_fields, T.StructField("_ahead", T.DoubleType()),
          T.StructField("_state", T.DoubleType()), T.StructField("_before", T.LongType())]
     )
+    # Read three times below: a narrow written copy spares three passes over the text.
+    slim = stage(slim)
     long_keys = (
         slim.groupBy(*keys)
         .agg(F.min("_block").alias("_a"), F.max("_block").alias("_b"))
         .where("_a < _b")
         .select(*keys)
     )
-    core = slim.select(*keys, *order, "_block", "_cost", "_ok").join(long_keys, keys, "left_semi")
+    core = slim.join(long_keys, keys, "left_semi")
     tables = _numbered(core, [*keys, "_block"], order).mapInPandas(
         _tabulate(rule, keys), table_schema
     )
@@ -329,16 +332,20 @@ def group_rows(
 
 
 def assign_groups(
-    df: DataFrame, pieces: DataFrame, keys: list[str], seq: str, block_rows: int = BLOCK_ROWS
+    df: DataFrame, pieces: DataFrame, keys: list[str], seq: str, block_rows: int = BLOCK_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Add ``window_id`` to every row by looking its position up in the pieces."""
+    """Add ``window_id`` to every row by looking its position up in the pieces.
+
+    With ``how`` left, rows of keys that were not packed get NULL.
+    """
     left = df.withColumn("_block", F.floor(F.col(seq) / block_rows).cast("long"))
     condition = F.col(seq).between(F.col("first_seq"), F.col("last_seq"))
     for c in [*keys, "_block"]:
         condition = condition & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     return (
         left.alias("l")
-        .join(pieces.alias("r"), condition)
+        .join(pieces.alias("r"), condition, how)
         .select(*[F.col(f"l.{c}") for c in df.columns], "window_id")
     )
 

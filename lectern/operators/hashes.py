@@ -9,8 +9,6 @@ many distinct hashes are settled in rounds of joins on hash bands.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import stage
+
 # Distinct hashes of one source handled in one task: 8 bytes each.
 MAX_DISTINCT = 20_000
 
@@ -103,19 +103,6 @@ def _mark(distance: int):
     return run
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = os.path.join(tempfile.mkdtemp(prefix="run-"), "checkpoints")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def _settle(nodes: DataFrame, distance: int, bits: int, piece: int = 4096) -> DataFrame:
     """Keep/drop decisions for very large sources, in rounds.
 
@@ -125,7 +112,7 @@ def _settle(nodes: DataFrame, distance: int, bits: int, piece: int = 4096) -> Da
     Buckets are cut into pieces of bounded size: each row probes every piece of its
     buckets, and only its own verdict leaves the task, never pairs.
     """
-    state = _checkpoint(nodes.withColumn("_state", F.lit(0)))
+    state = stage(nodes.withColumn("_state", F.lit(0)))
     choices = _band_keys(distance, bits)
 
     def band_key(pair):
@@ -169,5 +156,5 @@ def _settle(nodes: DataFrame, distance: int, bits: int, piece: int = 4096) -> Da
             .when(F.coalesce("_wait", F.lit(False)), 0)
             .otherwise(1),
         )
-        state = _checkpoint(settled.drop("_drop", "_wait"))
+        state = stage(settled.drop("_drop", "_wait"))
     return state.where("_state = 1").drop("_state")

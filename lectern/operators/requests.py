@@ -118,11 +118,8 @@ def pack_blocks(
     pieces = group_rows(
         large, keys, seq, F.col("cost"), Rule("before", limit), block_rows=block_rows
     )
-    packed = assign_groups(blocks, pieces, keys, seq, block_rows).withColumnRenamed(
-        "window_id", "batch"
-    )
-    whole = blocks.join(over, keys, "left_anti").withColumn("batch", F.lit(0).cast("long"))
-    return whole.unionByName(packed)
+    placed = assign_groups(blocks, pieces, keys, seq, block_rows, how="left")
+    return placed.withColumn("batch", F.coalesce("window_id", F.lit(0))).drop("window_id")
 
 
 def synthesis_blocks(notes: DataFrame) -> DataFrame:

@@ -53,21 +53,14 @@ def best_rotation(reads: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> Da
     )
 
 
-def rotations_to_try(reads: DataFrame, words: DataFrame, min_conf: float = labels.OCR_CONF_MIN):
-    """Word rows of the turned images that are worth reading at all.
+def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> DataFrame:
+    """Best read of every frame.
 
-    Only frames whose upright read is weak need the other angles, so everything
-    else is dropped before the aggregate.
+    All words of a frame are brought together once; both the reads and the choice
+    between them then need no further shuffle. A frame is one screen of words.
     """
-    weak = reads.where((F.col("rotation") == 0) & (F.col("conf") < min_conf)).select(*_FRAME)
-    return words.where("rotation <> 0").join(weak, _FRAME, "left_semi")
-
-
-def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> DataFrame:
-    """Best read of every frame, turning only what reads badly upright."""
-    upright = ocr_read(words.where("rotation = 0"))
-    turned = ocr_read(rotations_to_try(upright, words, min_conf))
-    return best_rotation(upright.unionByName(turned), min_conf)
+    together = words.repartition(*_FRAME)
+    return best_rotation(ocr_read(together), min_conf)
 
 
 def clean_lines(text: Column) -> Column:

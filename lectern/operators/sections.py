@@ -155,17 +155,16 @@ def split_oversized(
         slim.join(big, keys, "left_semi"), keys, "seq", F.col("cost"), Rule("before", limit),
         block_rows=block_rows,
     )
-    whole = assigned.join(big, keys, "left_anti").withColumn("part_no", F.lit(None).cast("long"))
-    split = assign_groups(assigned, pieces, keys, "seq", block_rows).withColumnRenamed(
-        "window_id", "part_no"
-    )
+    placed = assign_groups(assigned, pieces, keys, "seq", block_rows, how="left")
     suffix = F.concat(
         F.lit(" ("),
-        F.replace(F.lit(labels.SPLIT_SUFFIX), F.lit("{k}"), (F.col("part_no") + 1).cast("string")),
+        F.replace(
+            F.lit(labels.SPLIT_SUFFIX), F.lit("{k}"), (F.col("window_id") + 1).cast("string")
+        ),
         F.lit(")"),
     )
-    split = split.withColumn("sec_title", F.concat("sec_title", suffix))
-    return whole.unionByName(split)
+    title = F.concat("sec_title", F.coalesce(suffix, F.lit("")))
+    return placed.withColumn("sec_title", title).withColumnRenamed("window_id", "part_no")
 
 
 def close_ends(repaired: DataFrame, windows: DataFrame) -> DataFrame:

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import compression_tier
 from ..operators import ledger, sections
+from ..operators.stage import stage
 
 
 def sectioned(segments: DataFrame, marks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Segments with their topic section, from raw marks to assignment."""
-    kept = sections.thin_marks(marks)
-    return sections.assign_sections(segments, sections.section_skeleton(kept, sources))
+    """Segments with their topic section, from raw marks to assignment.
+
+    Marks and the skeleton are small beside the segments but read repeatedly, so
+    both are written on the way.
+    """
+    kept = stage(sections.thin_marks(marks))
+    skeleton = stage(sections.section_skeleton(kept, sources))
+    return sections.assign_sections(segments, skeleton)
 
 
 def first_line_notes(assigned: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def first_line_notes(assigned: DataFrame) -> DataFrame:
 
 def compression_report(segments: DataFrame, marks: DataFrame, sources: DataFrame) -> DataFrame:
     """Compression of every measurable section, with its reading aid."""
-    assigned = sectioned(segments, marks, sources)
+    assigned = stage(sectioned(segments, marks, sources))
     notes = first_line_notes(assigned)
     none = notes.select("source_id", "sec_start", F.col("summary").alias("text")).where("false")
     measured = ledger.section_compression(assigned, notes, none)

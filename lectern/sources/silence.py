@@ -18,7 +18,8 @@ def silence_windows(log: DataFrame, block_rows: int = scan.BLOCK_ROWS) -> DataFr
     end = F.regexp_extract("line", r"silence_end:\s*([\d.]+)", 1).try_cast("double")
     kept = (
         log.select(
-            "source_id", "line_no", F.greatest(start, F.lit(0.0)).alias("_start"),
+            "source_id", "line_no",
+            F.when(start.isNotNull(), F.greatest(start, F.lit(0.0))).alias("_start"),
             F.when(start.isNull(), end).alias("_end"),
         )
         .where(F.col("_start").isNotNull() | F.col("_end").isNotNull())

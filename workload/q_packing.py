@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import parts, requests, sections
+from lectern.operators.stage import stage
 from lectern.plans import study
 
 from . import fixtures as fx
@@ -99,7 +100,9 @@ def f6(spark, sf):
 
 
 def assigned(spark, sf):
-    return study.sectioned(fx.segments(spark, sf), fx.marks(spark, sf), fx.sources(spark, sf))
+    """Segments with their section, written once."""
+    rows = study.sectioned(fx.segments(spark, sf), fx.marks(spark, sf), fx.sources(spark, sf))
+    return stage(rows)
 
 
 @query("d3_assign_sections", cte(*STUDY, recursive=True) + """
