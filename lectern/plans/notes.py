@@ -21,15 +21,16 @@ from ..operators.transcripts import join_ordered
 _HEAD, _SECTIONS, _TERMS, _STEPS, _ACTIONS, _QUIZ, _DEEPEN, _UNREAD, _FOOT = range(9)
 
 
-def _lines(df: DataFrame, block: int, at: Column, item: Column, texts: Column) -> DataFrame:
+def _lines(df: DataFrame, block: int, at: Column, item, texts: Column) -> DataFrame:
     """Rows for an array of lines; NULL lines are left out."""
+    item = F.lit(item) if isinstance(item, str) else item
     return df.select(
         "source_id", F.lit(block).alias("block"), at.cast("double").alias("at"),
         item.alias("item"), F.posexplode(texts).alias("row", "line"),
     ).where(F.col("line").isNotNull())
 
 
-_NO_KEY = F.lit("")
+_NO_KEY = ""
 
 
 def _key(column: str) -> Column:
