@@ -140,15 +140,16 @@ def synthesis_requests(packed: DataFrame) -> DataFrame:
 def learning_requests(blocks: DataFrame, limit: int) -> DataFrame:
     """One request per source: section blocks up to the budget, cut at ``limit``.
 
-    Only blocks that begin inside the budget are joined, so the request is bounded
-    whatever the length of the source; the cut equals cutting the whole text.
+    Only blocks whose separator or text begins inside the budget are joined, so the
+    request is bounded whatever the length of the source; the cut equals cutting the
+    whole text.
     """
     placed = scan.running_sum(
         blocks.withColumn("_block", scan.block_of(F.col("seq"))).withColumn(
             "_size", F.length("block") + 2
         ),
         ["source_id"], ["seq"], "_block", "_size", "_at", inclusive=False,
-    ).where(F.col("_at") < limit)
+    ).where(F.col("_at") - 2 < limit)
     joined = placed.groupBy("source_id").agg(
         join_ordered(["seq"], F.col("block"), "\n\n").alias("_all")
     )

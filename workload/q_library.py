@@ -283,7 +283,7 @@ def e14s(spark, sf):
     )
 
 
-SYNTH = """synth AS (SELECT source_id, pos, lower(term) AS term, 's' || definition AS definition FROM terms WHERE pos % 5 = 2)"""
+SYNTH = """synth AS (SELECT source_id, pos, term, 's' || definition AS definition FROM terms WHERE pos % 5 = 2)"""
 
 
 @query("e7_merge_glossary", cte(fx.TERMS, SYNTH, f"""
@@ -295,7 +295,7 @@ def e7(spark, sf):
     from lectern.operators import ledger
 
     terms = stage(fx.terms(spark, sf))
-    synth = terms.where("pos % 5 = 2").selectExpr("source_id", "pos", "lower(term) AS term", "'s' || definition AS definition")
+    synth = terms.where("pos % 5 = 2").selectExpr("source_id", "pos", "term", "'s' || definition AS definition")
     out = ledger.merge_glossary(terms, synth)
     return out.withColumn("sort_key", F.array_join(F.col("sort_key").cast("array<string>"), ","))
 
