@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from ..sources.captions import parse_captions
 
 
-def stream_captions(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Segments of ``<source>.subs.json3`` files as a stream; each file is read once."""
+def stream_captions(
+    spark: SparkSession, path: str, max_files: int = 1000, glob: str = "*.subs.json3"
+) -> DataFrame:
+    """Segments of caption files as a stream; each file is read once.
+
+    The source is the file's stem, or the ``source_id=`` folder it lies in.
+    """
     files = (
         spark.readStream.format("text").option("wholetext", "true")
         .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", "*.subs.json3").load(path)
-    )
-    named = files.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+?)\.subs\.json3\z", 1).alias("source_id"),
-        F.col("value").alias("body"),
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob).load(path)
     )
+    where = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(where, r"source_id=([^/]+)/", 1), F.lit(""))
+    stem = F.regexp_extract(where, r"([^/]+?)(?:\.subs)?\.[^./]+\z", 1)
+    named = files.select(F.coalesce(folder, stem).alias("source_id"), F.col("value").alias("body"))
     return parse_captions(named)

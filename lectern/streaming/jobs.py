@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,15 +34,22 @@ def current_jobs(patches: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
-def stuck_jobs_batch(events: DataFrame, now, timeout_seconds: int = labels.SWEEP_SECONDS):
-    """Jobs whose last stage is queued or running and older than the timeout at ``now``."""
-    last = events.groupBy("job").agg(
+def last_stages(events: DataFrame) -> DataFrame:
+    """Latest stage of every job and when it began."""
+    return events.groupBy("job").agg(
         F.max("ts").alias("since"), F.max_by("stage", "ts").alias("stage")
     )
-    idle = F.timestamp_diff("SECOND", F.col("since"), now)
-    return last.where(F.col("stage").isin("queued", "running")).withColumn(
-        "idle_seconds", idle
-    ).where(F.col("idle_seconds") > timeout_seconds)
+
+
+def stuck_at(
+    last: DataFrame, now: Column, timeout_seconds: int = labels.SWEEP_SECONDS
+) -> DataFrame:
+    """Batch twin of the detector: queued or running for longer than the timeout at ``now``."""
+    idle = F.timestamp_diff("MICROSECOND", F.col("since"), now)
+    waiting = F.col("stage").isin("queued", "running")
+    return last.where(waiting & (idle > timeout_seconds * 1_000_000)).select(
+        "job", "stage", "since"
+    )
 
 
 def stuck_jobs(

@@ -44,8 +44,9 @@ def compare(spark, con, fn, sql, sf: str = SF) -> tuple[bool, str]:
     kinds = {f.name: f.dataType.simpleString() for f in got.schema.fields}
     notes = _type_notes(kinds, types)
     if have != want:
-        only_have = [r for r in have if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(have)][:3]
+        wants, haves = set(want), set(have)
+        only_have = [r for r in have if r not in wants][:3]
+        only_want = [r for r in want if r not in haves][:3]
         return False, f"{len(have)} vs {len(want)} rows; spark {only_have} sql {only_want} {notes}"
     return not notes, f"{len(have)} rows {notes}"
 

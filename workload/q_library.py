@@ -117,12 +117,6 @@ def l2(spark, sf):
     return library.rename_group(rows, renames).select("id", "title", "collection")
 
 
-PATCHES = """
-patches AS (
-  SELECT id, 1 AS seq, created_at + to_seconds(60) AS at, 'running' AS status, true AS s, CAST(NULL AS VARCHAR) AS error, k % 3 = 0 AS e FROM jobs
-  UNION ALL SELECT id, 2, created_at + to_seconds(120), 'done', k % 2 = 0, 'late', k % 5 = 0 FROM jobs WHERE k % 4 <> 1)"""
-
-
 def patches(spark, sf):
     rows = fx.jobs(spark, sf)
     one = rows.selectExpr(
