@@ -112,7 +112,7 @@ def ordered_topics(jobs: DataFrame, cap: int = labels.MAX_TITLE_TOPICS) -> DataF
     )
     rank = F.row_number().over(Window.partitionBy("parent_id").orderBy("_at"))
     top = first.withColumn("_rn", rank).where(F.col("_rn") <= cap)
-    cells = F.array_sort(F.collect_list(F.struct("_rn", "topic")))
+    cells = F.sort_array(F.collect_list(F.struct("_rn", "topic")))
     return top.groupBy("parent_id").agg(F.transform(cells, lambda c: c["topic"]).alias("topics"))
 
 

@@ -26,10 +26,19 @@ def ocr_read(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or [*_FRAME, "rotation"]
     usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
-    word = F.when(usable, strip(F.col("word")))
-    return words.groupBy(*keys).agg(
-        join_ordered(["widx"], word, " ").alias("text"),
-        F.median(F.when(usable, F.col("conf"))).cast("double").alias("conf"),
+    word = F.struct("widx", strip(F.col("word")).alias("word"), F.col("conf").alias("conf"))
+    # a screen's words are few, so one small list serves both text and median
+    grouped = words.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(usable, word))).alias("_words")
+    ).withColumn("_confs", F.sort_array(F.transform("_words", lambda w: w["conf"])))
+    last = F.size("_confs") - 1
+    middle = (
+        F.get("_confs", F.floor(last / 2).cast("int")) + F.get("_confs", F.ceil(last / 2).cast("int"))
+    ) / 2
+    return grouped.select(
+        *keys,
+        F.array_join(F.transform("_words", lambda w: w["word"]), " ").alias("text"),
+        F.when(last >= 0, middle).cast("double").alias("conf"),
     )
 
 

@@ -17,7 +17,7 @@ PIECE_ROWS = 4096
 def join_ordered(order: list[str], text: Column, separator: str) -> Column:
     """Aggregate: texts of a bounded group joined in the given order."""
     cells = F.collect_list(F.struct(*[F.col(o) for o in order], text.alias("_text")))
-    return F.array_join(F.transform(F.array_sort(cells), lambda c: c["_text"]), separator)
+    return F.array_join(F.transform(F.sort_array(cells), lambda c: c["_text"]), separator)
 
 
 def assemble_text(

@@ -341,7 +341,7 @@ def note_pieces(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_id", "block", "at").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda c: c["line"]
+                F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda c: c["line"]
             ), "\n",
         ).alias("text")
     )

@@ -77,7 +77,7 @@ def caption_json(segments: DataFrame) -> DataFrame:
     A caption file is one document by contract, so this is for sources of file
     size; endless sources are written part by part.
     """
-    cells = F.array_sort(F.collect_list(F.struct("start", "seq", "event")))
+    cells = F.sort_array(F.collect_list(F.struct("start", "seq", "event")))
     joined = F.array_join(F.transform(cells, lambda c: c["event"]), ",")
     return caption_events(segments).groupBy("source_id").agg(
         F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("body")

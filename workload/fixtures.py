@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.stage import stage
+from lectern.sources.inputs import spread_input
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_input(rows) if name == "documents" else rows
 
 
 # ------------------------------------------------------------------ segments
@@ -76,23 +80,31 @@ worn AS (
   FROM segments)"""
 
 
-def marks(spark: SparkSession, sf: str) -> DataFrame:
+def marks(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Candidate topic marks: every line of twelve words or more opens one."""
-    return segments(spark, sf).where("nw >= 12").select(
+    rows = segments(spark, sf) if rows is None else rows
+    return rows.where("nw >= 12").select(
         "source_id", "seq", F.col("start").alias("ts"),
         F.concat(F.lit("T"), F.col("seq").cast("string")).alias("title"),
     )
 
 
+def study_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, marks and sources from one written copy of the segments."""
+    rows = stage(segments(spark, sf))
+    return rows, marks(spark, sf, rows), sources(spark, sf, rows)
+
+
 MARKS = SEGMENTS + r""",
 marks AS (
   SELECT source_id, seq, start AS ts, start_ms AS ts_ms, 'T' || CAST(seq AS VARCHAR) AS title
   FROM segments WHERE nw >= 12)"""
 
 
-def sources(spark: SparkSession, sf: str) -> DataFrame:
+def sources(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """One row per source with a title and its end."""
-    return segments(spark, sf).groupBy("source_id").agg(
+    rows = segments(spark, sf) if rows is None else rows
+    return rows.groupBy("source_id").agg(
         F.concat(F.lit("Doc "), F.col("source_id").cast("string")).alias("title"),
         F.max_by("end", "seq").alias("end_of_source"),
         F.max_by("end", "seq").alias("duration"),

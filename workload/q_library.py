@@ -89,7 +89,7 @@ def g6(spark, sf):
     rows = fx.table(spark, sf, "conversations")
     out = distinct.distinct_in_order(rows, "conv_id", "role", "turn")
     return out.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda c: c["role"]), ",").alias("roles")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "role"))), lambda c: c["role"]), ",").alias("roles")
     )
 
 

@@ -36,7 +36,7 @@ def words(spark, sf):
 
 
 def learning(spark, sf):
-    cells = F.array_sort(F.collect_list(F.struct("pos", "bullet")))
+    cells = F.sort_array(F.collect_list(F.struct("pos", "bullet")))
     listed = words(spark, sf).groupBy("source_id").agg(F.transform(cells, lambda c: c["bullet"]).alias("steps"))
     return listed.select(
         "source_id", "steps", F.array().cast("array<string>").alias("actions"),

@@ -101,8 +101,7 @@ def f6(spark, sf):
 
 def assigned(spark, sf):
     """Segments with their section, written once."""
-    rows = study.sectioned(fx.segments(spark, sf), fx.marks(spark, sf), fx.sources(spark, sf))
-    return stage(rows)
+    return stage(study.sectioned(*fx.study_tables(spark, sf)))
 
 
 @query("d3_assign_sections", cte(*STUDY, recursive=True) + """
@@ -268,6 +267,4 @@ FROM (SELECT source_id, max(sec_title) AS title, {ts_sql('min(start)')} AS ts,
       FROM assigned GROUP BY source_id, sec_start)
 WHERE words_out > 0 AND words_in >= 120""")
 def flagship(spark, sf):
-    return study.compression_report(
-        fx.segments(spark, sf), fx.marks(spark, sf), fx.sources(spark, sf)
-    )
+    return study.compression_report(*fx.study_tables(spark, sf))

@@ -122,7 +122,7 @@ WHERE t IS NOT NULL""")
 def m6t(spark, sf):
     def listed(part, size):
         word = F.split_part("text", F.lit(" "), F.lit(part))
-        cells = F.array_sort(F.collect_list(F.when(word != "", F.struct("seq", word.alias("w")))))
+        cells = F.sort_array(F.collect_list(F.when(word != "", F.struct("seq", word.alias("w")))))
         return F.transform(cells, lambda c: c["w"])
 
     jobs = fx.segments(spark, sf).groupBy(F.col("source_id").alias("id")).agg(
@@ -223,7 +223,7 @@ def noisy(df, body, rid="source_id"):
 
 
 def gathered(rows, item, *more):
-    cells = F.array_sort(F.collect_list(F.struct("seq", item.alias("i"))))
+    cells = F.sort_array(F.collect_list(F.struct("seq", item.alias("i"))))
     return rows.groupBy("source_id").agg(F.transform(cells, lambda c: c["i"]).alias("items"), *more)
 
 
@@ -232,7 +232,7 @@ def section_responses(spark, sf):
     stamp = F.concat(F.lit("["), fmt_ts(F.col("start")), F.lit("]"))
     point = F.struct(stamp.alias("ts"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"))
     term = F.struct(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"), F.concat(F.lit("d"), "seq").alias("definition"))
-    cells = F.array_sort(F.collect_list(F.struct("seq", point.alias("p"), term.alias("t"))))
+    cells = F.sort_array(F.collect_list(F.struct("seq", point.alias("p"), term.alias("t"))))
     made = rows.groupBy("source_id").agg(cells.alias("c"), F.min_by("text", "seq").alias("s"))
     body = F.to_json(F.struct(
         F.concat(F.lit("  "), "s").alias("summary"),

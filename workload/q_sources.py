@@ -32,7 +32,7 @@ def caption_bodies(spark, sf):
     both = F.when(
         F.expr("seq % 4 = 0"), F.concat(F.to_json(event), F.lit(","), F.to_json(repeat))
     ).otherwise(F.to_json(event))
-    listed = F.array_sort(F.collect_list(F.struct("seq", both.alias("e"))))
+    listed = F.sort_array(F.collect_list(F.struct("seq", both.alias("e"))))
     return rows.groupBy("source_id").agg(
         F.concat(
             F.lit('{"wireMagic":"pb3","events":['),
@@ -105,7 +105,7 @@ def payloads(spark, sf):
         ((F.col("end_ms") - F.col("chunk_idx") * 60000) / 1000).alias("end"),
         F.concat(F.lit("  "), "text").alias("text"),
     )
-    cells = F.array_sort(F.collect_list(F.struct("seq", local.alias("s"))))
+    cells = F.sort_array(F.collect_list(F.struct("seq", local.alias("s"))))
     return cut.groupBy("source_id", "chunk_idx").agg(
         F.to_json(F.struct(F.transform(cells, lambda c: c["s"]).alias("segments"))).alias("body")
     )
