@@ -73,8 +73,11 @@ def flag_inside(
     Overlapping intervals are merged bucket by bucket first, so a row meets at
     most one of them and is never duplicated.
     """
-    spans = spread(intervals.select(*keys, lo, hi), rows, keys, t, lo, hi, width)
     cell = [*keys, "_bucket"]
+    spans = (
+        spread(intervals.select(*keys, lo, hi), rows, keys, t, lo, hi, width)
+        .groupBy(*cell, lo).agg(F.max(hi).alias(hi))
+    )
     order = Window.partitionBy(*cell).orderBy(lo, hi)
     reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
     merged = (

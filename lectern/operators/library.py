@@ -68,7 +68,10 @@ def canonical_collection(names: DataFrame, existing: DataFrame) -> DataFrame:
     known = existing.groupBy(F.lower("collection").alias("_key")).agg(
         F.max_by("collection", "last_used").alias("_known")
     )
-    keyed = names.withColumn("_key", F.lower("name"))
+    # jobs without a name get keys of their own, so they do not meet in one task
+    keyed = names.withColumn(
+        "_key", F.coalesce(F.lower("name"), F.concat(F.lit("\x00"), F.col("id")))
+    )
     return keyed.join(known, "_key", "left").select(
         "id",
         F.coalesce(
@@ -133,7 +136,9 @@ def rename_group(jobs: DataFrame, renames: DataFrame) -> DataFrame:
     group = F.when(meta_field("is_combined") == "true", F.col("id")).otherwise(
         meta_field("part_of")
     )
-    keyed = jobs.withColumn("parent_id", group).join(renames.select(
+    # jobs outside any group get keys of their own, so they do not meet in one task
+    alone = F.concat(F.lit("\x00"), F.col("id"))
+    keyed = jobs.withColumn("parent_id", F.coalesce(group, alone)).join(renames.select(
         "parent_id", "base", F.col("collection").alias("_collection")
     ), "parent_id", "left")
     fresh = F.when(F.col("id") == F.col("parent_id"), whole_title(F.col("base"))).otherwise(

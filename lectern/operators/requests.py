@@ -30,8 +30,11 @@ def provider_windows(spark: SparkSession) -> DataFrame:
 
 
 def with_limits(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """Attach the provider's limits; ``windows`` has one row per provider."""
-    return df.join(F.broadcast(windows), "provider", "left")
+    """Attach the provider's limits; ``windows`` has one row per provider.
+
+    No hint is given: the planner knows the size and broadcasts a small table.
+    """
+    return df.join(windows, "provider", "left")
 
 
 def boundary_requests(windowed: DataFrame, sources: DataFrame) -> DataFrame:
@@ -182,11 +185,11 @@ def collection_requests(jobs: DataFrame, existing: DataFrame) -> DataFrame:
     topics = F.array_join("topics", ", ")
     user = F.concat(
         F.lit("MEVCUT KOLEKSİYONLAR:\n"),
-        F.coalesce(F.col("listing"), F.lit(labels.NO_COLLECTIONS)),
+        F.coalesce(existing.select("listing").scalar(), F.lit(labels.NO_COLLECTIONS)),
         F.lit("\n\nYENİ İÇERİK:\nBaşlık: "), F.coalesce("title", F.lit("")),
         F.lit("\nKonular: "), F.when(topics == "", labels.NO_TOPICS).otherwise(topics),
     )
-    return jobs.join(F.broadcast(existing)).select("id", user.alias("user"))
+    return jobs.select("id", user.alias("user"))
 
 
 def title_requests(jobs: DataFrame) -> DataFrame:

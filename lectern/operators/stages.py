@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import scan
 
 
-def stage_durations(events: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+def stage_durations(events: DataFrame, block_seconds: int = 600) -> DataFrame:
     """Seconds from each stage change to the job's next one; NULL for the last.
 
     ``events`` has job, event_id, ts (timestamp), ``seconds`` (epoch seconds) and

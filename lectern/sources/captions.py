@@ -71,24 +71,33 @@ def caption_events(segments: DataFrame) -> DataFrame:
     )
 
 
-def caption_json(segments: DataFrame) -> DataFrame:
-    """``(source_id, body)``: one caption document per source, events by start.
+# Events of one caption document, many hours of speech.
+DOCUMENT_EVENTS = 65_536
 
-    A caption file is one document by contract, so this is for sources of file
-    size; endless sources are written part by part.
+
+def caption_json(segments: DataFrame, events: int = DOCUMENT_EVENTS) -> DataFrame:
+    """``(source_id, piece, body)``: caption documents, events by start.
+
+    A source is one document, as the contract has it, unless it has more than
+    ``events`` segments; then each piece is a whole document of its own, and their
+    segments together are the source.
     """
     cells = F.sort_array(F.collect_list(F.struct("start", "seq", "event")))
     joined = F.array_join(F.transform(cells, lambda c: c["event"]), ",")
-    return caption_events(segments).groupBy("source_id").agg(
+    cut = caption_events(segments).withColumn(
+        "piece", F.floor(F.col("seq") / events).cast("long")
+    )
+    return cut.groupBy("source_id", "piece").agg(
         F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("body")
     )
 
 
 def write_captions(segments: DataFrame, path: str) -> None:
-    """One caption file per source under ``path/source_id=.../``."""
-    caption_json(segments).repartition("source_id").write.partitionBy("source_id").mode(
-        "overwrite"
-    ).text(path)
+    """Caption files under ``path/source_id=.../``, one per document."""
+    (
+        caption_json(segments).repartition("source_id", "piece").select("source_id", "body")
+        .write.option("maxRecordsPerFile", 1).partitionBy("source_id").mode("overwrite").text(path)
+    )
 
 
 def choose_track(tracks: DataFrame, prefs: DataFrame, allow_auto: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators import scan
 from lectern.operators.stage import stage
 from lectern.sources.inputs import spread_input
 
@@ -24,7 +25,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of every document as timed segments, 400 ms a word."""
+    """Lines of every document as timed segments, 400 ms a word.
+
+    The window runs over the lines of one document, that is, of one cell.
+    """
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
     lines = docs.select("source_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
     lines = lines.select(
@@ -245,11 +249,10 @@ ev AS (
 def silence_log(spark: SparkSession, sf: str) -> DataFrame:
     """Detector lines: some events open a silence, some close one, the rest is noise."""
     rows = events(spark, sf)
-    per_user = W.partitionBy("user_id").orderBy("us", "event_id")
-    at = rows.withColumn("line_no", F.row_number().over(per_user) - 1).withColumn(
-        "first", F.min("seconds").over(W.partitionBy("user_id"))
-    )
-    return at.selectExpr(
+    begun = rows.groupBy("user_id").agg(F.min("seconds").alias("first"))
+    cut = rows.withColumn("_block", scan.block_of(F.col("seconds"), 86_400))
+    at = scan.number_rows(cut, ["user_id"], ["us", "event_id"], "_block", "line_no")
+    return at.join(begun, "user_id").selectExpr(
         "user_id AS source_id", "CAST(line_no AS INT) AS line_no", f"{_SILENCE} AS line"
     )
 

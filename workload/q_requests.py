@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions.timecode import fmt_ts
-from lectern.operators import ledger, requests, responses, sections
+from lectern.operators import ledger, requests, responses, scan, sections
 from lectern.operators.stage import stage
 from lectern.plans import study
 
@@ -141,12 +141,8 @@ history AS (SELECT conv_id, string_agg('K: ' || trim(question) || chr(10) || 'C:
 
 
 def turns(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn")
-    rows = fx.table(spark, sf, "conversations").withColumn("nr", F.lead("role").over(w)).withColumn(
-        "nt", F.lead("text").over(w)
-    )
+    cut = fx.table(spark, sf, "conversations").withColumn("_block", scan.block_of(F.col("turn")))
+    rows = scan.next_value(cut, ["conv_id"], ["turn"], "_block", {"role": "nr", "text": "nt"})
     return rows.where("role = 'user'").select(
         "conv_id", "turn", F.col("text").alias("question"),
         F.when(F.col("nr") == "assistant", F.col("nt")).otherwise("").alias("answer"),
@@ -450,8 +446,6 @@ def e2(spark, sf):
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ts, added, seq) AS rank, text, added FROM (
   SELECT source_id, seq, start AS ts, text, 0 AS added FROM segments UNION ALL SELECT source_id, seq, ts, text, 1 FROM admitted)""")
 def f14(spark, sf):
-    from lectern.operators import scan
-
     points = fx.segments(spark, sf).select("source_id", F.lit(0.0).alias("sec_start"), F.col("start").alias("ts"), "text", "seq")
     critic = ledger.admit_critic(items(spark, sf)).withColumn("sec_start", F.lit(0.0))
     merged = ledger.merge_points(points, critic).withColumn("_block", scan.block_of(F.col("ts"), 600))

@@ -57,7 +57,7 @@ def a1e(spark, sf):
 
 
 @query("a2_write_captions", cte(fx.SEGMENTS) + """
-SELECT source_id, '{"events":[' || string_agg('{"tStartMs":' || CAST(CAST(trunc(start * 1000) AS BIGINT) AS VARCHAR)
+SELECT source_id, CAST(0 AS BIGINT) AS piece, '{"events":[' || string_agg('{"tStartMs":' || CAST(CAST(trunc(start * 1000) AS BIGINT) AS VARCHAR)
   || ',"dDurationMs":' || CAST(CAST(trunc(greatest(0, "end" - start) * 1000) AS BIGINT) AS VARCHAR)
   || ',"segs":[{"utf8":' || CAST(to_json(text) AS VARCHAR) || '}]}', ',' ORDER BY start, seq) || ']}' AS body
 FROM segments GROUP BY source_id""")

@@ -103,9 +103,8 @@ WHERE stage IN ('queued', 'running') AND epoch_us(now) - epoch_us(since) > {STUC
 @query("s3_stuck_jobs", STUCK)
 def s3(spark, sf):
     rows = fx.events(spark, sf)
-    now = rows.agg(F.max("ts").alias("now"))
-    last = jobs.last_stages(stage_events(rows)).join(F.broadcast(now))
-    out = jobs.stuck_at(last, F.col("now"), STUCK_AFTER)
+    now = rows.agg(F.max("ts")).scalar()
+    out = jobs.stuck_at(jobs.last_stages(stage_events(rows)), now, STUCK_AFTER)
     return out.select("job", "stage", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
 
 
