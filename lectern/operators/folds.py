@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -53,58 +54,64 @@ class Block:
     """
 
     def __init__(self, rule: Rule, cost: np.ndarray, ok: np.ndarray):
-        self.rule, self.n, self.cost = rule, len(cost), cost
+        self.rule, self.n, self.cost, self.ok = rule, len(cost), cost, ok
         self.upto = np.cumsum(cost)
         self.total = float(self.upto[-1])
+        self.used = self.upto - cost
         if rule.mode == "after":
             self.soft = np.flatnonzero(ok)
             self.soft_upto = self.upto[self.soft]
 
-    def _next(self, used: float) -> int:
-        """Start after the group that had ``-used`` in it when the block began."""
+    def _next(self, used):
+        """Start after a group that had ``-used`` in it when the block began.
+
+        Takes one value or an array. Beyond the block means no further start.
+        """
         rule = self.rule
         if rule.mode == "gap":
-            return int(np.searchsorted(self.cost, used + rule.limit, side="left"))
+            return np.searchsorted(self.cost, used + rule.limit, side="left")
         if rule.mode == "before":
-            return int(np.searchsorted(self.upto, used + rule.limit, side="right"))
-        at = self.n
-        k = int(np.searchsorted(self.soft_upto, used + rule.limit, side="left"))
-        if k < len(self.soft):
-            at = int(self.soft[k])
+            return np.searchsorted(self.upto, used + rule.limit, side="right")
+        k = np.searchsorted(self.soft_upto, used + rule.limit, side="left")
+        at = np.append(self.soft, self.n)[k]
         if rule.hard is not None:
-            at = min(at, int(np.searchsorted(self.upto, used + rule.hard, side="right")))
+            at = np.minimum(at, np.searchsorted(self.upto, used + rule.hard, side="right"))
         return at + 1
 
-    def after_start(self, i: int) -> int:
-        """Start of the group after the one that starts at row ``i``."""
+    @cached_property
+    def after(self) -> list[int]:
+        """For every row, the start after the group that starts there."""
         if self.rule.mode == "gap":
-            return self._next(float(self.cost[i]))
-        used = float(self.upto[i] - self.cost[i])
-        return max(self._next(used), i + 1)
-
-    def first_start(self, state: float | None) -> int:
-        if state is None:
-            return 0
-        return self._next(state if self.rule.mode == "gap" else -state)
+            return self._next(self.cost).tolist()
+        return np.maximum(self._next(self.used), np.arange(1, self.n + 1)).tolist()
 
     def starts(self, state: float | None) -> list[int]:
-        found, at = [], self.first_start(state)
+        """Rows where groups start when the block is entered in ``state``."""
+        if state is None:
+            at = 0
+        else:
+            at = int(self._next(state if self.rule.mode == "gap" else -state))
+        found = []
         while at < self.n:
             found.append(at)
-            at = self.after_start(at)
+            at = self.after[at]
         return found
 
-    def leave(self, i: int) -> tuple[float | None, int]:
-        """Exit state and number of starts when a group starts at row ``i``."""
-        count = 0
-        while i < self.n:
-            count, last = count + 1, i
-            i = self.after_start(i)
-        if count == 0 or (self.rule.mode == "after" and i == self.n):
-            return None, count
-        if self.rule.mode == "gap":
-            return float(self.cost[last]), count
-        return self.total - float(self.upto[last] - self.cost[last]), count
+    @cached_property
+    def leave(self) -> list[tuple[float | None, int]]:
+        """Exit state and number of starts when a group starts at each row."""
+        rule, after = self.rule, self.after
+        tails = (self.cost if rule.mode == "gap" else self.total - self.used).tolist()
+        out = [(None, 0)] * (self.n + 1)
+        for i in range(self.n - 1, -1, -1):
+            j = after[i]
+            if j < self.n:
+                state, count = out[j]
+                out[i] = (state, count + 1)
+            else:
+                closed = rule.mode == "after" and j == self.n
+                out[i] = (None if closed else tails[i], 1)
+        return out
 
     def steps(self) -> list[tuple[float, float | None, int]]:
         """The step function: (least entry level, exit state, starts), highest first.
@@ -114,29 +121,21 @@ class Block:
         every possible level is covered, so their number is bounded by the rows
         within reach of ``limit``, not by the block.
         """
-        rule, out = self.rule, []
-        lowest, floor = np.inf, 1.0
+        rule, shift, floor = self.rule, 0, 1.0
         if rule.mode == "gap":
-            floor = -float(self.cost[0])
-        soft = set(self.soft.tolist()) if rule.mode == "after" else ()
-        for i in range(self.n):
-            if rule.mode == "gap":
-                level, start = rule.limit - float(self.cost[i]), i
-            elif rule.mode == "before":
-                level, start = np.floor(rule.limit - self.upto[i]) + 1, i
-            else:
-                level, start = np.inf, i + 1
-                if i in soft:
-                    level = rule.limit - float(self.upto[i])
-                if rule.hard is not None:
-                    level = min(level, np.floor(rule.hard - self.upto[i]) + 1)
-            if level < lowest:
-                exit_state, count = self.leave(start)
-                out.append((float(level), exit_state, count))
-                lowest = level
-            if lowest <= floor:
-                break
-        return out
+            levels, floor = rule.limit - self.cost, -float(self.cost[0])
+        elif rule.mode == "before":
+            levels = np.floor(rule.limit - self.upto) + 1
+        else:
+            levels, shift = np.where(self.ok, rule.limit - self.upto, np.inf), 1
+            if rule.hard is not None:
+                levels = np.minimum(levels, np.floor(rule.hard - self.upto) + 1)
+        lowest = np.minimum.accumulate(levels)
+        fresh = np.flatnonzero(levels < np.append(np.inf, lowest[:-1]))
+        covered = np.flatnonzero(lowest <= floor)
+        if len(covered):
+            fresh = fresh[fresh <= covered[0]]
+        return [(float(levels[i]), *self.leave[i + shift]) for i in fresh.tolist()]
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -166,7 +165,7 @@ def _tabulate(rule: Rule, keys: list[str]):
             rows = []
             for a, b in zip(edges[:-1], edges[1:]):
                 block = Block(rule, cost[a:b], ok[a:b])
-                fresh, count = block.leave(0)
+                fresh, count = block.leave[0]
                 steps = block.steps()
                 rows.append(
                     (fresh, count, block.total, [s[0] for s in steps],
