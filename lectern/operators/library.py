@@ -235,7 +235,8 @@ def result_envelope(jobs: DataFrame, notes: DataFrame) -> DataFrame:
         notes.select("id", "markdown"), "id", "left"
     )
     done = F.struct(
-        F.col("id").alias("job_id"), F.lit("done").alias("status"), "title", "markdown", "meta"
+        F.col("id").alias("job_id"), F.lit("done").alias("status"), "title", "markdown",
+        F.try_parse_json("meta").alias("meta"),
     )
     failed = F.struct(F.col("id").alias("job_id"), F.lit("error").alias("status"), "error")
     keep_nulls = {"ignoreNullFields": "false"}

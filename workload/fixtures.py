@@ -78,7 +78,7 @@ def worn_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 WORN = SEGMENTS + r""",
 worn AS (
-  SELECT source_id, seq, start, "end", start_ms, end_ms,
+  SELECT source_id, seq, start, "end", start_ms, end_ms, nw,
     CASE WHEN source_id % 6 = 0 THEN regexp_replace(lower(text), '[.!?]', '', 'g')
          WHEN source_id % 3 = 0 THEN lower(text) ELSE text END AS text
   FROM segments)"""

@@ -100,7 +100,7 @@ def l3(spark, sf):
 
 
 _RENAMED = """
-renames AS (SELECT id AS parent_id, 'New ' || id AS base, CASE WHEN k % 2 = 0 THEN 'Shelf' END AS shelf FROM jobs WHERE json_extract_string(meta, '$.is_combined') = 'true' AND k % 3 = 0),
+renames AS (SELECT id AS parent_id, 'New ' || id AS base, CASE WHEN k % 2 = 0 THEN 'Shelf' END AS shelf FROM jobs WHERE json_extract_string(meta, '$.is_combined') = 'true' AND referer IS NOT NULL),
 grouped AS (SELECT *, CASE WHEN json_extract_string(meta, '$.is_combined') = 'true' THEN id ELSE json_extract_string(meta, '$.part_of') END AS parent_id FROM jobs)"""
 
 
@@ -111,7 +111,7 @@ SELECT id, CASE WHEN base IS NULL THEN title WHEN id = parent_id THEN base || '
 FROM grouped LEFT JOIN renames USING (parent_id)""")
 def l2(spark, sf):
     rows = fx.jobs(spark, sf)
-    renames = rows.where(library.meta_field("is_combined") == "true").where("k % 3 = 0").selectExpr(
+    renames = rows.where(library.meta_field("is_combined") == "true").where("referer IS NOT NULL").selectExpr(
         "id AS parent_id", "'New ' || id AS base", "CASE WHEN k % 2 = 0 THEN 'Shelf' END AS collection"
     )
     return library.rename_group(rows, renames).select("id", "title", "collection")
@@ -123,7 +123,7 @@ def patches(spark, sf):
         "id", "1 AS seq", "created_at + make_dt_interval(0, 0, 0, 60) AS at",
         "map_concat(map('status', 'running'), CASE WHEN k % 3 = 0 THEN map('error', CAST(NULL AS STRING)) ELSE map() END) AS fields",
     )
-    two = rows.where("k % 4 <> 1").selectExpr(
+    two = rows.where("provider <> 'openrouter'").selectExpr(
         "id", "2 AS seq", "created_at + make_dt_interval(0, 0, 0, 120) AS at",
         "map_concat(CASE WHEN k % 2 = 0 THEN map('status', 'done') ELSE map() END, CASE WHEN k % 5 = 0 THEN map('error', 'late') ELSE map() END) AS fields",
     )
@@ -134,7 +134,7 @@ PATCHED = """
 SELECT id, CASE WHEN n2 AND k % 2 = 0 THEN 'done' ELSE 'running' END AS status,
   CASE WHEN n2 AND k % 5 = 0 THEN 'late' WHEN k % 3 = 0 THEN NULL ELSE error END AS error,
   strftime(created_at + to_seconds(CASE WHEN n2 THEN 120 ELSE 60 END), '%Y-%m-%d %H:%M:%S') AS updated_at
-FROM (SELECT *, k % 4 <> 1 AS n2 FROM jobs)"""
+FROM (SELECT *, provider <> 'openrouter' AS n2 FROM jobs)"""
 
 
 @query("l1_apply_patches", cte(fx.JOBS) + PATCHED)
@@ -147,25 +147,25 @@ def l1(spark, sf):
 SELECT id, CASE WHEN h THEN 'queued' ELSE status END AS status, CASE WHEN h THEN 'queued' ELSE stage END AS stage,
   CASE WHEN h THEN '/up/' || id || '.mp4' ELSE source END AS source, CASE WHEN h THEN source ELSE origin_url END AS origin_url,
   CASE WHEN h THEN CASE WHEN k % 4 = 0 THEN NULL ELSE 'T ' || id END ELSE title END AS title
-FROM (SELECT *, stage = 'awaiting_download' AND k % 2 = 1 AS h FROM jobs)""")
+FROM (SELECT *, stage = 'awaiting_download' AND origin_url IS NULL AS h FROM jobs)""")
 def l4(spark, sf):
     rows = fx.jobs(spark, sf)
-    uploads = rows.where("k % 2 = 1").selectExpr(
+    uploads = rows.where("origin_url IS NULL").selectExpr(
         "id", "'/up/' || id || '.mp4' AS path", "CASE WHEN k % 4 = 0 THEN '  ' ELSE ' T ' || id END AS title"
     )
     return library.attach_files(rows, uploads).select("id", "status", "stage", "source", "origin_url", "title")
 
 
 @query("l5_set_collection", cte(fx.JOBS) + """
-SELECT id, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'Moved' END ELSE collection END AS collection FROM jobs""")
+SELECT id, CASE WHEN referer IS NOT NULL THEN CASE WHEN k % 2 = 0 THEN 'Moved' END ELSE collection END AS collection FROM jobs""")
 def l5(spark, sf):
     rows = fx.jobs(spark, sf)
-    changes = rows.where("k % 3 = 0").selectExpr("id", "CASE WHEN k % 2 = 0 THEN ' Moved ' ELSE ' ' END AS collection")
+    changes = rows.where("referer IS NOT NULL").selectExpr("id", "CASE WHEN k % 2 = 0 THEN ' Moved ' ELSE ' ' END AS collection")
     return library.set_collection(rows, changes).select("id", "collection")
 
 
 @query("l6_result_envelope", cte(fx.JOBS, fx.NOTES) + """
-SELECT id, CASE WHEN status = 'done' THEN '{"job_id":' || to_json(id) || ',"status":"done","title":' || coalesce(CAST(to_json(title) AS VARCHAR), 'null') || ',"markdown":' || coalesce(CAST(to_json(markdown) AS VARCHAR), 'null') || ',"meta":' || to_json(meta) || '}'
+SELECT id, CASE WHEN status = 'done' THEN '{"job_id":' || to_json(id) || ',"status":"done","title":' || coalesce(CAST(to_json(title) AS VARCHAR), 'null') || ',"markdown":' || coalesce(CAST(to_json(markdown) AS VARCHAR), 'null') || ',"meta":' || meta || '}'
    ELSE '{"job_id":' || to_json(id) || ',"status":"error","error":' || coalesce(CAST(to_json(error) AS VARCHAR), 'null') || '}' END AS payload,
    CASE WHEN status = 'done' THEN trim(regexp_replace(split_part(markdown, '## Detaylı Özet', 1), '\\s+$', '')) END AS excerpt
 FROM jobs LEFT JOIN notes USING (id) WHERE status IN ('done', 'error')""")
@@ -277,7 +277,7 @@ def e14s(spark, sf):
     )
 
 
-SYNTH = """synth AS (SELECT source_id, pos, term, 's' || definition AS definition FROM terms WHERE pos % 5 = 2)"""
+SYNTH = """synth AS (SELECT source_id, pos, term, 's' || definition AS definition FROM terms WHERE length(term) > 6)"""
 
 
 @query("e7_merge_glossary", cte(fx.TERMS, SYNTH, f"""
@@ -289,7 +289,7 @@ def e7(spark, sf):
     from lectern.operators import ledger
 
     terms = stage(fx.terms(spark, sf))
-    synth = terms.where("pos % 5 = 2").selectExpr("source_id", "pos", "term", "'s' || definition AS definition")
+    synth = terms.where("length(term) > 6").selectExpr("source_id", "pos", "term", "'s' || definition AS definition")
     out = ledger.merge_glossary(terms, synth)
     return out.withColumn("sort_key", F.array_join(F.col("sort_key").cast("array<string>"), ","))
 

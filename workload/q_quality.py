@@ -56,20 +56,20 @@ def e12h(spark, sf):
 
 
 # Repairs: a model that rewrites every window; some windows it shortens too much,
-# some it fails on. Windows are blocks of consecutive lines.
+# and short lines it drops, so some windows get nothing. Windows are blocks of consecutive lines.
 _WINDOW = "seq // 6"
 REPAIRED = """
 rewin AS (SELECT *, seq // 6 AS window_id FROM worn),
 repaired AS (
   SELECT source_id, window_id, seq, start,
     CASE WHEN (source_id + window_id) % 4 = 1 THEN split_part(text, ' ', 1) ELSE upper(replace(text, 'ß', 'ss')) END AS text
-  FROM rewin WHERE (source_id + window_id) % 7 <> 3)"""
+  FROM rewin WHERE nw >= 6)"""
 
 
 def repairs(spark, sf):
     """(windowed originals, candidate repairs)."""
     windowed = fx.worn_segments(spark, sf).withColumn("window_id", F.expr("CAST(seq div 6 AS BIGINT)"))
-    made = windowed.where("(source_id + window_id) % 7 <> 3").withColumn(
+    made = windowed.where("nw >= 6").withColumn(
         "text",
         F.expr("CASE WHEN (source_id + window_id) % 4 = 1 THEN split_part(text, ' ', 1) ELSE upper(replace(text, 'ß', 'ss')) END"),
     )
@@ -131,19 +131,22 @@ def g3(spark, sf):
 
 
 _PRODUCERS = """
-sidecar AS (SELECT source_id, seq, 'side ' || text AS text FROM segments WHERE source_id % 5 = 0),
-tracks AS (SELECT source_id, seq, CASE WHEN source_id % 15 = 3 THEN '  ' ELSE 'track ' || text END AS text FROM segments WHERE source_id % 3 = 0),
+sidecar AS (SELECT source_id, seq, CASE WHEN source_id % 5 = 0 THEN 'side ' || text ELSE ' ' END AS text FROM segments),
+tracks AS (SELECT source_id, seq, CASE WHEN source_id % 15 = 3 THEN '  ' WHEN source_id % 3 = 0 THEN 'track ' || text ELSE '' END AS text FROM segments),
 asr AS (SELECT source_id, seq, text FROM segments)"""
 
 
 @query("c16_choose_transcript", cte(fx.SEGMENTS, _PRODUCERS) + """
-SELECT source_id, seq, text, 'sidecar' AS producer FROM sidecar
-UNION ALL SELECT source_id, seq, text, 'track' FROM tracks WHERE source_id % 5 <> 0 AND source_id % 15 <> 3
+SELECT source_id, seq, text, 'sidecar' AS producer FROM sidecar WHERE trim(text) <> ''
+UNION ALL SELECT source_id, seq, text, 'track' FROM tracks WHERE source_id % 5 <> 0 AND trim(text) <> ''
 UNION ALL SELECT source_id, seq, text, 'asr' FROM asr WHERE source_id % 5 <> 0 AND (source_id % 3 <> 0 OR source_id % 15 = 3)""")
 def c16(spark, sf):
     asr = fx.segments(spark, sf).select("source_id", "seq", "text")
-    side = asr.where("source_id % 5 = 0").withColumn("text", F.concat(F.lit("side "), "text"))
-    track = asr.where("source_id % 3 = 0").withColumn(
-        "text", F.when(F.expr("source_id % 15 = 3"), "  ").otherwise(F.concat(F.lit("track "), "text"))
+    side = asr.withColumn(
+        "text", F.expr("CASE WHEN source_id % 5 = 0 THEN 'side ' || text ELSE ' ' END")
+    )
+    track = asr.withColumn(
+        "text",
+        F.expr("CASE WHEN source_id % 15 = 3 THEN '  ' WHEN source_id % 3 = 0 THEN 'track ' || text ELSE '' END"),
     )
     return transcripts.choose_transcript({"sidecar": side, "track": track, "asr": asr})

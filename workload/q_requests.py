@@ -35,11 +35,11 @@ def m1(spark, sf):
 @query("m2_section_requests", cte(*STUDY, recursive=True) + f"""
 SELECT source_id, sec_start, 'Bölüm başlığı: ' || max(sec_title) || chr(10) || chr(10) || 'Transkript:' || chr(10) || chr(10)
   || string_agg({LINES}, chr(10) ORDER BY start, seq)
-  || CASE WHEN source_id % 2 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'EKRAN METNİ (OCR):' || chr(10) || chr(10) || 'S' || CAST(source_id AS VARCHAR) ELSE '' END AS "user"
+  || CASE WHEN max(sec_title) LIKE 'T%' THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'EKRAN METNİ (OCR):' || chr(10) || chr(10) || 'S' || CAST(source_id AS VARCHAR) ELSE '' END AS "user"
 FROM assigned GROUP BY source_id, sec_start""")
 def m2(spark, sf):
     rows = assigned(spark, sf)
-    shown = rows.where("source_id % 2 = 0").select("source_id", "sec_start").distinct().withColumn(
+    shown = rows.where("sec_title LIKE 'T%'").select("source_id", "sec_start").distinct().withColumn(
         "screen", F.concat(F.lit("S"), "source_id")
     )
     return requests.section_requests(rows, shown)
@@ -433,12 +433,12 @@ def c12(spark, sf):
 
 @query("e2_section_compression", cte(*STUDY, recursive=True) + f"""
 SELECT source_id, sec_start, max(sec_title) AS title, {ts_sql('min(start)')} AS ts, CAST(sum(nw + 1) AS BIGINT) AS words_in,
-  CAST(min_by(nw, seq) + coalesce(sum(nw) FILTER (WHERE nw >= 12 AND seq % 2 = 0), 0) AS BIGINT) AS words_out,
-  CAST(sum(nw + 1) AS DOUBLE) / (min_by(nw, seq) + coalesce(sum(nw) FILTER (WHERE nw >= 12 AND seq % 2 = 0), 0)) AS ratio
+  CAST(min_by(nw, seq) + coalesce(sum(nw) FILTER (WHERE nw >= 12), 0) AS BIGINT) AS words_out,
+  CAST(sum(nw + 1) AS DOUBLE) / (min_by(nw, seq) + coalesce(sum(nw) FILTER (WHERE nw >= 12), 0)) AS ratio
 FROM assigned GROUP BY source_id, sec_start HAVING sum(nw + 1) >= 120""")
 def e2(spark, sf):
     rows = assigned(spark, sf)
-    points = rows.where("nw >= 12 AND seq % 2 = 0").select("source_id", "sec_start", "text")
+    points = rows.where("nw >= 12").select("source_id", "sec_start", "text")
     return ledger.section_compression(rows, study.first_line_notes(rows), points)
 
 

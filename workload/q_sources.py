@@ -131,7 +131,9 @@ def d14(spark, sf):
     primary = rows.withColumn(
         "body", F.expr("CASE WHEN (source_id + chunk_idx) % 4 <> 0 THEN concat('p', chunk_idx) END")
     )
-    spare = rows.where("source_id % 3 <> 0").withColumn("body", F.concat(F.lit("f"), "chunk_idx"))
+    spare = rows.withColumn(
+        "body", F.expr("CASE WHEN source_id % 3 <> 0 THEN concat('f', chunk_idx) END")
+    )
     return speech.merge_payloads(primary, spare)
 
 
