@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import labels
 from ..functions.naming import (
-    base_title, is_generic_title, owner_of, retitled_part, safe_name, whole_title,
+    is_generic_title, owner_of, retitled_part, safe_name, whole_title,
 )
-from ..functions.text import is_blank, strip
+from ..functions.text import strip
 
 LISTING = [
     "id", "status", "stage", "source", "origin_url", "title", "provider", "error",
@@ -299,16 +299,3 @@ def export_layout(jobs: DataFrame, notes: DataFrame) -> DataFrame:
     )
     path = F.concat("folder", F.lit("/"), "name", suffix, F.lit(".md"))
     return placed.join(first, ["folder", "name"]).select("id", "folder", path.alias("path"))
-
-
-def base_titles(jobs: DataFrame) -> DataFrame:
-    """Jobs with the core of their title and whether it is generic."""
-    return jobs.select(
-        "id", base_title(F.col("title")).alias("base"),
-        is_generic_title(F.col("title")).alias("generic"),
-    )
-
-
-def present(text: Column) -> Column:
-    """Text that is neither NULL nor blank."""
-    return ~is_blank(text)

@@ -9,7 +9,7 @@ from lectern.operators import distinct, library, parts
 from lectern.operators.stage import stage
 
 from . import fixtures as fx
-from .q_scalars import BASE_SQL, GENERIC_SQL, KEY_SQL, SAFE_SQL
+from .q_scalars import GENERIC_SQL, KEY_SQL, SAFE_SQL
 from .registry import cte, query
 
 

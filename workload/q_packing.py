@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import parts, requests, sections
+from lectern.operators import parts, requests, sections, transcripts
 from lectern.operators.stage import stage
 from lectern.plans import study
 
@@ -188,9 +188,8 @@ def c11(spark, sf):
     marks = windowed.select(
         "source_id", "window_id", "seq", (F.col("start") + shift).alias("ts")
     )
-    return sections.valid_marks(
-        marks, sections.window_table(windowed), fx.sources(spark, sf).select("source_id", "end_of_source")
-    )
+    ends = transcripts.source_ends(fx.segments(spark, sf))
+    return sections.valid_marks(marks, sections.window_table(windowed), ends)
 
 
 # ----------------------------------------------------------------- parts
@@ -248,6 +247,16 @@ def d4t(spark, sf):
     return titled.select("source_id", "part", "part_title")
 
 
+@query("d4_unassigned_rows", cte(fx.SEGMENTS, "sources AS (SELECT source_id, max_by(\"end\", seq) / 2 AS duration FROM segments GROUP BY source_id)", TIME_PARTS) + """
+SELECT s.source_id, s.seq FROM segments s WHERE EXISTS (SELECT 1 FROM parts p WHERE p.source_id = s.source_id)
+AND NOT EXISTS (SELECT 1 FROM parts p WHERE p.source_id = s.source_id AND s.start >= p.part_start AND s.start < p.part_end)""")
+def d4u(spark, sf):
+    """A declared duration of half the real one leaves the rest outside every part."""
+    short = fx.sources(spark, sf).withColumn("duration", F.col("duration") / 2)
+    planned = parts.plan_time_parts(short, PART)
+    return parts.unassigned_rows(fx.segments(spark, sf), planned).select("source_id", "seq")
+
+
 @query("f15_number_parts", cte(fx.SEGMENTS) + """
 SELECT source_id, seq, row_number() OVER (PARTITION BY source_id ORDER BY start, seq) - 1 AS number FROM segments WHERE nw >= 12""")
 def f15(spark, sf):

@@ -12,8 +12,7 @@ from lectern.plans import study
 
 from . import fixtures as fx
 from .q_packing import (
-    BOUNDARY, BOUNDARY_WALK, NUMBERED, PACK, REPAIR, REPAIR_WALK, SECTION, SPANS, STUDY, assigned,
-    blocks,
+    BOUNDARY, BOUNDARY_WALK, NUMBERED, PACK, REPAIR, REPAIR_WALK, SECTION, STUDY, assigned, blocks,
 )
 from .q_scalars import ts_sql
 from .registry import cte, query
@@ -470,3 +469,27 @@ def f16(spark, sf):
     )
     glossary = fx.terms(spark, sf)
     return requests.merge_batches(bullets, glossary, 60)[0]
+
+
+def synthesis_responses(spark, sf):
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    cells = F.sort_array(F.collect_list(F.struct("seq", word.alias("w"))))
+    made = fx.segments(spark, sf).groupBy("source_id").agg(F.transform(cells, lambda c: c["w"]).alias("w"))
+    body = F.to_json(F.struct(
+        F.concat(F.transform("w", lambda w: F.concat(F.lit(" "), w)), F.array(F.lit("  "))).alias("tldr"),
+        F.transform("w", lambda w: F.struct(w.alias("term"), F.lit(" d ").alias("definition"))).alias("glossary"),
+    ))
+    return noisy(made, body)
+
+
+@query("f16_decode_tldr", cte(fx.SEGMENTS) + f"""
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, split_part(text, ' ', 1) AS bullet FROM segments WHERE {OK}""")
+def f16t(spark, sf):
+    return responses.decode_tldr(synthesis_responses(spark, sf)).select("source_id", "pos", "bullet")
+
+
+@query("f16_decode_glossary", cte(fx.SEGMENTS) + f"""
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, split_part(text, ' ', 1) AS term, 'd' AS definition FROM segments WHERE {OK}""")
+def f16g(spark, sf):
+    out = responses.decode_terms(synthesis_responses(spark, sf), "synthesis")
+    return out.select("source_id", "pos", "term", "definition")
