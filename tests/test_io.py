@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lectern.operators import library, parts, quality, requests
 from lectern.plans import notes
-from lectern.sources import captions, documents, jobs, sinks, speech
+from lectern.sources import captions, documents, inputs, jobs, silence, sinks, speech
 from lectern.streaming import captions as caption_stream
 from lectern.streaming import jobs as job_stream
 from lectern.streaming.run import run_available
@@ -175,3 +175,41 @@ def test_stuck_stream_agrees_with_batch(spark, tmp_path):
     live = run_available(job_stream.stuck_jobs(stream, 60))
     batch = job_stream.stuck_at(job_stream.last_stages(df), F.lit("2024-01-01 00:02:00").cast("timestamp"), 60)
     assert sorted(r.job for r in live.collect()) == sorted(r.job for r in batch.collect()) == [1]
+
+
+def test_logs_from_files(spark, tmp_path):
+    logs, lists = tmp_path / "logs", tmp_path / "lists"
+    logs.mkdir(), lists.mkdir()
+    (logs / "a.log").write_text(
+        "x\n[s] silence_end: 1\n[s] silence_start: -0.5\nnoise\n[s] silence_end: 2.5 | silence_duration: 3\n"
+        "silence_start: 4\nsilence_start: 5\nsilence_end: 6\nsilence_start: 9\n"
+    )
+    got = silence.silence_windows(inputs.read_lines(spark, str(logs)), block_rows=2).orderBy("start").collect()
+    assert [(r.start, r.end) for r in got] == [(0.0, 2.5), (5.0, 6.0), (9.0, float("inf"))]
+    (lists / "a.csv").write_text("c0,0.0,600.1\nc1,600.1,1200\n\n")
+    (lists / "b.csv").write_text("c0,0.0,600.1\nc1,oops,1200\n")
+    chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)], "source_id string, chunk_idx long")
+    out = speech.chunk_offsets(inputs.read_lines(spark, str(lists)), chunks)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0.0), ("a", 1, 600.1), ("b", 0, 0.0), ("b", 1, 600.0), ("c", 0, 0.0)]
+
+
+def test_quarantine_never_reaches_a_request(spark):
+    from lectern.operators import screen
+
+    words = [("a", f, rot, i, w, c) for f, rot, c in ((0, 0, 90), (1, 0, 20), (1, 180, 91), (2, 0, 20), (2, 90, 30), (3, 0, -1))
+             for i, w in enumerate(f"frame number{f} turned{rot} words".split())]
+    df = spark.createDataFrame(words, "source_id string, frame_idx int, rotation int, widx int, word string, conf int")
+    frames = screen.quarantine_frames(screen.read_frames(df)).withColumn("ts", F.col("frame_idx") * 10.0)
+    got = {r.frame_idx: (r.rotation, r.quarantined, r.text) for r in frames.collect()}
+    assert got == {0: (0, False, "frame number0 turned0 words"), 1: (180, False, "frame number1 turned180 words"), 2: (90, True, "")}
+    shown = screen.screen_text(frames, ["source_id"]).collect()[0].screen
+    assert shown == "[00:00 ekran]\nframe number0 turned0 words\n\n[00:10 ekran]\nframe number1 turned180 words"
+
+
+def test_glossary_keeps_the_last_definition(spark):
+    from lectern.operators import ledger
+
+    terms = spark.createDataFrame([("a", 0, "İşlem", "1"), ("a", 1, "Cam", "2"), ("a", 2, "işlem", "3")], "source_id string, pos int, term string, definition string")
+    synth = spark.createDataFrame([("a", 0, "CAM", "4"), ("a", 1, "Çam", "5")], "source_id string, pos int, term string, definition string")
+    got = ledger.merge_glossary(terms, synth).orderBy("sort_key").collect()
+    assert [(r.term, r.definition) for r in got] == [("CAM", "4"), ("Çam", "5"), ("işlem", "3")]
