@@ -37,6 +37,25 @@ def with_limits(df: DataFrame, windows: DataFrame) -> DataFrame:
     return df.join(windows, "provider", "left")
 
 
+def per_provider(
+    rows: DataFrame, task: str, run: Callable[[DataFrame, int], DataFrame]
+) -> DataFrame:
+    """Run a packing operator with each provider's own budget and union the results.
+
+    ``rows`` has a ``provider`` column; ``task`` is boundary, section or repair.
+    Providers are few and fixed, so this is one filtered pass for each.
+    """
+    at = ("boundary", "section", "repair").index(task)
+    results = [
+        run(rows.where(F.col("provider") == name), limits[at])
+        for name, limits in labels.PROVIDER_WINDOWS.items()
+    ]
+    out = results[0]
+    for result in results[1:]:
+        out = out.unionByName(result)
+    return out
+
+
 def boundary_requests(windowed: DataFrame, sources: DataFrame) -> DataFrame:
     """One request per boundary window: title and window text."""
     windows = window_table(windowed).join(sources.select("source_id", "title"), "source_id")

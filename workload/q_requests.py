@@ -183,6 +183,18 @@ _LIMITS = """CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 2000 END AS tokens_per_minu
   CASE WHEN doc_id % 3 = 0 THEN 900 END AS max_output"""
 
 
+_BUDGET = "(CASE k.source_id % 4 WHEN 0 THEN 6000 ELSE 120000 END)"
+
+
+@query("d12_windows_per_provider", cte(fx.SEGMENTS, NUMBERED, BOUNDARY_WALK.replace(f">= {BOUNDARY}", f">= {_BUDGET}").replace(f"< {BOUNDARY // 3}", f"< {_BUDGET} // 3"), recursive=True) + "SELECT source_id, seq, window_id FROM windows")
+def d12w(spark, sf):
+    rows = stage(fx.segments(spark, sf).withColumn("provider", F.expr(
+        "CASE source_id % 4 WHEN 0 THEN 'groq' WHEN 1 THEN 'openrouter' WHEN 2 THEN 'anthropic' ELSE 'gemini' END"
+    )))
+    out = requests.per_provider(rows, "boundary", sections.boundary_windows)
+    return out.select("source_id", "seq", "window_id")
+
+
 @query("m8_admit_requests", f"""
 SELECT request_id, CAST(p AS BIGINT) AS prompt_tokens, CASE WHEN NOT (tokens_per_minute IS NOT NULL AND 1700 - p < 400)
     THEN CAST(least(max_tokens, CASE WHEN tokens_per_minute IS NULL THEN max_tokens ELSE 1700 - p END, coalesce(max_output, max_tokens)) AS BIGINT) END AS granted_tokens,
