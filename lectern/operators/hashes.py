@@ -82,7 +82,7 @@ def _band_keys(distance: int, bits: int) -> list[list[tuple[int, int]]]:
 def _mark(distance: int):
     """Per band bucket piece: is a row near an earlier kept / undecided row?"""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[pdf["_probe"]].reset_index(drop=True)
         others = pdf[~pdf["_probe"] & (pdf["_state"] != 2)]
         h = rows["h"].to_numpy(np.int64).view(np.uint64)
