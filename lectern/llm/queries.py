@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import mixing, packing, rules, tries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,79 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# --- 2 --------------------------------------------------------------------------
+
+MIX_POWER, MIX_SEED = 0.5, 20
+_MIX_SQL = f"""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (
+  SELECT source, (SELECT sum(n) FROM s)::DOUBLE
+         * (pow(n::DOUBLE, {MIX_POWER}) / (SELECT sum(pow(n::DOUBLE, {MIX_POWER})) FROM s)) / n AS rate
+  FROM s
+), c AS (
+  SELECT source, greatest(ceil(rate / {mixing.STEP}), 1)::BIGINT AS parts,
+         rate / greatest(ceil(rate / {mixing.STEP}), 1) AS mean
+  FROM r
+), f AS (
+  SELECT source, parts, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1)))
+         OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM c, (SELECT unnest(range(0, {mixing.TERMS})) AS k)
+), t AS (SELECT source, parts, list(cdf ORDER BY k) AS cdf FROM f GROUP BY source, parts),
+d AS (
+  SELECT doc_id, text, lang, d.source, n_chars, cdf, parts,
+         coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS who
+  FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT *, list_sum(list_transform(range(1, parts + 1), lambda p: len(list_filter(cdf, lambda x:
+      x <= (('0x' || substr(md5('{MIX_SEED}:' || who || ':' || p), 1, {mixing.DIGITS}))::BIGINT + 0.5)
+           / {16**mixing.DIGITS}.0)))) AS n
+  FROM d
+), e AS (SELECT *, unnest(range(0, n::BIGINT)) AS k FROM u)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy,
+       substr(md5('place {MIX_SEED}:' || who || ':' || k), 1, 16) AS place
+FROM e
+"""
+
+
+@query("op2_mix_sources", _MIX_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.mix(docs, mixing.temper(docs, MIX_POWER), seed=MIX_SEED)
+
+
+# --- 4 --------------------------------------------------------------------------
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+# --- 9 --------------------------------------------------------------------------
+
+_EXACT_SQL = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op9_exact_dedup", _EXACT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 # --- 10 -------------------------------------------------------------------------
 
 _PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in rules.BOILERPLATE)
