@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, tries
+from . import mixing, packing, parity_join, rules, tries, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +82,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+# --- 6 --------------------------------------------------------------------------
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(documents(spark, sf_dir), 90, 100, 3).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+# --- 7 --------------------------------------------------------------------------
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.dedup_windows(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 # --- 9 --------------------------------------------------------------------------
 
 _EXACT_SQL = """

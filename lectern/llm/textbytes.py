@@ -175,3 +175,37 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of x[i:i + width] for every i up to len(x) - width."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.empty(0, x.dtype)
+    blocks = -(-len(x) // width)
+    padded = np.full(blocks * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    table = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1: width - 1 + n])
+
+
+def anchored_runs(
+    grams: np.ndarray, gram: int, width: int, bounds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows that share their smallest gram.
+
+    ``grams[i]`` hashes the ``gram`` units from i, ``bounds`` are the texts' unit bounds.
+    Returns (text number, anchor hash, first window, number of windows): a window is
+    given by the place of its first unit, and equal windows have equal anchors.
+    """
+    least = sliding_min(grams, width - gram + 1)
+    count = np.maximum(np.diff(bounds) - width + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    at = ranges(bounds[:-1], count)
+    anchor = least[at] if len(at) else np.empty(0, grams.dtype)
+    head = np.ones(len(at), bool)
+    head[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(head)
+    return text[first], anchor[first], at[first], np.diff(np.append(first, len(at)))
