@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, parity_join, rules, tries, windows
+from . import mixing, packing, parity_join, rules, suffixes, tries, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.temper(docs, MIX_POWER), seed=MIX_SEED)
 
 
+# --- 3 --------------------------------------------------------------------------
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir)).drop("spans").withColumnRenamed("id", "doc_id")
+
+
 # --- 4 --------------------------------------------------------------------------
 
 
@@ -96,7 +104,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.dedup_windows(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return windows.dedup_windows(documents(spark, sf_dir)).drop("spans").withColumnRenamed("id", "doc_id")
 
 
 # --- 9 --------------------------------------------------------------------------

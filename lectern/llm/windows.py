@@ -161,7 +161,7 @@ def counted(windows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h1, h2, salt = (batch.column(c).to_numpy() for c in ("h1", "h2", "salt"))
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             head = np.ones(len(h1), bool)
             head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (salt[1:] != salt[:-1])
             least = ids.copy()
