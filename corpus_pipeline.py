@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import rules
+from lectern.llm import mixing, packing, parity_join, rules, tries
+from lectern.llm.queries import MIX_POWER, MIX_SEED, tokenizer_path
 from lectern.llm.textbytes import written
 
 
@@ -17,8 +18,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.clean(docs)
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
+    return tries.survivors(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard 0.8), the smallest doc_id stays."""
+    return parity_join.one_of_each(docs, 80, 100, 5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources have tempered shares, and shuffled."""
+    return mixing.mix(
+        docs, mixing.temper(docs, MIX_POWER), seed=MIX_SEED, copy=None, place=None)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in the packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
 ]
 
 # Tokenising and best-fit packing cannot be said in SQL; tests/llm compares with brute force.

@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import CHUNK, MIX, mixed, ranges, row_chunks, word_codes, word_spans, written
+from .textbytes import (
+    CHUNK, MIX, mixed, ranges, row_chunks, short_batches, word_codes, word_spans, written,
+)
 
 FEW = 3
 RATIO = 1.4  # of the largest to the smallest size in a band
-BROADCAST_ROWS = 1_000_000  # of (identifier, hash): 24 MB
+BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
 
 class Bands:
@@ -123,6 +125,7 @@ def sketch_table(
     docs: DataFrame, bands: Bands, width: int, id_column: str, text: str
 ) -> DataFrame:
     """(rid, id, tx, n, s1, s2, keys) of each row: set size, set signature, bucket keys."""
+    short_batches(docs)
     schema = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_column].dataType),
         T.StructField("tx", T.LongType()), T.StructField("n", T.LongType()),
@@ -300,7 +303,10 @@ def components(
     docs: DataFrame, num: int = 90, den: int = 100, width: int = 3,
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(rid, id, n_shingles, component_id) of each row; a link needs den * both >= num * either."""
+    """(rid, id, tx, n_shingles, component_id, first) of each row.
+
+    A link needs den * both >= num * either; ``first`` marks one row of each component.
+    """
     bands = Bands(num, den)
     table = written(sketch_table(docs, bands, width, id_column, text))
     sets = table.where("n > 0")
@@ -333,20 +339,30 @@ def components(
         if more.limit(1).count():
             labels = relabel(labels, more)
 
-    own = table.select("rid", "id", F.col("n").alias("n_shingles"), "s1", "s2")
+    own = table.select("rid", "id", "tx", F.col("n").alias("n_shingles"), "s1", "s2")
     named = own.join(classes.withColumnRenamed("n", "n_shingles"), ["s1", "s2", "n_shingles"], "left").join(
         labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-        "rid", "id", "n_shingles", F.coalesce("label", "rep", "rid").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    return named.join(least, "label").select("rid", "id", "n_shingles", "component_id")
+        "rid", "id", "tx", "n_shingles", F.coalesce("label", "rep", "rid").alias("label"))
+    # the first row of a component: smallest identifier, null identifiers last
+    least = named.groupBy("label").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
+    return named.join(least, "label").select(
+        "rid", "id", "tx", "n_shingles", F.col("first.id").alias("component_id"),
+        (F.col("rid") == F.col("first.rid")).alias("first"))
 
 
 def one_of_each(
-    docs: DataFrame, num: int, den: int, width: int, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_column: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
-    """One document of each component (the one that names it); same columns as ``docs``.
+    """The first document of each component; same columns as ``docs``.
 
-    Of rows with the same identifier and the same text one stays; documents without
-    words all stay. A component of null identifiers only is named by its text.
+    Documents without words all stay, but for rows equal in identifier and text.
     """
-    raise NotImplementedError
+    first = components(docs, num, den, width, id_column, text).where("first")
+    first = written(first.select(F.col("id").alias("i"), F.col("tx").alias("t")).distinct())
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    key, tx = F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text}`"))
+    kept = docs.join(first, key.eqNullSafe(F.col("i")) & (tx == F.col("t")), "left_semi")
+    return kept.dropDuplicates([id_column, text])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, parity_join, rules, suffixes, tries, windows
+from . import grades, language, mixing, packing, parity_join, rules, suffixes, toxicity, tries, windows
+from .features import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,12 +28,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+# --- 1 --------------------------------------------------------------------------
+
+TOXIC = 0.3
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    lexicons, _, classifier = toxicity.train(docs, labels(spark, sf_dir), ~held_out())
+    return toxicity.score(docs, lexicons, classifier).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 # --- 2 --------------------------------------------------------------------------
 
 MIX_POWER, MIX_SEED = 0.5, 20
@@ -90,6 +109,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+# --- 5 --------------------------------------------------------------------------
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = language.train(docs.select("doc_id", "text", "lang"), ~held_out())
+    return language.identify(docs.select("doc_id", "text"), network).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 # --- 6 --------------------------------------------------------------------------
 
 
@@ -107,6 +137,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dedup_windows(documents(spark, sf_dir)).drop("spans").withColumnRenamed("id", "doc_id")
 
 
+# --- 8 --------------------------------------------------------------------------
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of ``labels``: 0 poor, 1 good but toxic, 2 good; a text of grade 1 at least is selected."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    graded = labels(spark, sf_dir).select("doc_id", F.when(F.col("quality") == 0, 0).when(
+        F.col("toxic") == 1, 1).otherwise(2).alias("rating"))
+    model = grades.train(docs, graded, ~held_out(), grades=3)
+    return grades.grade(docs, model, tail=1).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "expected_grade",
+        "tail_probability", "selected")
+
+
 # --- 9 --------------------------------------------------------------------------
 
 _EXACT_SQL = """

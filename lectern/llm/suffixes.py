@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbytes import (
-    CHUNK, anchored_runs, mixed, prefix_hash, ranges, row_chunks, sliding_min, span_hash,
-    written,
+    CHUNK, anchored_runs, mixed, prefix_hash, ranges, row_chunks, short_batches,
+    sliding_min, span_hash, written,
 )
 
 WIDTH = 200
@@ -48,7 +48,7 @@ GRAM = 32
 SYMBOL = 8  # bytes; WIDTH is a multiple
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
 
 def _byte_grams(raw: np.ndarray, gram: int):
@@ -84,6 +84,7 @@ def run_table(docs: DataFrame, width: int, id_column: str, text: str) -> DataFra
     A run is (anchor, string, first, count, own): its anchor, the hash of its string, its
     first window, the number of its windows, and whether it may repeat itself.
     """
+    short_batches(docs)
     schema = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_column].dataType),
         T.StructField("tx", T.LongType()), T.StructField("n_bytes", T.LongType()),

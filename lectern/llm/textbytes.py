@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK = 1 << 21  # text bytes a task looks at together
+CHUNK = 1 << 19  # text bytes a task looks at together
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
@@ -47,6 +47,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame, rows: int = 1_000) -> None:
+    """Let whole texts travel to Python in short Arrow batches: both sides hold two at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textbytes import short_batches
+
 TRIE_BYTES = 48 << 20  # label bytes a task keeps in its trie
 ROW_BYTES = 200  # what a terminal costs besides its label
 
@@ -146,6 +148,7 @@ def owners(
     ``keep`` of the owner's row. Two passes over tries: per task, then per partition of
     length and content hash.
     """
+    short_batches(docs)
     fields = {f.name: f for f in docs.schema.fields}
     row_type = T.StructType([T.StructField(f"c{i}", fields[c].dataType) for i, c in enumerate(keep)]
                             or [T.StructField("none", T.BooleanType())])
@@ -213,6 +216,7 @@ def owners(
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, digest) of every row."""
+    short_batches(docs)
     schema = T.StructType([
         T.StructField("id", docs.schema[id_column].dataType),
         T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.BinaryType()),

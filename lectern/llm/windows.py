@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbytes import (
-    CHUNK, anchored_runs, prefix_hash, ranges, row_chunks, span_hash, mixed, word_codes,
+    CHUNK, anchored_runs, prefix_hash, ranges, row_chunks, short_batches, span_hash, mixed, word_codes,
     word_spans, written,
 )
 
@@ -39,7 +39,7 @@ GRAM = 12
 SECOND_BASE = 0x2545F4914F6CDD1D
 HOT = 20_000  # documents under one anchor from which it is dealt over parts
 SALTS = 64
-BROADCAST_ROWS = 1_000_000  # of (identifier, hash): 24 MB
+BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
 
 def _grams(codes: np.ndarray, gram: int) -> np.ndarray:
@@ -73,6 +73,7 @@ def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def anchor_table(docs: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
     """(id, tx, n_words, sha256, runs) of each row: its words, joined, and its anchored runs."""
+    short_batches(docs)
     schema = T.StructType([
         T.StructField("id", docs.schema[id_column].dataType), T.StructField("tx", T.LongType()),
         T.StructField("n_words", T.LongType()), T.StructField("sha256", T.StringType()),
