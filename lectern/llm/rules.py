@@ -192,9 +192,13 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
 
     ``n_chars``, where there is one, follows the cleaned text.
     """
-    name = fresh(docs, "quality")
+    name, new = fresh(docs, "quality"), fresh(docs, "cleaned_")
     q = F.col(name)
-    kept = judge(docs, text, max_loss, name).where(q["kept"]).withColumn(text, q["cleaned"])
+    # a generator gives one cleaned text or none; a filter would be pushed into the rules
+    one = F.when(q["kept"], F.array(q["cleaned"])).otherwise(F.array().cast("array<string>"))
+    kept = judge(docs, text, max_loss, name).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode(one).alias(new))
+    values = {text: F.col(new)}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        values["n_chars"] = F.length(new).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

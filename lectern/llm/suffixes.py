@@ -65,6 +65,8 @@ def _own_repeats(
     grams: np.ndarray, anchor: np.ndarray, first: np.ndarray, count: np.ndarray, width: int
 ) -> np.ndarray:
     """Whether a run's anchor stands in it twice, so that it may repeat a window of its own."""
+    if not len(first):
+        return np.zeros(0, bool)
     reach = width - GRAM
     least = sliding_min(grams, reach + 1)
     # the places that are smallest in some window: where the largest of its windows' minima is theirs
