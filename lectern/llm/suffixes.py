@@ -9,13 +9,13 @@ to end or not at all. The strings of all other anchors are put into suffix order
 
 * a task takes whole anchors up to a bounded number of bytes and cuts their strings into
   shards; each shard gets its suffix order and its Burrows-Wheeler transform, over
-  symbols of eight bytes at every phase;
+  symbols of twenty bytes at every phase;
 * the shards' transforms are merged without sorting suffixes again: the interleave, one
   shard number per slot, is refined symbol by symbol. A pass reads each slot's symbol from
   its shard's transform and deals the slots stably by symbol, which sorts the suffixes by
   one symbol more;
 * two neighbours share as many symbols as passes have not parted them, so after
-  ``width / 8`` passes the unparted intervals are the strings of ``width`` bytes that
+  ``width / 20`` passes the unparted intervals are the strings of ``width`` bytes that
   occur more than once, counted with the numbers of their strings.
 
 Windows found this way become byte intervals of their documents; overlapping ones merge,
@@ -45,7 +45,7 @@ from .textbytes import (
 
 WIDTH = 200
 GRAM = 32
-SYMBOL = 8  # bytes; WIDTH is a multiple
+SYMBOL = 20  # bytes of a symbol at most; the largest divisor of the width up to it is taken
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
@@ -164,33 +164,35 @@ def _stable_order(symbols: np.ndarray) -> np.ndarray:
 class Shard:
     """Suffix order and transform of some strings laid end to end.
 
-    Each string of length L owns L + SYMBOL places: one a byte, and one end mark a phase.
-    ``symbol[i]`` ranks the eight bytes from place i, 0 at end marks; the suffix before
-    the one at i starts eight bytes earlier, or is the end mark of i's phase.
+    Each string of length L owns L + size places: one a byte, and one end mark a phase.
+    ``symbol[i]`` ranks the ``size`` bytes from place i, 0 at end marks; the suffix before
+    the one at i starts ``size`` bytes earlier, or is the end mark of i's phase.
     """
 
-    def __init__(self, symbol: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int):
+    def __init__(
+        self, symbol: np.ndarray, size: int, starts: np.ndarray, ends: np.ndarray, depth: int
+    ):
         n = len(symbol)
-        # place SYMBOL * k further on in the same phase, stopping at the phase's end mark
-        rank, step = symbol, SYMBOL
+        # a multiple of ``size`` further on in the same phase, stopping at the phase's end mark
+        rank, step = symbol, size
         place = np.arange(n)
-        stop = np.repeat(ends, ends + SYMBOL - starts)  # first end mark of each place's string
+        stop = np.repeat(ends, ends + size - starts)  # first end mark of each place's string
+        phase = (place - stop) % size
         while step < depth:
-            phase = (place - stop) % SYMBOL
             further = np.minimum(place + step, stop + phase)
             rank, _ = _dense(rank * (int(rank.max()) + 1) + rank[further])
             step *= 2
         self.order = np.argsort(rank, kind="stable")
-        own = np.repeat(starts, ends + SYMBOL - starts)
-        before = np.where(place - own >= SYMBOL, symbol[np.maximum(place - SYMBOL, 0)], 0)
-        self.transform = before[self.order]
+        own = np.repeat(starts, ends + size - starts)
+        before = np.where(place - own >= size, symbol[np.maximum(place - size, 0)], 0)
+        self.transform = before[self.order].astype(np.uint32)
 
 
 def merge(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval): the shard of each slot, and intervals not parted by ``passes``."""
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
     interval = np.zeros(len(interleave), np.int32)
-    symbols = np.empty(len(interleave), np.int64)
+    symbols = np.empty(len(interleave), np.uint32)
     parts = 1
     for _ in range(passes):
         for s, shard in enumerate(shards):
@@ -206,23 +208,34 @@ def merge(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
     return interleave, interval
 
 
+def symbol_size(width: int, most: int = SYMBOL) -> int:
+    """The largest divisor of ``width`` from eight bytes up to ``most``."""
+    return max((k for k in range(8, most + 1) if width % k == 0), default=0)
+
+
 def repeated_windows(
-    strings: list[bytes], numbers: np.ndarray, width: int, shard_bytes: int = SHARD
+    strings: list[bytes], numbers: np.ndarray, width: int, shard_bytes: int = SHARD,
+    size: int | None = None,
 ) -> list[np.ndarray]:
     """For each string, which of its windows occur twice or more, counting ``numbers``."""
+    size = size or symbol_size(width)
     lengths = np.array([len(s) for s in strings], np.int64)
-    places = lengths + SYMBOL
+    places = lengths + size
     starts = np.cumsum(places) - places
     ends = starts + lengths
     total = int(places.sum())
-    flat = np.zeros(total + SYMBOL, np.uint8)
+    flat = np.zeros(total + 8, np.uint8)
     flat[ranges(starts, lengths)] = np.frombuffer(b"".join(strings), np.uint8)
-    blocks = np.lib.stride_tricks.sliding_window_view(flat, SYMBOL)[:total]
-    value = np.ascontiguousarray(blocks).view(">u8").ravel().astype(np.uint64)
-    symbol, _ = _dense(value)
+    blocks = np.lib.stride_tricks.sliding_window_view(flat, 8)[:total]
+    symbol, _ = _dense(np.ascontiguousarray(blocks).view(">u8").ravel().astype(np.uint64))
+    reach = 8
+    while reach < size:  # ranks of longer blocks from two that overlap; end marks hold zeros
+        step = min(reach, size - reach)
+        later = np.concatenate([symbol[step:], np.zeros(step, np.int64)])
+        symbol, _ = _dense(symbol * (int(symbol.max()) + 1) + later)
+        reach += step
     symbol += 1
-    marks = ranges(ends, np.full(len(ends), SYMBOL, np.int64))
-    symbol[marks] = 0
+    symbol[ranges(ends, np.full(len(ends), size, np.int64))] = 0
     weight = np.zeros(total, np.int64)
     count = np.maximum(lengths - width + 1, 0)
     weight[ranges(starts, count)] = np.repeat(numbers, count)
@@ -231,11 +244,11 @@ def repeated_windows(
     cuts = np.unique(np.append(cuts, len(strings)))
     shards, suffixes = [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        low, high = int(starts[a]), int(ends[b - 1] + SYMBOL)
-        shard = Shard(symbol[low:high], ends[a:b] - low, starts[a:b] - low, width)
+        low, high = int(starts[a]), int(ends[b - 1] + size)
+        shard = Shard(symbol[low:high], size, starts[a:b] - low, ends[a:b] - low, width)
         shards.append(shard)
         suffixes.append(shard.order + low)
-    interleave, interval = merge(shards, width // SYMBOL)
+    interleave, interval = merge(shards, width // size)
     suffix = np.empty(total, np.int64)
     for s, own in enumerate(suffixes):
         suffix[interleave == s] = own
@@ -378,8 +391,8 @@ def dedup_bytes(
     docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row."""
-    if width % SYMBOL or width < GRAM:
-        raise ValueError(f"width must be a multiple of {SYMBOL} and {GRAM} at least")
+    if not symbol_size(width) or width < GRAM:
+        raise ValueError(f"width must have a divisor from 8 to {SYMBOL} and be {GRAM} at least")
     table = written(run_table(docs, width, id_column, text))
     changed = cleaned(docs, table, repeats(docs, table, width, id_column, text), id_column, text)
     zero = F.lit(0).cast("long")

@@ -255,7 +255,7 @@ def test_merged_transforms_count_windows():
         for s, n in zip(strings, numbers):
             for k in range(len(s) - 15):
                 seen[s[k:k + 16]] += int(n)
-        got = suffixes.repeated_windows(strings, numbers, 16, shard_bytes=rng.choice([40, 100, 9999]))
+        got = suffixes.repeated_windows(strings, numbers, 16, rng.choice([40, 100, 9999]), rng.choice([8, 16]))
         assert [g.tolist() for g in got] == [
             [seen[s[k:k + 16]] > 1 for k in range(len(s) - 15)] for s in strings]
 
