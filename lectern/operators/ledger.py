@@ -54,7 +54,7 @@ def section_compression(
     text, ``frames`` text, all by section.
     """
     spoken = assigned.groupBy(*SECTION).agg(
-        F.first("sec_title").alias("title"),
+        F.min("sec_title").alias("title"),
         F.min_by("start", F.struct("start", "seq")).alias("start"),
         F.sum(word_count(stamped_line(F.col("start"), F.col("text")))).alias("_in"),
     )

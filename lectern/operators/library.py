@@ -27,7 +27,7 @@ def meta_topics() -> Column:
     return F.from_json(F.get_json_object("meta", "$.topics"), "array<string>")
 
 
-def latest_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
+def latest_jobs(jobs: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` jobs."""
     return jobs.orderBy(F.col("created_at").desc()).limit(n)
 
@@ -37,10 +37,11 @@ def pending_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("queued", "running")).orderBy("created_at")
 
 
-def awaiting_downloads(jobs: DataFrame, n: int = 200) -> DataFrame:
-    """Links an agent should fetch, looked up among the latest ``n`` jobs only."""
+def awaiting_downloads(jobs: DataFrame, n: int | None = None) -> DataFrame:
+    """Links an agent should fetch; with ``n``, those among the latest ``n`` jobs only."""
     waiting = (F.col("stage") == "awaiting_download") & (F.col("status") == "waiting")
-    return latest_jobs(jobs, n).where(waiting).select("id", "source", "referer", "transkript")
+    looked_at = jobs if n is None else latest_jobs(jobs, n)
+    return looked_at.where(waiting).select("id", "source", "referer", "transkript")
 
 
 def unclaimed(jobs: DataFrame, in_flight: DataFrame) -> DataFrame:
@@ -92,11 +93,10 @@ def parts_of(jobs: DataFrame) -> DataFrame:
     return parts.join(parents, "parent_id")
 
 
-def ordered_topics(jobs: DataFrame, cap: int = labels.MAX_TITLE_TOPICS) -> DataFrame:
-    """First ``cap`` distinct topics per group: parts in order, then the parent.
+def ordered_topics(jobs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct topics per group: parts in order, then the parent; with ``cap``, the first ones.
 
-    Topics are made distinct by an aggregate and ranked before they are gathered,
-    so at most ``cap`` values per group are ever collected.
+    Topics are made distinct by an aggregate and ranked before they are gathered.
     """
     parts = jobs.select(
         meta_field("part_of").alias("parent_id"), F.lit(0).alias("_stage"), "id", "created_at",
@@ -114,7 +114,9 @@ def ordered_topics(jobs: DataFrame, cap: int = labels.MAX_TITLE_TOPICS) -> DataF
               ).alias("_at")
     )
     rank = F.row_number().over(Window.partitionBy("parent_id").orderBy("_at"))
-    top = first.withColumn("_rn", rank).where(F.col("_rn") <= cap)
+    top = first.withColumn("_rn", rank)
+    if cap is not None:
+        top = top.where(F.col("_rn") <= cap)
     cells = F.sort_array(F.collect_list(F.struct("_rn", "topic")))
     return top.groupBy("parent_id").agg(F.transform(cells, lambda c: c["topic"]).alias("topics"))
 

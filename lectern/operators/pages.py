@@ -48,16 +48,23 @@ def gate_pages(
     )
 
 
-def cap_pages(pages: DataFrame, max_pages: int = labels.MAX_PAGES) -> DataFrame:
-    """Only the first ``max_pages`` of each source."""
+def cap_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """All pages, or the first ``max_pages`` of each source where a caller asks for a cut.
+
+    ``page_coverage`` reports what a cut leaves out.
+    """
+    if max_pages is None:
+        return pages
     return pages.where(F.col("number") <= max_pages)
 
 
-def page_coverage(pages: DataFrame, max_pages: int = labels.MAX_PAGES) -> DataFrame:
+def page_coverage(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """How many pages a source has and how many are processed."""
     return pages.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("number") <= max_pages).alias("processed"),
+        F.count_if(
+            F.lit(True) if max_pages is None else F.col("number") <= max_pages
+        ).alias("processed"),
     ).withColumn("truncated", F.col("processed") < F.col("total"))
 
 

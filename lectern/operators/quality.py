@@ -51,8 +51,8 @@ def quality_profile(segments: DataFrame) -> DataFrame:
     """Per source: rounded measures and whether it goes to repair."""
     return needs_repair(segments).select(
         "source_id",
-        F.round("punct_density", 1).alias("punct"),
-        F.round("caps_ratio", 2).alias("caps"),
+        F.bround("punct_density", 1).alias("punct"),
+        F.bround("caps_ratio", 2).alias("caps"),
         F.col("needs_repair").alias("repaired"),
     )
 

@@ -42,17 +42,21 @@ def per_provider(
 ) -> DataFrame:
     """Run a packing operator with each provider's own budget and union the results.
 
-    ``rows`` has a ``provider`` column; ``task`` is boundary, section or repair.
-    Providers are few and fixed, so this is one filtered pass for each.
+    ``rows`` has a ``provider`` column; ``task`` is boundary, section or repair. There
+    is one filtered pass for each distinct limit. Rows whose provider is NULL or not
+    known come back unpacked with an ``error``, which is NULL everywhere else.
     """
     at = ("boundary", "section", "repair").index(task)
-    results = [
-        run(rows.where(F.col("provider") == name), limits[at])
-        for name, limits in labels.PROVIDER_WINDOWS.items()
-    ]
-    out = results[0]
-    for result in results[1:]:
-        out = out.unionByName(result)
+    by_limit: dict[int, list[str]] = {}
+    for name, limits in labels.PROVIDER_WINDOWS.items():
+        by_limit.setdefault(limits[at], []).append(name)
+    known = F.col("provider").isin(list(labels.PROVIDER_WINDOWS))
+    out = rows.where(~F.coalesce(known, F.lit(False))).withColumn(
+        "error", F.concat(F.lit("unknown provider: "), F.coalesce("provider", F.lit("none")))
+    )
+    for limit, names in by_limit.items():
+        packed = run(rows.where(F.col("provider").isin(names)), limit)
+        out = out.unionByName(packed, allowMissingColumns=True)
     return out
 
 

@@ -36,9 +36,18 @@ SCHEMAS = {
 }
 
 
+def latest(responses: DataFrame) -> DataFrame:
+    """One response per request: of retries the last ``attempt``, without one a readable reply."""
+    attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
+    order = F.struct(attempt.alias("n"), F.col("error").isNull().alias("ok"), F.col("body"), F.col("error"))
+    return responses.groupBy("request_id").agg(F.max(order).alias("_r")).select(
+        "request_id", "_r.body", "_r.error"
+    )
+
+
 def with_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Every request with its response; ``failed`` marks a missing or unreadable one."""
-    table = requests.join(responses.select("request_id", "body", "error"), "request_id", "left")
+    table = requests.join(latest(responses), "request_id", "left")
     readable = F.when(F.col("error").isNull(), salvage_json(F.col("body")))
     return table.withColumn("json", readable).withColumn("failed", F.col("json").isNull())
 
@@ -157,15 +166,23 @@ def decode_learning(responses: DataFrame) -> DataFrame:
 
 
 def decode_answers(responses: DataFrame) -> DataFrame:
-    """Answers with evidence; ``cropped`` (a request column) appends the notice."""
+    """Answers with evidence; ``cropped`` (a request column) appends the notice.
+
+    A request that failed is ``failed`` with its ``error``: its answer is NULL, which is
+    not the same as an answer that was looked for and not found.
+    """
     parsed = parse(responses, "answer")
     r = F.col("r")
     notice = F.when(F.col("cropped"), labels.CROP_NOTICE).otherwise("")
     answer = F.concat(strip(F.coalesce(r["answer"], F.lit(""))), notice)
+    failed = r.isNull()
     return parsed.select(
         *_keys(responses),
-        F.coalesce(r["found"], F.lit(False)).alias("found"),
-        F.when(answer == "", labels.NOT_FOUND_ANSWER).otherwise(answer).alias("answer"),
+        failed.alias("failed"),
+        F.when(failed, F.coalesce("error", F.lit("invalid or missing response"))).alias("error"),
+        F.when(~failed, F.coalesce(r["found"], F.lit(False))).alias("found"),
+        F.when(~failed, F.when(answer == "", labels.NOT_FOUND_ANSWER).otherwise(answer))
+        .alias("answer"),
         F.coalesce(
             F.filter(r["kaynak"], lambda k: ~is_blank(k)), F.array().cast("array<string>")
         ).alias("evidence"),

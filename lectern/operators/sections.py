@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import labels
@@ -140,7 +140,11 @@ def split_oversized(
 ) -> DataFrame:
     """Add ``part_no`` and a numbered title where a section's text exceeds ``limit``.
 
-    Sections that fit keep ``part_no`` NULL and their title.
+    A part is a section of its own from here on: the first keeps the section's
+    ``sec_start``, later ones start where their first segment does, so that requests,
+    notes and ledgers have one row per part. Parts that begin at the same instant are
+    told apart by a microsecond. Sections that fit keep ``part_no`` NULL, their start
+    and their title.
     """
     keys = ["source_id", "sec_start"]
     line = F.length(stamped_line(F.col("start"), F.col("text")))
@@ -164,7 +168,20 @@ def split_oversized(
         F.lit(")"),
     )
     title = F.concat("sec_title", F.coalesce(suffix, F.lit("")))
-    return placed.withColumn("sec_title", title).withColumnRenamed("window_id", "part_no")
+    opened = placed.where(F.col("window_id") > 0).groupBy(*keys, "window_id").agg(
+        F.min("start").alias("_first")
+    )
+    ties = Window.partitionBy(*keys, "_first").orderBy("window_id")
+    own = opened.select(
+        *keys, "window_id",
+        (F.col("_first") + F.lit(1e-6) * (F.row_number().over(ties) - 1)).alias("_own"),
+    )
+    return (
+        placed.join(own, [*keys, "window_id"], "left")
+        .withColumn("sec_start", F.coalesce("_own", "sec_start"))
+        .withColumn("sec_title", title)
+        .select(*[c for c in assigned.columns], F.col("window_id").alias("part_no"))
+    )
 
 
 def close_ends(repaired: DataFrame, windows: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ def request_table(
 
 
 def answered(asked: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
-    """Replies with the keys of the unit of work they answer; unanswered ones stay."""
+    """One reply per request with the keys of its unit of work; unanswered ones stay."""
     return asked.select("request_id", *keys).join(
-        replies.select("request_id", "body", "error"), "request_id", "left"
+        responses.latest(replies), "request_id", "left"
     )
 
 

@@ -36,5 +36,5 @@ def compression_report(segments: DataFrame, marks: DataFrame, sources: DataFrame
     measured = ledger.section_compression(assigned, notes, none)
     return measured.select(
         "source_id", "title", "ts", "words_in", "words_out",
-        F.round("ratio", 1).alias("ratio"), compression_tier(F.col("ratio")).alias("tier"),
+        F.bround("ratio", 1).alias("ratio"), compression_tier(F.col("ratio")).alias("tier"),
     )

@@ -24,8 +24,7 @@ def c14(spark, sf):
 
 
 @query("c15_awaiting_downloads", cte(fx.JOBS) + """
-SELECT id, source, referer, transkript FROM (SELECT * FROM jobs ORDER BY created_at DESC LIMIT 200)
-WHERE stage = 'awaiting_download' AND status = 'waiting'""")
+SELECT id, source, referer, transkript FROM jobs WHERE stage = 'awaiting_download' AND status = 'waiting'""")
 def c15(spark, sf):
     return library.awaiting_downloads(fx.jobs(spark, sf))
 
@@ -73,7 +72,7 @@ first_topics AS (
   SELECT *, row_number() OVER (PARTITION BY parent_id, topic ORDER BY stage, created_at DESC, id, pos) AS rn FROM topic_rows WHERE topic <> ''),
 topics AS (
   SELECT parent_id, string_agg(topic, '|' ORDER BY stage, created_at DESC, id, pos) AS topics FROM (
-    SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY stage, created_at DESC, id, pos) AS r FROM first_topics WHERE rn = 1) WHERE r <= 25 GROUP BY parent_id)"""
+    SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY stage, created_at DESC, id, pos) AS r FROM first_topics WHERE rn = 1) GROUP BY parent_id)"""
 
 
 @query("e8_ordered_topics", cte(fx.JOBS, TOPICS) + "SELECT * FROM topics")

@@ -131,7 +131,8 @@ split_walk AS (
     k.p + CASE WHEN k.size + n.cost > {SECTION} THEN 1 ELSE 0 END
   FROM split_walk k JOIN big_rows n ON n.source_id = k.source_id AND n.sec_start = k.sec_start AND n.rn = k.rn + 1),
 split_rows AS (
-  SELECT a.source_id, a.seq, a.start, a."end", a.text, a.sec_start, CAST(w.p AS BIGINT) AS part_no,
+  SELECT a.source_id, a.seq, a.start, a."end", a.text, nw, CAST(w.p AS BIGINT) AS part_no,
+    CASE WHEN w.p > 0 THEN min(a.start) OVER (PARTITION BY a.source_id, a.sec_start, w.p) ELSE a.sec_start END AS sec_start,
     a.sec_title || CASE WHEN w.p IS NULL THEN '' ELSE ' (' || CAST(w.p + 1 AS VARCHAR) || '. kısım)' END AS sec_title
   FROM assigned a LEFT JOIN split_walk w USING (source_id, sec_start, seq))"""
 
@@ -269,7 +270,7 @@ def f15(spark, sf):
 
 
 @query("flagship_compression", cte(*STUDY, recursive=True) + f"""
-SELECT source_id, title, ts, words_in, words_out, round(CAST(words_in AS DOUBLE) / words_out, 1) AS ratio,
+SELECT source_id, title, ts, words_in, words_out, round_even(CAST(words_in AS DOUBLE) / words_out, 1) AS ratio,
   CASE WHEN words_in < words_out THEN 'expansion' WHEN words_in >= 30 * words_out THEN 'high' WHEN words_in >= 12 * words_out THEN 'medium' ELSE 'low' END AS tier
 FROM (SELECT source_id, max(sec_title) AS title, {ts_sql('min(start)')} AS ts,
         CAST(sum(nw + 1) AS BIGINT) AS words_in, CAST(min_by(nw, seq) AS BIGINT) AS words_out

@@ -39,7 +39,7 @@ def c3(spark, sf):
 
 
 @query("e12_quality_profile", cte(fx.WORN, MEASURES) + """
-SELECT source_id, round(punct_density, 1) AS punct, round(caps_ratio, 2) AS caps,
+SELECT source_id, round_even(punct_density, 1) AS punct, round_even(caps_ratio, 2) AS caps,
        punct_density < 1.0 OR caps_ratio < 0.15 AS repaired FROM measures""")
 def e12(spark, sf):
     return quality.quality_profile(fx.worn_segments(spark, sf))
@@ -48,7 +48,7 @@ def e12(spark, sf):
 @query("e12_quality_histogram", cte(fx.WORN, MEASURES) + """
 SELECT bin, count(*) AS sources FROM (
   SELECT CASE WHEN caps < 0 THEN 0 WHEN caps >= 1 THEN 11 ELSE CAST(floor(caps * 10) AS BIGINT) + 1 END AS bin
-  FROM (SELECT round(caps_ratio, 2) AS caps FROM measures)) GROUP BY bin""")
+  FROM (SELECT round_even(caps_ratio, 2) AS caps FROM measures)) GROUP BY bin""")
 def e12h(spark, sf):
     return quality.quality_histogram(
         quality.quality_profile(fx.worn_segments(spark, sf)), "caps", 0.0, 1.0, 10

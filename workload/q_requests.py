@@ -186,13 +186,13 @@ _LIMITS = """CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 2000 END AS tokens_per_minu
 _BUDGET = "(CASE k.source_id % 4 WHEN 0 THEN 6000 ELSE 120000 END)"
 
 
-@query("d12_windows_per_provider", cte(fx.SEGMENTS, NUMBERED, BOUNDARY_WALK.replace(f">= {BOUNDARY}", f">= {_BUDGET}").replace(f"< {BOUNDARY // 3}", f"< {_BUDGET} // 3"), recursive=True) + "SELECT source_id, seq, window_id FROM windows")
+@query("d12_windows_per_provider", cte(fx.SEGMENTS, NUMBERED, BOUNDARY_WALK.replace(f">= {BOUNDARY}", f">= {_BUDGET}").replace(f"< {BOUNDARY // 3}", f"< {_BUDGET} // 3"), recursive=True) + "SELECT source_id, seq, CASE WHEN source_id % 9 > 0 THEN window_id END AS window_id, CASE WHEN source_id % 9 = 0 THEN 'unknown provider: none' END AS error FROM segments LEFT JOIN windows USING (source_id, seq)")
 def d12w(spark, sf):
     rows = stage(fx.segments(spark, sf).withColumn("provider", F.expr(
-        "CASE source_id % 4 WHEN 0 THEN 'groq' WHEN 1 THEN 'openrouter' WHEN 2 THEN 'anthropic' ELSE 'gemini' END"
+        "CASE WHEN source_id % 9 = 0 THEN NULL ELSE CASE source_id % 4 WHEN 0 THEN 'groq' WHEN 1 THEN 'openrouter' WHEN 2 THEN 'anthropic' ELSE 'gemini' END END"
     )))
     out = requests.per_provider(rows, "boundary", sections.boundary_windows)
-    return out.select("source_id", "seq", "window_id")
+    return out.select("source_id", "seq", "window_id", "error")
 
 
 @query("m8_admit_requests", f"""
@@ -354,10 +354,10 @@ def m13(spark, sf):
 
 
 @query("m14_decode_answers", f"""
-SELECT source_id, {OK} AND source_id % 2 = 0 AS found,
-  CASE WHEN ({OK}) AND source_id % 3 <> 0 THEN 'A ' || lang ELSE '' END
+SELECT source_id, NOT ({OK}) AS failed, CASE WHEN {OK} THEN source_id % 2 = 0 END AS found,
+  CASE WHEN {OK} THEN CASE WHEN source_id % 3 <> 0 THEN 'A ' || lang ELSE '' END
   || CASE WHEN source_id % 4 = 0 THEN chr(10) || chr(10) || '(Not: kaynak bu sohbet için çok uzundu, yalnızca ilk kısmına bakabildim — cevap eksik olabilir.)'
-          WHEN NOT (({OK}) AND source_id % 3 <> 0) THEN 'Bunu kaynakta bulamadım.' ELSE '' END AS answer,
+          WHEN source_id % 3 = 0 THEN 'Bunu kaynakta bulamadım.' ELSE '' END END AS answer,
   CASE WHEN {OK} THEN '[00:01] ' || source ELSE '' END AS evidence
 FROM (SELECT doc_id AS source_id, lang, source FROM documents)""")
 def m14(spark, sf):
@@ -369,7 +369,7 @@ def m14(spark, sf):
     ))
     replies = noisy(docs, body).withColumn("cropped", r % 4 == 0)
     return responses.decode_answers(replies).select(
-        "source_id", "found", "answer", F.array_join("evidence", "|").alias("evidence")
+        "source_id", "failed", "found", "answer", F.array_join("evidence", "|").alias("evidence")
     )
 
 
@@ -398,7 +398,10 @@ def d11(spark, sf):
     docs = fx.table(spark, sf, "documents").withColumnRenamed("doc_id", "source_id")
     replies = noisy(docs.where("lang <> 'de'"), F.to_json(F.struct("lang")))
     asked = docs.select(F.col("source_id").alias("request_id"))
-    return responses.with_responses(asked, replies).select("request_id", "failed")
+    # every third request was answered twice: first in vain
+    vain = replies.where("request_id % 3 = 0").withColumn("body", F.lit(None).cast("string")).withColumn(
+        "error", F.lit("timeout"))
+    return responses.with_responses(asked, vain.unionByName(replies)).select("request_id", "failed")
 
 
 @query("d11_failed_requests", f"""
