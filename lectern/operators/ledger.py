@@ -126,6 +126,13 @@ def merge_glossary(terms: DataFrame, synth_terms: DataFrame) -> DataFrame:
     )
 
 
+def union_terms(terms: DataFrame, *more: DataFrame) -> DataFrame:
+    """Glossary rows of several tables, every row kept; a column one lacks is NULL there."""
+    for table in more:
+        terms = terms.unionByName(table, allowMissingColumns=True)
+    return terms
+
+
 def sort_terms(terms: DataFrame) -> DataFrame:
     """Terms in Turkish alphabetical order within each source."""
     return terms.orderBy("source_id", tr_sort_key(F.col("term")), "pos")

@@ -252,6 +252,12 @@ def result_envelope(jobs: DataFrame, notes: DataFrame) -> DataFrame:
     return finished.select("id", payload.alias("payload"), excerpt.alias("excerpt"))
 
 
+def keys_without(keys: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """The distinct values of ``column`` in ``keys`` that ``known`` lacks; NULL counts as a value."""
+    mine, theirs = keys.select(column).distinct(), known.select(F.col(column).alias("_k")).distinct()
+    return mine.join(theirs, F.col(column).eqNullSafe(F.col("_k")), "left_anti")
+
+
 def orphan_outputs(files: DataFrame, jobs: DataFrame, strict: bool = False) -> DataFrame:
     """Stored files that belong to no known job, with their size."""
     owned = files.withColumn("owner", owner_of(F.col("name"), strict))

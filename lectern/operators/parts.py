@@ -52,6 +52,14 @@ def unassigned_rows(rows: DataFrame, parts: DataFrame, t: str = "start") -> Data
     )
 
 
+def number_parts(
+    segments: DataFrame, keys: tuple[str, ...] = ("source_id",), start: int = 0
+) -> DataFrame:
+    """Add ``number``: the position of each row of a source along ``(start, seq)``."""
+    cut = segments.withColumn("_block", scan.block_of(F.col("start"), scan.BLOCK_SECONDS))
+    return scan.number_rows(cut, list(keys), ["start", "seq"], "_block", "number", start=start)
+
+
 def empty_parts(parts: DataFrame, assigned: DataFrame) -> DataFrame:
     """Error rows for parts that received nothing."""
     missing = parts.join(

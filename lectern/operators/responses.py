@@ -161,7 +161,7 @@ def decode_learning(responses: DataFrame) -> DataFrame:
         clean_strings(r["actions"]).alias("actions"),
         F.coalesce(quiz, F.array().cast("array<struct<soru:string,cevap:string>>")).alias("quiz"),
         strip(F.coalesce(r["deepen_prompt"], F.lit(""))).alias("deepen_prompt"),
-        clean_strings(r["topics"], labels.MAX_TOPICS).alias("topics"),
+        clean_strings(r["topics"]).alias("topics"),
     )
 
 

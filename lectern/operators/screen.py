@@ -121,12 +121,14 @@ def sampling_grid(
     return flagged.where(keep).drop("_sil")
 
 
-def cap_frames(frames: DataFrame, n: int = labels.MAX_FRAMES, block_rows: int = scan.BLOCK_ROWS):
-    """Thin sources with more than ``n`` frames to at most ``n``, spread evenly.
+def cap_frames(frames: DataFrame, n: int | None = None, block_rows: int = scan.BLOCK_ROWS):
+    """All frames; with ``n``, sources with more are thinned to at most ``n``, spread evenly.
 
     The source is cut into ``n`` equal stretches; each keeps its first frame from a
     silence, else its first frame.
     """
+    if n is None:
+        return frames
     counts = frames.groupBy("source_id").agg(F.count(F.lit(1)).alias("_total"))
     numbered = scan.number_rows(
         frames.withColumn("_block", scan.block_of(F.col("frame_idx"), block_rows)),
@@ -157,6 +159,12 @@ def cap_frames(frames: DataFrame, n: int = labels.MAX_FRAMES, block_rows: int =
     )
 
 
+def frames_left_out(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """Frames that a cap thinned away, with the reason."""
+    gone = frames.join(kept.select("source_id", "frame_idx"), ["source_id", "frame_idx"], "left_anti")
+    return gone.withColumn("reason", F.lit("over the frame cap"))
+
+
 def frames_to_sections(frames: DataFrame, sections: DataFrame) -> DataFrame:
     """Frames with the ``sec_start`` of their section; the last section is open ended."""
     last = sections.groupBy("source_id").agg(F.max("start").alias("_last"))

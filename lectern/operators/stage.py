@@ -25,9 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Scratch files go when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stage(df: DataFrame, *cluster_by: str) -> DataFrame:
     """Write ``df`` and read it back; with ``cluster_by``, grouped by those columns."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     out = df.repartition(*cluster_by) if cluster_by else df
     out.write.parquet(path)
+    _remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

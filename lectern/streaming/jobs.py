@@ -53,12 +53,13 @@ def stuck_at(
 
 
 def stuck_jobs(
-    events: DataFrame, timeout_seconds: int = labels.SWEEP_SECONDS, watermark: str = "0 seconds"
+    events: DataFrame, watermark: str, timeout_seconds: int = labels.SWEEP_SECONDS
 ) -> DataFrame:
     """Streaming detector: a row when a queued or running job makes no progress in time.
 
     State per job is its last stage and time. The timer runs on event time, so the
-    result does not depend on when batches happen to arrive.
+    result does not depend on when batches happen to arrive. Events later than the
+    ``watermark`` are not seen; how late they may come is for the caller to say.
     """
     wait = timeout_seconds * 1000
     kind = events.schema["job"].dataType.simpleString()

@@ -172,7 +172,7 @@ def test_stuck_stream_agrees_with_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "job int, stage string, t string").select("job", "stage", F.col("t").cast("timestamp").alias("ts"))
     df.repartition(3).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
-    live = run_available(job_stream.stuck_jobs(stream, 60))
+    live = run_available(job_stream.stuck_jobs(stream, "0 seconds", 60))
     batch = job_stream.stuck_at(job_stream.last_stages(df), F.lit("2024-01-01 00:02:00").cast("timestamp"), 60)
     assert sorted(r.job for r in live.collect()) == sorted(r.job for r in batch.collect()) == [1]
 

@@ -203,8 +203,9 @@ def d8(spark, sf):
 
 @query("g5_except_keys", cte(fx.JOBS, fx.FILES) + f"SELECT DISTINCT {_OWNER} AS owner FROM files EXCEPT SELECT id FROM jobs")
 def g5(spark, sf):
-    owners = fx.files(spark, sf).select(naming.owner_of(F.col("name")).alias("owner")).distinct()
-    return owners.exceptAll(fx.jobs(spark, sf).select("id"))
+    owners = fx.files(spark, sf).select(naming.owner_of(F.col("name")).alias("owner"))
+    jobs = fx.jobs(spark, sf).select(F.col("id").alias("owner"))
+    return library.keys_without(owners, jobs, "owner")
 
 
 @query("e10_storage_report", cte(fx.JOBS, fx.FILES) + f"""

@@ -259,14 +259,11 @@ def d4u(spark, sf):
 
 
 @query("f15_number_parts", cte(fx.SEGMENTS) + """
-SELECT source_id, seq, row_number() OVER (PARTITION BY source_id ORDER BY start, seq) - 1 AS number FROM segments WHERE nw >= 12""")
+SELECT source_id, seq, row_number() OVER (PARTITION BY source_id ORDER BY start, seq) - 1 AS number FROM segments""")
 def f15(spark, sf):
-    from lectern.operators import scan
+    from lectern.operators import parts
 
-    rows = fx.segments(spark, sf).where("nw >= 12")
-    cut = rows.withColumn("_block", scan.block_of(F.col("start"), scan.BLOCK_SECONDS))
-    out = scan.number_rows(cut, ["source_id"], ["start", "seq"], "_block", "number")
-    return out.select("source_id", "seq", "number")
+    return parts.number_parts(fx.segments(spark, sf)).select("source_id", "seq", "number")
 
 
 @query("flagship_compression", cte(*STUDY, recursive=True) + f"""

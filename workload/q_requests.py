@@ -199,10 +199,10 @@ def d12w(spark, sf):
 SELECT request_id, CAST(p AS BIGINT) AS prompt_tokens, CASE WHEN NOT (tokens_per_minute IS NOT NULL AND 1700 - p < 400)
     THEN CAST(least(max_tokens, CASE WHEN tokens_per_minute IS NULL THEN max_tokens ELSE 1700 - p END, coalesce(max_output, max_tokens)) AS BIGINT) END AS granted_tokens,
   CASE WHEN 1700 - p < 400 AND tokens_per_minute IS NOT NULL THEN 'input too large: ~' || CAST(p AS VARCHAR) || ' tokens of 2000' END AS reason
-FROM (SELECT *, length(system) // 3 + length(user_text) // 3 AS p FROM (SELECT doc_id AS request_id, substr(source, 1, 3) AS system, text AS user_text, 1600 AS max_tokens, {_LIMITS} FROM documents))""")
+FROM (SELECT *, length(system) // 3 + length(user_text) // 3 AS p FROM (SELECT doc_id AS request_id, source AS system, text AS user_text, 1600 AS max_tokens, {_LIMITS} FROM documents))""")
 def m8(spark, sf):
     rows = fx.table(spark, sf, "documents").selectExpr(
-        "doc_id AS request_id", "substr(source, 1, 3) AS system", "text AS user",
+        "doc_id AS request_id", "source AS system", "text AS user",
         "1600 AS max_tokens", *_LIMITS.split(",\n"),
     )
     out = requests.admit_requests(rows)
@@ -332,7 +332,7 @@ def m12(spark, sf):
 @query("m13_decode_learning", cte(fx.SEGMENTS) + f"""
 SELECT source_id, CASE WHEN {OK} AND source_id % 3 = 0 THEN 'kurs' ELSE 'genel' END AS learning_type, CASE WHEN {OK} AND source_id % 2 = 0 THEN 'podcast' ELSE 'genel' END AS tur,
   CASE WHEN {OK} THEN array_to_string(list_filter(w, lambda x: x <> ''), '|') ELSE '' END AS steps,
-  CASE WHEN {OK} THEN array_to_string(list_filter(w, lambda x: x <> '')[1:4], '|') ELSE '' END AS topics,
+  CASE WHEN {OK} THEN array_to_string(list_filter(w, lambda x: x <> ''), '|') ELSE '' END AS topics,
   CAST(CASE WHEN {OK} THEN len(list_filter(w, lambda x: x <> '')) ELSE 0 END AS INTEGER) AS quiz,
   CASE WHEN {OK} THEN 'p ' || CAST(source_id AS VARCHAR) ELSE '' END AS deepen_prompt
 FROM (SELECT source_id, list(split_part(text, ' ', 2) ORDER BY seq) AS w FROM segments GROUP BY source_id)""")
@@ -471,7 +471,7 @@ def f14(spark, sf):
 SELECT source_id, pos, term, definition FROM terms UNION ALL SELECT source_id, pos, 'S ' || term, definition FROM terms""")
 def g4(spark, sf):
     terms = fx.terms(spark, sf)
-    return terms.unionByName(terms.withColumn("term", F.concat(F.lit("S "), "term")))
+    return ledger.union_terms(terms, terms.withColumn("term", F.concat(F.lit("S "), "term")))
 
 
 @query("f16_merge_batches", cte(fx.SEGMENTS, PACK.replace("text AS block FROM segments", "'- ' || split_part(text, ' ', 1) AS block FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS seq, text FROM segments)").replace(f"> {SECTION}", "> 60"), recursive=True) + """

@@ -114,21 +114,21 @@ def f9(spark, sf):
 HASHES = """
 shots AS (
   SELECT vec_id % 10 AS source_id, vec_id // 10 AS frame_idx,
-    CAST(list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END)) AS BIGINT) AS h
-  FROM embeddings),
+    CAST(CASE WHEN embedding[64] > 0 THEN b - 9223372036854775808 ELSE b END AS BIGINT) AS h
+  FROM (SELECT *, list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0::HUGEINT END)) AS b FROM embeddings)),
 steps AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY frame_idx) AS rn FROM shots),
 greedy AS (
   SELECT source_id, frame_idx, h, rn, [h] AS kept, true AS keep FROM steps WHERE rn = 1
   UNION ALL
   SELECT n.source_id, n.frame_idx, n.h, n.rn,
-    CASE WHEN len(list_filter(k.kept, lambda x: bit_count(xor(x, n.h)) <= 3)) = 0 THEN list_append(k.kept, n.h) ELSE k.kept END,
-    len(list_filter(k.kept, lambda x: bit_count(xor(x, n.h)) <= 3)) = 0
+    CASE WHEN len(list_filter(k.kept, lambda x: bit_count(xor(x, n.h)) <= 5)) = 0 THEN list_append(k.kept, n.h) ELSE k.kept END,
+    len(list_filter(k.kept, lambda x: bit_count(xor(x, n.h)) <= 5)) = 0
   FROM greedy k JOIN steps n ON n.source_id = k.source_id AND n.rn = k.rn + 1)"""
 
 
 def shots(spark, sf):
     bits = " + ".join(
-        f"CASE WHEN embedding[{i}] > 0 THEN {1 << i}L ELSE 0L END" for i in range(16)
+        f"CASE WHEN embedding[{i}] > 0 THEN shiftleft(1L, {i}) ELSE 0L END" for i in range(64)
     )
     return fx.table(spark, sf, "embeddings").selectExpr(
         "vec_id % 10 AS source_id", "vec_id div 10 AS frame_idx", f"{bits} AS h"
@@ -137,7 +137,7 @@ def shots(spark, sf):
 
 @query("f7_dedupe_hashes", cte(HASHES, recursive=True) + "SELECT source_id, frame_idx, h FROM greedy WHERE keep")
 def f7(spark, sf):
-    return hashes.dedupe_hashes(shots(spark, sf), distance=3, bits=16)
+    return hashes.dedupe_hashes(shots(spark, sf), distance=5, bits=64)
 
 
 _FRAME_SECTION = """

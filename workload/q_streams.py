@@ -110,7 +110,7 @@ def s3(spark, sf):
 
 @query("s3_stuck_stream", STUCK)
 def s3s(spark, sf):
-    out = run_available(jobs.stuck_jobs(stage_events(stream_events(spark, sf)), STUCK_AFTER))
+    out = run_available(jobs.stuck_jobs(stage_events(stream_events(spark, sf)), "0 seconds", STUCK_AFTER))
     return out.select("job", "stage", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
 
 
