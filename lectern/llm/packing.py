@@ -24,6 +24,7 @@ packed each on its own; other columns are not carried; an empty table gives no r
 from __future__ import annotations
 
 import bisect
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -35,14 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import CHUNK, MIX, mixed, prefix_hash, ranges, row_chunks, span_hash, written
+from .textbytes import (
+    CHUNK, MIX, mixed, prefix_hash, ranges, row_chunks, short_batches, span_hash, written,
+)
 
 SEQUENCE = 4096
 CLOSING = 1
 OUTPUT = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-TABLE_BITS = 21  # slots of a worker's word table
-POOL = 1 << 20  # words a worker keeps before it starts anew
+TABLE_BITS = 20  # slots of a worker's word table
+POOL = 1 << 19  # words a worker keeps before it starts anew
 
 # The pre-tokenizer's classes and its contractions (fixed values of the vocabulary file).
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
@@ -53,6 +56,7 @@ class WordTokens:
     """Token ids of texts by way of their distinct words; one per Python worker."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         import regex
         from tokenizers import Tokenizer
 
@@ -60,10 +64,9 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-        every = "".join(map(chr, points))
+        places = np.delete(np.arange(0x110000, dtype=np.uint32), slice(0xD800, 0xE000))
+        every = places.tobytes().decode("utf-32-le")
         self.kinds = np.full(0x110000, OTHER, np.uint8)
-        places = np.array(points)
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, every):
                 self.kinds[places[m.start(): m.end()]] = kind
@@ -80,10 +83,10 @@ class WordTokens:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode new words and file them under their hashes."""
-        joined = [" ".join(words[i: i + 1000]) for i in range(0, len(words), 1000)]
-        found = np.concatenate([
-            np.array(e.ids, np.uint32)
-            for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        joined = [" ".join(words[i: i + 500]) for i in range(0, len(words), 500)]
+        found = np.concatenate([  # a few thousand words at a time: encodings are large objects
+            np.array(e.ids, np.uint32) for i in range(0, len(joined), 8)
+            for e in self.tokenizer.encode_batch_fast(joined[i: i + 8], add_special_tokens=False)])
         last = np.flatnonzero(self.ends[found])
         if len(last) != len(words):
             raise ValueError("a word was not encoded as one word")
@@ -194,6 +197,7 @@ def pieces(
 
     ``nth`` numbers the pieces of one length within the task that cut them.
     """
+    short_batches(docs)
     schema = T.StructType([
         T.StructField("id", docs.schema[id_column].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
