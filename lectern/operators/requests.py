@@ -62,9 +62,11 @@ def per_provider(
 
 def boundary_requests(windowed: DataFrame, sources: DataFrame) -> DataFrame:
     """One request per boundary window: title and window text."""
-    windows = window_table(windowed).join(sources.select("source_id", "title"), "source_id")
+    windows = window_table(windowed).join(
+        sources.select("source_id", "title"), "source_id", "left"
+    )
     user = F.concat(
-        F.lit("Video başlığı: "), F.col("title"), F.lit("\n\nTranskript parçası:\n\n"),
+        F.lit("Video başlığı: "), F.coalesce("title", F.lit("")), F.lit("\n\nTranskript parçası:\n\n"),
         F.col("text"),
     )
     return windows.select("source_id", "window_id", user.alias("user"))
@@ -168,8 +170,11 @@ def learning_requests(blocks: DataFrame, limit: int) -> DataFrame:
 
     Only blocks whose separator or text begins inside the budget are joined, so the
     request is bounded whatever the length of the source; the cut equals cutting the
-    whole text.
+    whole text, and ``cropped`` says that there was one.
     """
+    total = blocks.groupBy("source_id").agg(
+        (F.sum(F.length("block") + 2) - 2 > limit).alias("cropped")
+    )
     placed = scan.running_sum(
         blocks.withColumn("_block", scan.block_of(F.col("seq"))).withColumn(
             "_size", F.length("block") + 2
@@ -179,7 +184,9 @@ def learning_requests(blocks: DataFrame, limit: int) -> DataFrame:
     joined = placed.groupBy("source_id").agg(
         join_ordered(["seq"], F.col("block"), "\n\n").alias("_all")
     )
-    return joined.select("source_id", budget_crop(F.col("_all"), limit).alias("user"))
+    return joined.join(total, "source_id").select(
+        "source_id", budget_crop(F.col("_all"), limit).alias("user"), "cropped"
+    )
 
 
 def merge_batches(bullets: DataFrame, glossary: DataFrame, limit: int) -> tuple:
@@ -215,20 +222,28 @@ def collection_requests(jobs: DataFrame, existing: DataFrame) -> DataFrame:
     return jobs.select("id", user.alias("user"))
 
 
-def title_requests(jobs: DataFrame) -> DataFrame:
-    """Title requests from section titles (first 40) and topics (first 25, distinct)."""
-    sections = F.filter(
-        F.slice("section_titles", 1, labels.MAX_TITLE_SECTIONS), lambda s: s != ""
-    )
-    topics = F.array_join(
-        F.array_distinct(F.slice("topics", 1, labels.MAX_TITLE_TOPICS)), ", "
-    )
+def title_requests(
+    jobs: DataFrame, max_sections: int | None = None, max_topics: int | None = None
+) -> DataFrame:
+    """Title requests from section titles and distinct topics.
+
+    With limits, the first ones only; ``cropped`` says whether any were left out.
+    """
+    def first(column: str, n: int | None):
+        return F.col(column) if n is None else F.slice(column, 1, n)
+
+    sections = F.filter(first("section_titles", max_sections), lambda s: s != "")
+    topics = F.array_join(F.array_distinct(first("topics", max_topics)), ", ")
+    cropped = F.lit(False)
+    for column, n in (("section_titles", max_sections), ("topics", max_topics)):
+        if n is not None:
+            cropped = cropped | (F.size(column) > n)
     user = F.concat(
         F.lit("BÖLÜM BAŞLIKLARI:\n"),
         F.array_join(F.transform(sections, lambda s: F.concat(F.lit("- "), s)), "\n"),
         F.lit("\n\nKONULAR: "), F.when(topics == "", labels.NO_TOPICS).otherwise(topics),
     )
-    return jobs.select("id", user.alias("user"))
+    return jobs.select("id", user.alias("user"), cropped.alias("cropped"))
 
 
 def recent_turns(turns: DataFrame, n: int = labels.HISTORY_TURNS) -> DataFrame:
@@ -326,7 +341,7 @@ def score(
                             body, error = call(one).get(rid), None
                             break
                         except Exception as exc:  # noqa: BLE001
-                            error = str(exc)[:300]
+                            error = str(exc)
                     if body is None and error is None:
                         error = "no response"
                     rows.append((rid, body, error, tries))

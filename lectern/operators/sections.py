@@ -125,6 +125,14 @@ def assign_sections(segments: DataFrame, skeleton: DataFrame) -> DataFrame:
     return joined.drop("sec_end")
 
 
+def outside_sections(segments: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """Segments that no section takes: those ``assign_sections`` leaves out."""
+    spans = skeleton.select("source_id", "sec_start", "sec_end")
+    return point_in_interval(
+        segments, spans, SOURCE, "start", "sec_start", "sec_end", how="left_anti"
+    )
+
+
 def section_table(assigned: DataFrame, keys: tuple[str, ...] = ("sec_start",)) -> DataFrame:
     """One row per non-empty section; its span is that of its own segments."""
     return assigned.groupBy("source_id", *keys).agg(

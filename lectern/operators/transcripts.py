@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import labels
 from ..functions.text import is_blank, strip
 from ..functions.timecode import stamped_line
+from . import scan
 
 # Segments per stored transcript piece. A note is read piece by piece, so one
 # endless source never has to fit into one string.
@@ -32,8 +33,12 @@ def assemble_text(
 
 
 def with_piece(segments: DataFrame, rows: int = PIECE_ROWS) -> DataFrame:
-    """Number the pieces a whole-source transcript is stored in."""
-    return segments.withColumn("piece", F.floor(F.col("seq") / rows).cast("long"))
+    """Number the pieces a whole-source transcript is stored in, along ``(start, seq)``."""
+    cut = segments.withColumn("_block", scan.block_of(F.col("start"), scan.BLOCK_SECONDS))
+    numbered = scan.number_rows(cut, ["source_id"], ["start", "seq"], "_block", "_at")
+    return numbered.select(
+        *segments.columns, F.floor(F.col("_at") / rows).cast("long").alias("piece")
+    )
 
 
 def transcript_pieces(

@@ -51,10 +51,10 @@ def chunk_offsets(
 
 
 def merge_payloads(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """The primary producer's payload of each chunk; the fallback's where it failed."""
+    """The primary producer's payload of each chunk; the fallback's where it failed or has none."""
     keys = ["source_id", "chunk_idx"]
     spare = fallback.select(*keys, F.col("body").alias("_spare"))
-    return primary.join(spare, keys, "left").select(
+    return primary.join(spare, keys, "full").select(
         *keys, F.coalesce("body", "_spare").alias("body"),
         F.when(F.col("body").isNotNull(), "primary")
         .when(F.col("_spare").isNotNull(), "fallback").alias("producer"),

@@ -86,9 +86,10 @@ def m5b(spark, sf):
 
 
 @query("m5_learning_requests", cte(fx.SEGMENTS) + f"""
-SELECT source_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY seq), 1, {SECTION}) AS "user" FROM segments GROUP BY source_id""")
+SELECT source_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY seq), 1, {SECTION}) AS "user",
+  length(string_agg(text, chr(10) || chr(10) ORDER BY seq)) > {SECTION} AS cropped FROM segments GROUP BY source_id""")
 def m5l(spark, sf):
-    return requests.learning_requests(blocks(spark, sf), SECTION)
+    return requests.learning_requests(blocks(spark, sf), SECTION).select("source_id", "user", "cropped")
 
 
 EXISTING = "existing AS (SELECT string_agg('- ' || collection, chr(10) ORDER BY last_used DESC) AS listing FROM (SELECT collection, max(created_at) AS last_used FROM jobs WHERE collection <> '' GROUP BY collection))"
@@ -114,8 +115,8 @@ def m6(spark, sf):
 
 @query("m6_title_requests", cte(fx.SEGMENTS) + """
 SELECT source_id AS id, 'BÖLÜM BAŞLIKLARI:' || chr(10)
-  || array_to_string(list_transform(s[1:40], lambda x: '- ' || x), chr(10))
-  || chr(10) || chr(10) || 'KONULAR: ' || array_to_string(list_transform(list_sort(list_transform(list_distinct(t[1:25]), lambda x: {'p': list_position(t, x), 'v': x})), lambda x: x.v), ', ') AS "user"
+  || array_to_string(list_transform(s, lambda x: '- ' || x), chr(10))
+  || chr(10) || chr(10) || 'KONULAR: ' || array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda x: {'p': list_position(t, x), 'v': x})), lambda x: x.v), ', ') AS "user"
 FROM (SELECT source_id, list(split_part(text, ' ', 1) ORDER BY seq) AS s, list(split_part(text, ' ', 2) ORDER BY seq) FILTER (WHERE split_part(text, ' ', 2) <> '') AS t FROM segments GROUP BY source_id)
 WHERE t IS NOT NULL""")
 def m6t(spark, sf):
@@ -127,7 +128,7 @@ def m6t(spark, sf):
     jobs = fx.segments(spark, sf).groupBy(F.col("source_id").alias("id")).agg(
         listed(1, 40).alias("section_titles"), listed(2, 25).alias("topics")
     ).where("size(topics) > 0")
-    return requests.title_requests(jobs)
+    return requests.title_requests(jobs).select("id", "user")
 
 
 TURNS = """
