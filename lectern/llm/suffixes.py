@@ -7,6 +7,8 @@ mostly share theirs: such a run travels as one string, and equal strings under a
 travel once, with their number. Where an anchor holds one string only, it repeats from end
 to end or not at all. The strings of all other anchors are put into suffix order:
 
+* strings of a crowded anchor, a passage in very many different contexts, are filed again
+  window by window, by their first and last bytes; windows nobody may share stay out;
 * a task takes whole anchors up to a bounded number of bytes and cuts their strings into
   shards; each shard gets its suffix order and its Burrows-Wheeler transform, over
   symbols of twenty bytes at every phase;
@@ -48,6 +50,7 @@ GRAM = 32
 SYMBOL = 20  # bytes of a symbol at most; the largest divisor of the width up to it is taken
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
+CROWDED = 1 << 24  # bytes of different strings under one anchor from which windows go apart
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
 
@@ -287,45 +290,90 @@ def strings_of(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(cut, "anchor long, string long, n long, bytes binary")
 
 
-def suffix_repeats(strings: DataFrame, width: int, together: int = TOGETHER) -> DataFrame:
-    """(anchor, string, spans): the repeats in each string of the anchors it shares.
+def windows_apart(strings: DataFrame, width: int) -> DataFrame:
+    """(file, anchor, string, at, n, bytes): strings of crowded anchors, window by window.
 
-    Rows arrive sorted by anchor; whole anchors are taken up to ``together`` bytes.
+    A window is filed under its anchor, its first ``GRAM`` and its last ``GRAM`` bytes, so
+    equal windows still meet; windows whose file nobody shares are not cut out at all.
     """
-    schema = f"anchor long, string long, spans {SPANS}"
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "anchor", "string", "at", "n"]
+        for batch in batches:
+            for rows, raw, offsets in row_chunks(batch, "bytes", CHUNK):
+                _, _, grams = _byte_grams(raw, GRAM)
+                count = np.diff(offsets) - width + 1
+                row = np.repeat(np.arange(rows.num_rows), count)
+                at = ranges(np.zeros(rows.num_rows, np.int64), count)
+                place = offsets[row] + at
+                anchor = rows.column("anchor").to_numpy()[row]
+                with np.errstate(over="ignore"):
+                    file = mixed(mixed(anchor.view(np.uint64) + grams[place]) + grams[place + width - GRAM])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(file.view(np.int64)), pa.array(anchor), rows.column("string").take(take),
+                    pa.array(at), rows.column("n").take(take)], names=names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "anchor", "string", "at", "n", "bytes"]
+        for batch in batches:
+            for rows, raw, offsets in row_chunks(batch, "bytes", CHUNK >> 3):
+                lists = rows.column("cuts")
+                flat = lists.flatten()
+                row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+                at = np.asarray(flat.field("at"))
+                data = raw[ranges(offsets[row] + at, np.full(len(row), width))].tobytes()
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([
+                    flat.field("file"), *[rows.column(c).take(take) for c in ("anchor", "string")],
+                    flat.field("at"), rows.column("n").take(take),
+                    pa.array([data[k: k + width] for k in range(0, len(data), width)], pa.binary()),
+                ], names=names)
+
+    strings = written(strings)
+    marks = strings.mapInArrow(mark, "file long, anchor long, string long, at long, n long")
+    shared = marks.groupBy("file").agg(F.sum("n").alias("all")).where("all > 1").select("file")
+    chosen = marks.join(shared, "file").groupBy("anchor", "string").agg(
+        F.collect_list(F.struct("file", "at")).alias("cuts"))
+    return strings.join(chosen, ["anchor", "string"]).mapInArrow(
+        cut, "file long, anchor long, string long, at long, n long, bytes binary")
+
+
+def suffix_repeats(rows: DataFrame, width: int, together: int = TOGETHER) -> DataFrame:
+    """(anchor, string, first, end): the repeats in strings that meet in one file.
+
+    ``rows`` is (file, anchor, string, at, n, bytes), ``at`` being where the bytes start in
+    their string. Rows arrive sorted by file; whole files are taken up to ``together`` bytes.
+    """
+    names = ["anchor", "string", "first", "end"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([
-            ("anchor", pa.int64()), ("string", pa.int64()),
-            ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
-        anchors, names, numbers, texts, size = [], [], [], [], 0
+        held: list[tuple] = []
+        size = 0
 
         def flush():
-            flags = repeated_windows(texts, np.array(numbers), width)
-            found = [(a, s, spans) for a, s, f in zip(anchors, names, flags)
-                     if (spans := _intervals(f, width))]
-            columns = list(zip(*found)) if found else [[], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            flags = repeated_windows([h[5] for h in held], np.array([h[4] for h in held]), width)
+            found = [(h[1], h[2], h[3] + span["first"], h[3] + span["end"])
+                     for h, f in zip(held, flags) for span in _intervals(f, width)]
+            columns = list(zip(*found)) if found else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
         for batch in batches:
-            for a, s, n, b in zip(*(batch.column(c).to_pylist() for c in ("anchor", "string", "n", "bytes"))):
-                if size > together and a != anchors[-1]:
+            for row in zip(*(batch.column(c).to_pylist() for c in (
+                    "file", "anchor", "string", "at", "n", "bytes"))):
+                if size > together and row[0] != held[-1][0]:
                     yield flush()
-                    anchors, names, numbers, texts, size = [], [], [], [], 0
-                anchors.append(a)
-                names.append(s)
-                numbers.append(n)
-                texts.append(b)
-                size += len(b)
-        if texts:
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        if held:
             yield flush()
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor", "string").mapInArrow(solve, schema)
+    return rows.repartition("file").sortWithinPartitions("file", "string", "at").mapInArrow(
+        solve, "anchor long, string long, first long, end long")
 
 
 def repeats(
-    docs: DataFrame, table: DataFrame, width: int, id_column: str, text: str
+    docs: DataFrame, table: DataFrame, width: int, id_column: str, text: str, crowded: int = CROWDED
 ) -> DataFrame:
     """(rid, first, end): byte intervals of every row that repeat somewhere else."""
     runs = table.select("rid", F.explode("runs").alias("run")).select("rid", "run.*")
@@ -342,11 +390,20 @@ def repeats(
     own = F.struct("anchor", "string", "n", F.col("rep.first").alias("first"),
                    (F.col("rep.count") + width - 1).alias("size"))
     reps = classes.groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(own).alias("own"))
-    found = suffix_repeats(strings_of(with_texts(reps, table, docs, id_column, text)), width)
-    parts = wanted.where(~F.col("one")).join(found, ["anchor", "string"]).select(
-        "rid", "first", F.explode("spans").alias("span")).select(
-        "rid", (F.col("first") + F.col("span.first")).alias("first"),
-        (F.col("first") + F.col("span.end")).alias("end"))
+    strings = strings_of(with_texts(reps, table, docs, id_column, text))
+    full = written(classes.groupBy("anchor").agg(
+        F.sum(F.col("rep.count") + width - 1).alias("size")).where(F.col("size") > crowded).select("anchor"))
+    whole_rows = lambda x: x.select(
+        F.col("anchor").alias("file"), "anchor", "string", F.lit(0).cast("long").alias("at"), "n", "bytes")
+    if full.limit(1).count():
+        strings = written(strings)
+        few = strings.join(full, "anchor", "left_anti")
+        met = whole_rows(few).union(windows_apart(strings.join(full, "anchor", "left_semi"), width))
+    else:
+        met = whole_rows(strings)
+    parts = wanted.where(~F.col("one")).select("rid", "anchor", "string", F.col("first").alias("from")).join(
+        suffix_repeats(met, width), ["anchor", "string"]).select(
+        "rid", (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("end")).alias("end"))
     return whole.union(parts)
 
 
@@ -388,13 +445,14 @@ def cleaned(
 
 
 def dedup_bytes(
-    docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text: str = "text",
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row."""
     if not symbol_size(width) or width < GRAM:
         raise ValueError(f"width must have a divisor from 8 to {SYMBOL} and be {GRAM} at least")
     table = written(run_table(docs, width, id_column, text))
-    changed = cleaned(docs, table, repeats(docs, table, width, id_column, text), id_column, text)
+    changed = cleaned(docs, table, repeats(docs, table, width, id_column, text, crowded), id_column, text)
     zero = F.lit(0).cast("long")
     return table.drop("runs").join(changed.drop("kept"), "rid", "left").select(
         "id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),

@@ -228,10 +228,10 @@ def brute_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width", [200, 48])
-def test_bytes(odd, empty, width):
+@pytest.mark.parametrize("width,crowded", [(200, suffixes.CROWDED), (48, suffixes.CROWDED), (48, 100)])
+def test_bytes(odd, empty, width, crowded):
     small = odd.where("doc_id IS NULL OR doc_id <> 16")
-    got = suffixes.dedup_bytes(small, width)
+    got = suffixes.dedup_bytes(small, width, crowded=crowded)
     assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(
         pairs(small, "doc_id", "text"), width)
     assert suffixes.dedup_bytes(empty).count() == 0
