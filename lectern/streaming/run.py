@@ -5,15 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.stage import shared_folder
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, mode: str = "append", keys: list[str] | None = None
+) -> DataFrame:
     """Process all input available now and return the result as a stored table.
 
-    Append output is written by the file sink. Complete output replaces the table
-    with every micro-batch, so its last state is the result.
+    Append output is written by the file sink. Otherwise every micro-batch writes a
+    folder of its own, which a repeated batch replaces and no later one touches:
+    with ``update`` output the folders hold the rows that changed, and the last
+    version of each of ``keys`` is the result; with ``complete`` output the last
+    folder is.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -23,8 +30,16 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = writer.format("parquet").option("path", target)
     else:
         writer = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(target)
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
         )
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(target)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(target)
+    if mode == "complete":
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    last = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_row")
+    )
+    return last.select(*[c if c in keys else F.col(f"_row.{c}") for c in stream.columns])

@@ -89,7 +89,7 @@ def s2s(spark, sf):
     feed = patches(spark, sf)
     feed.write.parquet(folder)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    out = run_available(jobs.current_jobs(stream, ["status", "error"]), "complete")
+    out = run_available(jobs.current_jobs(stream, ["status", "error"]), "update", ["id"])
     return out.select("id", "status", "error", F.array_join("touched", ",").alias("touched"))
 
 
@@ -155,7 +155,7 @@ def s5f(spark, sf):
 @query("s5_stage_funnel_stream", FUNNEL)
 def s5s(spark, sf):
     funnel = jobs.stage_funnel(stage_events(stream_events(spark, sf)), "1 hour", "10 minutes")
-    return _funnel(run_available(funnel, "complete"))
+    return _funnel(run_available(funnel, "update", ["window_start", "stage"]))
 
 
 @query("e13_processing_seconds", cte(fx.EVENTS) + f"""
