@@ -11,11 +11,13 @@ say little and would meet by chance: ``spare`` extra words make up for them, and
 document with more such words than spares sends them too, so no link is lost.
 
 Documents with the same set form a class, and one of them stands for it. Links between
-classes are found in rounds. A bucket first proposes its members to the smallest one;
+classes are found in rounds. A bucket first proposes its members to the one that meets most others;
 proposals are verified on the shingles themselves, classes that hang together get one
 label, and a bucket whose members share a label is done. What is left, pairs with
-different labels in one bucket that have not been tried, is verified to the last pair.
-Large groups of near copies so cost one comparison a member, not one a pair, and every
+different labels in one bucket that have not been tried, is looked at to the last pair:
+small buckets send their pairs to be verified, large ones first compare the sketches of
+their members in the task and send only the pairs whose distance is within the bound.
+Large groups of near copies so send one comparison a member, not one a pair, and every
 pair that could join two components is looked at.
 
 Defined results: a null text is empty; a document without words has no shingles and is
@@ -39,6 +41,8 @@ from .textbytes import (
 )
 
 FEW = 3
+SMALL = 12  # members of a bucket whose pairs are verified without comparing sketches
+SKETCH = 32  # words of 64 bits of a sketch for comparison
 RATIO = 1.4  # of the largest to the smallest size in a band
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
@@ -167,37 +171,47 @@ def sketch_table(
 
 
 def meetings(keys: DataFrame) -> DataFrame:
-    """(key, rid, hub) of the buckets with two members or more; the hub is the smallest member.
+    """(key, rid) of the buckets with two members or more.
 
-    Rows arrive sorted by key and member; a bucket is streamed, only its hub is kept.
+    Rows arrive sorted by key and member; a bucket is streamed, only its first row is kept.
     """
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub, alone = None, None, False  # the open bucket; alone: its hub is not yet given out
+        last, first, alone = None, None, False  # the open bucket; alone: one row so far, not given out
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, rid = (batch.column(c).to_numpy() for c in ("key", "rid"))
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            head[0] = last is None or key[0] != last
-            which = np.cumsum(head) - 1
-            hubs = rid[np.flatnonzero(head)]
-            carried = not head[0]
-            owner = hubs[which] if not carried else np.where(
-                which >= 0, hubs[np.maximum(which, 0)] if len(hubs) else hub, hub)
-            follows = ~head
+            follows = np.zeros(len(key), bool)
+            follows[1:] = key[1:] == key[:-1]
+            follows[0] = last is not None and key[0] == last
             out = follows.copy()
-            out[:-1] |= head[:-1] & follows[1:]  # a hub whose next row is its own bucket's
-            k, r, h = key[out], rid[out], owner[out]
-            if carried and alone:
-                k, r, h = (np.append(x, y) for x, y in ((k, last), (r, hub), (h, hub)))
-            alone = bool(head[-1])
-            last, hub = int(key[-1]), int(owner[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64)) for x in (k, r, h)], names=["key", "rid", "hub"])
+            out[:-1] |= follows[1:]
+            k, r = key[out], rid[out]
+            if follows[0] and alone:
+                k, r = np.append(k, last), np.append(r, first)
+            last, first, alone = int(key[-1]), int(rid[-1]), not follows[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r)], names=["key", "rid"])
 
     return keys.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(
-        meet, "key long, rid long, hub long")
+        meet, "key long, rid long")
+
+
+def with_texts(
+    members: DataFrame, table: DataFrame, docs: DataFrame, id_column: str, text: str
+) -> DataFrame:
+    """``members`` (rid, ...) with the texts of their rows; only texts they name travel."""
+    named = written(members.join(
+        table.select("rid", F.col("id").alias("i"), F.col("tx").alias("t")), "rid"))
+    names = named.select(F.col("i").alias("ni"), F.col("t").alias("nt")).distinct()
+    if named.count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    rows = docs.select(
+        F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tx"),
+        F.col(f"`{text}`").alias("text"))
+    here = rows.join(names, rows.id.eqNullSafe(F.col("ni")) & (rows.tx == F.col("nt")), "left_semi")
+    here = here.dropDuplicates(["id", "tx"])
+    return named.join(here, F.col("i").eqNullSafe(here.id) & (F.col("t") == here.tx)).drop(
+        "i", "t", "id", "tx")
 
 
 def verified(
@@ -211,19 +225,7 @@ def verified(
     """
     members = pairs.select("a", F.col("b").alias("rid")).union(
         pairs.select("a", F.col("a").alias("rid")).distinct())
-    needed = members.join(table.select("rid", "id", "tx"), "rid")
-    rows = docs.select(
-        F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tx"),
-        F.col(f"`{text}`").alias("text"))
-    needed = written(needed)
-    # a semi-join first: only texts that are compared travel
-    names = needed.select(F.col("id").alias("i"), F.col("tx").alias("t")).distinct()
-    if needed.count() <= BROADCAST_ROWS:
-        names = F.broadcast(names)
-    here = rows.join(names, rows.id.eqNullSafe(F.col("i")) & (rows.tx == F.col("t")), "left_semi")
-    here = here.select(F.col("id").alias("i"), F.col("tx").alias("t"), "text")
-    sent = needed.join(here, needed.id.eqNullSafe(F.col("i")) & (needed.tx == F.col("t"))).select(
-        "a", "rid", "text")
+    sent = with_texts(members, table, docs, id_column, text)
     num, den = bands.num, bands.den
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +256,67 @@ def verified(
         compare, "a long, b long").distinct()
 
 
+def sketches(
+    rids: DataFrame, table: DataFrame, docs: DataFrame, width: int, id_column: str, text: str
+) -> DataFrame:
+    """(rid, size, sketch): set sizes and parity sketches of one length, for comparison."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, offsets in row_chunks(batch, "text", CHUNK):
+                doc, hashes = shingles(raw, offsets, width)
+                bit = (mixed(hashes ^ MIX) >> np.uint64(12)).astype(np.int64) % (SKETCH * 64)
+                bits = np.zeros((rows.num_rows, SKETCH), np.uint64)
+                np.bitwise_xor.at(bits, (doc, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("rid"), pa.array(np.bincount(doc, minlength=rows.num_rows)),
+                    pa.array([b.tobytes() for b in bits], pa.binary())], names=["rid", "size", "sketch"])
+
+    return with_texts(rids, table, docs, id_column, text).mapInArrow(
+        draw, "rid long, size long, sketch binary")
+
+
+def close_sketches(rows: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): members of one bucket with different labels and sketches near enough to be linked.
+
+    ``rows`` is (key, rid, label, size, sketch). Sketches are compared inside the task, a
+    block of rows against the bucket; only pairs within the bound are given out.
+    """
+    num, den = bands.num, bands.den
+
+    def near(rid: np.ndarray, label: np.ndarray, size: np.ndarray, bits: np.ndarray):
+        for a in range(0, len(rid), 64):
+            apart = np.zeros((min(64, len(rid) - a), len(rid)), np.int64)
+            for w in range(SKETCH):
+                apart += np.bitwise_count(bits[a: a + 64, w, None] ^ bits[None, :, w])
+            most = (den - num) * (size[a: a + 64, None] + size[None]) // (den + num)
+            fit = (apart <= most) & (label[a: a + 64, None] != label[None]) & (rid[a: a + 64, None] < rid[None])
+            x, y = np.nonzero(fit)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a + x]), pa.array(rid[y])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def bucket():
+            whole = pa.Table.from_batches(held).combine_chunks()
+            rid, label, size = (whole[c].to_numpy() for c in ("rid", "label", "size"))
+            bits = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
+            yield from near(rid, label, size, bits)
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and a < len(key) and held[-1].column("key")[-1].as_py() != key[a]:
+                    yield from bucket()
+                    held.clear()
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from bucket()
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the smallest node it hangs together with.
 
@@ -271,15 +334,16 @@ def connected(edges: DataFrame) -> DataFrame:
         return small.select("b", "m").union(small.select(F.col("a").alias("b"), "m")).where(
             F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
+    def settled(e: DataFrame) -> bool:
+        """Whether every node points at one node that points nowhere."""
+        twice = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        chained = e.join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+        return not twice.union(chained).limit(1).count()
+
     current = written(edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        following = written(rounds(current))
-        state = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-                 for x in (current, following)]
-        current = following
-        if state[0] == state[1]:
-            break
+    while not settled(current):
+        current = written(rounds(current))
     tops = current.select(F.col("b").alias("node"), F.col("b").alias("label"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).union(tops).distinct()
 
@@ -316,24 +380,33 @@ def components(
         F.explode("keys").alias("key"), "rid")
     buckets = written(meetings(keys))
 
-    proposed = written(buckets.where("rid <> hub").select(
-        F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
-    labels, tried = None, proposed
+    # the member that meets most others is the likeliest centre of a group of near copies
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    met = buckets.join(sizes, "key").groupBy("rid").agg(F.sum("members").alias("met"))
+    hubs = buckets.join(met, "rid").groupBy("key").agg(F.max(F.struct("met", "rid")).alias("hub"))
+    proposed = written(buckets.join(hubs, "key").select(
+        F.col("hub.rid").alias("a"), F.col("rid").alias("b")).where("a <> b").distinct())
     edges = written(verified(proposed, table, docs, bands, width, id_column, text))
     labels = relabel(None, edges)
 
     # buckets whose members have different labels, and their untried pairs across labels
-    marked = buckets.select("key", "rid").join(
-        labels.withColumnRenamed("node", "rid"), "rid", "left").select(
+    marked = buckets.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
         "key", "rid", F.coalesce("label", "rid").alias("label"))
     mixed_keys = marked.groupBy("key").agg(
-        F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_rows = written(marked.join(mixed_keys, "key", "left_semi"))
-    one, two = open_rows.alias("p"), open_rows.alias("q")
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"),
+    ).where("x <> y").select("key", "members")
+    open_rows = written(marked.join(mixed_keys, "key"))
+    small, large = open_rows.where(F.col("members") <= SMALL), open_rows.where(F.col("members") > SMALL)
+    one, two = small.alias("p"), small.alias("q")
     across = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.rid") < F.col("q.rid"))
-                      & (F.col("p.label") != F.col("q.label")))
-    across = across.select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
-    across = written(across.join(tried, ["a", "b"], "left_anti"))
+                      & (F.col("p.label") != F.col("q.label"))).select(
+        F.col("p.rid").alias("a"), F.col("q.rid").alias("b"))
+    if large.limit(1).count():
+        drawn = sketches(large.select("rid").distinct(), table, docs, width, id_column, text)
+        across = across.union(close_sketches(
+            large.join(drawn, "rid").select("key", "rid", "label", "size", "sketch"), bands))
+    tried = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = written(across.distinct().join(tried, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         more = written(verified(across, table, docs, bands, width, id_column, text))
         if more.limit(1).count():
