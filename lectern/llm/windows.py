@@ -9,7 +9,7 @@ Counting is spared where it cannot matter. A window is filed under its anchor, t
 smallest hash of any ``GRAM`` words in it, so equal windows have equal anchors, and
 consecutive windows mostly share theirs. Anchors are few; one that stands in a single
 document cannot hold a repeat, and the windows under it are not sent. All others are
-counted to the last one. An anchor of very many documents is dealt over ``SALTS`` parts
+counted to the last one. An anchor of very many windows is dealt over ``SALTS`` parts
 by document; each part keeps its smallest document, and these few meet again.
 
 Defined results: a null text has no words; texts shorter than a window stay as they are
@@ -37,7 +37,7 @@ from .textbytes import (
 WIDTH = 50
 GRAM = 12
 SECOND_BASE = 0x2545F4914F6CDD1D
-HOT = 20_000  # documents under one anchor from which it is dealt over parts
+HOT = 20_000  # windows under one anchor from which it is dealt over parts
 SALTS = 64
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
@@ -188,7 +188,7 @@ def repeats(
     runs = table.where("id IS NOT NULL").select("id", "tx", F.explode("runs").alias("run")).select(
         "id", "tx", "run.*")
     shared = runs.groupBy("anchor").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("low"), F.max("id").alias("high"), F.sum("count").alias("n"),
     ).where("low < high").select("anchor", (F.col("n") > hot).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)
     wanted = written(runs.join(shared, "anchor").groupBy("id", "tx").agg(
