@@ -18,38 +18,46 @@ SOURCE = ["source_id"]
 _FRAME = ["source_id", "frame_idx"]
 
 
-def ocr_read(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One read per frame and rotation: joined words and median confidence.
-
-    Rows with negative confidence or blank text are layout records, not words. A
-    read without words has empty text and NULL confidence.
-    """
-    keys = keys or [*_FRAME, "rotation"]
+def _word_lists(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the usable words in order and their median confidence."""
     usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
     word = F.struct("widx", strip(F.col("word")).alias("word"), F.col("conf").alias("conf"))
     # a screen's words are few, so one small list serves both text and median
     grouped = words.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(usable, word))).alias("_words")
-    ).withColumn("_confs", F.sort_array(F.transform("_words", lambda w: w["conf"])))
+        F.sort_array(F.collect_list(F.when(usable, word))).alias("words")
+    ).withColumn("_confs", F.sort_array(F.transform("words", lambda w: w["conf"])))
     last = F.size("_confs") - 1
     middle = (
         F.get("_confs", F.floor(last / 2).cast("int")) + F.get("_confs", F.ceil(last / 2).cast("int"))
     ) / 2
-    return grouped.select(
-        *keys,
-        F.array_join(F.transform("_words", lambda w: w["word"]), " ").alias("text"),
-        F.when(last >= 0, middle).cast("double").alias("conf"),
-    )
+    return grouped.select(*keys, "words", F.when(last >= 0, middle).cast("double").alias("conf"))
+
+
+def _joined(words: str) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["word"]), " ").alias("text")
 
 
-def best_rotation(reads: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> DataFrame:
+def ocr_read(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One read per frame and rotation: joined words and median confidence.
+
+    Rows with negative confidence or blank text are layout records, not words. A
+    read without words has empty text and NULL confidence.
+    """
+    keys = keys or [*_FRAME, "rotation"]
+    return _word_lists(words, keys).select(*keys, _joined("words"), "conf")
+
+
+def best_rotation(
+    reads: DataFrame, min_conf: float = labels.OCR_CONF_MIN, content: str = "text"
+) -> DataFrame:
     """Per frame: the upright read, or the best of all angles when it is weak.
 
     A weak read has a confidence below ``min_conf``; ties go to the smaller angle.
-    A NULL upright confidence means no words and stays as it is.
+    A NULL upright confidence means no words and stays as it is. ``content`` is the
+    column a read carries.
     """
     upright = F.col("rotation") == 0
-    read = F.struct("text", "conf", "rotation")
+    read = F.struct(content, "conf", "rotation")
     per_frame = reads.groupBy(*_FRAME).agg(
         F.max(F.when(upright, read)).alias("_base"),
         F.max_by(read, F.when(F.col("conf").isNotNull(), F.struct("conf", -F.col("rotation"))))
@@ -58,18 +66,21 @@ def best_rotation(reads: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> Da
     weak = F.col("_base.conf") < min_conf
     chosen = F.when(weak, F.col("_best")).otherwise(F.col("_base"))
     return per_frame.select(*_FRAME, chosen.alias("r")).select(
-        *_FRAME, "r.text", "r.conf", "r.rotation"
+        *_FRAME, f"r.{content}", "r.conf", "r.rotation"
     )
 
 
 def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> DataFrame:
     """Best read of every frame.
 
-    All words of a frame are brought together once; both the reads and the choice
-    between them then need no further shuffle. A frame is one screen of words.
+    All words of a frame are brought together once; the reads and the choice between
+    them then need no further shuffle, and only the chosen read is made a text. A
+    frame is one screen of words.
     """
     together = words.repartition(*_FRAME)
-    return best_rotation(ocr_read(together), min_conf)
+    lists = _word_lists(together, [*_FRAME, "rotation"])
+    chosen = best_rotation(lists, min_conf, "words")
+    return chosen.select(*_FRAME, _joined("words"), "conf", "rotation")
 
 
 def clean_lines(text: Column) -> Column:
