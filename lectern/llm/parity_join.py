@@ -15,8 +15,8 @@ classes are found in rounds. A bucket first proposes its members to the one that
 proposals are verified on the shingles themselves, classes that hang together get one
 label, and a bucket whose members share a label is done. What is left, pairs with
 different labels in one bucket that have not been tried, is looked at to the last pair:
-small buckets send their pairs to be verified, large ones first compare the sketches of
-their members in the task and send only the pairs whose distance is within the bound.
+small buckets send their pairs, large ones compare the sketches of their members in the
+task. Only pairs whose sketches are within the bound are verified on the texts.
 Large groups of near copies so send one comparison a member, not one a pair, and every
 pair that could join two components is looked at.
 
@@ -40,7 +40,7 @@ from .textbytes import (
     CHUNK, MIX, mixed, ranges, row_chunks, short_batches, word_codes, word_spans, written,
 )
 
-FEW = 3
+FEW = 3  # one where D + 1 words hold so few shingles that only empty ones can be spared
 SMALL = 12  # members of a bucket whose pairs are verified without comparing sketches
 SKETCH = 32  # words of 64 bits of a sketch for comparison
 RATIO = 1.4  # of the largest to the smallest size in a band
@@ -61,6 +61,7 @@ class Bands:
         spare = np.where(self.most > 0, 1 + self.most // 12, 0)
         self.spare = spare
         self.words = self.most + 1 + spare
+        self.few = FEW if (den + num) // (2 * (den - num)) >= 8 else 1
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own band, whether a linked partner may be in the next band)."""
@@ -117,7 +118,7 @@ def band_keys(
         held = np.bincount(slot, minlength=flat)
         owner = np.repeat(np.arange(len(docs)), words)
         number = np.arange(flat) - base[owner]
-        few = held < FEW
+        few = held < bands.few
         too_many = np.bincount(owner, weights=few, minlength=len(docs)) > bands.spare[band]
         send = ~few | too_many[owner]
         place = band[owner].astype(np.uint64) * np.uint64(1 << 32) + number.astype(np.uint64)
@@ -128,12 +129,14 @@ def band_keys(
 def sketch_table(
     docs: DataFrame, bands: Bands, width: int, id_column: str, text: str
 ) -> DataFrame:
-    """(rid, id, tx, n, s1, s2, keys) of each row: set size, set signature, bucket keys."""
+    """(rid, id, tx, n, s1, s2, sketch, keys) of each row: set size and signature, a sketch of
+    one length for all sizes, bucket keys."""
     short_batches(docs)
     schema = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_column].dataType),
         T.StructField("tx", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
+        T.StructField("sketch", T.ArrayType(T.LongType())),
         T.StructField("keys", T.ArrayType(T.LongType())),
     ])
 
@@ -159,9 +162,15 @@ def sketch_table(
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(np.bincount(d, minlength=k))]), pa.int32()),
                     pa.array(key[order]))
+                bit = (mixed(hashes ^ MIX) >> np.uint64(12)).astype(np.int64) % (SKETCH * 64)
+                bits = np.zeros(k * SKETCH, np.uint64)
+                np.bitwise_xor.at(bits, doc * SKETCH + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+                sketches = pa.ListArray.from_arrays(
+                    pa.array(np.arange(k + 1) * SKETCH, pa.int32()), pa.array(bits.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(rid, rid + k)), rows.column("id"), rows.column("tx"),
-                    pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), lists], names=schema.names)
+                    pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), sketches, lists],
+                    names=schema.names)
                 rid += k
 
     return docs.select(
@@ -256,29 +265,20 @@ def verified(
         compare, "a long, b long").distinct()
 
 
-def sketches(
-    rids: DataFrame, table: DataFrame, docs: DataFrame, width: int, id_column: str, text: str
-) -> DataFrame:
-    """(rid, size, sketch): set sizes and parity sketches of one length, for comparison."""
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, offsets in row_chunks(batch, "text", CHUNK):
-                doc, hashes = shingles(raw, offsets, width)
-                bit = (mixed(hashes ^ MIX) >> np.uint64(12)).astype(np.int64) % (SKETCH * 64)
-                bits = np.zeros((rows.num_rows, SKETCH), np.uint64)
-                np.bitwise_xor.at(bits, (doc, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("rid"), pa.array(np.bincount(doc, minlength=rows.num_rows)),
-                    pa.array([b.tobytes() for b in bits], pa.binary())], names=["rid", "size", "sketch"])
-
-    return with_texts(rids, table, docs, id_column, text).mapInArrow(
-        draw, "rid long, size long, sketch binary")
+def within_bound(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose sketches are no further apart than linked sets may be."""
+    own = lambda c: table.select(
+        F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    apart = F.aggregate(
+        F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = (bands.den - bands.num) * (F.col("n_a") + F.col("n_b")) / (bands.den + bands.num)
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(apart <= F.floor(most)).select("a", "b")
 
 
 def close_sketches(rows: DataFrame, bands: Bands) -> DataFrame:
     """(a, b): members of one bucket with different labels and sketches near enough to be linked.
 
-    ``rows`` is (key, rid, label, size, sketch). Sketches are compared inside the task, a
+    ``rows`` is (key, rid, label, n, sketch). Sketches are compared inside the task, a
     block of rows against the bucket; only pairs within the bound are given out.
     """
     num, den = bands.num, bands.den
@@ -298,8 +298,10 @@ def close_sketches(rows: DataFrame, bands: Bands) -> DataFrame:
 
         def bucket():
             whole = pa.Table.from_batches(held).combine_chunks()
-            rid, label, size = (whole[c].to_numpy() for c in ("rid", "label", "size"))
-            bits = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
+            rid, label, size = (whole[c].to_numpy() for c in ("rid", "label", "n"))
+            lists = whole["sketch"].combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
             yield from near(rid, label, size, bits)
 
         for batch in batches:
@@ -386,7 +388,8 @@ def components(
     hubs = buckets.join(met, "rid").groupBy("key").agg(F.max(F.struct("met", "rid")).alias("hub"))
     proposed = written(buckets.join(hubs, "key").select(
         F.col("hub.rid").alias("a"), F.col("rid").alias("b")).where("a <> b").distinct())
-    edges = written(verified(proposed, table, docs, bands, width, id_column, text))
+    near = written(within_bound(proposed, table, bands))
+    edges = written(verified(near, table, docs, bands, width, id_column, text))
     labels = relabel(None, edges)
 
     # buckets whose members have different labels, and their untried pairs across labels
@@ -401,10 +404,11 @@ def components(
     across = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.rid") < F.col("q.rid"))
                       & (F.col("p.label") != F.col("q.label"))).select(
         F.col("p.rid").alias("a"), F.col("q.rid").alias("b"))
+    across = within_bound(across.distinct(), table, bands)
     if large.limit(1).count():
-        drawn = sketches(large.select("rid").distinct(), table, docs, width, id_column, text)
         across = across.union(close_sketches(
-            large.join(drawn, "rid").select("key", "rid", "label", "size", "sketch"), bands))
+            large.join(table.select("rid", "n", "sketch"), "rid").select(
+                "key", "rid", "label", "n", "sketch"), bands))
     tried = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = written(across.distinct().join(tried, ["a", "b"], "left_anti"))
     if across.limit(1).count():
