@@ -142,6 +142,8 @@ def judge(
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     cleaned, n_lines, n_lines_removed, chars_removed, kept. ``into`` must be a new name.
+    To filter by the verdict use ``clean``, or write the result first: a filter on top is
+    pushed into these nested expressions and takes the optimizer very long.
     """
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {into} exists already; name another with into=")

@@ -160,7 +160,7 @@ class LabelModel:
     def _tree(self, votes: np.ndarray, posterior: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Parents in the maximum spanning tree of conditional mutual information."""
         weight = np.stack([counts * (1 - posterior), counts * posterior])
-        total = weight.sum()
+        total = max(weight.sum(), 1e-9)
         info = np.zeros((VOTERS, VOTERS))
         for y in (0, 1):
             mass = max(weight[y].sum(), 1e-9)

@@ -21,8 +21,9 @@ def test_stages(spark):
     cleaned, exact, near, mixed, packed = kept
 
     source = queries.documents(spark, SF)
-    passed = rules.judge(source).where("quality.kept").selectExpr("doc_id", "quality.cleaned AS text")
-    assert Counter(pairs(cleaned, "doc_id", "text")) == Counter(pairs(passed, "doc_id", "text"))
+    judged = rules.judge(source).selectExpr("doc_id", "quality.cleaned AS text", "quality.kept AS kept")
+    passed = [(i, t) for i, t, kept in pairs(judged, "doc_id", "text", "kept") if kept]
+    assert Counter(pairs(cleaned, "doc_id", "text")) == Counter(passed)
 
     last = {}
     for i, t in pairs(cleaned, "doc_id", "text"):
