@@ -15,8 +15,9 @@ classes are found in rounds. A bucket first proposes its members to the one that
 proposals are verified on the shingles themselves, classes that hang together get one
 label, and a bucket whose members share a label is done. What is left, pairs with
 different labels in one bucket that have not been tried, is looked at to the last pair:
-small buckets send their pairs, large ones compare the sketches of their members in the
-task. Only pairs whose sketches are within the bound are verified on the texts.
+small buckets send their pairs, large ones are cut into bounded blocks by label, and a task
+compares the sketches of two blocks, unless both hold one label only. Only pairs whose
+sketches are within the bound are verified on the texts, a bounded number of partners a task.
 Large groups of near copies so send one comparison a member, not one a pair, and every
 pair that could join two components is looked at.
 
@@ -43,6 +44,8 @@ from .textbytes import (
 FEW = 3  # one where D + 1 words hold so few shingles that only empty ones can be spared
 SMALL = 12  # members of a bucket whose pairs are verified without comparing sketches
 SKETCH = 32  # words of 64 bits of a sketch for comparison
+BLOCK = 4096  # members of a mixed bucket that are compared with as many others in one task
+PARTNERS = 1024  # partners of a hub that one task verifies
 RATIO = 1.4  # of the largest to the smallest size in a band
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
@@ -223,17 +226,31 @@ def with_texts(
         "i", "t", "id", "tx")
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``salt``, which cuts the partners of one ``a`` into bounded parts."""
+    heavy = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PARTNERS).select(
+        "a", F.ceil(F.col("n") / PARTNERS).alias("parts")))
+    number = heavy.count()
+    if not number:
+        return pairs.withColumn("salt", F.lit(0).cast("long"))
+    if number <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    return pairs.join(heavy, "a", "left").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("salt"))
+
+
 def verified(
     pairs: DataFrame, table: DataFrame, docs: DataFrame, bands: Bands, width: int,
     id_column: str, text: str,
 ) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose shingle sets are similar enough, by counting.
 
-    Texts come from the documents once, go to the task of their ``a``, and are compared
-    with it one after another.
+    Texts come from the documents once, go to the task of their ``a`` and salt, and are
+    compared with it one after another.
     """
-    members = pairs.select("a", F.col("b").alias("rid")).union(
-        pairs.select("a", F.col("a").alias("rid")).distinct())
+    pairs = dealt(pairs)
+    members = pairs.select("a", "salt", F.col("b").alias("rid")).union(
+        pairs.select("a", "salt", F.col("a").alias("rid")).distinct())
     sent = with_texts(members, table, docs, id_column, text)
     num, den = bands.num, bands.den
 
@@ -261,7 +278,7 @@ def verified(
                 [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     own_first = F.when(F.col("a") == F.col("rid"), 0).otherwise(1)
-    return sent.repartition("a").sortWithinPartitions("a", own_first, "rid").mapInArrow(
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", own_first, "rid").mapInArrow(
         compare, "a long, b long").distinct()
 
 
@@ -275,48 +292,101 @@ def within_bound(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(own("a"), "a").join(own("b"), "b").where(apart <= F.floor(most)).select("a", "b")
 
 
-def close_sketches(rows: DataFrame, bands: Bands) -> DataFrame:
+def label_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): mixed buckets in bounded blocks, and the blocks to be compared.
+
+    ``rows`` is (key, rid, label). A label with many members in a bucket has blocks of its
+    own, ``own`` being the label; labels with few share blocks, ``own`` being -1. Members
+    are (key, own, block, rid, label); pairs are (pair, key, own, block, side, alone), two
+    rows a pair or one where a shared block meets itself. Blocks of one label are not paired
+    with each other.
+    """
+    many = F.col("c") > BLOCK // 4
+    counts = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")))
+    few = counts.groupBy("key").agg(F.sum(F.when(~many, F.col("c")).otherwise(0)).alias("few"))
+    labels = counts.join(few, "key").select(
+        "key", "label", F.when(many, F.col("label")).otherwise(F.lit(-1)).alias("own"),
+        F.ceil(F.when(many, F.col("c")).otherwise(F.col("few")) / BLOCK).alias("parts"))
+    labels = written(labels)
+    by = F.when(F.col("own") < 0, F.col("label")).otherwise(F.col("rid"))
+    members = rows.join(labels, ["key", "label"]).select(
+        "key", "own", F.pmod(F.xxhash64(by), F.col("parts")).alias("block"), "rid", "label")
+    blocks = labels.select("key", "own", "parts").distinct().select(
+        "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    place = lambda t: F.struct(f"{t}.own", f"{t}.block")
+    met = blocks.alias("p").join(blocks.alias("q"), (F.col("p.key") == F.col("q.key")) & (
+        place("p") <= place("q")) & ((F.col("p.own") < 0) | (F.col("p.own") != F.col("q.own"))))
+    met = written(met.select(
+        F.monotonically_increasing_id().alias("pair"), F.col("p.key").alias("key"),
+        place("p").alias("p"), place("q").alias("q")))
+    alone = (F.col("p") == F.col("q")).alias("alone")
+    side = lambda t, n: met.select(
+        "pair", "key", F.col(f"{t}.own"), F.col(f"{t}.block"), F.lit(n).alias("side"), alone)
+    return members, side("p", 0).union(side("q", 1).where("not alone"))
+
+
+def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
     """(a, b): members of one bucket with different labels and sketches near enough to be linked.
 
-    ``rows`` is (key, rid, label, n, sketch). Sketches are compared inside the task, a
-    block of rows against the bucket; only pairs within the bound are given out.
+    ``rows`` is (key, rid, label). A task compares two blocks of a bucket, or a shared block
+    with itself; only pairs within the bound are given out.
     """
     num, den = bands.num, bands.den
 
-    def near(rid: np.ndarray, label: np.ndarray, size: np.ndarray, bits: np.ndarray):
+    def near(one: tuple, two: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        (rid, label, size, bits), (rid2, label2, size2, bits2) = one, two  # each sorted by label
         for a in range(0, len(rid), 64):
-            apart = np.zeros((min(64, len(rid) - a), len(rid)), np.int64)
+            z = min(a + 64, len(rid))
+            low = np.searchsorted(label2, label[a], "left")
+            high = np.searchsorted(label2, label[z - 1], "right")
+            # columns of other labels: in one block beyond the row's, else beside them
+            whole = label[a] == label[z - 1]
+            column = np.arange(high if whole else low, len(rid2)) if same else (
+                np.r_[0: low, high: len(rid2)] if whole else np.arange(len(rid2)))
+            if not len(column):
+                continue
+            other, apart = bits2[column], np.zeros((z - a, len(column)), np.uint16)
             for w in range(SKETCH):
-                apart += np.bitwise_count(bits[a: a + 64, w, None] ^ bits[None, :, w])
-            most = (den - num) * (size[a: a + 64, None] + size[None]) // (den + num)
-            fit = (apart <= most) & (label[a: a + 64, None] != label[None]) & (rid[a: a + 64, None] < rid[None])
-            x, y = np.nonzero(fit)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[a + x]), pa.array(rid[y])], names=["a", "b"])
+                apart += np.bitwise_count(bits[a: z, w, None] ^ other[None, :, w])
+            most = (den - num) * (size[a: z, None] + size2[None, column]) // (den + num)
+            left, right = label[a: z, None], label2[None, column]
+            x, y = np.nonzero((apart <= most) & (left < right if same else left != right))
+            x, y = rid[a + x], rid2[column[y]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def bucket():
+        def both():
             whole = pa.Table.from_batches(held).combine_chunks()
-            rid, label, size = (whole[c].to_numpy() for c in ("rid", "label", "n"))
+            rid, label, size, side = (whole[c].to_numpy() for c in ("rid", "label", "n", "side"))
             lists = whole["sketch"].combine_chunks()
             lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
             bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
-            yield from near(rid, label, size, bits)
+            n = int(np.searchsorted(side, 1))
+            one, two = (tuple(c[part] for c in (rid, label, size, bits)) for part in (
+                slice(0, n), slice(n, None)))
+            alone = whole["alone"][0].as_py()
+            yield from near(one, one if alone else two, alone)
 
         for batch in batches:
-            key = batch.column("key").to_numpy()
+            key = batch.column("pair").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and a < len(key) and held[-1].column("key")[-1].as_py() != key[a]:
-                    yield from bucket()
+                if held and a < len(key) and held[-1].column("pair")[-1].as_py() != key[a]:
+                    yield from both()
                     held.clear()
                 if b > a:
                     held.append(batch.slice(a, b - a))
         if held:
-            yield from bucket()
+            yield from both()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    members, sides = label_blocks(rows)
+    sent = members.join(sides, ["key", "own", "block"]).select("pair", "side", "alone", "rid", "label").join(
+        table.select("rid", "n", "sketch"), "rid")
+    return sent.repartition("pair").sortWithinPartitions("pair", "side", "label").mapInArrow(
+        compare, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -406,9 +476,7 @@ def components(
         F.col("p.rid").alias("a"), F.col("q.rid").alias("b"))
     across = within_bound(across.distinct(), table, bands)
     if large.limit(1).count():
-        across = across.union(close_sketches(
-            large.join(table.select("rid", "n", "sketch"), "rid").select(
-                "key", "rid", "label", "n", "sketch"), bands))
+        across = across.union(close_sketches(large.select("key", "rid", "label"), table, bands))
     tried = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = written(across.distinct().join(tried, ["a", "b"], "left_anti"))
     if across.limit(1).count():

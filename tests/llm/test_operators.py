@@ -154,6 +154,48 @@ def test_jaccard_group_of_near_copies(spark, monkeypatch):
     assert got == brute_components(rows, 90, 100, 3)
 
 
+def test_jaccard_mixed_bucket_in_bounded_blocks(spark, monkeypatch):
+    """A linked group and outsiders in one bucket: few comparisons, each task bounded, none missing."""
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2**63, 2**63 - 1, parity_join.SKETCH)
+    rows, table = [], []
+    for rid in range(140):  # key 1: a group of 100 and one outsider; key 2: small labels beside them
+        label = 0 if rid < 100 else rid if rid == 100 else 101 + rid % 13
+        far = rng.integers(0, 3)
+        sketch = [int(x) if k >= far else int(y) for k, (x, y) in enumerate(
+            zip(base, rng.integers(-2**63, 2**63 - 1, parity_join.SKETCH)))]
+        table.append((rid, 900, sketch))
+        rows += [(1, rid, label)] * (rid <= 100) + [(2, rid, label)] * (rid >= 60)
+    rows_df = spark.createDataFrame(rows, "key long, rid long, label long")
+    members, sides = parity_join.label_blocks(rows_df)
+    sent = pairs(members.join(sides, ["key", "own", "block"]), "key", "pair", "rid")
+    assert max(Counter(p for _, p, _ in sent).values()) <= 8 * 8
+    assert sum(k == 1 for k, _, _ in sent) < 100 * 3
+    table_df = spark.createDataFrame(table, "rid long, n long, sketch array<long>")
+    got = pairs(parity_join.close_sketches(rows_df, table_df, parity_join.Bands(90, 100)), "a", "b")
+    most = 10 * 1800 // 190
+    apart = lambda a, b: sum(
+        ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(table[a][2], table[b][2]))
+    want = {(a, b) for k, a, x in rows for m, b, y in rows if k == m and a < b and x != y and apart(a, b) <= most}
+    assert set(got) == want and want
+
+
+def test_jaccard_partners_of_a_hub_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "PARTNERS", 4)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words)] + [" ".join([*words[:-1], f"end{i}"]) for i in range(40)] + ["quite another text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = parity_join.Bands(90, 100)
+    table = parity_join.written(parity_join.sketch_table(docs, bands, 3, "doc_id", "text"))
+    rid = dict(pairs(table, "id", "rid"))
+    tried = spark.createDataFrame([(rid[0], rid[i]) for i in range(1, 42)], "a long, b long")
+    salts = Counter(pairs(parity_join.dealt(tried), "a", "salt"))
+    assert len(salts) > 4 and max(salts.values()) <= 4 * 4
+    got = pairs(parity_join.verified(tried, table, docs, bands, 3, "doc_id", "text"), "a", "b")
+    assert Counter(got) == Counter((rid[0], rid[i]) for i in range(1, 41))
+
+
 def test_jaccard_one_of_each(odd, empty):
     kept = parity_join.one_of_each(odd, 80, 100, 5)
     assert kept.columns == odd.columns
