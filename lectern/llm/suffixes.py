@@ -8,7 +8,8 @@ travel once, with their number. Where an anchor holds one string only, it repeat
 to end or not at all. The strings of all other anchors are put into suffix order:
 
 * strings of a crowded anchor, a passage in very many different contexts, are filed again
-  window by window, by their first and last bytes; windows nobody may share stay out;
+  window by window, by their first and last bytes; windows nobody may share stay out, and
+  equal ones (128 bits of hash) travel once, with their number;
 * a task takes whole anchors up to a bounded number of bytes and cuts their strings into
   shards; each shard gets its suffix order and its Burrows-Wheeler transform, over
   symbols of twenty bytes at every phase;
@@ -51,6 +52,8 @@ SYMBOL = 20  # bytes of a symbol at most; the largest divisor of the width up to
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
 CROWDED = 1 << 24  # bytes of different strings under one anchor from which windows go apart
+MARKS = 1 << 16  # windows of a string that a batch or a task holds together
+SECOND = 0x2545F4914F6CDD1D  # base of a second hash of windows
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
 
 
@@ -290,52 +293,110 @@ def strings_of(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(cut, "anchor long, string long, n long, bytes binary")
 
 
-def windows_apart(strings: DataFrame, width: int) -> DataFrame:
-    """(file, anchor, string, at, n, bytes): strings of crowded anchors, window by window.
+def window_marks(strings: DataFrame, width: int) -> DataFrame:
+    """(file, h1, h2, anchor, string, at, n): every window of some strings, by hashes only.
 
     A window is filed under its anchor, its first ``GRAM`` and its last ``GRAM`` bytes, so
-    equal windows still meet; windows whose file nobody shares are not cut out at all.
+    equal windows meet; h1 and h2 are 128 bits of hash of the whole window.
     """
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "anchor", "string", "at", "n"]
+        names = ["file", "h1", "h2", "anchor", "string", "at", "n"]
         for batch in batches:
             for rows, raw, offsets in row_chunks(batch, "bytes", CHUNK):
-                _, _, grams = _byte_grams(raw, GRAM)
+                sums, p, grams = _byte_grams(raw, GRAM)
+                sums2, p2 = prefix_hash(raw, SECOND)
                 count = np.diff(offsets) - width + 1
-                row = np.repeat(np.arange(rows.num_rows), count)
-                at = ranges(np.zeros(rows.num_rows, np.int64), count)
-                place = offsets[row] + at
-                anchor = rows.column("anchor").to_numpy()[row]
-                with np.errstate(over="ignore"):
-                    file = mixed(mixed(anchor.view(np.uint64) + grams[place]) + grams[place + width - GRAM])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(file.view(np.int64)), pa.array(anchor), rows.column("string").take(take),
-                    pa.array(at), rows.column("n").take(take)], names=names)
+                of_row = np.repeat(np.arange(rows.num_rows), count)
+                every = ranges(np.zeros(rows.num_rows, np.int64), count)
+                anchors = rows.column("anchor").to_numpy()
+                for k in range(0, len(every), MARKS):
+                    row, at = of_row[k: k + MARKS], every[k: k + MARKS]
+                    place = offsets[row] + at
+                    anchor = anchors[row]
+                    with np.errstate(over="ignore"):
+                        file = mixed(mixed(anchor.view(np.uint64) + grams[place]) + grams[place + width - GRAM])
+                    h1 = mixed(span_hash(sums, p, place, place + width))
+                    h2 = mixed(span_hash(sums2, p2, place, place + width))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([
+                        *[pa.array(h.view(np.int64)) for h in (file, h1, h2)], pa.array(anchor),
+                        rows.column("string").take(take), pa.array(at), rows.column("n").take(take)], names=names)
+
+    return strings.mapInArrow(
+        mark, "file long, h1 long, h2 long, anchor long, string long, at long, n long")
+
+
+def window_classes(marks: DataFrame, width: int, together: int = TOGETHER) -> DataFrame:
+    """(file, h1, h2, n, rep, part): the different windows of files that somebody shares.
+
+    ``n`` is how often a window occurs, ``rep`` where it does once. ``part`` is its file, cut
+    by hash where the different windows of a file have more than ``together`` bytes.
+    """
+    classes = written(marks.groupBy("file", "h1", "h2").agg(
+        F.sum("n").alias("n"), F.min(F.struct("anchor", "string", "at")).alias("rep")))
+    files = classes.groupBy("file").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"))
+    parts = F.ceil(F.col("different") * width / together)
+    part = F.when(parts > 1, F.xxhash64("file", F.pmod("h1", parts))).otherwise(F.col("file"))
+    return classes.join(files.where(F.col("all") > 1), "file").select(
+        "file", "h1", "h2", "n", "rep", part.alias("part"))
 
+
+def windows_apart(strings: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(file, anchor, string, at, n, bytes): one window of each of ``classes``, cut out."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "anchor", "string", "at", "n", "bytes"]
         for batch in batches:
             for rows, raw, offsets in row_chunks(batch, "bytes", CHUNK >> 3):
                 lists = rows.column("cuts")
                 flat = lists.flatten()
-                row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
-                at = np.asarray(flat.field("at"))
-                data = raw[ranges(offsets[row] + at, np.full(len(row), width))].tobytes()
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([
-                    flat.field("file"), *[rows.column(c).take(take) for c in ("anchor", "string")],
-                    flat.field("at"), rows.column("n").take(take),
-                    pa.array([data[k: k + width] for k in range(0, len(data), width)], pa.binary()),
-                ], names=names)
+                of_row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+                places = np.asarray(flat.field("at"))
+                step = (CHUNK << 3) // width
+                for k in range(0, len(of_row), step):
+                    row, at, some = of_row[k: k + step], places[k: k + step], flat.slice(k, step)
+                    data = raw[ranges(offsets[row] + at, np.full(len(row), width))].tobytes()
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([
+                        some.field("file"), *[rows.column(c).take(take) for c in ("anchor", "string")],
+                        some.field("at"), some.field("n"),
+                        pa.array([data[k: k + width] for k in range(0, len(data), width)], pa.binary()),
+                    ], names=names)
+
+    chosen = classes.groupBy(F.col("rep.anchor").alias("anchor"), F.col("rep.string").alias("string")).agg(
+        F.collect_list(F.struct(F.col("part").alias("file"), F.col("rep.at").alias("at"), "n")).alias("cuts"))
+    return strings.drop("n").join(chosen, ["anchor", "string"]).mapInArrow(
+        cut, "file long, anchor long, string long, at long, n long, bytes binary")
 
+
+def crowded_repeats(strings: DataFrame, width: int) -> DataFrame:
+    """(anchor, string, first, end): the repeats in strings of crowded anchors.
+
+    Equal windows are one class; one of each is put into suffix order with its number, and
+    the verdict goes to all windows of the class.
+    """
     strings = written(strings)
-    marks = strings.mapInArrow(mark, "file long, anchor long, string long, at long, n long")
-    shared = marks.groupBy("file").agg(F.sum("n").alias("all")).where("all > 1").select("file")
-    chosen = marks.join(shared, "file").groupBy("anchor", "string").agg(
-        F.collect_list(F.struct("file", "at")).alias("cuts"))
-    return strings.join(chosen, ["anchor", "string"]).mapInArrow(
-        cut, "file long, anchor long, string long, at long, n long, bytes binary")
+    marks = window_marks(strings, width)
+    classes = written(window_classes(marks, width))
+    found = suffix_repeats(windows_apart(strings, classes, width), width).select(
+        F.struct("anchor", "string", F.col("first").alias("at")).alias("rep"))
+    verdict = written(classes.join(found, "rep").select("file", "h1", "h2"))
+    if verdict.count() <= BROADCAST_ROWS:
+        verdict = F.broadcast(verdict)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, string, at = (batch.column(c).to_numpy() for c in ("anchor", "string", "at"))
+            cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(string) != 0) | (np.diff(at) != 1)) + 1
+            first, last = np.append(0, cut), np.append(cut, len(at)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (anchor[first], string[first], at[first], at[last] + width)],
+                names=["anchor", "string", "first", "end"])
+
+    repeated = marks.join(verdict, ["file", "h1", "h2"]).select("anchor", "string", "at")
+    return repeated.repartition("anchor", "string", F.floor(F.col("at") / MARKS)).sortWithinPartitions(
+        "anchor", "string", "at").mapInArrow(merged, "anchor long, string long, first long, end long")
 
 
 def suffix_repeats(rows: DataFrame, width: int, together: int = TOGETHER) -> DataFrame:
@@ -398,11 +459,12 @@ def repeats(
     if full.limit(1).count():
         strings = written(strings)
         few = strings.join(full, "anchor", "left_anti")
-        met = whole_rows(few).union(windows_apart(strings.join(full, "anchor", "left_semi"), width))
+        found = suffix_repeats(whole_rows(few), width).union(
+            crowded_repeats(strings.join(full, "anchor", "left_semi"), width))
     else:
-        met = whole_rows(strings)
+        found = suffix_repeats(whole_rows(strings), width)
     parts = wanted.where(~F.col("one")).select("rid", "anchor", "string", F.col("first").alias("from")).join(
-        suffix_repeats(met, width), ["anchor", "string"]).select(
+        found, ["anchor", "string"]).select(
         "rid", (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("end")).alias("end"))
     return whole.union(parts)
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import SF
+from pyspark.sql import functions as F
 
 from lectern.llm import (
     features, grades, language, mixing, packing, parity_join, queries, rules, suffixes, toxicity,
@@ -279,6 +280,39 @@ def test_bytes(odd, empty, width, crowded):
     assert suffixes.dedup_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 100])
+def test_bytes_of_a_text_that_is_one_repeat(odd, crowded):
+    small = odd.where("doc_id IN (8, 16, 17)")
+    got = suffixes.dedup_bytes(small, 48, crowded=crowded)
+    assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(
+        pairs(small, "doc_id", "text"), 48)
+
+
+def test_bytes_equal_windows_travel_once(spark):
+    """A passage in many contexts, and a template with a slot: bounded files, all repeats found."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    passage, head, tail = word(60), word(40), word(40)
+    texts = [word(50) + passage + word(50) for _ in range(300)] + [head + word(8) + tail for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.dedup_bytes(docs, 48, crowded=100)
+    assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(
+        list(enumerate(texts)), 48)
+    one = spark.createDataFrame(
+        [(1, k, 1, bytearray(t.encode())) for k, t in enumerate(texts[:300])],
+        "anchor long, string long, n long, bytes binary")
+    classes = suffixes.window_classes(suffixes.window_marks(one, 48), 48)
+    sent = pairs(suffixes.windows_apart(one, classes, 48), "bytes", "n")
+    number = {bytes(b).decode(): n for b, n in sent}
+    assert len(number) == len(sent) and all(number[passage[k: k + 48]] == 300 for k in range(13))
+    slots = spark.createDataFrame(
+        [(1, k, 1, bytearray((head[-20:] + word(8) + head[:20]).encode())) for k in range(300)],
+        "anchor long, string long, n long, bytes binary")
+    marks = suffixes.window_marks(slots, 48).withColumn("file", F.lit(7).cast("long"))
+    files = Counter(pairs(suffixes.window_classes(marks, 48, 48 * 50), "part"))
+    assert sum(files.values()) == 300 and max(files.values()) < 120
+
+
 def test_bytes_on_documents(some):
     got = suffixes.dedup_bytes(some)
     assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(
