@@ -4,8 +4,8 @@ Every byte that is covered by a ``width``-byte string starting somewhere else to
 repeat. Windows of ``width`` bytes are filed under anchors (the smallest hash of any
 ``GRAM`` bytes in them), so equal windows meet under one anchor, and consecutive windows
 mostly share theirs: such a run travels as one string, and equal strings under an anchor
-travel once, with their number. Where an anchor holds one string only, it repeats from end
-to end or not at all. The strings of all other anchors are put into suffix order:
+travel once, with their number. A run alone under its anchor repeats nothing, unless the
+anchor stands in it twice. The strings of all other anchors are put into suffix order:
 
 * strings of a crowded anchor, a passage in very many different contexts, are filed again
   window by window, by their first and last bytes; windows nobody may share stay out, and
@@ -439,14 +439,9 @@ def repeats(
     """(rid, first, end): byte intervals of every row that repeat somewhere else."""
     runs = table.select("rid", F.explode("runs").alias("run")).select("rid", "run.*")
     shared = runs.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("string").alias("x"), F.max("string").alias("y"),
-        F.max("own").alias("own"),
-    ).where("n > 1 OR own").select("anchor", F.expr("n > 1 AND x = y").alias("one"))
+        F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select("anchor")
     wanted = written(runs.drop("own").join(shared, "anchor"))
-    # one string under its anchor: it occurs n times, all of it
-    whole = wanted.where("one").select(
-        "rid", "first", (F.col("first") + F.col("count") + width - 1).alias("end"))
-    classes = wanted.where(~F.col("one")).groupBy("anchor", "string").agg(
+    classes = wanted.groupBy("anchor", "string").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "count")).alias("rep"))
     own = F.struct("anchor", "string", "n", F.col("rep.first").alias("first"),
                    (F.col("rep.count") + width - 1).alias("size"))
@@ -463,10 +458,9 @@ def repeats(
             crowded_repeats(strings.join(full, "anchor", "left_semi"), width))
     else:
         found = suffix_repeats(whole_rows(strings), width)
-    parts = wanted.where(~F.col("one")).select("rid", "anchor", "string", F.col("first").alias("from")).join(
+    return wanted.select("rid", "anchor", "string", F.col("first").alias("from")).join(
         found, ["anchor", "string"]).select(
         "rid", (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("end")).alias("end"))
-    return whole.union(parts)
 
 
 def cleaned(

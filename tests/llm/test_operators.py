@@ -313,6 +313,25 @@ def test_bytes_equal_windows_travel_once(spark):
     assert sum(files.values()) == 300 and max(files.values()) < 120
 
 
+def test_bytes_of_whole_copies_reach_the_merge(spark, monkeypatch):
+    sent, solve = [], suffixes.suffix_repeats
+
+    def seen(rows, width):
+        sent.extend(pairs(rows, "n", "bytes"))
+        return solve(rows, width)
+
+    monkeypatch.setattr(suffixes, "suffix_repeats", seen)
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghij", k=400))
+    rows = [(1, text), (2, text), (3, text), (4, "".join(rng.choices("klmnopq", k=400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.dedup_bytes(docs, 48)
+    assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(rows, 48)
+    assert sent and all(n == 3 and bytes(b).decode() in text for n, b in sent)
+    assert {text[k: k + 48] for k in range(353)} <= {
+        bytes(b).decode()[k: k + 48] for _, b in sent for k in range(len(b) - 47)}
+
+
 def test_bytes_on_documents(some):
     got = suffixes.dedup_bytes(some)
     assert Counter(pairs(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(
