@@ -2,11 +2,14 @@
 
 Every line is judged by itself. It fails when it is
 
-* not punctuated: a long line whose letters are broken up by symbols,
+* broken by symbols: more than ``SYMBOL_SHARE`` of its characters are one of # * $ % & | < >,
 * navigation: a list of labels between bars, arrows or bullets,
 * boilerplate: a licence, cookie, copyright or sign-up line, or one written in
   capitals throughout.
 
+There is no rule for missing sentence marks: long keyword or list lines without one are
+kept. The symbol share does not replace it.
+
 Failing lines are removed, and a document is rejected when it fails the base rules
 or when the removed lines held more than ``max_loss`` of its word characters.
 Everything is a column expression inside the scan's own stage: no shuffle, no Python.
