@@ -97,6 +97,6 @@ def sampled(rows: DataFrame, most: int, *key: Column | str, seed: int = 0) -> Da
     return rows.where(F.lit(False)) if last is None else rows.where(h <= last)
 
 
-def held_out(id_column: str = "doc_id") -> Column:
-    """Rows that nothing is learned from: crc32 of the identifier as text, modulo 4, is 2."""
-    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_column}`").cast("string")), F.lit(4)) == 2, F.lit(False))
+def held_out(id_column: str = "doc_id", of: int = 4) -> Column:
+    """Rows that nothing is learned from: crc32 of the identifier as text, modulo ``of``, is 2."""
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_column}`").cast("string")), F.lit(of)) == 2, F.lit(False))

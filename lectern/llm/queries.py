@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grades, language, mixing, packing, parity_join, rules, suffixes, toxicity, tries, windows
+from . import (
+    grades, language, mixing, packing, parity_join, resampling, rules, suffix_tree, suffixes, toxicity,
+    tries, variants, windows,
+)
 from .features import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +221,105 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
               "base_failed", "kept", "n_lines_removed")
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in counts])
+
+
+# --- 11 -------------------------------------------------------------------------
+
+
+@query("op11_suffix_tree_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_tree.lm_scores(docs, ~held_out(of=7)).select(
+        F.col("id").alias("doc_id"), held_out("id", of=7).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")
+
+
+# --- 12 -------------------------------------------------------------------------
+
+# CRC-32 in SQL: its table of 256 remainders by rule, and the checksum of bytes given in hexadecimal
+_CRC_TABLE = """
+tab AS (
+  SELECT list(list_reduce(list_concat([i], range(0, 8)), lambda a, b:
+    CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)
+)"""
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(h) // 2),
+      lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_VARIANTS_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, o AS (
+  SELECT doc_id, {_LOWER.format('run')} AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+), c AS (
+  SELECT run, {_CRC} AS h FROM (SELECT run, hex(encode(doc_id || ':' || run)) AS h FROM o), tab
+), w AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+           ELSE run END AS word FROM c)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), k AS (
+  SELECT word, n, substr(word, 1, i) || substr(word, i + 2) AS less,
+         substr(word, 1, i) || '_' || substr(word, i + 2) AS gap
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.gap = b.gap AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.less = w.word
+  UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.less = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY word
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form,
+         CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word
+), r AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word
+"""
+
+
+@query("op12_spelling_variants", _VARIANTS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_forms(documents(spark, sf_dir).select("doc_id", "text"), slip=31)
+
+
+# --- 13 -------------------------------------------------------------------------
+
+_TARGET_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RESAMPLING_SQL = f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_TARGET_WORDS} AS w FROM documents),
+o AS (SELECT doc_id, unnest(w) AS w FROM d),
+q AS (SELECT unnest({_TARGET_WORDS}) AS w FROM benchmark),
+v AS MATERIALIZED (
+  SELECT w, {_CRC} % 10000 AS b
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM o UNION SELECT w FROM q)), tab
+), s AS (SELECT b, count(*) AS n FROM o JOIN v USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM q JOIN v USING (w) GROUP BY b),
+x AS (
+  SELECT a.b, coalesce(s.n, 0) AS s, coalesce(t.n, 0) AS t,
+         sum(coalesce(s.n, 0)) OVER () AS all_s, sum(coalesce(t.n, 0)) OVER () AS all_t
+  FROM (SELECT unnest(range(0, 10000)) AS b) a LEFT JOIN s ON s.b = a.b LEFT JOIN t ON t.b = a.b
+), g AS (
+  SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+                            / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM x
+), p AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM o JOIN v USING (w) JOIN g USING (b) GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k,
+             count(*) FILTER (n_features >= 20) OVER () AS n FROM r)
+"""
+
+
+@query("op13_target_resampling", _RESAMPLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir).select("doc_id", "text"), target).select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
