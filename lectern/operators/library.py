@@ -288,10 +288,11 @@ def reclaimable_uploads(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def export_layout(jobs: DataFrame, notes: DataFrame) -> DataFrame:
-    """Library path of every finished job that has a note.
+    """Library path of every finished job that has a note; no two jobs share one.
 
     The newest job keeps a contested path; the others get their id's first six
-    characters appended.
+    characters appended. Where that is taken too, by another job with the same six or
+    by a title that reads alike, the whole id is appended, and a digest if even that is.
     """
     done = jobs.where(F.col("status") == "done").join(notes.select("id"), "id", "left_semi")
     folder = safe_name(F.coalesce(F.nullif("collection", F.lit("")), F.lit(labels.UNASSIGNED)), 60)
@@ -302,8 +303,19 @@ def export_layout(jobs: DataFrame, notes: DataFrame) -> DataFrame:
     first = placed.groupBy("folder", "name").agg(
         F.max_by("id", F.struct("created_at", "id")).alias("_first")
     )
-    suffix = F.when(F.col("id") == F.col("_first"), F.lit("")).otherwise(
-        F.concat(F.lit(" ("), F.substring("id", 1, 6), F.lit(")"))
-    )
-    path = F.concat("folder", F.lit("/"), "name", suffix, F.lit(".md"))
-    return placed.join(first, ["folder", "name"]).select("id", "folder", path.alias("path"))
+    appended = lambda c: F.concat("name", F.lit(" ("), c, F.lit(")"))
+    whole = safe_name(F.col("id"))
+    digest = F.substring(F.sha2(F.concat_ws("/", "folder", "name", "id"), 256), 1, 16)
+    options = placed.join(first, ["folder", "name"]).select(
+        "id", "folder", F.explode(F.when(F.col("id") == F.col("_first"), F.array(
+            F.struct(F.lit(0).alias("step"), F.col("name").alias("label")))).otherwise(F.array(
+                F.struct(F.lit(1).alias("step"), appended(safe_name(F.substring("id", 1, 6))).alias("label")),
+                F.struct(F.lit(2).alias("step"), appended(whole).alias("label")),
+                F.struct(F.lit(3).alias("step"), appended(F.concat(whole, F.lit(" "), digest)).alias("label")),
+            ))).alias("o")).select("id", "folder", "o.*")
+    # a label that only one job could take, at any step, is free for it
+    claims = options.groupBy("folder", "label").agg(F.count_distinct("id").alias("_claims"))
+    free = (F.col("step") == 0) | (F.col("_claims") == 1) | (F.col("step") == 3)
+    chosen = options.join(claims, ["folder", "label"]).where(free).groupBy("id", "folder").agg(
+        F.min_by("label", "step").alias("label"))
+    return chosen.select("id", "folder", F.concat("folder", F.lit("/"), "label", F.lit(".md")).alias("path"))

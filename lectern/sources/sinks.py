@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 from ..functions.timecode import stamped_line
+from .textfiles import write_text_files
 
 
 def transcript_lines(segments: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -58,16 +59,10 @@ def write_transcripts(
         write_lines(transcript_lines(segments), f"{path}/raw")
 
 
-def write_library(layout: DataFrame, notes: DataFrame, path: str) -> None:
-    """Note pieces under their collection folder, in reading order.
+def write_library(layout: DataFrame, notes: DataFrame, path: str) -> DataFrame:
+    """One file per note at its path of ``layout``, lines in order; (path, lines) of the files.
 
-    ``notes`` has id, ord and line; the export path travels as a column because
-    file names inside a folder are chosen by the writer.
+    ``notes`` has id, ord and line. A note of any length is written by many tasks.
     """
-    named = notes.join(layout, "id")
-    (
-        named.repartitionByRange("folder", "path", "ord")
-        .sortWithinPartitions("folder", "path", "ord")
-        .select("folder", "path", "line")
-        .write.partitionBy("folder").mode("overwrite").json(path)
-    )
+    named = notes.join(layout.select("id", "path"), "id")
+    return write_text_files(named.select("path", "ord", "line"), path)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lectern.operators import library, parts, quality, requests
 from lectern.plans import notes
-from lectern.sources import captions, documents, inputs, jobs, silence, sinks, speech
+from lectern.sources import captions, documents, inputs, jobs, silence, sinks, speech, textfiles
 from lectern.streaming import captions as caption_stream
 from lectern.streaming import jobs as job_stream
 from lectern.streaming.run import run_available
@@ -72,12 +72,69 @@ def test_transcripts(spark, segments, tmp_path):
     assert text("transcript").startswith("[00:00] ONE.")
 
 
+def tree(root):
+    return {str(p.relative_to(root)): p.read_bytes().decode() for p in root.rglob("*") if p.is_file() and not p.name.startswith(".")}
+
+
 def test_library_export(spark, tmp_path):
-    layout = spark.createDataFrame([("1", "x", "x/a.md")], "id string, folder string, path string")
-    lines = spark.createDataFrame([("1", 2, "b"), ("1", 1, "a"), ("2", 1, "lost")], "id string, ord int, line string")
-    sinks.write_library(layout, lines, str(tmp_path / "lib"))
-    got = [json.loads(x) for p in files(tmp_path / "lib", "json") for x in p.read_text().splitlines()]
-    assert got == [{"path": "x/a.md", "line": "a"}, {"path": "x/a.md", "line": "b"}]
+    """Files equal their notes, whichever tasks wrote them; a second export replaces them."""
+    many = [("1", i, f"line {i} ç") for i in range(3000)]
+    layout = spark.createDataFrame(
+        [("1", "x", "x/a (b).md"), ("2", "y ü", "y ü/b.md"), ("3", "x", "x/none.md")], "id string, folder string, path string")
+    lines = spark.createDataFrame([*many, ("2", 2, "b\rc"), ("2", 1, ""), ("9", 1, "lost"), ("2", 3, None)],
+                                  "id string, ord int, line string").repartition(9)
+    for _ in range(2):
+        done = sinks.write_library(layout, lines, str(tmp_path / "lib"))
+        assert {tuple(r) for r in done.collect()} == {("x/a (b).md", 3000), ("y ü/b.md", 3)}
+        assert tree(tmp_path / "lib") == {
+            "x/a (b).md": "".join(f"{line}\n" for _, _, line in many), "y ü/b.md": "\nb\rc\n\n"}
+    assert sinks.write_library(layout.where("false"), lines, str(tmp_path / "none")).count() == 0
+
+
+def test_parts_of_lost_tasks_are_not_published(spark, tmp_path):
+    """What a failed attempt has left is neither listed nor moved; an aborted write leaves nothing."""
+    spark.dataSource.register(textfiles.TextParts)
+    staging = tmp_path / "s"
+    for name in ("parts/dead", "manifests", "committed", "joined"):
+        (staging / name).mkdir(parents=True)
+    (staging / "parts/dead/0").write_text("half")
+    (staging / "manifests/dead.json").write_text(json.dumps(
+        {"path": "a.md", "place": 0, "part": "parts/dead/0", "task": "dead", "lines": 1}) + "\n")
+    rows = spark.range(2000, numPartitions=4).selectExpr("'a.md' AS path", "id AS ord", "CAST(id AS STRING) AS line")
+    spread = rows.repartitionByRange(4, "path", "ord").sortWithinPartitions("path", "ord").select("path", "line")
+    spread.write.format("text_parts").option("path", str(staging)).mode("append").save()
+    [row] = textfiles.committed_parts(spark, str(staging)).collect()
+    assert row["lines"] == 2000 and len(row["parts"]) > 1 and "parts/dead/0" not in row["parts"]
+    assert "".join((staging / p).read_text() for p in row["parts"]) == "".join(f"{i}\n" for i in range(2000))
+    bad = rows.withColumn("line", F.when(F.col("ord") > 1500, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        bad.write.format("text_parts").option("path", str(staging)).mode("append").save()
+    assert not staging.exists()
+
+
+def test_publishing_twice_gives_the_same_files(spark, tmp_path):
+    """A publishing task that runs again finds its files in place."""
+    staging, target = tmp_path / "s", tmp_path / "t"
+    (staging / "joined").mkdir(parents=True)
+    for k, text in enumerate(("a\n", "b\n", "c\n")):
+        (staging / str(k)).write_text(text)
+    frame = pd.DataFrame({"path": ["f/one.md", "f/two.md"], "parts": [["0"], ["1", "2"]], "lines": [1, 2]})
+    run = textfiles._publisher(str(target), str(staging))
+    for _ in range(2):
+        assert len(list(run(iter([frame])))) == 1
+        assert tree(target) == {"f/one.md": "a\n", "f/two.md": "b\nc\n"}
+
+
+def test_no_two_jobs_share_a_path(spark):
+    rows = [("abcdef22", "t", 3), ("abcdef33", "t", 2), ("abcdef44", "t", 1), ("x", "t (abcdef33)", 9), ("y", "only", 1),
+            ("zzzzzz1", "only", 2), ("p", "q", 1), ("r", "q", 0), ("open", "t", 8)]
+    jobs_ = spark.createDataFrame([(i, t, c, "open" if i == "open" else "done", "c") for i, t, c in rows],
+                                  "id string, title string, created_at int, status string, collection string")
+    got = {r["id"]: r["path"] for r in library.export_layout(jobs_, jobs_.select("id")).collect()}
+    assert got["abcdef22"] == "c/t.md" and got["abcdef44"] == "c/t (abcdef44).md"
+    assert got["x"] == "c/t (abcdef33).md" and got["abcdef33"].startswith("c/t (abcdef33 ")
+    assert got["zzzzzz1"] == "c/only.md" and got["y"] == "c/only (y).md" and got["r"] == "c/q (r).md"
+    assert len(set(got.values())) == len(got) == len(rows) - 1
 
 
 def test_markdown_blocks(spark, tmp_path):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import naming
 from lectern.operators import distinct, library, parts
-from lectern.operators.stage import stage
+from lectern.operators.stage import shared_folder, stage
+from lectern.sources import sinks
 
 from . import fixtures as fx
 from .q_scalars import GENERIC_SQL, KEY_SQL, SAFE_SQL
@@ -225,16 +228,62 @@ def e10r(spark, sf):
     return library.reclaimable_uploads(uploads, rows)
 
 
-@query("a13_export_layout", cte(fx.JOBS, fx.NOTES) + f"""
-SELECT id, folder, folder || '/' || name || CASE WHEN rn = 1 THEN '' ELSE ' (' || left(id, 6) || ')' END || '.md' AS path FROM (
-  SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY created_at DESC, id DESC) AS rn FROM (
-    SELECT id, created_at, {SAFE_SQL.format(x="coalesce(nullif(collection, ''), 'atanmamis')", n=60)} AS folder,
-           {SAFE_SQL.format(x="coalesce(nullif(title, ''), id)", n=80)} AS name
-    FROM jobs WHERE status = 'done' AND id IN (SELECT id FROM notes)))""")
+LAYOUT = f"""
+placed AS (
+  SELECT id, created_at, {SAFE_SQL.format(x="coalesce(nullif(collection, ''), 'atanmamis')", n=60)} AS folder,
+         {SAFE_SQL.format(x="coalesce(nullif(title, ''), id)", n=80)} AS name
+  FROM jobs WHERE status = 'done' AND id IN (SELECT id FROM notes)),
+options AS (
+  SELECT id, folder, unnest(CASE WHEN rn = 1 THEN [{{'step': 0, 'label': name}}] ELSE [
+    {{'step': 1, 'label': name || ' (' || {SAFE_SQL.format(x="left(id, 6)", n=80)} || ')'}},
+    {{'step': 2, 'label': name || ' (' || {SAFE_SQL.format(x="id", n=80)} || ')'}},
+    {{'step': 3, 'label': name || ' (' || {SAFE_SQL.format(x="id", n=80)} || ' ' || left(sha256(folder || '/' || name || '/' || id), 16) || ')'}}
+  ] END) AS o
+  FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY created_at DESC, id DESC) AS rn FROM placed)),
+claimed AS (SELECT id, folder, o.step, o.label, count(DISTINCT id) OVER (PARTITION BY folder, o.label) AS claims FROM options),
+layout AS (
+  SELECT id, folder, folder || '/' || min_by(label, step) || '.md' AS path
+  FROM claimed WHERE step IN (0, 3) OR claims = 1 GROUP BY id, folder)"""
+
+
+@query("a13_export_layout", cte(fx.JOBS, fx.NOTES, LAYOUT) + "SELECT id, folder, path FROM layout")
 def a13(spark, sf):
     return library.export_layout(fx.jobs(spark, sf), fx.note_ids(spark, sf))
 
 
+NOTE_LINES = """
+note_lines AS (
+  SELECT id, 0 AS head, pos AS ord, line FROM (
+    SELECT id, unnest(string_split(markdown, chr(10))) AS line,
+           generate_subscripts(string_split(markdown, chr(10)), 1) AS pos FROM notes)
+  UNION ALL SELECT 'j' || l_orderkey, 1, l_linenumber, '- ' || l_returnflag || ' ' || l_linestatus FROM lineitem)"""
+
+
+def note_lines(spark, sf):
+    """Lines of the notes: their text, then one for each item of the order."""
+    text = fx.note_ids(spark, sf).select(
+        "id", F.lit(0).alias("head"), F.posexplode(F.split("markdown", "\n")).alias("pos", "line"))
+    items = fx.table(spark, sf, "lineitem").selectExpr(
+        "'j' || l_orderkey AS id", "1 AS head", "CAST(l_linenumber AS INT) AS pos",
+        "'- ' || l_returnflag || ' ' || l_linestatus AS line")
+    return text.unionByName(items).selectExpr("id", "struct(head, pos, line) AS ord", "line")
+
+
+@query("a13_export_files", cte(fx.JOBS, fx.NOTES, LAYOUT, NOTE_LINES) + """
+SELECT path, count(*) AS lines, sha256(string_agg(line || chr(10), '' ORDER BY head, ord, line)) AS content
+FROM layout JOIN note_lines USING (id) GROUP BY path""")
+def a13f(spark, sf):
+    """Notes written as files and read back."""
+    folder = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    layout = library.export_layout(fx.jobs(spark, sf), fx.note_ids(spark, sf))
+    written = sinks.write_library(layout, note_lines(spark, sf), folder)
+    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
+        F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("file"),
+        F.sha2("value", 256).alias("content"))
+    name = F.substring_index("file", f"{folder.rpartition('/')[2]}/", -1)
+    return written.join(read.select(name.alias("path"), "content"), "path").select("path", "lines", "content")
+
+
 ROLLUP = """
 part_rows AS (
   SELECT json_extract_string(meta, '$.part_of') AS parent_id, k AS part, status <> 'error' AS ok,
