@@ -2,14 +2,19 @@
 
 A fold here only ever needs one number of state: the size of the open group, or
 the time of the last kept mark. That makes a block of rows a step function from
-entry state to exit state. Work therefore runs in three Spark steps:
+entry state to exit state, and step functions compose. Work therefore runs as a
+prefix scan over a tree:
 
 1. sources longer than one block: one task per block tabulates its step function;
-2. the tables are chained per source as a stream (one small row per block);
-3. every block is replayed from its entry state, streaming, one pass.
-
-Sources that fit one block skip straight to step 3. No task ever holds a whole
-source, and only ids, costs and flags cross into Python.
+2. upwards: the functions of ``FANOUT`` neighbours are composed into one, round by
+   round, until a source has at most ``FANOUT`` of them;
+3. downwards: each group is entered in the state its parent was given, which gives
+   the entry states of its members;
+4. every block is replayed from its entry state, streaming, one pass.
+
+A group is one unit of work: a task reads ``FANOUT`` tables at a time however long
+its source is, and the rounds grow with the logarithm of its length. Sources that
+fit one block skip straight to step 4. Only ids, costs and flags cross into Python.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ from .scan import BLOCK_ROWS
 from .stage import stage
 
 
+FANOUT = 64  # tables of neighbours that one unit of work reads
+
+
 @dataclass(frozen=True)
 class Rule:
     """When a new group starts.
@@ -178,34 +186,97 @@ def _tabulate(rule: Rule, keys: list[str]):
     return run
 
 
-def _chain(rule: Rule, keys: list[str]):
+class Steps:
+    """The step function of consecutive blocks: what entering them in a state leads to.
+
+    ``fresh``: (exit state, starts) without an open group; ``levels`` fall, and an entry
+    level takes the exit and count of the first one at or under it; below them all no
+    group starts and the state grows by ``total``, or stays for ``gap``.
+    """
+
+    def __init__(self, gap: bool, fresh, total, levels, exits, counts):
+        self.gap, self.fresh, self.total = gap, fresh, total
+        self.levels, self.exits, self.counts = levels, exits, counts
+
+    def __call__(self, state: float | None) -> tuple[float | None, int]:
+        """(exit state, starts) for an entry state."""
+        if state is None:
+            return self.fresh
+        at = int(np.searchsorted(-self.levels, state if self.gap else -state, side="left"))
+        if at < len(self.levels):
+            exit_ = self.exits[at]
+            return (None if np.isnan(exit_) else float(exit_)), int(self.counts[at])
+        return (state if self.gap else state + self.total), 0
+
+    def then(self, after: Steps) -> Steps:
+        """This function followed by ``after``: one step function again.
+
+        Entry levels that meet a start here are sent on from their exit; of the levels
+        of ``after`` those stay that are only reached without a start here, shifted by
+        what an open group gains on the way.
+        """
+        def on(state: float | None, starts: int) -> tuple[float | None, int]:
+            out, more = after(state)
+            return out, starts + more
+
+        sent = [on(None if np.isnan(e) else float(e), int(c)) for e, c in zip(self.exits, self.counts)]
+        shifted = after.levels if self.gap else after.levels - self.total
+        lowest = self.levels[-1] if len(self.levels) else np.inf
+        rest = shifted < lowest
+        exits = [np.nan if e is None else e for e, _ in sent]
+        return Steps(
+            self.gap, on(*self.fresh), self.total + after.total,
+            np.append(self.levels, shifted[rest]), np.append(exits, after.exits[rest]).astype(float),
+            np.append([c for _, c in sent], after.counts[rest]).astype(np.int64))
+
+
+TABLE = ("_exit", "_starts", "_total", "_levels", "_exits", "_counts")
+
+
+def _steps(rule: Rule, frame: pd.DataFrame) -> Iterator[Steps]:
+    for exit_, starts, total, levels, exits, counts in zip(*[frame[c] for c in TABLE]):
+        fresh = (None if np.isnan(exit_) else float(exit_), int(starts))
+        yield Steps(rule.mode == "gap", fresh, float(total), np.asarray(levels, float),
+                    np.asarray(exits, float), np.asarray(counts, np.int64))
+
+
+def _compose(rule: Rule, keys: list[str]):
+    """One composed table per group of neighbours, in place of its members' tables."""
+    def run(batches):
+        for frame, edges in _groups(batches):
+            whole = list(_steps(rule, frame))
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                f = whole[a]
+                for g in whole[a + 1: b]:
+                    f = f.then(g)
+                rows.append((np.nan if f.fresh[0] is None else f.fresh[0], f.fresh[1], f.total,
+                             f.levels.tolist(), f.exits.tolist(), f.counts.tolist()))
+            out = frame.iloc[edges[:-1]][[*keys, "_group"]].reset_index(drop=True)
+            out = out.rename(columns={"_group": "_node"})
+            yield pd.concat([out, pd.DataFrame(rows, columns=TABLE)], axis=1)
+
+    return run
+
+
+def _descend(rule: Rule, keys: list[str]):
+    """Entry state, starts before and size ahead of each member of a group."""
     def run(batches):
-        state, seen = None, 0
-        for frame in batches:
-            states, before = [], []
-            cells = zip(
-                frame["_i"], frame["_exit"], frame["_starts"], frame["_total"],
-                frame["_levels"], frame["_exits"], frame["_counts"],
-            )
-            for i, fresh, starts, total, levels, exits, counts in cells:
-                if i == 1:
-                    state, seen = None, 0
-                states.append(np.nan if state is None else state)
-                before.append(seen)
-                if state is None:
-                    state, seen = fresh, seen + starts
-                else:
-                    level = -state if rule.mode == "gap" else state
-                    # levels fall, so the first one at or under the entry level
-                    at = int(np.searchsorted(-np.asarray(levels), -level, side="left"))
-                    if at < len(levels):
-                        state, seen = exits[at], seen + counts[at]
-                    elif rule.mode != "gap":
-                        state += total
-                if state is not None and np.isnan(state):
-                    state = None
-            out = frame[[*keys, "_block", "_ahead"]].copy()
-            out["_state"], out["_before"] = states, before
+        for frame, edges in _groups(batches):
+            whole = list(_steps(rule, frame))
+            entered, before, ahead = (frame[c].to_numpy(float) for c in ("_state", "_before", "_ahead"))
+            states, seen, rest = np.empty(len(frame)), np.empty(len(frame), np.int64), np.empty(len(frame))
+            for a, b in zip(edges[:-1], edges[1:]):
+                state = None if np.isnan(entered[a]) else float(entered[a])
+                count, left = int(before[a]), float(ahead[a]) + sum(f.total for f in whole[a:b])
+                for i in range(a, b):
+                    states[i], seen[i] = np.nan if state is None else state, count
+                    left -= whole[i].total
+                    rest[i] = left
+                    state, starts = whole[i](state)
+                    count += starts
+            out = frame[[*keys, "_node"]].copy()
+            out["_state"], out["_before"], out["_ahead"] = states, seen, rest
             yield out
 
     return run
@@ -269,20 +340,22 @@ def _numbered(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
-def _entered(slim: DataFrame, keys: list[str], order: list[str], rule: Rule) -> DataFrame:
+def _entered(
+    slim: DataFrame, keys: list[str], order: list[str], rule: Rule, fanout: int = FANOUT
+) -> DataFrame:
     """Rows with the entry state of their block, grouped and ordered for replay."""
     types = {f.name: f for f in slim.schema.fields}
     key_fields = [types[k] for k in keys] + [T.StructField("_block", T.LongType())]
+    node_fields = [*key_fields[:-1], T.StructField("_node", T.LongType())]
     number = [T.StructField(n, T.DoubleType()) for n in ("_exit", "_total")]
-    table_schema = T.StructType(
-        [*key_fields, number[0], T.StructField("_starts", T.LongType()), number[1],
-         T.StructField("_levels", T.ArrayType(T.DoubleType())),
-         T.StructField("_exits", T.ArrayType(T.DoubleType())),
-         T.StructField("_counts", T.ArrayType(T.LongType()))]
-    )
+    cells = [
+        number[0], T.StructField("_starts", T.LongType()), number[1],
+        T.StructField("_levels", T.ArrayType(T.DoubleType())),
+        T.StructField("_exits", T.ArrayType(T.DoubleType())),
+        T.StructField("_counts", T.ArrayType(T.LongType()))]
     carry_schema = T.StructType(
-        [*key_fields, T.StructField("_ahead", T.DoubleType()),
-         T.StructField("_state", T.DoubleType()), T.StructField("_before", T.LongType())]
+        [*node_fields, T.StructField("_state", T.DoubleType()),
+         T.StructField("_before", T.LongType()), T.StructField("_ahead", T.DoubleType())]
     )
     # Read three times below: a narrow written copy spares three passes over the text.
     slim = stage(slim)
@@ -290,25 +363,39 @@ def _entered(slim: DataFrame, keys: list[str], order: list[str], rule: Rule) ->
         slim.groupBy(*keys)
         .agg(F.min("_block").alias("_a"), F.max("_block").alias("_b"))
         .where("_a < _b")
-        .select(*keys)
     )
-    core = slim.join(long_keys, keys, "left_semi")
+    core = slim.join(long_keys.select(*keys), keys, "left_semi")
     tables = _numbered(core, [*keys, "_block"], order).mapInPandas(
-        _tabulate(rule, keys), table_schema
-    )
-    later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    carry = (
-        _numbered(tables, keys, ["_block"])
-        .withColumn("_ahead", F.coalesce(F.sum("_total").over(later), F.lit(0.0)))
-        .mapInPandas(_chain(rule, keys), carry_schema)
+        _tabulate(rule, keys), T.StructType([*key_fields, *cells])
     )
+    # blocks are numbered from the first of their source, so that groups close up
+    first = long_keys.select(*keys, "_a")
+    levels = [stage(tables.join(first, keys).select(
+        *keys, (F.col("_block") - F.col("_a")).alias("_node"), *TABLE))]
+    span = long_keys.agg(F.max(F.col("_b") - F.col("_a"))).first()[0] or 0
+    group = F.floor(F.col("_node") / fanout).cast("long")
+    while span >= fanout:
+        grouped = _numbered(levels[-1].withColumn("_group", group), [*keys, "_group"], ["_node"])
+        levels.append(stage(grouped.mapInPandas(_compose(rule, keys), T.StructType([*node_fields, *cells]))))
+        span //= fanout
+    carry = None
+    for level in reversed(levels):
+        entered = level.withColumn("_group", group)
+        if carry is None:
+            entered = entered.withColumns({
+                "_state": F.lit(None).cast("double"), "_before": F.lit(0).cast("long"), "_ahead": F.lit(0.0)})
+        else:
+            entered = entered.join(carry.withColumnRenamed("_node", "_group"), [*keys, "_group"])
+        carry = _numbered(entered, [*keys, "_group"], ["_node"]).mapInPandas(_descend(rule, keys), carry_schema)
+    carry = carry.join(first, keys).select(
+        *keys, (F.col("_node") + F.col("_a")).alias("_block"), "_state", "_before", "_ahead")
     joined = slim.join(carry, [*keys, "_block"], "left")
     return _numbered(joined, [*keys, "_block"], order)
 
 
 def group_rows(
     df: DataFrame, keys: list[str], seq: str, cost, rule: Rule, ok=None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, fanout: int = FANOUT,
 ) -> DataFrame:
     """Pack rows in ``seq`` order: ``(keys, _block, first_seq, last_seq, window_id)``.
 
@@ -327,7 +414,7 @@ def group_rows(
          T.StructField("last_seq", types[seq].dataType),
          T.StructField("window_id", T.LongType())]
     )
-    return _entered(slim, keys, [seq], rule).mapInPandas(_replay(rule, keys, seq), schema)
+    return _entered(slim, keys, [seq], rule, fanout).mapInPandas(_replay(rule, keys, seq), schema)
 
 
 def assign_groups(
@@ -351,11 +438,11 @@ def assign_groups(
 
 def keep_spaced(
     df: DataFrame, keys: list[str], t: str, order: list[str], gap: float,
-    block_seconds: float = 3600.0,
+    block_seconds: float = 3600.0, fanout: int = FANOUT,
 ) -> DataFrame:
     """Rows at least ``gap`` after the last kept row of their key, in ``order``."""
     slim = df.withColumn("_block", F.floor(F.col(t) / block_seconds).cast("long"))
     slim = slim.withColumn("_cost", F.col(t).cast("double")).withColumn("_ok", F.lit(True))
-    return _entered(slim, keys, order, Rule("gap", gap)).mapInPandas(
+    return _entered(slim, keys, order, Rule("gap", gap), fanout).mapInPandas(
         _keep(Rule("gap", gap), df.columns), df.schema
     )

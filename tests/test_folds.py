@@ -1,12 +1,14 @@
 """Packing against a plain loop: all block sizes, one huge source among small ones."""
 
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import requests, sections
-from lectern.operators.folds import Rule, assign_groups, group_rows, keep_spaced
+from lectern.operators.folds import Block, Rule, Steps, assign_groups, group_rows, keep_spaced
 
 
 def plain(costs, oks, rule):
@@ -45,11 +47,11 @@ RULES = [
 
 
 @pytest.mark.parametrize("rule", RULES, ids=str)
-@pytest.mark.parametrize("block_rows", [5, 64, 100_000])
-def test_matches_loop(spark, rows, rule, block_rows):
+@pytest.mark.parametrize("block_rows,fanout", [(5, 3), (64, 64), (100_000, 64)])
+def test_matches_loop(spark, rows, rule, block_rows, fanout):
     df, data = rows
     ok = F.col("ok") if rule.hard is not None else None
-    pieces = group_rows(df, ["source_id"], "seq", F.col("cost"), rule, ok, block_rows)
+    pieces = group_rows(df, ["source_id"], "seq", F.col("cost"), rule, ok, block_rows, fanout)
     placed = assign_groups(df, pieces, ["source_id"], "seq", block_rows)
     got = {(r.source_id, r.seq): r.window_id for r in placed.collect()}
     assert len(got) == len(data)
@@ -66,7 +68,7 @@ def test_spaced_marks(spark, block):
     data = [(s, i, float(t)) for s in range(5)
             for i, t in enumerate(sorted(rng.randint(0, 2000) for _ in range(300 if s == 0 else 20)))]
     df = spark.createDataFrame(data, "source_id int, seq int, ts double")
-    kept = keep_spaced(df.repartition(5), ["source_id"], "ts", ["ts", "seq"], 45.0, block)
+    kept = keep_spaced(df.repartition(5), ["source_id"], "ts", ["ts", "seq"], 45.0, block, fanout=4)
     want = []
     for source in range(5):
         last = None
@@ -77,6 +79,46 @@ def test_spaced_marks(spark, block):
     assert sorted((r.source_id, r.seq) for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("rule", [*RULES, Rule("gap", 45.0)], ids=str)
+def test_composed_steps_equal_steps_in_turn(rule):
+    """Any bracketing of blocks is one function, for every entry state."""
+    rng = random.Random(11)
+    for _ in range(60):
+        blocks, upto = [], 0.0
+        for _ in range(rng.randint(2, 7)):
+            n = rng.randint(1, 6)
+            cost = [rng.choice([1, 3, 40, 90, 400]) for _ in range(n)]
+            if rule.mode == "gap":
+                cost = [upto := upto + rng.choice([0, 5, 30, 70]) for _ in range(n)]
+            ok = [rule.hard is None or rng.random() < 0.4 for _ in range(n)]
+            b = Block(rule, np.array(cost, float), np.array(ok))
+            steps = b.steps()
+            exits = [np.nan if s[1] is None else s[1] for s in steps]
+            blocks.append(Steps(rule.mode == "gap", b.leave[0], b.total, np.array([s[0] for s in steps], float),
+                                np.array(exits, float), np.array([s[2] for s in steps], np.int64)))
+        cut = rng.randint(1, len(blocks) - 1)
+        left = functools.reduce(Steps.then, blocks)
+        parted = functools.reduce(Steps.then, blocks[:cut]).then(functools.reduce(Steps.then, blocks[cut:]))
+        states = [None, *(float(rng.randint(1, 700)) for _ in range(25))]
+        if rule.mode == "gap":
+            states = [None, *(-float(rng.randint(0, 200)) for _ in range(25))]
+        for state in states:
+            want, seen = state, 0
+            for f in blocks:
+                want, more = f(want)
+                seen += more
+            assert left(state) == parted(state) == (want, seen)
+
+
+def test_one_source_with_all_rows(spark):
+    """Three rounds of composition: no unit of work reads more than the fanout of tables."""
+    df = spark.range(20_000).selectExpr("1 AS source_id", "id AS seq", "CAST(1 + id * 7919 % 97 AS INT) AS cost")
+    rule = Rule("after", 500, merge_below=200)
+    pieces = group_rows(df, ["source_id"], "seq", F.col("cost"), rule, block_rows=16, fanout=8)
+    placed = assign_groups(df, pieces, ["source_id"], "seq", 16).orderBy("seq").collect()
+    assert [r.window_id for r in placed] == plain([1 + i * 7919 % 97 for i in range(20_000)], [True] * 20_000, rule)
+
+
 def segs(spark, texts):
     data = [("a", i, 10.0 * i, 10.0 * i + 9, t) for i, t in enumerate(texts)]
     return spark.createDataFrame(data, "source_id string, seq int, start double, end double, text string")
