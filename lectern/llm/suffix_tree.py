@@ -129,6 +129,7 @@ class Tree:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (sorted hashes, context numbers)
         self.total = self.once = np.zeros(1, np.int64)
         self.retained = np.ones(1, bool)
+        self.words, self.word_numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def grow(self, older: np.ndarray, token: np.ndarray) -> None:
         """Add contexts one word longer: ``token`` after the context ``older`` of the last depth."""
@@ -138,6 +139,9 @@ class Tree:
         keys, older, token = keys[order], older[order], token[order]
         suffix = np.zeros(len(keys), np.int64) if deep == 1 else self.find(deep - 1, self.suffix[older], token)
         self.levels.append((keys, np.arange(first, first + len(keys))))
+        if deep == 1:
+            by_word = np.argsort(token)
+            self.words, self.word_numbers = token[by_word], first + by_word
         self.depth = np.append(self.depth, np.full(len(keys), deep))
         self.suffix = np.append(self.suffix, suffix)
 
@@ -152,16 +156,27 @@ class Tree:
             out[some] = np.where(keys[at] == wanted, numbers[at], -1)
         return out
 
+    def words_of_states(self, token: np.ndarray) -> np.ndarray:
+        """Number of the context of each single word, or -1: as ``find``, by the words themselves."""
+        out = np.full(len(token), -1)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, token), len(self.words) - 1)
+            hit = self.words[at] == token
+            out[hit] = self.word_numbers[at[hit]]
+        return out
+
     def states(self, token: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         """For each depth: the context of that many words before each token, or -1."""
         opens = np.zeros(len(token), bool)
         opens[bounds[:-1]] = True
         ending = np.zeros(len(token), np.int64)  # the context that ends with each token
         for deep in range(1, len(self.levels) + 1):
-            before = np.append(-1, ending[:-1]) if deep > 1 else np.zeros(len(token), np.int64)
-            if deep > 1:
+            if deep == 1:
+                ending = self.words_of_states(token)
+            else:
+                before = np.append(-1, ending[:-1])
                 before[opens] = -1
-            ending = self.find(deep, before, token)
+                ending = self.find(deep, before, token)
             state = np.append(-1, ending[:-1])
             state[opens] = -1
             yield state
@@ -175,12 +190,12 @@ def counted(packed: DataFrame, tree: Tree, deep: int) -> DataFrame:
     """(token, ctx, chunk, n) for contexts of one depth; n counts training rows, 0 included."""
     def add(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         token, ctx, n = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((ctx, token))
-        token, ctx, n = token[order], ctx[order], n[order]
-        head = np.ones(len(token), bool)
-        head[1:] = (token[1:] != token[:-1]) | (ctx[1:] != ctx[:-1])
-        first = np.flatnonzero(head)
-        return token[first], ctx[first], np.add.reduceat(n, first) if len(first) else n
+        key = joint(token, ctx) if deep else token
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        one = order[first]
+        return token[one], ctx[one], np.add.reduceat(n[order], first) if len(first) else n
 
     def out(parts: list, chunk: int) -> Iterator[pa.RecordBatch]:
         token, ctx, n = add(parts)
@@ -430,9 +445,13 @@ def lm_scores(
         def look(token: np.ndarray, ctx: np.ndarray) -> np.ndarray:
             if not len(keys):
                 return np.zeros(len(token), np.int64)
-            wanted, back = np.unique(joint(token, ctx), return_inverse=True)
+            wanted = joint(token, ctx)
+            order = np.argsort(wanted)  # neighbours in the table are looked up one after another
+            wanted = wanted[order]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], 0)[back]
+            out = np.empty(len(token), np.int64)
+            out[order] = np.where(keys[at] == wanted, values[at], 0)
+            return out
 
         for batch in batches:
             # answers of a chunk come before its texts
