@@ -1,6 +1,6 @@
-"""Interval joins on a shared timeline.
+"""Interval joins and coverage on a shared timeline.
 
-Both sides carry an equality key and a time bucket, so the join hashes on
+Coverage is a running maximum of ends (``scan.running_max``). In the joins both sides carry an equality key and a time bucket, so the join hashes on
 ``(key, bucket)``: one long source is spread over its buckets, a hot bucket can be
 split by adaptive execution, and no plan falls back to a nested loop.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 BUCKET = 600.0
 
 
@@ -66,33 +68,32 @@ def point_in_interval(
 
 def flag_inside(
     rows: DataFrame, intervals: DataFrame, keys: list[str], t: str, lo: str, hi: str,
-    name: str, width: float = BUCKET,
+    name: str, block_seconds: float = scan.BLOCK_SECONDS,
 ) -> DataFrame:
     """Boolean: does any closed interval of the key contain the row's time?
 
-    Overlapping intervals are merged bucket by bucket first, so a row meets at
-    most one of them and is never duplicated.
+    One does exactly where the largest end of all intervals begun by then is not over, so
+    intervals are neither joined nor repeated however many overlap.
     """
-    cell = [*keys, "_bucket"]
-    spans = (
-        spread(intervals.select(*keys, lo, hi), rows, keys, t, lo, hi, width)
-        .groupBy(*cell, lo).agg(F.max(hi).alias(hi))
-    )
-    order = Window.partitionBy(*cell).orderBy(lo, hi)
-    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = (
-        spans.withColumn("_new", F.coalesce(F.col(lo) > reach, F.lit(True)).cast("int"))
-        .withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*cell, "_island")
-        .agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
-        .drop("_island")
-    )
-    left = rows.withColumn("_bucket", _bucket(F.col(t), width))
-    condition = (F.col(t) >= F.col("_lo")) & (F.col(t) <= F.col("_hi"))
-    for c in cell:
-        condition = condition & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    return (
-        left.alias("l")
-        .join(merged.alias("r"), condition, "left")
-        .select(*[F.col(f"l.{c}") for c in rows.columns], F.col("r._lo").isNotNull().alias(name))
-    )
+    spans = intervals.where(F.col(lo).isNotNull() & F.col(hi).isNotNull())
+    reached = scan.running_max(rows, spans, keys, t, lo, F.col(hi).cast("double"), "_reach", block_seconds)
+    inside = F.coalesce(F.col("_reach") >= F.col(t), F.lit(False))
+    return reached.withColumn(name, inside).drop("_reach")
+
+
+def coalesced(
+    intervals: DataFrame, keys: list[str], lo: str, hi: str, block_seconds: float = scan.BLOCK_SECONDS,
+) -> DataFrame:
+    """Disjoint intervals (keys, lo, hi) that cover what the closed ``intervals`` cover.
+
+    An interval opens a new stretch where it begins after the largest end before it; that
+    end and the number of stretches are carried from block to block.
+    """
+    cut = intervals.select(*keys, lo, hi, scan.block_of(F.col(lo), block_seconds).alias("_block")).where(
+        F.col(lo).isNotNull() & F.col(hi).isNotNull())
+    seen = scan.with_carry(cut, keys, "_block", {"_m": F.max(hi)}, {"_before": (F.max("_m"), "before")})
+    inside = Window.partitionBy(*keys, "_block").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max(hi).over(inside), F.col("_before"))
+    opened = seen.withColumn("_new", F.coalesce(F.col(lo) > reach, F.lit(True)).cast("int")).drop("_before")
+    numbered = scan.running_sum(opened, keys, [lo, hi], "_block", "_new", "_stretch")
+    return numbered.groupBy(*keys, "_stretch").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_stretch")

@@ -109,3 +109,38 @@ def next_value(df, keys, order, block, values):
 def previous_value(df, keys, order, block, values):
     """Values of the preceding row; see ``neighbour``."""
     return neighbour(df, keys, order, block, values, ahead=False)
+
+
+def running_max(
+    rows: DataFrame, marks: DataFrame, keys: list[str], t: str, mark_t: str, cell: Column, name: str,
+    block_seconds: float = BLOCK_SECONDS,
+) -> DataFrame:
+    """Each row with the largest ``cell`` of the marks of its key at or before its time.
+
+    A cell that begins with the mark's time makes this an as-of join: the last mark wins,
+    and of marks at one time the one whose cell is larger. Rows and marks are put on one
+    timeline and cut into blocks of time; the largest cell of all earlier blocks is carried
+    into each, so the rows are shuffled once, on key and block, and a long source is many
+    tasks. NULL where no mark is early enough, and for rows without a time.
+    """
+    block = lambda c: F.coalesce(block_of(F.col(c), block_seconds), F.lit(-(1 << 62)))
+    # columns of the rows travel under numbers, so that no name of the marks can clash
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rows.columns) if c not in keys]
+    left = rows.select(
+        *keys, block(t).alias("_block"), F.col(t).cast("double").alias("_t"), F.lit(1).alias("_kind"), *own)
+    right = marks.select(
+        *keys, block(mark_t).alias("_block"), F.col(mark_t).cast("double").alias("_t"), F.lit(0).alias("_kind"),
+        cell.alias("_cell"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    narrow = left.select(*keys, "_block").distinct().unionByName(
+        right.select(*keys, "_block", "_cell"), allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = narrow.groupBy(*keys, "_block").agg(F.max("_cell").alias("_cell")).select(
+        *keys, "_block", F.max("_cell").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.max("_cell").over(inside)
+    found = both.join(carried, [*keys, "_block"]).withColumn("_here", here).where("_kind = 1")
+    timed = F.when(F.col("_t").isNotNull(), F.greatest("_here", "_carry"))
+    numbers = {c: f"_c{i}" for i, c in enumerate(rows.columns) if c not in keys}
+    return found.select(
+        *[F.col(c) if c in keys else F.col(numbers[c]).alias(c) for c in rows.columns], timed.alias(name))

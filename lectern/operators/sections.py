@@ -10,7 +10,6 @@ from ..functions.text import ends_sentence
 from ..functions.timecode import stamped_line
 from . import scan
 from .folds import Rule, assign_groups, group_rows, keep_spaced
-from .intervals import point_in_interval
 from .transcripts import join_ordered
 
 SOURCE = ["source_id"]
@@ -116,21 +115,22 @@ def section_skeleton(marks: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def _as_of_section(segments: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """Segments with ``_s``, the last section that begins by then."""
+    cell = F.struct("sec_start", "sec_end", "title")
+    return scan.running_max(segments, skeleton, SOURCE, "start", "sec_start", cell, "_s")
+
+
 def assign_sections(segments: DataFrame, skeleton: DataFrame) -> DataFrame:
-    """Segments with the title and start of the section they fall into."""
-    spans = skeleton.withColumnRenamed("title", "sec_title")
-    joined = point_in_interval(
-        segments, spans, SOURCE, "start", "sec_start", "sec_end", how="inner"
-    )
-    return joined.drop("sec_end")
+    """Segments with the title and start of the section they fall into: an as-of join."""
+    return _as_of_section(segments, skeleton).where(F.col("start") < F.col("_s.sec_end")).select(
+        *segments.columns, F.col("_s.title").alias("sec_title"), "_s.sec_start")
 
 
 def outside_sections(segments: DataFrame, skeleton: DataFrame) -> DataFrame:
     """Segments that no section takes: those ``assign_sections`` leaves out."""
-    spans = skeleton.select("source_id", "sec_start", "sec_end")
-    return point_in_interval(
-        segments, spans, SOURCE, "start", "sec_start", "sec_end", how="left_anti"
-    )
+    within = F.coalesce(F.col("start") < F.col("_s.sec_end"), F.lit(False))
+    return _as_of_section(segments, skeleton).where(~within).drop("_s")
 
 
 def section_table(assigned: DataFrame, keys: tuple[str, ...] = ("sec_start",)) -> DataFrame:

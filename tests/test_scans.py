@@ -54,6 +54,57 @@ def test_intervals(spark, width):
     assert sorted((r.k, r.i, r.lo, r.hi) for r in joined.collect()) == want
 
 
+@pytest.mark.parametrize("block", [1.0, 9.0, 1e9])
+def test_as_of_carry(spark, block):
+    """Marks at one time, rows before any mark, without a time, of a key without marks; clashing names."""
+    rng = random.Random(6)
+    rows = [(k, i, rng.choice([None, float(rng.randint(0, 60))]), "v") for k in range(4) for i in range(80 if k == 0 else 15)]
+    marks = [(k, float(rng.randint(5, 60)), rng.randint(0, 9)) for k in range(3) for _ in range(30 if k == 0 else 3)]
+    r = spark.createDataFrame(rows, "k int, i int, t double, v string").repartition(5)
+    m = spark.createDataFrame(marks, "k int, at double, v int").repartition(3)
+    got = scan.running_max(r, m, ["k"], "t", "at", F.struct("at", "v"), "mark", block)
+    assert got.columns == ["k", "i", "t", "v", "mark"]
+    seen = {(x.k, x.i): (x.mark and (x.mark.at, x.mark.v)) for x in got.collect()}
+    assert len(seen) == len(rows)
+    for k, i, t, _ in rows:
+        want = max(((at, v) for j, at, v in marks if j == k and t is not None and at <= t), default=None)
+        assert seen[k, i] == want
+
+
+@pytest.mark.parametrize("block", [2.0, 11.0, 1e9])
+def test_coalesced(spark, block):
+    rng = random.Random(8)
+    spans = []
+    for k in range(3):
+        for _ in range(60 if k == 0 else 5):
+            lo = float(rng.randint(0, 300))
+            spans.append((k, lo, rng.choice([lo, lo + 1, lo + 3, lo + 40]) if rng.random() < 0.9 else lo + 2))
+    spans += [(2, 290.0, float("inf")), (2, None, 3.0), (2, 3.0, None)]
+    df = spark.createDataFrame(spans, "k int, lo double, hi double").repartition(4)
+    want = []
+    for k in range(3):
+        for lo, hi in sorted((lo, hi) for j, lo, hi in spans if j == k and lo is not None and hi is not None):
+            if want and want[-1][0] == k and lo <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(hi, want[-1][2]))
+            else:
+                want.append((k, lo, hi))
+    got = intervals.coalesced(df, ["k"], "lo", "hi", block)
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_hot_source_is_many_tasks(spark):
+    """One source with a hundred thousand silences: blocks are spread, the plan has no explode and no loop join."""
+    rows = spark.range(40_000).selectExpr("1 AS k", "id AS i", "id * 1.0D AS t")
+    spans = spark.range(100_000).selectExpr("1 AS k", "id * 0.4D AS lo", "id * 0.4D + (id % 7) * 0.05D AS hi")
+    flagged = intervals.flag_inside(rows, spans, ["k"], "t", "lo", "hi", "inside", 60.0)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "NestedLoop" not in plan
+    assert "hashpartitioning(k" in plan and "_block" in plan.split("hashpartitioning(k")[1][:40]
+    where = flagged.where("inside").select("t").repartition(1).collect()
+    covered = lambda t: any(0.4 * j <= t <= 0.4 * j + (j % 7) * 0.05 for j in range(max(0, int(t / 0.4) - 1), int(t / 0.4) + 2))
+    assert {r.t for r in where} >= {float(t) for t in range(0, 40_000, 97) if covered(float(t) - 1e-7) and covered(float(t) + 1e-7)}
+
+
 def test_cap_frames_matches_rule(spark):
     rng = random.Random(5)
     for total in (20, 21, 37, 81, 199, 400):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import hashes, ledger, pages, parts, screen, sections
+from lectern.operators import hashes, intervals, ledger, pages, parts, screen, sections
 from lectern.operators.stage import stage
 from lectern.sources import silence
 
@@ -63,6 +63,18 @@ def d5(spark, sf):
     return out.select("source_id", "frame_idx", "ts", "in_silence")
 
 
+@query("d5_coalesced_silences", cte(fx.SILENCE_LOG) + """
+SELECT source_id, min(start) AS start, max("end") AS "end" FROM (
+  SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS stretch FROM (
+    SELECT *, max("end") OVER (PARTITION BY source_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM (SELECT source_id, start, "end" + 30 AS "end" FROM silences)))
+GROUP BY source_id, stretch""")
+def d5c(spark, sf):
+    """Silences with half a minute of margin, as disjoint stretches."""
+    wide = silences(spark, sf).withColumn("end", F.col("end") + 30)
+    return intervals.coalesced(stage(wide), ["source_id"], "start", "end")
+
+
 def flagged(spark, sf):
     """Screens with the silence flag, written once."""
     return stage(screen.flag_silence(stage(frames(spark, sf)), stage(silences(spark, sf))))
