@@ -143,6 +143,30 @@ def section_table(assigned: DataFrame, keys: tuple[str, ...] = ("sec_start",)) -
     )
 
 
+def _distinct_starts(sections: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` (source_id, sec_start, window_id, _first) with ``_own``, a start no other row has.
+
+    Ties are spread over the gap up to the next start of the source, a microsecond apart
+    or, at large times, a few steps of the number format.
+    """
+    keys = ["source_id", "sec_start"]
+    marks = sections.select("source_id", F.col("sec_start").alias("_v")).unionByName(
+        parts.select("source_id", F.col("_first").alias("_v"))).distinct()
+    linked = scan.next_value(
+        marks.withColumn("_block", scan.block_of(F.col("_v"), scan.BLOCK_SECONDS)), SOURCE, ["_v"], "_block",
+        {"_v": "_next"})
+    alike = Window.partitionBy(*keys, "_first")
+    rank = F.row_number().over(alike.orderBy("window_id")) - F.when(
+        F.col("_first") == F.col("sec_start"), 0).otherwise(1)
+    placed = parts.withColumn("_rank", rank).withColumn("_ties", F.count(F.lit(1)).over(alike))
+    room = (F.col("_next") - F.col("_first")) / (F.col("_ties") + 1)
+    step = F.least(F.greatest(F.lit(1e-6), F.abs("_first") * 1e-15), room)
+    return placed.join(
+        linked.select("source_id", F.col("_v").alias("_first"), "_next"), ["source_id", "_first"]
+    ).select(*keys, "window_id", F.when(F.col("_rank") == 0, F.col("_first")).otherwise(
+        F.col("_first") + F.col("_rank") * step).alias("_own"))
+
+
 def split_oversized(
     assigned: DataFrame, limit: int, block_rows: int = scan.BLOCK_ROWS
 ) -> DataFrame:
@@ -150,9 +174,9 @@ def split_oversized(
 
     A part is a section of its own from here on: the first keeps the section's
     ``sec_start``, later ones start where their first segment does, so that requests,
-    notes and ledgers have one row per part. Parts that begin at the same instant are
-    told apart by a microsecond. Sections that fit keep ``part_no`` NULL, their start
-    and their title.
+    notes and ledgers have one row per part. Parts that begin at the same instant, or with
+    their section, are told apart by a microsecond, or less where the next start is nearer.
+    Sections that fit keep ``part_no`` NULL, their start and their title.
     """
     keys = ["source_id", "sec_start"]
     line = F.length(stamped_line(F.col("start"), F.col("text")))
@@ -179,11 +203,7 @@ def split_oversized(
     opened = placed.where(F.col("window_id") > 0).groupBy(*keys, "window_id").agg(
         F.min("start").alias("_first")
     )
-    ties = Window.partitionBy(*keys, "_first").orderBy("window_id")
-    own = opened.select(
-        *keys, "window_id",
-        (F.col("_first") + F.lit(1e-6) * (F.row_number().over(ties) - 1)).alias("_own"),
-    )
+    own = _distinct_starts(assigned.select(*keys).distinct(), opened)
     return (
         placed.join(own, [*keys, "window_id"], "left")
         .withColumn("sec_start", F.coalesce("_own", "sec_start"))

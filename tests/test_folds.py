@@ -132,6 +132,25 @@ def test_split_titles_and_whole_sections(spark):
     assert {r.sec_title for r in whole} == {"T"} and all(r.part_no is None for r in whole)
 
 
+def test_parts_have_keys_of_their_own(spark):
+    """Parts that begin with their section, together, just before the next section, and at large times."""
+    starts = [0.0] * 6 + [0.5] * 3 + [1.0000001] * 6 + [1.0000002] * 3 + [4e9] * 8
+    rows = [("a", i, t, t + 1, "x" * 50, 0.0 if t < 1 else 1.0000001 if t < 1.0000002 else 1.0000002 if t < 2 else 4e9, "T")
+            for i, t in enumerate(starts)]
+    df = spark.createDataFrame(rows, "source_id string, seq int, start double, end double, text string, sec_start double, sec_title string")
+    split = sections.split_oversized(df, 130, block_rows=4)
+    table = sections.section_table(split)
+    got = {r.seq: r for r in split.collect()}
+    parts = {}
+    for i, t in enumerate(starts):
+        parts.setdefault((rows[i][5], got[i].part_no), set()).add(got[i].sec_start)
+    assert all(len(v) == 1 for v in parts.values())
+    keys = sorted((s, 0 if p is None else p) for s, p in parts)
+    own = [next(iter(parts[k] if k in parts else parts[(k[0], None)])) for k in keys]
+    assert own == sorted(own) and len(set(own)) == len(own) == table.count() == 3 + 2 + 3 + 2 + 4
+    assert {got[0].sec_start, got[9].sec_start} == {0.0, 1.0000001}
+
+
 def test_single_batch_when_joined_text_fits(spark):
     blocks = spark.createDataFrame([("a", i, "b" * 9) for i in range(3)], "source_id string, seq int, block string")
     # three blocks of nine and two separators are 31 characters
