@@ -15,7 +15,9 @@ planner uses up either a length or a class of open sequences.
 
 Tokenising looks at distinct words: texts are normalised and split the way the tokenizer
 does it, words are hashed, and only words a worker has not met are handed to the
-tokenizer. Texts that hold its special strings are encoded whole.
+tokenizer. The classes of characters that words are made of are learned from the tokenizer
+itself. Texts that hold its special strings, or a character that is not assigned or that its
+tables and Python's treat differently, are encoded whole.
 
 Defined results: a null or empty text is the closing token alone; repeated rows are
 packed each on its own; other columns are not carried; an empty table gives no rows.
@@ -47,8 +49,8 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 TABLE_BITS = 20  # slots of a worker's word table
 POOL = 1 << 19  # words a worker keeps before it starts anew
 
-# The pre-tokenizer's classes and its contractions (fixed values of the vocabulary file).
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
+# The pre-tokenizer's classes of characters, and its contractions (fixed values of the vocabulary file).
+LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 0, 3, 4
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -57,21 +59,47 @@ class WordTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        places = np.delete(np.arange(0x110000, dtype=np.uint32), slice(0xD800, 0xE000))
-        every = places.tobytes().decode("utf-32-le")
-        self.kinds = np.full(0x110000, OTHER, np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, every):
-                self.kinds[places[m.start(): m.end()]] = kind
+        self.kinds = self._learned_kinds()
         self.reset()
 
+    def _learned_kinds(self) -> np.ndarray:
+        """The class of every code point, as the tokenizer's own splitter treats it.
+
+        Characters that are not assigned, private ones, and those that the tokenizer
+        normalises in another way than ``unicodedata`` are ``UNSURE``: tables of different
+        ages disagree on them, so texts with such a character are encoded whole.
+        """
+        every = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+        kinds = np.full(0x110000, UNSURE, np.uint8)
+        codes = np.array([ord(c) for c in every])
+        probe = " ".join(f"a{c}a {c}{c}" for c in every)  # seven characters and a space each
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)
+        starts = np.array([span[0] for _, (*span,) in found])
+        number, inside = starts // 7, starts % 7
+        between = np.bincount(number[inside < 4], minlength=len(every))
+        twice = np.bincount(number[inside >= 4], minlength=len(every))
+        for kind, counts in ((LETTER, (1, 1)), (NUMBER, (3, 2)), (OTHER, (3, 1)), (SPACE, (2, 0))):
+            kinds[codes[(between == counts[0]) & (twice == counts[1])]] = kind
+        normal = self.tokenizer.normalizer.normalize_str
+        # alone, between the parts of a syllable, and marks beside one mark of each class of order
+        classes = {unicodedata.ucd_3_2_0.combining(c): c for c in reversed(every)}
+        marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+        shapes = [("{}", every), ("\u1100{}\u11a8", every)]
+        shapes += [(shape, marks) for m in classes.values() for shape in (f"a{{}}{m}", f"a{m}{{}}")]
+        for shape, some in shapes:
+            texts = [shape.format(c) for c in some]
+            theirs = normal("\0".join(texts)).split("\0")
+            apart = [ord(c) for c, x, y in zip(some, theirs, map(_normalised, texts))
+                     if x != y and kinds[ord(c)] != SPACE]
+            kinds[apart] = UNSURE
+        return kinds
+
     def reset(self) -> None:
         self.slot_hash = np.zeros(1 << TABLE_BITS, np.uint64)
         self.slot_word = np.full(1 << TABLE_BITS, -1, np.int32)
@@ -89,7 +117,7 @@ class WordTokens:
             for e in self.tokenizer.encode_batch_fast(joined[i: i + 8], add_special_tokens=False)])
         last = np.flatnonzero(self.ends[found])
         if len(last) != len(words):
-            raise ValueError("a word was not encoded as one word")
+            raise Unsplit
         counts = np.diff(np.concatenate([[-1], last]))
         first, k = self.words, len(words)
         if first + k > len(self.count):
@@ -130,14 +158,30 @@ class WordTokens:
         """(ids of all texts in order, number of ids of each text)."""
         if self.words > POOL:
             self.reset()
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids
-                 for i, t in enumerate(texts) if "<|" in t and any(s in t for s in SPECIAL)}
+        alone = {i for i, t in enumerate(texts) if "<|" in t and any(s in t for s in SPECIAL)} | self._unsure(texts)
+        try:
+            return self._encode(texts, alone)
+        except Unsplit:  # the tokenizer does not take these words one by one after all
+            self.reset()
+            return self._encode(texts, set(range(len(texts))))
+
+    def _unsure(self, texts: list[str]) -> set[int]:
+        """Texts with a character that is not surely treated alike here and in the tokenizer."""
+        some = [i for i, t in enumerate(texts) if not t.isascii() or "\0" in t]
+        if not some:
+            return set()
+        codes = np.frombuffer("".join(texts[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.cumsum([len(texts[i]) for i in some])
+        return {some[k] for k in np.unique(np.searchsorted(
+            bounds, np.flatnonzero(self.kinds[codes] == UNSURE), "right")).tolist()}
+
+    def _encode(self, texts: list[str], alone: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        whole = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in alone}
         parts = ["" if i in whole else t for i, t in enumerate(texts)]
         text = "\n".join(parts)
         if not unicodedata.is_normalized("NFC", text):
             parts = [unicodedata.normalize("NFC", t) for t in parts]
-        # lower case letter by letter, as the tokenizer does it: no final-sigma rule
-        parts = [t.replace("Σ", "σ").lower() for t in parts]
+        parts = [_lower(t) for t in parts]
         text = "\n".join(parts)
         bounds = np.cumsum([0] + [len(t) + 1 for t in parts])
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -179,6 +223,19 @@ class WordTokens:
                     break
 
 
+class Unsplit(Exception):
+    """A word that the tokenizer encodes as none or several."""
+
+
+def _lower(text: str) -> str:
+    """Lower case letter by letter, as the tokenizer does it: no final-sigma rule."""
+    return text.replace("Σ", "σ").lower()
+
+
+def _normalised(text: str) -> str:
+    return _lower(unicodedata.normalize("NFC", text))
+
+
 def _spread(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = mixed(hashes + lengths.astype(np.uint64) * MIX)

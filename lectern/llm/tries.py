@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import short_batches
+from .textbytes import short_batches, written
 
 TRIE_BYTES = 48 << 20  # label bytes a task keeps in its trie
 ROW_BYTES = 200  # what a terminal costs besides its label
@@ -146,7 +146,8 @@ def owners(
 
     ``digest`` is the sha256 of the lower-cased text, ``row`` a struct of the columns
     ``keep`` of the owner's row. Two passes over tries: per task, then per partition of
-    length and content hash.
+    length and content hash. Where the text is one of the kept columns it travels once,
+    and the second pass takes the key from the row.
     """
     short_batches(docs)
     fields = {f.name: f for f in docs.schema.fields}
@@ -164,19 +165,24 @@ def owners(
         T.StructField("copies", T.LongType()), T.StructField("row", row_type),
     ])
     final = T.StructType([f for f in partial.fields if f.name != "key"])
+    inside = f"c{keep.index(text)}" if text in keep else None
+
+    def key_of(raw: str | bytes | None) -> bytes:
+        """The lower-cased bytes; bytes.lower changes A-Z only."""
+        return (b"" if raw is None else raw.encode() if isinstance(raw, str) else raw).lower()
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         add, flush = _emitter(to_arrow_schema(partial), 512)
         trie = Trie(largest)
-        out = lambda o: add((len(o[2][1]), o[2][0], o[2][1], o[0], o[1], o[2][2]))
+        out = lambda o: add((
+            len(o[2][1]), o[2][0], o[2][1] if inside is None else None, o[0], o[1], o[2][2]))
         for batch in batches:
             texts = batch.column("text")
             for identifier, value, row in zip(
                     batch.column("id").to_pylist(), texts, batch.column("row").to_pylist()):
-                raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-                key = raw.lower()  # bytes.lower changes A-Z only
+                key = key_of(value.as_buffer().to_pybytes() if value.is_valid else None)
                 trie.add(key, identifier, 1, (hashlib.sha256(key).digest(), key, row))
                 while trie.bytes > trie_bytes and trie.root.children:
                     for o in trie.spill():
@@ -196,6 +202,8 @@ def owners(
             for n, digest, key, owner, copies, row in zip(
                     columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_pylist(),
                     columns[3].to_pylist(), columns[4].to_pylist(), columns[5].to_pylist()):
+                if inside is not None:
+                    key = key_of(row[inside])
                 if trie.bytes > trie_bytes and (n, digest) != last:
                     for o in trie.all():
                         yield from out(o)
@@ -243,13 +251,18 @@ def groups(
 ) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
-    Of equal rows with the owner's identifier, every one is marked kept here, since they
-    cannot be told apart; ``survivors`` returns one of them.
+    Of equal rows with the owner's identifier, one is kept: the first as they were read.
     """
+    rows = written(fingerprints(docs, id_column, text).withColumn("row", F.monotonically_increasing_id()))
     own = owners(docs, id_column, text, largest).select("n_bytes", "digest", "owner", "copies")
-    return fingerprints(docs, id_column, text).join(own, ["n_bytes", "digest"]).select(
+    # copies of one row are added up before they meet
+    first = rows.groupBy("n_bytes", "digest", "id").agg(F.min("row").alias("first"))
+    text_of = (own.n_bytes == first.n_bytes) & (own.digest == first.digest)
+    chosen = own.join(first, text_of & own.owner.eqNullSafe(first.id)).select(
+        own.n_bytes, own.digest, "owner", "copies", "first")
+    return rows.join(chosen, ["n_bytes", "digest"]).select(
         "id", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("owner")).alias("kept"),
+        (F.col("row") == F.col("first")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,7 +66,10 @@ def pairs(df, *columns):
 
 
 def test_exact_groups(odd):
-    got = Counter(pairs(tries.groups(odd), "id", "keep_id", "group_size", "kept", "text_sha256"))
+    rows_ = pairs(tries.groups(odd), "id", "keep_id", "group_size", "kept", "text_sha256")
+    got = Counter((i, keep, size, digest) for i, keep, size, _, digest in rows_)
+    assert Counter((d, k, i) for i, k, _, kept, d in rows_ if kept) == Counter(  # one row of each text, the owner's
+        {(d, k, k): 1 for _, k, _, _, d in rows_})
     by_text = defaultdict(list)
     rows = pairs(odd, "doc_id", "text")
     for i, t in rows:
@@ -74,7 +78,7 @@ def test_exact_groups(odd):
     for i, t in rows:
         ids = by_text[lower(t)]
         keep = max((x for x in ids if x is not None), default=None)
-        want[(i, keep, len(ids), i == keep, hashlib.sha256(lower(t).encode()).hexdigest())] += 1
+        want[(i, keep, len(ids), hashlib.sha256(lower(t).encode()).hexdigest())] += 1
     assert got == want
 
 
@@ -519,3 +523,43 @@ def test_grades(labelled, odd, empty, spark):
     assert all(0 <= p <= 1 and p <= e <= 2 for e, p in rows)
     assert grades.grade(empty, model, tail=1).count() == 0
     grades.train(odd, empty.selectExpr("doc_id", "quality AS rating"), ~features.held_out(), grades=3)
+
+
+# --- words as the tokenizer splits them -----------------------------------------------
+
+
+def apart(words, texts):
+    """Texts whose ids differ from those of the tokenizer itself."""
+    ids, lengths = words.encode(texts)
+    found = np.split(ids, np.cumsum(lengths)[:-1])
+    return [t for t, own in zip(texts, found)
+            if own.tolist() != words.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_every_code_point_and_random_unicode():
+    """Alone, between letters, digits and marks; assigned or not; special strings in between."""
+    words = packing.WordTokens(queries.tokenizer_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(every), 50_000):
+        assert not apart(words, [f"{c} a{c}a 1{c}1 e\u0301{c}\u0301'{c}" for c in every[a: a + 50_000: 7]])
+    surely = [c for c in every if words.kinds[ord(c)] != packing.UNSURE]
+    assert not apart(words, [f"{c} a{c}a 1{c}1 e\u0301{c}\u0301'{c}" for c in surely])
+    rng = random.Random(3)
+    marks = [c for c in surely if unicodedata.category(c)[0] == "M"]
+    pools = [every, surely, marks, list("aeiou'st09 \n"), list("\u1100\u1161\u11a8가"), ["<|endoftext|>", "\0", "Σ"]]
+    assert not apart(words, ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 40))) for _ in range(20_000)])
+
+
+def test_words_that_do_not_come_back(monkeypatch):
+    """Where the tokenizer joins or cuts words after all, texts are encoded whole."""
+    words = packing.WordTokens(queries.tokenizer_path())
+    words.kinds[ord("b")] = packing.SPACE
+    words.kinds[ord("-")] = packing.LETTER
+    assert not apart(words, ["a-a - a", "plain words", "-"])
+
+
+def test_packing_of_unassigned_characters(spark):
+    rows = [(1, "\U0001902fg"), (2, "\U00018D82\u0367"), (3, "a\u0558a"), (4, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = queries.tokenizer_path()
+    check_packing(rows, pairs(packing.pack_documents(docs, path, 16), *packing.OUTPUT), path, 16)
