@@ -57,7 +57,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 class WordTokens:
     """Token ids of texts by way of their distinct words; one per Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: tuple[np.ndarray, np.ndarray] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         from tokenizers import Tokenizer
 
@@ -65,41 +65,10 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.kinds = self._learned_kinds()
+        first, kind = classes if classes is not None else learned_classes(path)
+        self.kinds = np.repeat(kind, np.diff(np.append(first, 0x110000)))
         self.reset()
 
-    def _learned_kinds(self) -> np.ndarray:
-        """The class of every code point, as the tokenizer's own splitter treats it.
-
-        Characters that are not assigned, private ones, and those that the tokenizer
-        normalises in another way than ``unicodedata`` are ``UNSURE``: tables of different
-        ages disagree on them, so texts with such a character are encoded whole.
-        """
-        every = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
-        kinds = np.full(0x110000, UNSURE, np.uint8)
-        codes = np.array([ord(c) for c in every])
-        probe = " ".join(f"a{c}a {c}{c}" for c in every)  # seven characters and a space each
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)
-        starts = np.array([span[0] for _, (*span,) in found])
-        number, inside = starts // 7, starts % 7
-        between = np.bincount(number[inside < 4], minlength=len(every))
-        twice = np.bincount(number[inside >= 4], minlength=len(every))
-        for kind, counts in ((LETTER, (1, 1)), (NUMBER, (3, 2)), (OTHER, (3, 1)), (SPACE, (2, 0))):
-            kinds[codes[(between == counts[0]) & (twice == counts[1])]] = kind
-        normal = self.tokenizer.normalizer.normalize_str
-        # alone, between the parts of a syllable, and marks beside one mark of each class of order
-        classes = {unicodedata.ucd_3_2_0.combining(c): c for c in reversed(every)}
-        marks = [c for c in every if unicodedata.category(c)[0] == "M"]
-        shapes = [("{}", every), ("\u1100{}\u11a8", every)]
-        shapes += [(shape, marks) for m in classes.values() for shape in (f"a{{}}{m}", f"a{m}{{}}")]
-        for shape, some in shapes:
-            texts = [shape.format(c) for c in some]
-            theirs = normal("\0".join(texts)).split("\0")
-            apart = [ord(c) for c, x, y in zip(some, theirs, map(_normalised, texts))
-                     if x != y and kinds[ord(c)] != SPACE]
-            kinds[apart] = UNSURE
-        return kinds
-
     def reset(self) -> None:
         self.slot_hash = np.zeros(1 << TABLE_BITS, np.uint64)
         self.slot_word = np.full(1 << TABLE_BITS, -1, np.int32)
@@ -158,23 +127,13 @@ class WordTokens:
         """(ids of all texts in order, number of ids of each text)."""
         if self.words > POOL:
             self.reset()
-        alone = {i for i, t in enumerate(texts) if "<|" in t and any(s in t for s in SPECIAL)} | self._unsure(texts)
+        alone = {i for i, t in enumerate(texts) if "<|" in t and any(s in t for s in SPECIAL)}
         try:
             return self._encode(texts, alone)
         except Unsplit:  # the tokenizer does not take these words one by one after all
             self.reset()
             return self._encode(texts, set(range(len(texts))))
 
-    def _unsure(self, texts: list[str]) -> set[int]:
-        """Texts with a character that is not surely treated alike here and in the tokenizer."""
-        some = [i for i, t in enumerate(texts) if not t.isascii() or "\0" in t]
-        if not some:
-            return set()
-        codes = np.frombuffer("".join(texts[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32)
-        bounds = np.cumsum([len(texts[i]) for i in some])
-        return {some[k] for k in np.unique(np.searchsorted(
-            bounds, np.flatnonzero(self.kinds[codes] == UNSURE), "right")).tolist()}
-
     def _encode(self, texts: list[str], alone: set[int]) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in alone}
         parts = ["" if i in whole else t for i, t in enumerate(texts)]
@@ -186,6 +145,9 @@ class WordTokens:
         bounds = np.cumsum([0] + [len(t) + 1 for t in parts])
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = self.kinds[codes]
+        unsure = np.flatnonzero(kinds == UNSURE)
+        if len(unsure):  # no normalisation makes such a character a sure one
+            return self._encode(texts, alone | set((np.searchsorted(bounds, unsure, "right") - 1).tolist()))
         change = np.empty(len(kinds), bool)
         if len(kinds):
             change[0] = True
@@ -223,6 +185,46 @@ class WordTokens:
                     break
 
 
+_CLASSES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def learned_classes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first code point, class) of the runs of code points that the tokenizer's splitter treats alike.
+
+    Characters that are not assigned, private ones, and those that the tokenizer normalises
+    in another way than ``unicodedata`` are ``UNSURE``: tables of different ages disagree on
+    them, so texts with such a character are encoded whole. The runs are a few kilobytes.
+    """
+    if path in _CLASSES:
+        return _CLASSES[path]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    every = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    kinds = np.full(0x110000, UNSURE, np.uint8)
+    # alone, between the parts of a syllable, and marks beside one mark of each class of order
+    classes = {unicodedata.ucd_3_2_0.combining(c): c for c in reversed(every)}
+    beside = [shape for m in classes.values() for shape in (f"a{{}}{m}", f"a{m}{{}}")]
+    for at in range(0, len(every), 10_000):
+        some = every[at: at + 10_000]
+        codes = np.array([ord(c) for c in some])
+        probe = " ".join(f"a{c}a {c}{c}" for c in some)  # seven characters and a space between them
+        starts = np.array([span[0] for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(probe)])
+        number, inside = starts // 7, starts % 7
+        between = np.bincount(number[inside < 4], minlength=len(some))
+        twice = np.bincount(number[inside >= 4], minlength=len(some))
+        for kind, counts in ((LETTER, (1, 1)), (NUMBER, (3, 2)), (OTHER, (3, 1)), (SPACE, (2, 0))):
+            kinds[codes[(between == counts[0]) & (twice == counts[1])]] = kind
+        marks = [c for c in some if unicodedata.category(c)[0] == "M"]
+        for shape, own in [("{}", some), ("\u1100{}\u11a8", some), *[(b, marks) for b in beside if marks]]:
+            texts = [shape.format(c) for c in own]
+            theirs = tokenizer.normalizer.normalize_str("\0".join(texts)).split("\0")
+            kinds[[ord(c) for c, x, y in zip(own, theirs, map(_normalised, texts))
+                   if x != y and kinds[ord(c)] != SPACE]] = UNSURE
+    first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+    return _CLASSES.setdefault(path, (first, kinds[first]))
+
+
 class Unsplit(Exception):
     """A word that the tokenizer encodes as none or several."""
 
@@ -255,6 +257,7 @@ def pieces(
     ``nth`` numbers the pieces of one length within the task that cut them.
     """
     short_batches(docs)
+    classes = learned_classes(tokenizer)
     schema = T.StructType([
         T.StructField("id", docs.schema[id_column].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -264,7 +267,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        words = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, WordTokens(tokenizer))
+        words = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, WordTokens(tokenizer, classes))
         for batch in batches:
             for rows, _, _ in row_chunks(batch, "text", CHUNK):
                 texts = [t or "" for t in rows.column("text").to_pylist()]

@@ -6,9 +6,13 @@ the two sets. Two sets of sizes a and b with Jaccard at least t differ in at mos
 ``(1 - t) / (1 + t) * (a + b)`` shingles, D say. The sketch of a size band is cut into
 more than D words; differing shingles fall into D of them at most, so similar documents
 agree in a whole word, shingle for shingle. Documents meet where band, word number, word
-and the parity of the shingle hashes in it agree. Words with fewer than ``FEW`` shingles
-say little and would meet by chance: ``spare`` extra words make up for them, and only a
-document with more such words than spares sends them too, so no link is lost.
+and the parity of the shingle hashes in it agree. Words with few shingles say little and
+would meet by chance: a sketch has words to spare, more of them the smaller a document is
+in its band, and a document leaves out its words of the fewest shingles as far as its
+spares go. Spares that are left over pay for buckets: linked documents then share more
+buckets than that, and the one of them with the fewest members is never among the largest
+ones of either, so each document leaves as many of its largest buckets as it has spares to
+give. No link is lost.
 
 Documents with the same set form a class, and one of them stands for it. Links between
 classes are found in rounds. A bucket first proposes its members to the one that meets most others;
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +45,8 @@ from .textbytes import (
     CHUNK, MIX, mixed, ranges, row_chunks, short_batches, word_codes, word_spans, written,
 )
 
-FEW = 3  # one where D + 1 words hold so few shingles that only empty ones can be spared
 SMALL = 12  # members of a bucket whose pairs are verified without comparing sketches
-SKETCH = 32  # words of 64 bits of a sketch for comparison
+SKETCH_BITS = 4  # of a sketch for comparison, for each shingle that linked sets may differ in
 BLOCK = 4096  # members of a mixed bucket that are compared with as many others in one task
 PARTNERS = 1024  # partners of a hub that one task verifies
 RATIO = 1.4  # of the largest to the smallest size in a band
@@ -61,10 +64,17 @@ class Bands:
         self.low = np.array(low, np.int64)
         high = np.append(self.low[1:] - 1, top)
         self.most = (den - num) * 2 * high // (den + num)  # differing shingles in a linked pair
-        spare = np.where(self.most > 0, 1 + self.most // 12, 0)
-        self.spare = spare
-        self.words = self.most + 1 + spare
-        self.few = FEW if (den + num) // (2 * (den - num)) >= 8 else 1
+        # a word has some (den + num) / 2 (den - num) shingles; the fewer, the more spares
+        self.few, share = (3, 12) if (den + num) // (2 * (den - num)) >= 8 else (2, 3)
+        self.words = self.most + 1 + np.where(self.most > 0, 1 + self.most // share, 0)
+        self.high = high
+        # words of 64 bits for comparison, powers of two, so that a long sketch folds to a short one
+        need = np.maximum(SKETCH_BITS * self.most // 64, 3)
+        self.sketch = 1 << (np.floor(np.log2(need)).astype(np.int64) + 1)
+
+    def spare(self, band: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Words of a sketch in ``band`` that agree with any linked one's, beyond the first."""
+        return self.words[band] - 1 - (self.den - self.num) * (n + self.high[band]) // (self.den + self.num)
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own band, whether a linked partner may be in the next band)."""
@@ -102,8 +112,9 @@ def shingles(
 def band_keys(
     doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, band: np.ndarray,
     bands: Bands,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket key) for the documents ``docs``, each in its ``band``."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket key) for the documents ``docs``, each in its ``band``, and how many
+    of its largest buckets each of them may leave."""
     words = bands.words[band]
     base = np.cumsum(words) - words
     row = np.full(len(sizes), -1, np.int64)
@@ -121,26 +132,30 @@ def band_keys(
         held = np.bincount(slot, minlength=flat)
         owner = np.repeat(np.arange(len(docs)), words)
         number = np.arange(flat) - base[owner]
-        few = held < bands.few
-        too_many = np.bincount(owner, weights=few, minlength=len(docs)) > bands.spare[band]
-        send = ~few | too_many[owner]
+        spare = bands.spare(band, sizes[docs])
+        send = np.ones(flat, bool)
+        for few in range(1, bands.few + 1):  # fewest shingles first, while the spares make up for them
+            spared = np.bincount(owner, weights=held < few, minlength=len(docs)).astype(np.int64)
+            send &= ~((held < few) & (spared <= spare)[owner])
         place = band[owner].astype(np.uint64) * np.uint64(1 << 32) + number.astype(np.uint64)
         keys = mixed(mixed(mixed(place + MIX) + sketch) + parity)
-    return docs[owner[send]], keys[send].view(np.int64)
+    return docs[owner[send]], keys[send].view(np.int64), np.maximum(spare - spared, 0)
 
 
 def sketch_table(
     docs: DataFrame, bands: Bands, width: int, id_column: str, text: str
 ) -> DataFrame:
-    """(rid, id, tx, n, s1, s2, sketch, keys) of each row: set size and signature, a sketch of
-    one length for all sizes, bucket keys."""
+    """(rid, id, tx, n, s1, s2, sketch, keys, leave, above, leave_above) of each row: set size
+    and signature, a sketch whose length goes by the band, bucket keys in the own band and
+    those in the one above, each with the number of largest buckets to be left."""
     short_batches(docs)
     schema = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_column].dataType),
         T.StructField("tx", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
         T.StructField("sketch", T.ArrayType(T.LongType())),
-        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("leave", T.LongType()),
+        T.StructField("above", T.ArrayType(T.LongType())), T.StructField("leave_above", T.LongType()),
     ])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,22 +172,23 @@ def sketch_table(
                     s1, s2 = ((s[ends] - s[ends - n]).view(np.int64) for s in sums)
                 own, beyond = bands.of(np.maximum(n, 1))
                 some = np.flatnonzero(n > 0)
-                d1, k1 = band_keys(doc, hashes, n, some, own[some], bands)
                 also = np.flatnonzero((n > 0) & beyond)
-                d2, k2 = band_keys(doc, hashes, n, also, own[also] + 1, bands)
-                d, key = np.concatenate([d1, d2]), np.concatenate([k1, k2])
-                order = np.argsort(d, kind="stable")
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(np.bincount(d, minlength=k))]), pa.int32()),
-                    pa.array(key[order]))
-                bit = (mixed(hashes ^ MIX) >> np.uint64(12)).astype(np.int64) % (SKETCH * 64)
-                bits = np.zeros(k * SKETCH, np.uint64)
-                np.bitwise_xor.at(bits, doc * SKETCH + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
-                sketches = pa.ListArray.from_arrays(
-                    pa.array(np.arange(k + 1) * SKETCH, pa.int32()), pa.array(bits.view(np.int64)))
+                columns = []
+                for mine, band in ((some, own[some]), (also, own[also] + 1)):
+                    d, key, left = band_keys(doc, hashes, n, mine, band, bands)
+                    order = np.argsort(d, kind="stable")
+                    leave = np.zeros(k, np.int64)
+                    leave[mine] = left
+                    columns += [_lists(np.bincount(d, minlength=k), key[order]), pa.array(leave)]
+                size = bands.sketch[np.minimum(own + 1, len(bands.sketch) - 1)]
+                first = np.cumsum(size) - size
+                bit = (mixed(hashes ^ MIX) >> np.uint64(12)).astype(np.int64) % (size[doc] * 64)
+                bits = np.zeros(int(size.sum()), np.uint64)
+                np.bitwise_xor.at(bits, first[doc] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(rid, rid + k)), rows.column("id"), rows.column("tx"),
-                    pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), sketches, lists],
+                    pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
+                    _lists(size, bits.view(np.int64)), *columns],
                     names=schema.names)
                 rid += k
 
@@ -182,8 +198,26 @@ def sketch_table(
     ).mapInArrow(sketch, schema)
 
 
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def telling(buckets: DataFrame, leave: DataFrame) -> DataFrame:
+    """(key, rid) of ``buckets`` (key, rid, side) without each document's largest ones.
+
+    ``leave`` has (rid, side, leave): how many a document can do without in that band. All
+    documents agree on the sizes, and a bucket left with one member is left altogether.
+    """
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    largest = Window.partitionBy("rid", "side").orderBy(F.desc("members"), "key")  # one document's words
+    kept = buckets.join(sizes, "key").join(leave, ["rid", "side"]).withColumn(
+        "place", F.row_number().over(largest)).where(F.col("place") > F.col("leave")).select("key", "rid", "side")
+    return meetings(kept).select("key", "rid")
+
+
 def meetings(keys: DataFrame) -> DataFrame:
-    """(key, rid) of the buckets with two members or more.
+    """(key, rid, side) of the buckets with two members or more.
 
     Rows arrive sorted by key and member; a bucket is streamed, only its first row is kept.
     """
@@ -192,20 +226,21 @@ def meetings(keys: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rid = (batch.column(c).to_numpy() for c in ("key", "rid"))
+            key, rid, side = (batch.column(c).to_numpy() for c in ("key", "rid", "side"))
             follows = np.zeros(len(key), bool)
             follows[1:] = key[1:] == key[:-1]
             follows[0] = last is not None and key[0] == last
             out = follows.copy()
             out[:-1] |= follows[1:]
-            k, r = key[out], rid[out]
+            k, r, s = key[out], rid[out], side[out]
             if follows[0] and alone:
-                k, r = np.append(k, last), np.append(r, first)
-            last, first, alone = int(key[-1]), int(rid[-1]), not follows[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r)], names=["key", "rid"])
+                k, r, s = np.append(k, last), np.append(r, first[0]), np.append(s, np.int32(first[1]))
+            last, first, alone = int(key[-1]), (int(rid[-1]), int(side[-1])), not follows[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k), pa.array(r), pa.array(s.astype(np.int32))], names=["key", "rid", "side"])
 
     return keys.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(
-        meet, "key long, rid long")
+        meet, "key long, rid long, side int")
 
 
 def with_texts(
@@ -286,8 +321,12 @@ def within_bound(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sketches are no further apart than linked sets may be."""
     own = lambda c: table.select(
         F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    short = F.least(F.size("s_a"), F.size("s_b"))
+    fold = lambda s: F.when(F.size(s) == short, F.col(s)).otherwise(F.transform(
+        F.sequence(F.lit(1), short), lambda i: F.aggregate(
+            F.sequence(i, F.size(s), short), F.lit(0).cast("long"), lambda t, j: t.bitwiseXOR(F.element_at(s, j)))))
     apart = F.aggregate(
-        F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        F.zip_with(fold("s_a"), fold("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = (bands.den - bands.num) * (F.col("n_a") + F.col("n_b")) / (bands.den + bands.num)
     return pairs.join(own("a"), "a").join(own("b"), "b").where(apart <= F.floor(most)).select("a", "b")
 
@@ -325,6 +364,20 @@ def label_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, side("p", 0).union(side("q", 1).where("not alone"))
 
 
+def folded_sketches(lists: pa.ListArray) -> np.ndarray:
+    """Sketches as rows of words, all folded to the length of the shortest."""
+    values = lists.flatten().to_numpy().view(np.uint64)
+    size = np.diff(lists.offsets.to_numpy())
+    first = np.cumsum(size) - size
+    short = int(size.min())
+    out = np.empty((len(size), short), np.uint64)
+    for length in np.unique(size).tolist():
+        rows = np.flatnonzero(size == length)
+        whole = values[first[rows, None] + np.arange(length)]
+        out[rows] = np.bitwise_xor.reduce(whole.reshape(len(rows), length // short, short), axis=1)
+    return out
+
+
 def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
     """(a, b): members of one bucket with different labels and sketches near enough to be linked.
 
@@ -345,8 +398,9 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame
                 np.r_[0: low, high: len(rid2)] if whole else np.arange(len(rid2)))
             if not len(column):
                 continue
-            other, apart = bits2[column], np.zeros((z - a, len(column)), np.uint16)
-            for w in range(SKETCH):
+            other = bits2[column]
+            apart = np.zeros((z - a, len(column)), np.uint16 if bits.shape[1] < 1000 else np.uint32)
+            for w in range(bits.shape[1]):
                 apart += np.bitwise_count(bits[a: z, w, None] ^ other[None, :, w])
             most = (den - num) * (size[a: z, None] + size2[None, column]) // (den + num)
             left, right = label[a: z, None], label2[None, column]
@@ -363,7 +417,7 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame
             rid, label, size, side = (whole[c].to_numpy() for c in ("rid", "label", "n", "side"))
             lists = whole["sketch"].combine_chunks()
             lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-            bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            bits = folded_sketches(lists)
             n = int(np.searchsorted(side, 1))
             one, two = (tuple(c[part] for c in (rid, label, size, bits)) for part in (
                 slice(0, n), slice(n, None)))
@@ -448,9 +502,12 @@ def components(
     sets = table.where("n > 0")
     classes = sets.groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"))
     reps = classes.select(F.col("rep").alias("rid"))
-    keys = sets.select("rid", "keys").join(reps, "rid", "left_semi").select(
-        F.explode("keys").alias("key"), "rid")
-    buckets = written(meetings(keys))
+    chosen = sets.join(reps, "rid", "left_semi")
+    keys = chosen.select("rid", F.explode("keys").alias("key"), F.lit(0).alias("side")).unionByName(
+        chosen.select("rid", F.explode("above").alias("key"), F.lit(1).alias("side")))
+    leave = sets.select("rid", F.lit(0).alias("side"), "leave").unionByName(
+        sets.select("rid", F.lit(1).alias("side"), F.col("leave_above").alias("leave")))
+    buckets = written(telling(written(meetings(keys)), leave))
 
     # the member that meets most others is the likeliest centre of a group of near copies
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))

@@ -36,17 +36,44 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors.
 
-    The files go when the application ends.
+    The files go when the application ends, or with ``drop_scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[str] = []  # folders written by this session, oldest first
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_mark() -> int:
+    return len(_SCRATCH)
+
+
+def scratch_since(mark: int) -> list[str]:
+    """Folders that ``written`` has made since the mark was taken."""
+    return _SCRATCH[mark:]
+
+
+def drop_scratch(docs: DataFrame, paths: list[str]) -> None:
+    """Remove those of the written folders ``paths`` that ``docs`` does not read."""
+    used = docs.inputFiles() if paths else []
+    for path in paths:
+        name = f"/{path.rpartition('/')[2]}/"
+        if not any(name in f for f in used):
+            place, files = _place(docs.sparkSession, path)
+            files.delete(place, True)
+
+
 def short_batches(df: DataFrame, rows: int = 1_000) -> None:
     """Let whole texts travel to Python in short Arrow batches: both sides hold two at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

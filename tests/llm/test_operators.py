@@ -163,13 +163,13 @@ def test_jaccard_mixed_bucket_in_bounded_blocks(spark, monkeypatch):
     """A linked group and outsiders in one bucket: few comparisons, each task bounded, none missing."""
     monkeypatch.setattr(parity_join, "BLOCK", 8)
     rng = np.random.default_rng(3)
-    base = rng.integers(-2**63, 2**63 - 1, parity_join.SKETCH)
+    base = rng.integers(-2**63, 2**63 - 1, 32)
     rows, table = [], []
     for rid in range(140):  # key 1: a group of 100 and one outsider; key 2: small labels beside them
         label = 0 if rid < 100 else rid if rid == 100 else 101 + rid % 13
         far = rng.integers(0, 3)
         sketch = [int(x) if k >= far else int(y) for k, (x, y) in enumerate(
-            zip(base, rng.integers(-2**63, 2**63 - 1, parity_join.SKETCH)))]
+            zip(base, rng.integers(-2**63, 2**63 - 1, 32)))]
         table.append((rid, 900, sketch))
         rows += [(1, rid, label)] * (rid <= 100) + [(2, rid, label)] * (rid >= 60)
     rows_df = spark.createDataFrame(rows, "key long, rid long, label long")
@@ -211,6 +211,68 @@ def test_jaccard_one_of_each(odd, empty):
     assert parity_join.components(empty).count() == 0 and parity_join.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("num", [70, 80, 90, 95])
+def test_linked_sets_share_a_bucket_that_both_keep(num):
+    """At the threshold, for sets of every size, whatever the order in which largest buckets are left."""
+    bands = parity_join.Bands(num, 100)
+    rng = np.random.default_rng(num)
+    tight = 0
+    for _ in range(400):
+        both = int(rng.integers(1, 900))
+        alone = both * (100 - num) // num  # elements in one set only, at most
+        mine = int(rng.integers(0, alone + 1))
+        pool = rng.integers(0, 2**64, both + alone, np.uint64)
+        one, two = np.sort(pool[: both + mine]), np.sort(np.concatenate([pool[:both], pool[both + mine:]]))
+        keys = []
+        for x in (one, two):
+            n = np.array([len(x)])
+            own, beyond = bands.of(n)
+            sent = {}
+            for band in (own, own + 1) if beyond[0] else (own,):
+                d, key, leave = parity_join.band_keys(np.zeros(len(x), np.int64), x, n, np.array([0]), band, bands)
+                sent[int(band[0])] = (set(key.tolist()), int(leave[0]))
+            keys.append(sent)
+        place = dict(zip({k for s in keys for ks, _ in s.values() for k in ks}, rng.permutation(100_000)))
+        kept = [{k for ks, leave in s.values() for k in sorted(ks, key=place.get)[leave:]} for s in keys]
+        assert kept[0] & kept[1]
+        tight += any(leave for s in keys for _, leave in s.values())
+    assert tight or num == 70
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    values = [rng.integers(0, 2**63, n, np.int64) for n in (8, 4, 16, 4)]
+    got = parity_join.folded_sketches(parity_join._lists(np.array([8, 4, 16, 4]), np.concatenate(values)))
+    for row, v in zip(got, values):
+        assert (row == np.bitwise_xor.reduce(v.view(np.uint64).reshape(-1, 4), axis=0)).all()
+
+
+@pytest.mark.parametrize("num,width", [(90, 3), (80, 5)])
+def test_jaccard_components_of_documents(some, num, width):
+    got = Counter(pairs(parity_join.components(some, num, 100, width), "id", "n_shingles", "component_id"))
+    assert got == brute_components(pairs(some, "doc_id", "text"), num, 100, width)
+
+
+def test_jaccard_long_and_short_documents_with_passages(spark, monkeypatch):
+    """Sizes over several bands, near copies at the threshold, a passage in all: sketches of many lengths."""
+    monkeypatch.setattr(parity_join, "SMALL", 3)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage, rows = [word() for _ in range(40)], []
+    for size in (30, 60, 130, 400, 1500):
+        base = [word() for _ in range(size)]
+        for k in range(14):
+            w = [*base[: size // 2], *passage, *base[size // 2:]]
+            for _ in range(rng.randint(0, size // 20)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randint(0, size // 12)])))
+    rows += [(len(rows) + k, " ".join([word() for _ in range(rng.randint(0, 50))] + passage)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, width in ((80, 5), (90, 3)):
+        got = Counter(pairs(parity_join.components(docs, num, 100, width), "id", "n_shingles", "component_id"))
+        assert got == brute_components(rows, num, 100, width)
+
+
 def test_bound_of_the_sketch():
     bands = parity_join.Bands(90, 100)
     for a in range(1, 300):
