@@ -360,10 +360,3 @@ def with_truncation_banner(notes: DataFrame, coverage: DataFrame, wording: str)
         "text", F.when(cut, F.concat(text, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
     ).select(*notes.columns)
 
-
-# Fixed wording of the banner.
-BANNER = (
-    "> ⚠️ Bu PDF **{total} sayfa**; işlem süresi için yalnız **ilk {processed} sayfa** "
-    "özetlendi. Tamamı için PDF'i bölüp ayrı ayrı yükleyebilir ya da (sunucu env) "
-    "`MAX_PDF_PAGES` değerini artırabilirsin."
-)

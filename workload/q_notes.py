@@ -29,9 +29,9 @@ def _link(seconds: str) -> str:
 
 
 def words(spark, sf):
-    """First word of every line, in order: bullets, steps and terms of the notes."""
+    """Every line, in order: bullets and steps of the notes."""
     return fx.segments(spark, sf).select(
-        "source_id", F.col("seq").alias("pos"), F.split_part("text", F.lit(" "), F.lit(1)).alias("bullet")
+        "source_id", F.col("seq").alias("pos"), F.col("text").alias("bullet")
     )
 
 
@@ -55,7 +55,7 @@ def glossary(spark, sf):
 
 _MARKS_ONLY = fx.MARKS.replace(fx.SEGMENTS + ",", "").strip()
 NOTE_BASE = f"""
-firsts AS (SELECT source_id, seq AS pos, split_part(text, ' ', 1) AS bullet FROM segments),
+firsts AS (SELECT source_id, seq AS pos, text AS bullet FROM segments),
 terms AS (SELECT source_id, seq AS pos, {fx.TERM_EXPR} AS term, 'd' || CAST(seq AS STRING) AS definition FROM segments),
 info AS (SELECT *, {_URL} AS url, {_UPLOADER} AS uploader FROM sources)"""
 SHARED_PIECES = f"""
@@ -82,7 +82,7 @@ pictures AS (
   FROM shown GROUP BY source_id, sec_start),
 bodies AS (
   SELECT source_id, sec_start, max(sec_title) AS title, min(start) AS first, min_by(text, seq) AS summary,
-    string_agg('- ' || {_link('start')} || ' ' || text, {NL} ORDER BY start, seq) FILTER (WHERE nw >= 12) AS bullets, max(url) AS url
+    string_agg('- ' || {_link('start')} || ' ' || text, {NL} ORDER BY start, seq) AS bullets, max(url) AS url
   FROM assigned JOIN (SELECT source_id, url FROM info) USING (source_id) GROUP BY source_id, sec_start)""", recursive=True) + f"""
 SELECT source_id, 0 AS block, -2.0::DOUBLE AS at, '# ' || title || {NL} || {NL} || 'Süre: ' || {ts_sql('duration')}
   || coalesce(' · Kanal: ' || uploader, '') || coalesce(' · [Kaynak](' || url || ')', '') || {NL} || {NL} || '## TL;DR' || {NL} AS text FROM info
@@ -96,7 +96,7 @@ UNION ALL SELECT s.source_id, 8, 0.0, '---' || {NL} || {NL} || '<sub>Otomatik ü
 def a9(spark, sf):
     rows = assigned(spark, sf)
     table = stage(sections.section_table(rows).join(study.first_line_notes(rows), ["source_id", "sec_start"]))
-    points = rows.where("nw >= 12").select(
+    points = rows.select(
         "source_id", "sec_start", F.col("start").alias("ts"), "seq", F.lit(0).alias("added"), "text"
     )
     shown = stage(screen.frames_to_sections(stage(frames(spark, sf)), table))
@@ -113,7 +113,7 @@ counted AS (SELECT source_id, count(*) AS n, count(*) FILTER (WHERE NOT quaranti
 SELECT source_id, 0 AS block, -2.0::DOUBLE AS at, '# ' || title || {NL} || {NL} || CAST(n AS VARCHAR) || ' sayfa · ' || CAST(r AS VARCHAR) || ' okundu' || {NL} || {NL} || '## TL;DR' || {NL} AS text
 FROM sources JOIN counted USING (source_id)
 UNION ALL {SHARED_PIECES}{LEARNING_PIECES}
-UNION ALL SELECT source_id, 1, number, '### s. ' || CAST(number AS VARCHAR) || ' · T' || CAST(number AS VARCHAR) || {NL} || {NL} || text || {NL} || {NL} || '- `s. ' || CAST(number AS VARCHAR) || '` ' || split_part(text, ' ', 1) || {NL} FROM gated WHERE trim(text) <> ''
+UNION ALL SELECT source_id, 1, number, '### s. ' || CAST(number AS VARCHAR) || ' · T' || CAST(number AS VARCHAR) || {NL} || {NL} || text || {NL} || {NL} || '- `s. ' || CAST(number AS VARCHAR) || '` ' || text || {NL} FROM gated WHERE trim(text) <> ''
 UNION ALL SELECT source_id, 7, -1.0, '## Okuyamadığım sayfalar' || {NL} || {NL} || 'Bu sayfaların metnini özete katmadım. Kanıtı önünde — sen bak.' || {NL} FROM counted WHERE q > 0
 UNION ALL SELECT source_id, 7, number, CASE WHEN number % 2 = 0 THEN '![Sayfa ' || CAST(number AS VARCHAR) || '](p/' || CAST(number AS VARCHAR) || '.jpg)' || {NL} ELSE '' END
   || '<sub>`s. ' || CAST(number AS VARCHAR) || '` okunamadı (güven medyanı ' || coalesce(CAST(conf AS VARCHAR), 'None') || ', 4 açı denendi).</sub>' || {NL} FROM gated WHERE quarantined
@@ -129,7 +129,7 @@ def a10(spark, sf):
     )
     points = readable.select(
         "source_id", "sec_start", F.col("start").alias("ts"), F.lit(0).alias("seq"), F.lit(0).alias("added"),
-        F.split_part("summary", F.lit(" "), F.lit(1)).alias("text"),
+        F.col("summary").alias("text"),
     )
     lines = notes.render_paged(
         stage(note_sources(spark, sf)), pages, readable, points, words(spark, sf), glossary(spark, sf),
@@ -141,9 +141,9 @@ def a10(spark, sf):
 @query("a11_render_combined", cte(fx.SEGMENTS, fx.SOURCES, TIME_PARTS, f"""
 titled AS (SELECT source_id, part, title, title || ' — Part ' || CAST(part + 1 AS VARCHAR) || ' (' || CAST(CAST(floor(part_start / 60) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(floor((part_start + part_len) / 60) AS BIGINT) AS VARCHAR) || 'dk)' AS part_title
   FROM parts JOIN sources USING (source_id)),
-rows_of AS (SELECT s.*, p.part FROM segments s JOIN parts p ON p.source_id = s.source_id AND s.start >= p.part_start AND s.start < p.part_end WHERE s.nw >= 8),
-good AS (SELECT t.*, bullets, titles FROM titled t JOIN (SELECT source_id, part, string_agg('- ' || split_part(text, ' ', 1), {NL} ORDER BY seq) AS bullets,
-  string_agg('T' || CAST(seq AS VARCHAR), ' · ' ORDER BY start) FILTER (WHERE nw >= 12) AS titles FROM rows_of GROUP BY ALL) USING (source_id, part)),
+rows_of AS (SELECT s.*, p.part FROM segments s JOIN parts p ON p.source_id = s.source_id AND s.start >= p.part_start AND s.start < p.part_end),
+good AS (SELECT t.*, bullets, titles FROM titled t JOIN (SELECT source_id, part, string_agg('- ' || text, {NL} ORDER BY seq) AS bullets,
+  string_agg('T' || CAST(seq AS VARCHAR), ' · ' ORDER BY start) AS titles FROM rows_of GROUP BY ALL) USING (source_id, part)),
 bad AS (SELECT * FROM titled ANTI JOIN rows_of USING (source_id, part))""") + f"""
 SELECT source_id, 0 AS block, 0.0::DOUBLE AS at, '# ' || max(title) || ' — Tüm hali' || {NL} || {NL} || CAST(count(*) AS VARCHAR) || ' parça · her parçanın kendi ayrıntılı özeti ayrı girdide.' || {NL} AS text FROM titled GROUP BY source_id
 UNION ALL SELECT source_id, 1, part, '## ' || part_title || {NL} || {NL} || bullets || coalesce({NL} || {NL} || '_Bölümler:_ ' || titles, '') || {NL} FROM good
@@ -153,13 +153,13 @@ UNION ALL SELECT DISTINCT source_id, 3, 0.0, '' FROM bad""")
 def a11(spark, sf):
     planned = stage(time_parts(spark, sf))
     titled = stage(parts.titled_time_parts(planned, fx.sources(spark, sf)))
-    rows = stage(parts.assign_parts(fx.segments(spark, sf).where("nw >= 8"), planned))
+    rows = stage(parts.assign_parts(fx.segments(spark, sf), planned))
     keys = ["source_id", "part"]
     names = titled.select(*keys, "part_title")
     failures = parts.empty_parts(planned, rows).join(names, keys)
     parents = titled.groupBy("source_id").agg(F.max("title").alias("title"), F.max("parts").alias("parts"))
-    bullets = rows.select(*keys, F.col("seq").alias("pos"), F.split_part("text", F.lit(" "), F.lit(1)).alias("bullet"))
-    titles = rows.where("nw >= 12").select(*keys, F.col("start").alias("sec_start"), F.concat(F.lit("T"), "seq").alias("title"))
+    bullets = rows.select(*keys, F.col("seq").alias("pos"), F.col("text").alias("bullet"))
+    titles = rows.select(*keys, F.col("start").alias("sec_start"), F.concat(F.lit("T"), "seq").alias("title"))
     lines = notes.render_combined(
         parents, names.join(rows.select(*keys).distinct(), keys), bullets, titles, failures
     )

@@ -117,17 +117,15 @@ def m6(spark, sf):
 SELECT source_id AS id, 'BÖLÜM BAŞLIKLARI:' || chr(10)
   || array_to_string(list_transform(s, lambda x: '- ' || x), chr(10))
   || chr(10) || chr(10) || 'KONULAR: ' || array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda x: {'p': list_position(t, x), 'v': x})), lambda x: x.v), ', ') AS "user"
-FROM (SELECT source_id, list(split_part(text, ' ', 1) ORDER BY seq) AS s, list(split_part(text, ' ', 2) ORDER BY seq) FILTER (WHERE split_part(text, ' ', 2) <> '') AS t FROM segments GROUP BY source_id)
-WHERE t IS NOT NULL""")
+FROM (SELECT source_id, list(text ORDER BY seq) AS s, list(lower(text) ORDER BY seq) AS t FROM segments GROUP BY source_id)""")
 def m6t(spark, sf):
-    def listed(part, size):
-        word = F.split_part("text", F.lit(" "), F.lit(part))
-        cells = F.sort_array(F.collect_list(F.when(word != "", F.struct("seq", word.alias("w")))))
+    def listed(line):
+        cells = F.sort_array(F.collect_list(F.struct("seq", line.alias("w"))))
         return F.transform(cells, lambda c: c["w"])
 
     jobs = fx.segments(spark, sf).groupBy(F.col("source_id").alias("id")).agg(
-        listed(1, 40).alias("section_titles"), listed(2, 25).alias("topics")
-    ).where("size(topics) > 0")
+        listed(F.col("text")).alias("section_titles"), listed(F.lower("text")).alias("topics")
+    )
     return requests.title_requests(jobs).select("id", "user")
 
 
@@ -336,9 +334,9 @@ SELECT source_id, CASE WHEN {OK} AND source_id % 3 = 0 THEN 'kurs' ELSE 'genel'
   CASE WHEN {OK} THEN array_to_string(list_filter(w, lambda x: x <> ''), '|') ELSE '' END AS topics,
   CAST(CASE WHEN {OK} THEN len(list_filter(w, lambda x: x <> '')) ELSE 0 END AS INTEGER) AS quiz,
   CASE WHEN {OK} THEN 'p ' || CAST(source_id AS VARCHAR) ELSE '' END AS deepen_prompt
-FROM (SELECT source_id, list(split_part(text, ' ', 2) ORDER BY seq) AS w FROM segments GROUP BY source_id)""")
+FROM (SELECT source_id, list(text ORDER BY seq) AS w FROM segments GROUP BY source_id)""")
 def m13(spark, sf):
-    made = gathered(fx.segments(spark, sf), F.split_part("text", F.lit(" "), F.lit(2)))
+    made = gathered(fx.segments(spark, sf), F.col("text"))
     r = F.col("source_id")
     spaced = F.transform("items", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     body = F.to_json(F.struct(
@@ -475,21 +473,20 @@ def g4(spark, sf):
     return ledger.union_terms(terms, terms.withColumn("term", F.concat(F.lit("S "), "term")))
 
 
-@query("f16_merge_batches", cte(fx.SEGMENTS, PACK.replace("text AS block FROM segments", "'- ' || split_part(text, ' ', 1) AS block FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS seq, text FROM segments)").replace(f"> {SECTION}", "> 60"), recursive=True) + """
+@query("f16_merge_batches", cte(fx.SEGMENTS, PACK.replace("text AS block FROM segments", "'- ' || text AS block FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS seq, text FROM segments)").replace(f"> {SECTION}", "> 400"), recursive=True) + """
 SELECT source_id, batch, string_agg(block, chr(10) ORDER BY seq) AS "user" FROM packed GROUP BY source_id, batch""")
 def f16(spark, sf):
     rows = fx.segments(spark, sf)
     bullets = rows.select(
         "source_id", F.expr("CAST(seq div 10 AS BIGINT)").alias("batch"), F.col("seq").alias("pos"),
-        F.split_part("text", F.lit(" "), F.lit(1)).alias("bullet"),
+        F.col("text").alias("bullet"),
     )
     glossary = fx.terms(spark, sf)
-    return requests.merge_batches(bullets, glossary, 60)[0]
+    return requests.merge_batches(bullets, glossary, 400)[0]
 
 
 def synthesis_responses(spark, sf):
-    word = F.split_part("text", F.lit(" "), F.lit(1))
-    cells = F.sort_array(F.collect_list(F.struct("seq", word.alias("w"))))
+    cells = F.sort_array(F.collect_list(F.struct("seq", F.col("text").alias("w"))))
     made = fx.segments(spark, sf).groupBy("source_id").agg(F.transform(cells, lambda c: c["w"]).alias("w"))
     body = F.to_json(F.struct(
         F.concat(F.transform("w", lambda w: F.concat(F.lit(" "), w)), F.array(F.lit("  "))).alias("tldr"),
@@ -499,13 +496,13 @@ def synthesis_responses(spark, sf):
 
 
 @query("f16_decode_tldr", cte(fx.SEGMENTS) + f"""
-SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, split_part(text, ' ', 1) AS bullet FROM segments WHERE {OK}""")
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, text AS bullet FROM segments WHERE {OK}""")
 def f16t(spark, sf):
     return responses.decode_tldr(synthesis_responses(spark, sf)).select("source_id", "pos", "bullet")
 
 
 @query("f16_decode_glossary", cte(fx.SEGMENTS) + f"""
-SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, split_part(text, ' ', 1) AS term, 'd' AS definition FROM segments WHERE {OK}""")
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS INTEGER) AS pos, text AS term, 'd' AS definition FROM segments WHERE {OK}""")
 def f16g(spark, sf):
     out = responses.decode_terms(synthesis_responses(spark, sf), "synthesis")
     return out.select("source_id", "pos", "term", "definition")
