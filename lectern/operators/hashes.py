@@ -3,8 +3,11 @@
 A frame is kept when it is farther than ``distance`` bits from every frame kept
 before it in the same source. Repeats of one hash are decided by its first frame,
 so they are collapsed by an aggregate first, which removes still screens however
-many there are. Ordinary sources then stream through one pass. Sources with very
-many distinct hashes are settled in rounds of joins on hash bands.
+many there are. What is left is scanned in blocks of consecutive distinct hashes:
+in a round the next block of every source at once loses the rows that are near a
+frame kept in an earlier block, found by joining bands of bits, and the rest is
+scanned in order. A source takes as many rounds as it has blocks, whatever chains
+its hashes form; most have one. The result equals the sequential scan.
 """
 
 from __future__ import annotations
@@ -14,13 +17,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .stage import stage
 
-# Distinct hashes of one source handled in one task: 8 bytes each.
-MAX_DISTINCT = 20_000
+# Distinct hashes of one source scanned together: 8 bytes each.
+BLOCK = 32_768
 
 
 def _greedy(distance: int, key: str, order: str, value: str):
@@ -45,116 +49,51 @@ def _greedy(distance: int, key: str, order: str, value: str):
     return run
 
 
-def dedupe_hashes(
-    frames: DataFrame, distance: int = 5, bits: int = 64, max_distinct: int = MAX_DISTINCT,
-) -> DataFrame:
-    """Rows of ``frames`` (source_id, frame_idx, h, ...) that survive, in frame order."""
-    first = frames.groupBy("source_id", "h").agg(F.min("frame_idx").alias("frame_idx"))
-    sizes = first.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > max_distinct).select("source_id")
-    order = Window.partitionBy("source_id").orderBy("frame_idx")
-    small = first.join(large, "source_id", "left_anti").select("source_id", "frame_idx", "h")
-    schema = small.schema
-    kept = small.withColumn("_i", F.row_number().over(order)).mapInPandas(
-        _greedy(distance, "source_id", "frame_idx", "h"), schema
-    )
-    if large.limit(1).count():
-        kept = kept.unionByName(
-            _settle(first.join(large, "source_id", "left_semi"), distance, bits).select(
-                *small.columns
-            )
-        )
-    return frames.join(kept.select("source_id", "frame_idx"), ["source_id", "frame_idx"], "left_semi")
-
-
-def _band_keys(distance: int, bits: int) -> list[list[tuple[int, int]]]:
-    """Band choices of which one must match exactly for hashes within ``distance``.
+def _band_keys(distance: int, bits: int) -> Column:
+    """Keys of which hashes within ``distance`` share one at least.
 
     With ``distance + 2`` bands at most ``distance`` can differ, so two agree; keys
     of two bands are far more selective than one.
     """
     bands = distance + 2
     edges = [round(i * bits / bands) for i in range(bands + 1)]
-    spans = list(zip(edges[:-1], edges[1:]))
-    return [list(pair) for pair in combinations(spans, 2)]
-
-
-def _mark(distance: int):
-    """Per band bucket piece: is a row near an earlier kept / undecided row?"""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["_probe"]].reset_index(drop=True)
-        others = pdf[~pdf["_probe"] & (pdf["_state"] != 2)]
-        h = rows["h"].to_numpy(np.int64).view(np.uint64)
-        at = rows["frame_idx"].to_numpy()
-        oh = others["h"].to_numpy(np.int64).view(np.uint64)
-        oat, ostate = others["frame_idx"].to_numpy(), others["_state"].to_numpy()
-        drop, wait = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        for start in range(0, len(oh), 1024):
-            near = np.bitwise_count(h[:, None] ^ oh[None, start:start + 1024]) <= distance
-            near &= oat[None, start:start + 1024] < at[:, None]
-            kept = ostate[start:start + 1024] == 1
-            drop |= (near & kept).any(axis=1)
-            wait |= (near & ~kept).any(axis=1)
-        out = rows[["source_id", "frame_idx"]].copy()
-        out["_drop"], out["_wait"] = drop, wait
-        return out[drop | wait]
+    cells = [F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+             for lo, hi in zip(edges[:-1], edges[1:])]
+    return F.array(*[F.xxhash64(F.lit(i * bands + j), cells[i], cells[j])
+                     for i, j in combinations(range(bands), 2)])
 
-    return run
 
+def _near_kept(rows: DataFrame, kept: DataFrame, distance: int, bits: int) -> DataFrame:
+    """(source_id, frame_idx) of the rows within ``distance`` of a kept frame of their source."""
+    keys = F.explode(_band_keys(distance, bits)).alias("_key")
+    left = rows.select("source_id", "frame_idx", "h", keys)
+    right = kept.select(F.col("source_id").alias("_s"), F.col("h").alias("_h"), keys.alias("_k"))
+    close = F.bit_count(F.col("h").bitwiseXOR(F.col("_h"))) <= distance
+    return left.join(
+        right, (F.col("source_id") == F.col("_s")) & (F.col("_key") == F.col("_k")) & close, "left_semi"
+    ).select("source_id", "frame_idx").distinct()
 
-def _settle(nodes: DataFrame, distance: int, bits: int, piece: int = 4096) -> DataFrame:
-    """Keep/drop decisions for very large sources, in rounds.
 
-    State 0 is undecided, 1 kept, 2 dropped. In a round a row with an earlier kept
-    row nearby is dropped, and one with no earlier undecided row nearby is kept, so
-    the first undecided row always settles and the result equals the greedy scan.
-    Buckets are cut into pieces of bounded size: each row probes every piece of its
-    buckets, and only its own verdict leaves the task, never pairs.
-    """
-    state = stage(nodes.withColumn("_state", F.lit(0)))
-    choices = _band_keys(distance, bits)
-
-    def band_key(pair):
-        cells = [
-            F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in pair
-        ]
-        return F.concat_ws(":", *[c.cast("string") for c in cells])
-
-    keys = F.array(*[F.concat(F.lit(f"{i}|"), band_key(p)) for i, p in enumerate(choices)])
-    schema = "source_id {}, frame_idx {}, _drop boolean, _wait boolean".format(
-        nodes.schema["source_id"].dataType.simpleString(),
-        nodes.schema["frame_idx"].dataType.simpleString(),
-    )
-    while state.where("_state = 0").limit(1).count():
-        live = state.where("_state <> 2").withColumn("_key", F.explode(keys))
-        cell = ["source_id", "_key"]
-        pieces = live.groupBy(*cell).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max(F.when(F.col("_state") == 0, True)).alias("_open"),
-        ).where("_open and _n > 1").select(
-            *cell, F.ceil(F.col("_n") / piece).cast("long").alias("_p")
-        )
-        slot = F.pmod(F.xxhash64("frame_idx"), F.col("_p"))
-        busy = live.join(pieces, cell)
-        stored = busy.withColumn("_slot", slot).withColumn("_side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)))
-        stored = stored.withColumn("_probe", F.lit(False))
-        asking = busy.where("_state = 0").withColumn("_side", slot).withColumn(
-            "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1))
-        ).withColumn("_probe", F.lit(True))
-        columns = [*cell, "_slot", "_side", "frame_idx", "h", "_state", "_probe"]
-        verdicts = (
-            stored.select(*columns).unionByName(asking.select(*columns))
-            .groupBy(*cell, "_slot", "_side").applyInPandas(_mark(distance), schema)
-            .groupBy("source_id", "frame_idx")
-            .agg(F.max("_drop").alias("_drop"), F.max("_wait").alias("_wait"))
-        )
-        settled = state.join(verdicts, ["source_id", "frame_idx"], "left").withColumn(
-            "_state",
-            F.when(F.col("_state") != 0, F.col("_state"))
-            .when(F.coalesce("_drop", F.lit(False)), 2)
-            .when(F.coalesce("_wait", F.lit(False)), 0)
-            .otherwise(1),
-        )
-        state = stage(settled.drop("_drop", "_wait"))
-    return state.where("_state = 1").drop("_state")
+def dedupe_hashes(
+    frames: DataFrame, distance: int = 5, bits: int = 64, block: int = BLOCK,
+) -> DataFrame:
+    """Rows of ``frames`` (source_id, frame_idx, h, ...) that survive, in frame order."""
+    keys = ["source_id", "frame_idx"]
+    first = frames.groupBy("source_id", "h").agg(F.min("frame_idx").alias("frame_idx"))
+    numbered = scan.number_rows(
+        first.withColumn("_block", scan.block_of(F.col("frame_idx"))), ["source_id"], ["frame_idx"], "_block", "_n")
+    nodes = stage(numbered.select(*keys, "h", F.floor(F.col("_n") / block).cast("long").alias("_round")))
+    last = nodes.agg(F.max("_round")).first()[0] or 0
+    order = Window.partitionBy("source_id").orderBy("frame_idx")
+    schema = nodes.drop("_round").schema
+    kept = None
+    for turn in range(last + 1):
+        rows = nodes.where(F.col("_round") == turn).drop("_round")
+        if kept is not None:
+            rows = rows.join(_near_kept(rows, kept, distance, bits), keys, "left_anti")
+        fresh = rows.withColumn("_i", F.row_number().over(order)).mapInPandas(
+            _greedy(distance, "source_id", "frame_idx", "h"), schema)
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        if turn < last:
+            kept = stage(kept)
+    return frames.join(kept.select(*keys), keys, "left_semi")

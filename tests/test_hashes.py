@@ -1,10 +1,10 @@
-"""Greedy dedupe: streaming pass, and rounds over band joins for huge sources."""
+"""Greedy dedupe in rounds of blocks against the sequential scan."""
 
 import random
 
 import pytest
 
-from lectern.operators.hashes import _settle, dedupe_hashes
+from lectern.operators.hashes import dedupe_hashes
 
 
 def greedy(rows, distance):
@@ -37,21 +37,36 @@ def frames(seed, n):
     return out
 
 
-@pytest.mark.parametrize("max_distinct", [10_000, 20])
-def test_dedupe(spark, max_distinct):
+@pytest.mark.parametrize("block", [10_000, 40])
+@pytest.mark.parametrize("distance", [0, 5])
+def test_dedupe(spark, block, distance):
     data = {s: frames(s, 240 if s == 0 else 40) for s in range(3)}
     rows = [(s, i, h) for s, f in data.items() for i, h in f]
     df = spark.createDataFrame(rows, "source_id int, frame_idx int, h long").repartition(5)
-    got = dedupe_hashes(df, 5, 64, max_distinct).collect()
+    got = dedupe_hashes(df, distance, 64, block).collect()
     for s, f in data.items():
-        assert sorted(r.frame_idx for r in got if r.source_id == s) == greedy(f, 5)
+        assert sorted(r.frame_idx for r in got if r.source_id == s) == greedy(f, distance)
 
 
-def test_small_pieces_give_the_same_answer(spark):
-    data = frames(9, 90)
+def test_a_long_drift_takes_one_round_a_block(spark, monkeypatch):
+    """Each screen is near the one before; only the number of blocks counts."""
+    from lectern.operators import hashes
+
+    rng, h, data = random.Random(4), 0, []
+    for i in range(300):
+        h ^= 1 << rng.randrange(64)
+        data.append((i, signed(h)))
+    joins = []
+    plain = hashes._near_kept
+    monkeypatch.setattr(hashes, "_near_kept", lambda *a: joins.append(1) or plain(*a))
+    df = spark.createDataFrame([(1, i, h) for i, h in data], "source_id int, frame_idx int, h long")
+    got = dedupe_hashes(df, 5, 64, block=100).collect()
     first = {}
-    for i, h in data:
-        first.setdefault(h, i)
-    df = spark.createDataFrame([(1, i, h) for h, i in first.items()], "source_id int, frame_idx int, h long")
-    got = _settle(df, 5, 64, piece=4).collect()
+    for i, x in data:
+        first.setdefault(x, i)
+    assert len(joins) == (len(first) - 1) // 100
     assert sorted(r.frame_idx for r in got) == greedy(data, 5)
+
+
+def test_no_frames(spark):
+    assert dedupe_hashes(spark.createDataFrame([], "source_id int, frame_idx int, h long")).count() == 0
