@@ -266,9 +266,13 @@ def orphan_outputs(files: DataFrame, jobs: DataFrame, strict: bool = False) -> D
 
 
 def storage_report(files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Bytes and file count per owner, and whether the owner is a known job."""
+    """Bytes, file count and sorted file names per owner, and whether the owner is a known job.
+
+    A job has a handful of files.
+    """
     per_owner = files.groupBy(owner_of(F.col("name")).alias("owner")).agg(
-        F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files")
+        F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"),
+        F.sort_array(F.collect_list("name")).alias("names"),
     )
     known = jobs.select(F.col("id").alias("owner"), F.col("status"))
     return per_owner.join(known, "owner", "left").withColumn(

@@ -63,6 +63,44 @@ def quality_histogram(profile: DataFrame, column: str, low: float, high: float,
     return profile.groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("sources"))
 
 
+# Sketch size, and the share of rows by which a quantile's rank may be off (99 % of the time).
+SKETCH_K, RANK_ERROR = 400, 0.007
+
+
+def measure_sketches(rows: DataFrame, keys: list[str], measures: list[str], k: int = SKETCH_K) -> DataFrame:
+    """One quantile sketch per group and measure: the whole distribution in a few kilobytes.
+
+    Columns are named after the measures. NULL values are not counted; sketches are built
+    in the tasks first, and ``merged_sketches`` rolls them up without the rows.
+    """
+    return rows.groupBy(*keys).agg(*[
+        F.kll_sketch_agg_double(F.col(m).cast("double"), k).alias(m) for m in measures])
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], measures: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of larger groups, from those of smaller ones."""
+    return sketches.groupBy(*keys).agg(*[F.kll_merge_agg_double(m, k).alias(m) for m in measures])
+
+
+def sketch_quantiles(sketches: DataFrame, keys: list[str], measures: list[str], shares: list[float]) -> DataFrame:
+    """(keys, measure, n, share, value): each measure's value at each share of its rows."""
+    one = lambda m: F.struct(
+        F.lit(m).alias("measure"), F.kll_sketch_get_n_double(m).alias("n"), F.col(m).alias("sketch"))
+    long = sketches.select(*keys, F.explode(F.array(*[one(m) for m in measures])).alias("s")).select(*keys, "s.*")
+    wanted = F.array(*[F.lit(float(x)) for x in shares])
+    values = F.arrays_zip(
+        wanted.alias("share"), F.kll_sketch_get_quantile_double("sketch", wanted).alias("value"))
+    return long.where(F.col("n") > 0).select(*keys, "measure", "n", F.explode(values).alias("v")).select(
+        *keys, "measure", "n", "v.*")
+
+
+def share_below(sketches: DataFrame, keys: list[str], measure: str, threshold: float) -> DataFrame:
+    """(keys, n, share) of the rows that a threshold on ``measure`` would turn away."""
+    n = F.kll_sketch_get_n_double(measure)
+    rank = F.kll_sketch_get_rank_double(measure, F.lit(float(threshold)))
+    return sketches.select(*keys, n.alias("n"), F.when(n > 0, rank).alias("share"))
+
+
 def accept_repairs(
     windowed: DataFrame, repaired: DataFrame, min_words: float = labels.MIN_REPAIR_WORDS
 ) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import intervals, scan, screen
+from lectern.operators import intervals, quality, scan, screen
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,24 @@ def test_cap_frames_matches_rule(spark):
                 span = range(int(i * step), min(total, int((i + 1) * step)))
                 want.append(next((j for j in span if silent[j]), span[0]))
         assert got == sorted(want)
+
+
+def test_quality_sketches(spark):
+    """Sketches of parts, rolled up, give ranks within the stated error; NULLs and empty groups."""
+    rng = random.Random(3)
+    data = [("a" if i % 3 else "b", i % 40, rng.gauss(50, 12)) for i in range(30_000)] + [("c", 1, None)]
+    rows = spark.createDataFrame(data, "k string, part int, conf double").repartition(8)
+    parts = quality.measure_sketches(rows, ["k", "part"], ["conf"])
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "partial_kll" in plan.lower()
+    whole = quality.merged_sketches(parts, ["k"], ["conf"])
+    got = quality.sketch_quantiles(whole, ["k"], ["conf"], [0.01, 0.5, 0.9]).collect()
+    assert {r.k for r in got} == {"a", "b"} and len(got) == 6
+    for r in got:
+        mine = [c for k, _, c in data if k == r.k]
+        assert r.n == len(mine)
+        assert abs(sum(c <= r.value for c in mine) / len(mine) - r.share) < 3 * quality.RANK_ERROR
+    low = {r.k: (r.n, r.share) for r in quality.share_below(whole, ["k"], "conf", 60.0).collect()}
+    assert low["c"] == (0, None)
+    mine = [c for k, _, c in data if k == "a"]
+    assert abs(low["a"][1] - sum(c < 60 for c in mine) / len(mine)) < 3 * quality.RANK_ERROR

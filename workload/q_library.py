@@ -212,10 +212,11 @@ def g5(spark, sf):
 
 
 @query("e10_storage_report", cte(fx.JOBS, fx.FILES) + f"""
-SELECT owner, bytes, files, status, status IS NULL AS orphan FROM (
-  SELECT {_OWNER} AS owner, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY 1) LEFT JOIN jobs ON id = owner""")
+SELECT owner, bytes, files, names, status, status IS NULL AS orphan FROM (
+  SELECT {_OWNER} AS owner, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files, string_agg(name, '|' ORDER BY encode(name)) AS names FROM files GROUP BY 1) LEFT JOIN jobs ON id = owner""")
 def e10(spark, sf):
-    return library.storage_report(fx.files(spark, sf), fx.jobs(spark, sf))
+    report = library.storage_report(fx.files(spark, sf), fx.jobs(spark, sf))
+    return report.withColumn("names", F.array_join("names", "|"))
 
 
 @query("e10_reclaimable_uploads", cte(fx.JOBS) + """

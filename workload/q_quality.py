@@ -55,6 +55,33 @@ def e12h(spark, sf):
     )
 
 
+@query("e12_quality_sketches", cte(fx.SEGMENTS) + """
+SELECT lang, measure, share, count(*) AS n, true AS within
+FROM segments JOIN (SELECT doc_id AS source_id, lang FROM documents) USING (source_id),
+  (SELECT unnest(['words', 'chars']) AS measure), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS share)
+GROUP BY lang, measure, share""")
+def e12s(spark, sf):
+    """Quantiles of line lengths by language, from sketches of the sources, held against the exact ranks."""
+    measures, shares = ["words", "chars"], [0.05, 0.25, 0.5, 0.75, 0.95]
+    lines = fx.segments(spark, sf).select("source_id", F.col("nw").alias("words"), F.length("text").alias("chars"))
+    langs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "lang")
+    per_source = quality.measure_sketches(lines, ["source_id"], measures).join(langs, "source_id")
+    found = quality.sketch_quantiles(
+        quality.merged_sketches(per_source, ["lang"], measures), ["lang"], measures, shares)
+    # each value's exact rank: the shares of lines below it and up to it
+    rows = lines.join(langs, "source_id").select("lang", F.explode(F.map_from_arrays(
+        F.array(*[F.lit(m) for m in measures]), F.array(*[F.col(m).cast("double") for m in measures]))).alias("measure", "x"))
+    counts = rows.groupBy("lang", "measure", "x").agg(F.count(F.lit(1)).alias("c"))
+    ranks = found.alias("f").join(counts.alias("r"), F.col("f.lang").eqNullSafe(F.col("r.lang")) & (
+        F.col("f.measure") == F.col("r.measure"))).groupBy("f.lang", "f.measure", "n", "share").agg(
+        F.sum(F.when(F.col("x") < F.col("value"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("x") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"))
+    slack = 3 * quality.RANK_ERROR * F.col("n")
+    at = F.col("share") * F.col("n")
+    return ranks.select("lang", "measure", "share", "n",
+                        ((F.col("below") - slack <= at) & (at <= F.col("upto") + slack)).alias("within"))
+
+
 # Repairs: a model that rewrites every window; some windows it shortens too much,
 # and short lines it drops, so some windows get nothing. Windows are blocks of consecutive lines.
 _WINDOW = "seq // 6"
