@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import labels
-from ..functions.naming import language_base
+from ..functions.naming import language_base, safe_name
 from ..functions.text import is_blank, squeeze, strip
+from ..operators import scan
+from .textfiles import write_text_files
 
 # The caption file contract.
 EVENTS = (
@@ -71,33 +73,49 @@ def caption_events(segments: DataFrame) -> DataFrame:
     )
 
 
-# Events of one caption document, many hours of speech.
-DOCUMENT_EVENTS = 65_536
+PIECE_EVENTS = 65_536  # of one cell, many hours of speech
 
 
-def caption_json(segments: DataFrame, events: int = DOCUMENT_EVENTS) -> DataFrame:
-    """``(source_id, piece, body)``: caption documents, events by start.
+def caption_json(segments: DataFrame, events: int = PIECE_EVENTS) -> DataFrame:
+    """``(source_id, piece, body)``: the caption document of each source, events by start.
 
-    A source is one document, as the contract has it, unless it has more than
-    ``events`` segments; then each piece is a whole document of its own, and their
-    segments together are the source.
+    Long documents come in pieces of ``events`` events, whose texts joined in order are
+    the document.
     """
-    cells = F.sort_array(F.collect_list(F.struct("start", "seq", "event")))
+    placed = scan.number_rows(
+        caption_events(segments).withColumn("_block", scan.block_of(F.col("start"), scan.BLOCK_SECONDS)),
+        ["source_id"], ["start", "seq"], "_block", "_n",
+    ).withColumn("piece", F.floor(F.col("_n") / events).cast("long"))
+    cells = F.sort_array(F.collect_list(F.struct("_n", "event")))
     joined = F.array_join(F.transform(cells, lambda c: c["event"]), ",")
-    cut = caption_events(segments).withColumn(
-        "piece", F.floor(F.col("seq") / events).cast("long")
-    )
-    return cut.groupBy("source_id", "piece").agg(
-        F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("body")
+    last = placed.groupBy("source_id").agg(F.max("piece").alias("_last"))
+    return placed.groupBy("source_id", "piece").agg(joined.alias("_text")).join(last, "source_id").select(
+        "source_id", "piece", F.concat(
+            F.when(F.col("piece") == 0, F.lit('{"events":[')).otherwise(F.lit(",")), "_text",
+            F.when(F.col("piece") == F.col("_last"), F.lit("]}")).otherwise(F.lit(""))).alias("body"),
     )
 
 
-def write_captions(segments: DataFrame, path: str) -> None:
-    """Caption files under ``path/source_id=.../``, one per document."""
-    (
-        caption_json(segments).repartition("source_id", "piece").select("source_id", "body")
-        .write.option("maxRecordsPerFile", 1).partitionBy("source_id").mode("overwrite").text(path)
-    )
+def caption_lines(segments: DataFrame) -> DataFrame:
+    """``(source_id, ord, line)``: the lines of each source's caption document, an event a line."""
+    place = lambda side, start, seq: F.struct(
+        F.lit(side).alias("side"), start.cast("double").alias("start"), seq.cast("long").alias("seq"))
+    events = caption_events(segments)
+    # the comma stands before every event but the first of its source
+    first = events.groupBy("source_id").agg(F.min(F.struct("start", "seq")).alias("_first"))
+    rows = events.join(first, "source_id").select(
+        "source_id", place(1, F.col("start"), F.col("seq")).alias("ord"),
+        F.concat(F.when(F.struct("start", "seq") == F.col("_first"), F.lit("")).otherwise(F.lit(",")), "event").alias("line"))
+    none = F.lit(0)
+    frame = [first.select("source_id", place(side, none, none).alias("ord"), F.lit(line).alias("line"))
+             for side, line in ((0, '{"events":['), (2, "]}"))]
+    return rows.unionByName(frame[0]).unionByName(frame[1])
+
+
+def write_captions(segments: DataFrame, path: str) -> DataFrame:
+    """One caption file per source below ``path``, of any length; (path, lines) of the files."""
+    name = F.concat(safe_name(F.col("source_id").cast("string")), F.lit(".subs.json3"))
+    return write_text_files(caption_lines(segments).select(name.alias("path"), "ord", "line"), path)
 
 
 def choose_track(tracks: DataFrame, prefs: DataFrame, allow_auto: bool = True) -> DataFrame:

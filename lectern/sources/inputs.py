@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def spread_input(df: DataFrame) -> DataFrame:
-    """Deal rows out when the files give fewer splits than there are cores.
-
-    One big row group is one task however many cores wait. Tables with enough
-    splits, which is every table of size, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+from ..operators.stage import stage
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(source_id, line_no, line)`` of a folder of small logs, one file per source.
+    """``(source_id, line_no, line)`` of a folder of logs, one file per source.
 
-    Line order matters to the readers of chunk lists and silence logs, so a file is
-    one record; both kinds are a few lines per minute of recording.
+    Files are read in splits, so a log of any length is many tasks. A line's number is its
+    place in its split plus the lines of all earlier splits of the file; the lines are
+    written once for that, since numbers and counts must come from one reading.
     """
     stem = F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?\z", 1)
-    files = spark.read.text(path, wholetext=True).select(stem.alias("source_id"), "value")
-    return files.select(
-        "source_id", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line")
-    )
+    rows = stage(spark.read.text(path).select(
+        stem.alias("source_id"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line")))
+    splits = rows.groupBy("_file", "_split").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(placed, ["_file", "_split"]).select(
+        "source_id", (F.col("_before") + F.col("_id") - F.col("_first")).cast("long").alias("line_no"), "line")

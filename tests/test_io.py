@@ -28,16 +28,13 @@ def segments(spark):
 
 
 def test_captions_round_trip(spark, segments, tmp_path):
-    captions.write_captions(segments, str(tmp_path / "out"))
-    bodies = {p.parent.name[10:]: json.loads(p.read_text()) for p in files(tmp_path / "out", "txt")}
-    assert bodies["a"]["events"] == [
+    sidecars = tmp_path / "in"
+    done = captions.write_captions(segments, str(sidecars))
+    assert {tuple(r) for r in done.collect()} == {("a.subs.json3", 4), ("b.subs.json3", 3)}
+    assert json.loads((sidecars / "a.subs.json3").read_text())["events"] == [
         {"tStartMs": 0, "dDurationMs": 1500, "segs": [{"utf8": "One."}]},
         {"tStartMs": 2000, "dDurationMs": 0, "segs": [{"utf8": "two"}]},
     ]
-    sidecars = tmp_path / "in"
-    sidecars.mkdir()
-    for name, body in bodies.items():
-        (sidecars / f"{name}.subs.json3").write_text(json.dumps(body))
     want = [("a", 0.0, 1.5, "One."), ("a", 2.0, 2.0, "two"), ("b", 3661.5, 3662.0, "üç x")]
     read = captions.read_captions(spark, str(sidecars))
     live = run_available(caption_stream.stream_captions(spark, str(sidecars)))
@@ -57,11 +54,33 @@ def test_rolling_repeats_and_empty_files(spark):
     assert sorted(r.source_id for r in captions.caption_errors(df, got).collect()) == ["b", "c"]
 
 
-def test_long_sources_become_several_documents(spark):
-    rows = spark.createDataFrame([("a", i, float(i), i + 1.0, f"t{i}") for i in range(10)], SEG)
-    pieces = captions.caption_json(rows, events=4)
-    assert pieces.count() == 3
-    assert captions.parse_captions(pieces).count() == 10
+def test_long_documents_come_in_pieces(spark):
+    """Starts need not rise with seq: the pieces joined are the document sorted by start."""
+    rows = [("a", i, float((i * 7) % 10), i + 20.0, f"t{i}") for i in range(10)] + [("b", 0, 0.0, 1.0, "only")]
+    made = captions.caption_json(spark.createDataFrame(rows, SEG), events=4).orderBy("source_id", "piece").collect()
+    assert [(r.source_id, r.piece) for r in made] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    events = json.loads("".join(r.body for r in made if r.source_id == "a"))["events"]
+    assert [e["segs"][0]["utf8"] for e in events] == [f"t{i}" for i in sorted(range(10), key=lambda i: (i * 7) % 10)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_lines_of_a_long_log_are_numbered_over_its_splits(spark, tmp_path, end):
+    """One file in many tasks; empty lines, no last line break, another small file beside it."""
+    lines = [f"line {i} " + "x" * (i % 91) if i % 13 else "" for i in range(20_000)] + ["last"]
+    (tmp_path / "big.log").write_bytes(end.join(lines).encode())
+    (tmp_path / "small.txt").write_bytes(f"one{end}{end}three{end}".encode())
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "40000")
+    try:
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        got = inputs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert tasks > 8
+    assert [r.line for r in sorted((r for r in got if r.source_id == "big"), key=lambda r: r.line_no)] == lines
+    assert sorted((r.line_no, r.line) for r in got if r.source_id == "small") == [(0, "one"), (1, ""), (2, "three")]
+    assert sorted(r.line_no for r in got if r.source_id == "big") == list(range(len(lines)))
 
 
 def test_transcripts(spark, segments, tmp_path):

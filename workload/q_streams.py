@@ -120,7 +120,7 @@ SELECT CAST(source_id AS VARCHAR) AS source_id, CAST(trunc(start * 1000) AS DOUB
 def s4(spark, sf):
     folder = f"{shared_folder(spark)}/captions-{uuid.uuid4().hex}"
     write_captions(fx.segments(spark, sf), folder)
-    out = run_available(caption_stream.stream_captions(spark, folder, glob="*.txt"))
+    out = run_available(caption_stream.stream_captions(spark, folder))
     return out.select("source_id", "start", "text")
 
 
