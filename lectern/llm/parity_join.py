@@ -22,8 +22,10 @@ different labels in one bucket that have not been tried, is looked at to the las
 small buckets send their pairs, large ones are cut into bounded blocks by label, and a task
 compares the sketches of two blocks, unless both hold one label only. Only pairs whose
 sketches are within the bound are verified on the texts, a bounded number of partners a task.
-Large groups of near copies so send one comparison a member, not one a pair, and every
-pair that could join two components is looked at.
+Large buckets give out the nearest pair of each two labels first, over and over while that
+joins any; only then every pair within the bound that is left. Large groups of near copies
+so send one comparison a member, not one a pair, and every pair that could join two
+components is looked at.
 
 Defined results: a null text is empty; a document without words has no shingles and is
 linked with nothing; rows with equal texts are in one component; the component's name is
@@ -378,11 +380,20 @@ def folded_sketches(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
-def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
+def nearest_pairs(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the nearest of the pairs (x, y) for each two labels."""
+    one, two = np.minimum(left, right), np.maximum(left, right)
+    order = np.lexsort((y, x, apart, two, one))
+    one, two = one[order], two[order]
+    return order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))] if len(order) else order
+
+
+def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands, nearest: bool = False) -> DataFrame:
     """(a, b): members of one bucket with different labels and sketches near enough to be linked.
 
     ``rows`` is (key, rid, label). A task compares two blocks of a bucket, or a shared block
-    with itself; only pairs within the bound are given out.
+    with itself; only pairs within the bound are given out, or the ``nearest`` of each two
+    labels among 64 members and a block.
     """
     num, den = bands.num, bands.den
 
@@ -405,6 +416,9 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands) -> DataFrame
             most = (den - num) * (size[a: z, None] + size2[None, column]) // (den + num)
             left, right = label[a: z, None], label2[None, column]
             x, y = np.nonzero((apart <= most) & (left < right if same else left != right))
+            if nearest:
+                some = nearest_pairs(x, y, label[a + x], label2[column[y]], apart[x, y])
+                x, y = x[some], y[some]
             x, y = rid[a + x], rid2[column[y]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -519,13 +533,29 @@ def components(
     edges = written(verified(near, table, docs, bands, width, id_column, text))
     labels = relabel(None, edges)
 
-    # buckets whose members have different labels, and their untried pairs across labels
-    marked = buckets.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "key", "rid", F.coalesce("label", "rid").alias("label"))
-    mixed_keys = marked.groupBy("key").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"),
-    ).where("x <> y").select("key", "members")
-    open_rows = written(marked.join(mixed_keys, "key"))
+    def mixed_rows() -> DataFrame:
+        """Buckets whose members have different labels."""
+        marked = buckets.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
+            "key", "rid", F.coalesce("label", "rid").alias("label"))
+        mixed_keys = marked.groupBy("key").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"),
+        ).where("x <> y").select("key", "members")
+        return written(marked.join(mixed_keys, "key"))
+
+    tried = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_rows = mixed_rows()
+    while open_rows.where(F.col("members") > SMALL).limit(1).count():
+        large = open_rows.where(F.col("members") > SMALL).select("key", "rid", "label")
+        best = written(close_sketches(large, table, bands, nearest=True).distinct().join(tried, ["a", "b"], "left_anti"))
+        if not best.limit(1).count():
+            break
+        more = written(verified(best, table, docs, bands, width, id_column, text))
+        tried = tried.union(best)
+        if not more.limit(1).count():
+            break
+        labels = relabel(labels, more)
+        open_rows = mixed_rows()
+    # what is left: untried pairs across labels
     small, large = open_rows.where(F.col("members") <= SMALL), open_rows.where(F.col("members") > SMALL)
     one, two = small.alias("p"), small.alias("q")
     across = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.rid") < F.col("q.rid"))
@@ -534,7 +564,6 @@ def components(
     across = within_bound(across.distinct(), table, bands)
     if large.limit(1).count():
         across = across.union(close_sketches(large.select("key", "rid", "label"), table, bands))
-    tried = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = written(across.distinct().join(tried, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         more = written(verified(across, table, docs, bands, width, id_column, text))

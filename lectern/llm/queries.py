@@ -201,6 +201,8 @@ WITH d AS (
            length(regexp_replace(x, '{rules.NOT_SYMBOL}', '', 'g')) > length(x) * {rules.SYMBOL_SHARE}
            OR regexp_matches(x, '{rules.NAVIGATION}')
            OR (length(x) >= {rules.CAPITALS} AND x = upper(x) AND x <> lower(x))
+           OR (NOT regexp_matches(x, '{rules.SENTENCE_MARK}')
+               AND len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) >= {rules.LONG_LINE})
            OR {_PHRASES}) AS bad
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 ), b AS (

@@ -5,10 +5,9 @@ Every line is judged by itself. It fails when it is
 * broken by symbols: more than ``SYMBOL_SHARE`` of its characters are one of # * $ % & | < >,
 * navigation: a list of labels between bars, arrows or bullets,
 * boilerplate: a licence, cookie, copyright or sign-up line, or one written in
-  capitals throughout.
-
-There is no rule for missing sentence marks: long keyword or list lines without one are
-kept. The symbol share does not replace it.
+  capitals throughout,
+* not punctuated: ``LONG_LINE`` words or more without any sentence mark, as lists of
+  keywords are. Headings and short items are below that.
 
 Failing lines are removed, and a document is rejected when it fails the base rules
 or when the removed lines held more than ``max_loss`` of its word characters.
@@ -34,6 +33,7 @@ WORD_CHARACTER = r"[^\x20\x09-\x0D]"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 BAR = r"[|»›•·>]"
 NAVIGATION = r"(?:[|»›•·>][^|»›•·>]*){3,}"
+SENTENCE_MARK = r"[.!?…।؟。！？]"
 BOILERPLATE = (
     "licensed under", "all rights reserved", "copyright (c)", "terms of service", "terms of use",
     "privacy policy", "cookie policy", "uses cookies", "use cookies", "enable javascript",
@@ -44,6 +44,11 @@ BOILERPLATE = (
 MAX_LOSS = 0.5
 SYMBOL_SHARE = 0.10  # of a line's characters
 CAPITALS = 20  # characters from which a line all in capitals is shouted
+LONG_LINE = 20  # words from which a line needs a sentence mark
+
+
+# from the start of the line and without going back, so that its cost is the line's length
+MANY_WORDS = rf"\A[\x20\x09-\x0D]*+(?:{WORD_CHARACTER}++{GAP}+){{{LONG_LINE - 1}}}{WORD_CHARACTER}"
 
 
 def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -113,7 +118,7 @@ def repeated_words(windows: Column, numbers: Column) -> Column:
 
 
 def line_fails(line: Column, symbols: Column, phrases: Column, bars: Column) -> Column:
-    """True where a line is broken by symbols, navigation, boilerplate or shouted.
+    """True where a line is broken by symbols, navigation, boilerplate, shouted or not punctuated.
 
     ``symbols``, ``phrases`` and ``bars`` say whether the whole text has any symbol,
     standard phrase or bar; without one, no line needs to be searched for it.
@@ -123,6 +128,7 @@ def line_fails(line: Column, symbols: Column, phrases: Column, bars: Column) ->
         | (bars & line.rlike(NAVIGATION))
         | ((F.length(line) >= CAPITALS) & (line == F.upper(line)) & (line != F.lower(line)))
         | (phrases & bound_to(F.lower(line), has_phrase))
+        | (~line.rlike(SENTENCE_MARK) & line.rlike(MANY_WORDS))
     )
 
 

@@ -31,7 +31,7 @@ def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, clashing column names."""
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 7))) for _ in range(400)]
-    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n)) + "."
     base, passage = text(140), text(60)
     near = base.split()
     near[3] = "other"
@@ -501,6 +501,15 @@ def test_mix_counts_follow_the_distribution(spark, odd, empty):
 # --- rules --------------------------------------------------------------------------
 
 
+def test_lines_without_sentence_marks(spark):
+    """Keyword lists of twenty words go; headings, sentences of any script and one endless word stay."""
+    keywords, sentence = " ".join(f"word{i}" for i in range(20)), " ".join(f"w{i}" for i in range(60)) + "."
+    lines = [keywords, " \t" + keywords + " ", keywords[:-7], keywords + "!", keywords + " ؟", "x" * 200_000, "A heading", sentence]
+    docs = spark.createDataFrame([(1, "\n".join([*lines, sentence]))], "doc_id long, text string")
+    [row] = rules.judge(docs).select("quality.*").collect()
+    assert row["cleaned"].split("\n") == [x for x in lines[2:]] + [sentence] and row["n_lines_removed"] == 2
+
+
 def test_rules(odd, empty):
     got, want = {}, Counter()
     with pytest.raises(ValueError):
