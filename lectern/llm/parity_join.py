@@ -338,9 +338,10 @@ def label_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``rows`` is (key, rid, label). A label with many members in a bucket has blocks of its
     own, ``own`` being the label; labels with few share blocks, ``own`` being -1. Members
-    are (key, own, block, rid, label); pairs are (pair, key, own, block, side, alone), two
-    rows a pair or one where a shared block meets itself. Blocks of one label are not paired
-    with each other.
+    are (key, own, block, rid, label); pairs are (pair, like, key, own, block, side, alone),
+    two rows a pair or one where a shared block meets itself. Blocks of one label are not
+    paired with each other. ``like`` is the same for blocks of the same numbers in buckets
+    with one smallest member: such buckets mostly hold the same documents.
     """
     many = F.col("c") > BLOCK // 4
     counts = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")))
@@ -357,12 +358,14 @@ def label_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = lambda t: F.struct(f"{t}.own", f"{t}.block")
     met = blocks.alias("p").join(blocks.alias("q"), (F.col("p.key") == F.col("q.key")) & (
         place("p") <= place("q")) & ((F.col("p.own") < 0) | (F.col("p.own") != F.col("q.own"))))
+    least = rows.groupBy("key").agg(F.min("rid").alias("least"))
     met = written(met.select(
         F.monotonically_increasing_id().alias("pair"), F.col("p.key").alias("key"),
-        place("p").alias("p"), place("q").alias("q")))
+        place("p").alias("p"), place("q").alias("q")).join(least, "key").withColumn(
+            "like", F.xxhash64("least", "p", "q")).drop("least"))
     alone = (F.col("p") == F.col("q")).alias("alone")
     side = lambda t, n: met.select(
-        "pair", "key", F.col(f"{t}.own"), F.col(f"{t}.block"), F.lit(n).alias("side"), alone)
+        "pair", "like", "key", F.col(f"{t}.own"), F.col(f"{t}.block"), F.lit(n).alias("side"), alone)
     return members, side("p", 0).union(side("q", 1).where("not alone"))
 
 
@@ -425,9 +428,13 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands, nearest: boo
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        like, given = None, set()  # pairs given out for the blocks that are alike
 
         def both():
+            nonlocal like
             whole = pa.Table.from_batches(held).combine_chunks()
+            if like != (like := whole["like"][0].as_py()):
+                given.clear()
             rid, label, size, side = (whole[c].to_numpy() for c in ("rid", "label", "n", "side"))
             lists = whole["sketch"].combine_chunks()
             lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
@@ -436,7 +443,12 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands, nearest: boo
             one, two = (tuple(c[part] for c in (rid, label, size, bits)) for part in (
                 slice(0, n), slice(n, None)))
             alone = whole["alone"][0].as_py()
-            yield from near(one, one if alone else two, alone)
+            for found in near(one, one if alone else two, alone):
+                pairs = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist())) - given
+                given.update(pairs)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
         for batch in batches:
             key = batch.column("pair").to_numpy()
@@ -451,9 +463,9 @@ def close_sketches(rows: DataFrame, table: DataFrame, bands: Bands, nearest: boo
             yield from both()
 
     members, sides = label_blocks(rows)
-    sent = members.join(sides, ["key", "own", "block"]).select("pair", "side", "alone", "rid", "label").join(
-        table.select("rid", "n", "sketch"), "rid")
-    return sent.repartition("pair").sortWithinPartitions("pair", "side", "label").mapInArrow(
+    sent = members.join(sides, ["key", "own", "block"]).select(
+        "pair", "like", "side", "alone", "rid", "label").join(table.select("rid", "n", "sketch"), "rid")
+    return sent.repartition("like").sortWithinPartitions("like", "pair", "side", "label").mapInArrow(
         compare, "a long, b long")
 
 
