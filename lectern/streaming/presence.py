@@ -6,18 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels
+from ..operators import scan
+from ..operators.stage import stage
 
 
-def presence_sessions(
-    pings: DataFrame, gap_seconds: int = labels.ONLINE_SECONDS, watermark: str | None = None
-) -> DataFrame:
+def presence_sessions(pings: DataFrame, gap_seconds: int = labels.ONLINE_SECONDS) -> DataFrame:
     """Uninterrupted presence: pings at most ``gap_seconds`` apart form a session.
 
-    ``pings`` has agent and ts (TIMESTAMP). Runs on batch and streaming input; a
-    stream needs ``watermark``, the lateness it tolerates.
+    ``pings`` has agent and ts (TIMESTAMP). Pings of one stretch of ``gap_seconds`` belong
+    together, so they are added up where they lie; what is left, one row a stretch, is put
+    into sessions by a block scan. No task holds an agent, however many pings it sends.
+    """
+    gap = gap_seconds * 1_000_000
+    us = F.unix_micros("ts")
+    cells = pings.where(F.col("ts").isNotNull()).groupBy("agent", F.floor(us / gap).cast("long").alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
+    cut = stage(cells.withColumn("_block", scan.block_of(F.col("_cell"))))
+    linked = scan.previous_value(cut, ["agent"], ["_cell"], "_block", {"_to": "_before"})
+    pause = F.unix_micros("_from") - F.unix_micros("_before")
+    opened = linked.withColumn("_new", F.coalesce(pause > gap, F.lit(True)).cast("int"))
+    numbered = scan.running_sum(opened, ["agent"], ["_cell"], "_block", "_new", "_session")
+    return numbered.groupBy("agent", "_session").agg(
+        F.min("_from").alias("online_from"), F.max("_to").alias("last_ping"), F.sum("_n").alias("pings"),
+    ).drop("_session")
+
+
+def closed_sessions(
+    pings: DataFrame, watermark: str, gap_seconds: int = labels.ONLINE_SECONDS
+) -> DataFrame:
+    """The sessions of a stream, each given out once, when no ping can extend it any more.
+
+    ``watermark`` is the lateness the stream tolerates. A session is closed when the
+    watermark has passed its last ping by the gap, and its state goes then, so the state
+    is that of the agents now online. Pings later than the watermark are refused;
+    ``run_available`` counts them.
     """
-    timed = pings if watermark is None else pings.withWatermark("ts", watermark)
-    sessions = timed.groupBy("agent", F.session_window("ts", f"{gap_seconds} seconds"))
+    sessions = pings.withWatermark("ts", watermark).groupBy(
+        "agent", F.session_window("ts", f"{gap_seconds} seconds"))
     return sessions.agg(
         F.count(F.lit(1)).alias("pings"), F.min("ts").alias("online_from"),
         F.max("ts").alias("last_ping"),

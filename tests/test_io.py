@@ -1,6 +1,8 @@
 """Readers, writers, streams and the foreign scorer on small files."""
 
 import json
+import os
+import random
 
 import pandas as pd
 import pytest
@@ -12,7 +14,8 @@ from lectern.plans import notes
 from lectern.sources import captions, documents, inputs, jobs, silence, sinks, speech, textfiles
 from lectern.streaming import captions as caption_stream
 from lectern.streaming import jobs as job_stream
-from lectern.streaming.run import run_available
+from lectern.streaming.presence import closed_sessions, presence_sessions
+from lectern.streaming.run import ChangedRows, run_available
 
 SEG = "source_id string, seq int, start double, end double, text string"
 
@@ -289,3 +292,58 @@ def test_glossary_keeps_the_last_definition(spark):
     synth = spark.createDataFrame([("a", 0, "CAM", "4"), ("a", 1, "Çam", "5")], "source_id string, pos int, term string, definition string")
     got = ledger.merge_glossary(terms, synth).orderBy("sort_key").collect()
     assert [(r.term, r.definition) for r in got] == [("CAM", "4"), ("Çam", "5"), ("işlem", "3")]
+
+
+def sessions_of(times, gap):
+    out = []
+    for t in sorted(times):
+        if out and t - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], t, out[-1][2] + 1)
+        else:
+            out.append((t, t, 1))
+    return out
+
+
+def test_presence_of_a_hot_agent(spark, monkeypatch):
+    """Most pings from one agent, times before the epoch, gaps of just the limit, equal times, no time."""
+    from lectern.operators import scan
+
+    monkeypatch.setattr(scan.block_of, "__defaults__", (7,))
+    rng = random.Random(2)
+    pings = [(1, -5000)] + [(1, t) for _ in range(900) for t in [rng.randint(-4000, 30_000)]]
+    pings += [(2, 0), (2, 90), (2, 180), (2, 271), (3, 5), (3, 5), (4, None)]
+    df = spark.createDataFrame(pings, "agent int, s long").selectExpr("agent", "timestamp_seconds(s) AS ts").repartition(5)
+    got = presence_sessions(df, 90).selectExpr(
+        "agent", "unix_seconds(online_from)", "unix_seconds(last_ping)", "pings").collect()
+    want = [(a, *s) for a in (1, 2, 3) for s in sessions_of([t for b, t in pings if b == a], 90)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_closed_sessions_and_late_pings(spark, tmp_path):
+    """A session is given out once it cannot grow; pings behind the watermark are counted, not lost from sight."""
+    feed = [[("a", 0), ("a", 50), ("b", 10)], [("a", 5000)], [("a", 5010)], [("a", 60), ("b", 20), ("c", 4000)], [("a", 9000)], [("a", 9100)]]
+    schema = "agent string, s long"
+    for k, rows in enumerate(feed):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "feed" / f"k={k}"))
+        os.utime(next((tmp_path / "feed" / f"k={k}").glob("part-*")), (1e9 + k * 100, 1e9 + k * 100))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
+        str(tmp_path / "feed")).selectExpr("agent", "timestamp_seconds(s) AS ts")
+    report = {}
+    got = run_available(closed_sessions(stream, "100 seconds", 90), report=report)
+    rows = sorted(tuple(r) for r in got.selectExpr("agent", "unix_seconds(online_from)", "unix_seconds(last_ping)", "pings").collect())
+    assert rows == [("a", 0, 50, 2), ("a", 5000, 5010, 2), ("b", 10, 10, 1)] and report["late"] == 3
+
+
+def test_folders_of_changed_rows_stay_few(spark, tmp_path):
+    """Many batches, repeated ones, and one that was merged before it was repeated."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.IntegerType())])
+    table, want = ChangedRows(spark, str(tmp_path / "t"), schema, ["id"], every=4), {}
+    for number in range(13):
+        rows = [(i, number) for i in range(number % 3, 9, 3)]
+        want.update(rows)
+        for _ in range(2 if number in (2, 3, 8) else 1):
+            table.add(spark.createDataFrame(rows, schema).coalesce(1), number)
+        assert {r.id: r.v for r in table.rows().collect()} == want
+        assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) <= 5

@@ -56,10 +56,10 @@ def s1(spark, sf):
     return _shown(presence.presence_sessions(pings(fx.events(spark, sf)), GAP))
 
 
-@query("s1_presence_stream", SESSIONS)
+@query("s1_presence_stream", f"SELECT * FROM ({SESSIONS}) WHERE CAST(last_ping AS TIMESTAMP) + to_seconds({GAP}) <= (SELECT max(ts) - to_seconds(3600) FROM events)")
 def s1s(spark, sf):
-    sessions = presence.presence_sessions(pings(stream_events(spark, sf)), GAP, "1 hour")
-    return _shown(run_available(sessions, "complete"))
+    """Closed sessions: those that the watermark, an hour behind the last ping, has passed."""
+    return _shown(run_available(presence.closed_sessions(pings(stream_events(spark, sf)), "1 hour", GAP)))
 
 
 @query("s1_agent_status", f"""
