@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import labels
@@ -248,8 +248,6 @@ def title_requests(
 
 def recent_turns(turns: DataFrame, n: int = labels.HISTORY_TURNS) -> DataFrame:
     """History text per conversation: the last ``n`` turns, incomplete ones left out."""
-    from pyspark.sql import Window
-
     latest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
     kept = turns.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= n)
     complete = kept.where(~is_blank(F.col("question")) & ~is_blank(F.col("answer")))
@@ -286,6 +284,65 @@ def question_requests(questions: DataFrame) -> DataFrame:
     return questions.select(*keep, cropped.alias("cropped"), user.alias("user"))
 
 
+LEAST_LINE = 10  # characters of the shortest line with its time stamp and line break
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+
+def relevant_segments(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
+    """(id, start, seq, line, score): the lines of its source that a question's request carries.
+
+    ``questions`` has id, source_id and question. The words of all segments are an inverted
+    index; a segment scores a thousand times the logarithm of how rare in its source each
+    word is that it shares with the question. Lines are taken from the highest score down,
+    earlier ones first among equals, while their characters are within ``limit``: a source
+    that fits comes whole, of a longer one the lines that speak of the question. Only as
+    many lines as could fit are ranked, and only the words asked for are joined.
+    """
+    index = segments.select("source_id", "seq", F.explode(_terms(F.col("text"))).alias("term"))
+    asked = questions.select("id", "source_id", F.explode(_terms(F.col("question"))).alias("term"))
+    named = index.join(asked.select("source_id", "term").distinct(), ["source_id", "term"], "left_semi")
+    rare = named.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("_df"))
+    sizes = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    weights = asked.join(rare, ["source_id", "term"]).join(sizes, "source_id").select(
+        "id", "source_id", "term", F.floor(1000 * F.log(F.col("_n") / F.col("_df"))).cast("long").alias("_w"))
+    scores = named.join(weights, ["source_id", "term"]).groupBy("id", "source_id", "seq").agg(
+        F.sum("_w").alias("_score"))
+    line = stamped_line(F.col("start"), F.col("text"))
+    lines = segments.select("source_id", "start", "seq", line.alias("line"))
+    scored = questions.select("id", "source_id").join(lines, "source_id").join(
+        scores, ["id", "source_id", "seq"], "left").select(
+        "id", "start", "seq", "line", F.coalesce("_score", F.lit(0).cast("long")).alias("score"))
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "start", "seq")
+    first = scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit // LEAST_LINE)
+    upto = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("_upto", upto).where(F.col("_upto") <= limit + 1).drop("_rn", "_upto")
+
+
+def retrieved_question_requests(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
+    """Question requests whose transcript is chosen by relevance, in time order.
+
+    ``questions`` has id, source_id, title, question and history (may be NULL).
+    ``left_out`` counts the lines of the source that the request does not carry.
+    """
+    chosen = relevant_segments(questions, segments, limit).groupBy("id").agg(
+        join_ordered(["start", "seq"], F.col("line"), "\n").alias("_text"), F.count(F.lit(1)).alias("_lines"))
+    sizes = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    whole = questions.join(chosen, "id", "left").join(sizes, "source_id", "left")
+    left_out = F.coalesce("_n", F.lit(0)) - F.coalesce("_lines", F.lit(0))
+    history = F.when(
+        F.coalesce(F.col("history"), F.lit("")) != "",
+        F.concat(F.lit(labels.HISTORY_HEADER), F.col("history"), F.lit("\n")),
+    ).otherwise("")
+    user = F.concat(
+        F.lit("BAŞLIK: "), F.coalesce("title", F.lit("")), F.lit("\n\nTRANSKRİPT:\n"),
+        F.coalesce("_text", F.lit("")), F.lit("\n\n"), history, F.lit("SORU: "), F.col("question"),
+    )
+    return whole.select("id", "source_id", user.alias("user"), left_out.cast("long").alias("left_out"))
+
+
 def admit_requests(requests: DataFrame) -> DataFrame:
     """Grant output tokens within the budget, or reject with the reason.
 

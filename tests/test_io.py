@@ -347,3 +347,17 @@ def test_folders_of_changed_rows_stay_few(spark, tmp_path):
             table.add(spark.createDataFrame(rows, schema).coalesce(1), number)
         assert {r.id: r.v for r in table.rows().collect()} == want
         assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) <= 5
+
+
+def test_retrieved_questions(spark):
+    """Rare shared words first, whole source where it fits, what is left out is counted; no match, no source."""
+    rows = [("a", i, i * 10.0, i * 10.0 + 9, f"the {'zebra crossing' if i in (3, 7) else 'usual talk'} number {i}") for i in range(12)]
+    segs_ = spark.createDataFrame(rows, SEG)
+    asked = spark.createDataFrame(
+        [(1, "a", "T", "Where is the ZEBRA?", None), (2, "a", "T", "Nothing of that", "K: q\n"), (3, "none", None, "zebra", None)],
+        "id int, source_id string, title string, question string, history string")
+    got = {r.id: r for r in requests.retrieved_question_requests(asked, segs_, 75).collect()}
+    assert "[00:30] the zebra crossing number 3\n[01:10] the zebra crossing number 7\n\nSORU" in got[1].user and got[1].left_out == 10
+    assert "number 0" in got[2].user and "K: q" in got[2].user and got[3].left_out == 0
+    whole = requests.retrieved_question_requests(asked, segs_, 10_000).where("id = 1").first()
+    assert whole.left_out == 0 and all(t in whole.user for *_, t in rows)

@@ -170,6 +170,41 @@ def m7(spark, sf):
     return out.select("id", "cropped", "user")
 
 
+ASKED = 1500
+
+
+@query("m7_retrieved_questions", cte(fx.SEGMENTS, TURNS, f"""
+asked AS (SELECT s.doc_id AS id, d.doc_id AS source_id, 'Doc ' || d.doc_id AS title, string_split(s.text, chr(10))[-1] AS question
+  FROM documents s JOIN documents d ON d.doc_id = s.doc_id - s.doc_id % 3),
+terms AS (SELECT source_id, seq, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM segments),
+rare AS (SELECT source_id, term, count(*) AS df FROM terms GROUP BY ALL),
+sizes AS (SELECT source_id, count(*) AS n FROM segments GROUP BY source_id),
+weights AS (
+  SELECT id, q.source_id, q.term, CAST(floor(1000 * ln(n::DOUBLE / df)) AS BIGINT) AS w
+  FROM (SELECT id, source_id, unnest(list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM asked) q
+  JOIN rare USING (source_id, term) JOIN sizes USING (source_id)),
+scores AS (SELECT id, seq, sum(w) AS score FROM terms JOIN weights USING (source_id, term) GROUP BY id, seq),
+ranked AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY score DESC, start, seq ROWS UNBOUNDED PRECEDING) AS upto FROM (
+    SELECT a.id, s.start, s.seq, '[' || {ts_sql('start')} || '] ' || s.text AS line, coalesce(score, 0) AS score
+    FROM asked a JOIN segments s USING (source_id) LEFT JOIN scores c ON c.id = a.id AND c.seq = s.seq)),
+carried AS (SELECT id, string_agg(line, chr(10) ORDER BY start, seq) AS body, count(*) AS lines FROM ranked WHERE upto <= {ASKED} + 1 GROUP BY id)""") + """
+SELECT a.id, a.source_id, coalesce(n, 0) - coalesce(lines, 0) AS left_out,
+  'BAŞLIK: ' || title || chr(10) || chr(10) || 'TRANSKRİPT:' || chr(10) || coalesce(body, '') || chr(10) || chr(10)
+  || coalesce('ÖNCEKİ KONUŞMA (yalnızca soruyu anlamak için):' || chr(10) || history || chr(10), '') || 'SORU: ' || question AS "user"
+FROM asked a LEFT JOIN carried USING (id) LEFT JOIN sizes USING (source_id) LEFT JOIN history ON conv_id = a.id""")
+def m7r(spark, sf):
+    """Every document asks about a document: its last line is the question."""
+    docs = fx.table(spark, sf, "documents")
+    about = docs.select(F.col("doc_id").alias("source_id"))
+    asked = docs.select(
+        F.col("doc_id").alias("id"), F.expr("doc_id - doc_id % 3").alias("source_id"),
+        F.concat(F.lit("Doc "), F.expr("doc_id - doc_id % 3")).alias("title"), F.element_at(F.split("text", "\n"), -1).alias("question"),
+    ).join(about, "source_id", "left_semi")
+    history = requests.recent_turns(turns(spark, sf), 2).withColumnRenamed("conv_id", "id")
+    return requests.retrieved_question_requests(asked.join(history, "id", "left"), stage(fx.segments(spark, sf)), ASKED)
+
+
 @query("d12_with_limits", cte(fx.JOBS) + """
 SELECT id, CASE provider WHEN 'groq' THEN 6000 ELSE 120000 END AS boundary, CASE provider WHEN 'groq' THEN 8000 ELSE 40000 END AS section,
   CASE provider WHEN 'groq' THEN 4000 WHEN 'openrouter' THEN 10000 WHEN 'anthropic' THEN 40000 ELSE 20000 END AS repair FROM jobs""")
