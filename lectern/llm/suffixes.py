@@ -51,7 +51,8 @@ GRAM = 32
 SYMBOL = 20  # bytes of a symbol at most; the largest divisor of the width up to it is taken
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
-CROWDED = 1 << 24  # bytes of different strings under one anchor from which windows go apart
+CROWDED = 1 << 22  # bytes of different strings under one anchor from which windows go apart: their
+# arrays take some hundred times that in a task
 MARKS = 1 << 16  # windows of a string that a batch or a task holds together
 SECOND = 0x2545F4914F6CDD1D  # base of a second hash of windows
 BROADCAST_ROWS = 300_000  # of (identifier, hash): 7 MB
@@ -362,9 +363,12 @@ def windows_apart(strings: DataFrame, classes: DataFrame, width: int) -> DataFra
                         pa.array([data[k: k + width] for k in range(0, len(data), width)], pa.binary()),
                     ], names=names)
 
-    chosen = classes.groupBy(F.col("rep.anchor").alias("anchor"), F.col("rep.string").alias("string")).agg(
+    # a row has the windows of at most ``MARKS`` places of a string
+    chosen = classes.groupBy(
+        F.col("rep.anchor").alias("anchor"), F.col("rep.string").alias("string"),
+        F.floor(F.col("rep.at") / MARKS).alias("stretch")).agg(
         F.collect_list(F.struct(F.col("part").alias("file"), F.col("rep.at").alias("at"), "n")).alias("cuts"))
-    return strings.drop("n").join(chosen, ["anchor", "string"]).mapInArrow(
+    return strings.drop("n").join(chosen.drop("stretch"), ["anchor", "string"]).mapInArrow(
         cut, "file long, anchor long, string long, at long, n long, bytes binary")
 
 
