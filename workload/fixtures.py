@@ -16,7 +16,13 @@ from lectern.operators.stage import stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name != "documents":
+        return rows
+    # texts are dealt by document at once, which what follows would do with their lines: windows
+    # over the lines of a document find them together
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "doc_id")
 
 
 # ------------------------------------------------------------------ segments

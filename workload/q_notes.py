@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import parts, screen, sections
-from lectern.operators.stage import stage
+from lectern.operators.stage import shared_folder, stage
 from lectern.plans import notes, study
+from lectern.sources import sinks
 
 from . import fixtures as fx
 from .q_packing import STUDY, TIME_PARTS, assigned, time_parts
@@ -71,7 +74,7 @@ UNION ALL SELECT source_id, 5, 0.0, '## Kendini test et' || {NL} || {NL} || '- *
 UNION ALL SELECT source_id, 6, 0.0, '## Daha derine — araştırma prompt''u' || {NL} || {NL} || 'Bunu ChatGPT ya da Claude''a olduğu gibi yapıştır:' || {NL} || {NL} || '```' || {NL} || 'araştır' || {NL} || '```' || {NL} FROM sources WHERE source_id % 2 = 0"""
 
 
-@query("a9_render_timed", cte(fx.WORDS, _MARKS_ONLY, *STUDY[1:], _FRAME_SECTION, NOTE_BASE, f"""
+A9_SQL = cte(fx.WORDS, _MARKS_ONLY, *STUDY[1:], _FRAME_SECTION, NOTE_BASE, f"""
 shown AS (
   SELECT f.*, s.sec_start, url FROM frames f JOIN open_spans s ON s.source_id = f.source_id AND f.ts >= s.lo AND f.ts < s.hi
   JOIN (SELECT source_id AS sid, url FROM info) i ON i.sid = f.source_id),
@@ -92,8 +95,11 @@ UNION ALL SELECT b.source_id, 1, b.sec_start, '### ' || {_link('first')} || ' '
 UNION ALL SELECT s.source_id, 8, 0.0, '---' || {NL} || {NL} || '<sub>Otomatik üretildi · ' || CAST(n AS VARCHAR) || ' bölüm · eleştirmen geçişi ' || CAST(s.source_id % 4 AS VARCHAR) || ' eksik madde ekledi'
   || coalesce(' · ' || CAST(f AS VARCHAR) || ' slayt OCR ile okundu', '') || '</sub>' || {NL}
   FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM bodies GROUP BY source_id) USING (source_id)
-  LEFT JOIN (SELECT source_id, count(*) AS f FROM shown GROUP BY source_id) USING (source_id)""")
-def a9(spark, sf):
+  LEFT JOIN (SELECT source_id, count(*) AS f FROM shown GROUP BY source_id) USING (source_id)"""
+
+
+def timed_lines(spark, sf):
+    """Lines of the notes of timed sources."""
     rows = assigned(spark, sf)
     table = stage(sections.section_table(rows).join(study.first_line_notes(rows), ["source_id", "sec_start"]))
     points = rows.select(
@@ -101,11 +107,30 @@ def a9(spark, sf):
     )
     shown = stage(screen.frames_to_sections(stage(frames(spark, sf)), table))
     srcs = stage(note_sources(spark, sf))
-    lines = notes.render_timed(
+    return notes.render_timed(
         srcs, table, points, words(spark, sf), glossary(spark, sf), learning(spark, sf), shown,
         srcs.select("source_id", (F.col("source_id") % 4).alias("critic_added")),
     )
-    return notes.note_pieces(lines)
+
+
+@query("a9_render_timed", A9_SQL)
+def a9(spark, sf):
+    return notes.note_pieces(timed_lines(spark, sf))
+
+
+@query("a9_note_files", f"""
+SELECT 'notes/' || source_id || '.md' AS path, sha256(string_agg(text, {NL} ORDER BY block, "at") || {NL}) AS content
+FROM ({A9_SQL}) GROUP BY source_id""")
+def a9f(spark, sf):
+    """Notes of timed sources written as files, line rows from many tasks, and read back."""
+    folder = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    lines = timed_lines(spark, sf).withColumn("id", F.col("source_id").cast("string"))
+    layout = lines.select("id").distinct().select("id", F.concat(F.lit("notes/"), "id", F.lit(".md")).alias("path"))
+    sinks.write_library(layout, lines.select("id", "ord", "line"), folder)
+    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return read.select(
+        F.substring_index("_metadata.file_path", f"{folder.rpartition('/')[2]}/", -1).alias("path"),
+        F.sha2("value", 256).alias("content"))
 
 
 @query("a10_render_paged", cte(fx.SEGMENTS, fx.SOURCES, PAGES, NOTE_BASE, """
