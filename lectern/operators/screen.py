@@ -204,3 +204,20 @@ def screen_text(frames: DataFrame, keys: list[str]) -> DataFrame:
     return trusted.groupBy(*keys).agg(
         join_ordered(["ts", "frame_idx"], entry, "\n\n").alias("screen")
     )
+
+
+def screen_pieces(frames: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``(keys, piece, screen)``: trusted screen text in pieces of about ``limit`` characters.
+
+    An entry belongs to the piece in which the text before it ends, so a piece is at most
+    one entry longer than the limit, and pieces joined by blank lines are ``screen_text``.
+    Lengths are added up block by block: a section of any length is many tasks.
+    """
+    trusted = frames.where(~F.col("quarantined") & (F.col("text") != ""))
+    entry = F.concat(F.lit("["), fmt_ts(F.col("ts")), F.lit(" ekran]\n"), F.col("text"))
+    cut = trusted.select(
+        *keys, "ts", "frame_idx", entry.alias("_entry"), (F.length(entry) + 2).alias("_cost"),
+        scan.block_of(F.col("ts"), scan.BLOCK_SECONDS).alias("_block"))
+    placed = scan.running_sum(cut, keys, ["ts", "frame_idx"], "_block", "_cost", "_before", inclusive=False)
+    return placed.withColumn("piece", F.floor(F.col("_before") / limit).cast("long")).groupBy(*keys, "piece").agg(
+        join_ordered(["ts", "frame_idx"], F.col("_entry"), "\n\n").alias("screen"))

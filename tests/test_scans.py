@@ -140,3 +140,15 @@ def test_quality_sketches(spark):
     assert low["c"] == (0, None)
     mine = [c for k, _, c in data if k == "a"]
     assert abs(low["a"][1] - sum(c < 60 for c in mine) / len(mine)) < 3 * quality.RANK_ERROR
+
+
+def test_screen_pieces_joined_are_the_screen_text(spark):
+    rng = random.Random(6)
+    rows = [("a" if i % 4 else "b", 0.0, i, i * 37.5, "w" * rng.randint(0, 60), i % 9 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "source_id string, sec_start double, frame_idx int, ts double, text string, quarantined boolean").repartition(4)
+    keys = ["source_id", "sec_start"]
+    whole = {r.source_id: r.screen for r in screen.screen_text(df, keys).collect()}
+    pieces = screen.screen_pieces(df, keys, 300).orderBy("source_id", "piece").collect()
+    assert max(len(r.screen) for r in pieces) < 300 + 80 and len(pieces) > 40
+    for k, text in whole.items():
+        assert "\n\n".join(r.screen for r in pieces if r.source_id == k) == text

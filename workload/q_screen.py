@@ -179,6 +179,23 @@ def c10(spark, sf):
     return screen.screen_text(placed, ["source_id", "sec_start"])
 
 
+PIECE = 400
+
+
+@query("c10_screen_pieces", cte(fx.WORDS, *[x for x in STUDY if x != fx.MARKS], _FRAME_SECTION, recursive=True).replace(
+    "sources AS (", fx.MARKS.replace(fx.SEGMENTS + ",", "").strip() + ",\nsources AS (", 1) + f"""
+SELECT source_id, sec_start, before // {PIECE} AS piece, string_agg(entry, chr(10) || chr(10) ORDER BY ts, frame_idx) AS screen FROM (
+  SELECT *, CAST(coalesce(sum(length(entry) + 2) OVER (PARTITION BY source_id, sec_start ORDER BY ts, frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM (SELECT f.source_id, s.sec_start, f.ts, f.frame_idx, '[' || {ts_sql('f.ts')} || ' ekran]' || chr(10) || f.text AS entry
+    FROM frames f JOIN open_spans s ON s.source_id = f.source_id AND f.ts >= s.lo AND f.ts < s.hi
+    WHERE NOT f.quarantined AND f.text <> ''))
+GROUP BY ALL""")
+def c10p(spark, sf):
+    table = stage(sections.section_table(assigned(spark, sf)))
+    placed = stage(screen.frames_to_sections(stage(frames(spark, sf)), table))
+    return screen.screen_pieces(placed, ["source_id", "sec_start"], PIECE)
+
+
 @query("d2_frames_to_windows", cte(fx.WORDS, NUMBERED, BOUNDARY_WALK, SPANS, recursive=True) + """
 SELECT f.source_id, f.frame_idx, w.window_id FROM frames f JOIN spans w ON w.source_id = f.source_id AND f.ts >= w.first_start AND f.ts < w.last_end""")
 def d2(spark, sf):
