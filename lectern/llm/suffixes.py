@@ -12,13 +12,13 @@ anchor stands in it twice. The strings of all other anchors are put into suffix
   equal ones (128 bits of hash) travel once, with their number;
 * a task takes whole anchors up to a bounded number of bytes and cuts their strings into
   shards; each shard gets its suffix order and its Burrows-Wheeler transform, over
-  symbols of twenty bytes at every phase;
+  symbols of fifty bytes at every phase, told apart and ordered by 64 bits of hash;
 * the shards' transforms are merged without sorting suffixes again: the interleave, one
   shard number per slot, is refined symbol by symbol. A pass reads each slot's symbol from
   its shard's transform and deals the slots stably by symbol, which sorts the suffixes by
   one symbol more;
 * two neighbours share as many symbols as passes have not parted them, so after
-  ``width / 20`` passes the unparted intervals are the strings of ``width`` bytes that
+  ``width / 50`` passes the unparted intervals are the strings of ``width`` bytes that
   occur more than once, counted with the numbers of their strings.
 
 Windows found this way become byte intervals of their documents; overlapping ones merge,
@@ -48,7 +48,7 @@ from .textbytes import (
 
 WIDTH = 200
 GRAM = 32
-SYMBOL = 20  # bytes of a symbol at most; the largest divisor of the width up to it is taken
+SYMBOL = 50  # bytes of a symbol at most; the largest divisor of the width up to it is taken
 SHARD = 1 << 18  # bytes of a shard
 TOGETHER = 1 << 21  # bytes whose shards are merged at once
 CROWDED = 1 << 22  # bytes of different strings under one anchor from which windows go apart: their
@@ -172,7 +172,7 @@ class Shard:
     """Suffix order and transform of some strings laid end to end.
 
     Each string of length L owns L + size places: one a byte, and one end mark a phase.
-    ``symbol[i]`` ranks the ``size`` bytes from place i, 0 at end marks; the suffix before
+    ``symbol[i]`` is the rank of the hash of the ``size`` bytes from place i, 0 at end marks; the suffix before
     the one at i starts ``size`` bytes earlier, or is the end mark of i's phase.
     """
 
@@ -200,10 +200,11 @@ def merge(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
     interval = np.zeros(len(interleave), np.int32)
     symbols = np.empty(len(interleave), np.uint32)
+    transforms = np.concatenate([s.transform for s in shards])
     parts = 1
     for _ in range(passes):
-        for s, shard in enumerate(shards):
-            symbols[interleave == s] = shard.transform
+        # the slots of each shard in turn read its transform from the start
+        symbols[np.argsort(interleave, kind="stable")] = transforms
         order = _stable_order(symbols)
         interleave, dealt, lifted = interleave[order], symbols[order], interval[order]
         new = np.ones(len(order), bool)
@@ -231,16 +232,11 @@ def repeated_windows(
     starts = np.cumsum(places) - places
     ends = starts + lengths
     total = int(places.sum())
-    flat = np.zeros(total + 8, np.uint8)
+    flat = np.zeros(total + size, np.uint8)
     flat[ranges(starts, lengths)] = np.frombuffer(b"".join(strings), np.uint8)
-    blocks = np.lib.stride_tricks.sliding_window_view(flat, 8)[:total]
-    symbol, _ = _dense(np.ascontiguousarray(blocks).view(">u8").ravel().astype(np.uint64))
-    reach = 8
-    while reach < size:  # ranks of longer blocks from two that overlap; end marks hold zeros
-        step = min(reach, size - reach)
-        later = np.concatenate([symbol[step:], np.zeros(step, np.int64)])
-        symbol, _ = _dense(symbol * (int(symbol.max()) + 1) + later)
-        reach += step
+    sums, p = prefix_hash(flat)
+    at = np.arange(total)
+    symbol, _ = _dense(mixed(span_hash(sums, p, at, at + size)))
     symbol += 1
     symbol[ranges(ends, np.full(len(ends), size, np.int64))] = 0
     weight = np.zeros(total, np.int64)
@@ -257,8 +253,7 @@ def repeated_windows(
         suffixes.append(shard.order + low)
     interleave, interval = merge(shards, width // size)
     suffix = np.empty(total, np.int64)
-    for s, own in enumerate(suffixes):
-        suffix[interleave == s] = own
+    suffix[np.argsort(interleave, kind="stable")] = np.concatenate(suffixes)
     held = np.bincount(interval, weights=weight[suffix])
     twice = np.zeros(total, bool)
     twice[suffix] = held[interval] >= 2
