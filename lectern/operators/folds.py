@@ -364,6 +364,11 @@ def _entered(
         .agg(F.min("_block").alias("_a"), F.max("_block").alias("_b"))
         .where("_a < _b")
     )
+    span = long_keys.agg(F.max(F.col("_b") - F.col("_a"))).first()[0]
+    if span is None:  # every source is one block, entered without an open group
+        alone = slim.withColumns({
+            "_state": F.lit(None).cast("double"), "_before": F.lit(0).cast("long"), "_ahead": F.lit(0.0)})
+        return _numbered(alone, [*keys, "_block"], order)
     core = slim.join(long_keys.select(*keys), keys, "left_semi")
     tables = _numbered(core, [*keys, "_block"], order).mapInPandas(
         _tabulate(rule, keys), T.StructType([*key_fields, *cells])
@@ -372,7 +377,6 @@ def _entered(
     first = long_keys.select(*keys, "_a")
     levels = [stage(tables.join(first, keys).select(
         *keys, (F.col("_block") - F.col("_a")).alias("_node"), *TABLE))]
-    span = long_keys.agg(F.max(F.col("_b") - F.col("_a"))).first()[0] or 0
     group = F.floor(F.col("_node") / fanout).cast("long")
     while span >= fanout:
         grouped = _numbered(levels[-1].withColumn("_group", group), [*keys, "_group"], ["_node"])
