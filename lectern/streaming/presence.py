@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels
 from ..operators import scan
-from ..operators.stage import stage
+from ..operators.stage import shared_folder, stage
+from .run import run_available
+
+# Fixed value: a time that no ping has.
+_END_OF_TIME = "9999-12-31 00:00:00"
 
 
 def presence_sessions(pings: DataFrame, gap_seconds: int = labels.ONLINE_SECONDS) -> DataFrame:
@@ -49,6 +55,29 @@ def closed_sessions(
     ).select("agent", "online_from", "last_ping", "pings")
 
 
+def all_sessions(
+    pings: DataFrame, watermark: str, gap_seconds: int = labels.ONLINE_SECONDS, report: dict | None = None
+) -> DataFrame:
+    """Every session of a feed that has ended, those open at its end too.
+
+    Sessions are given out as they close, as by ``closed_sessions``. When all there is has
+    been read, one ping of nobody at the end of time moves the watermark past the open ones;
+    its own session is never given out.
+    """
+    spark = pings.sparkSession
+    feed = pings.select("agent", "ts")
+    folder = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+    spark.createDataFrame([], feed.schema).write.parquet(folder)
+
+    def close() -> None:
+        last = [F.lit(None).cast(feed.schema["agent"].dataType).alias("agent"),
+                F.lit(_END_OF_TIME).cast("timestamp").alias("ts")]
+        spark.range(1).select(*last).write.mode("append").parquet(folder)
+
+    ended = feed.unionByName(spark.readStream.schema(feed.schema).parquet(folder))
+    return run_available(closed_sessions(ended, watermark, gap_seconds), report=report, ending=close)
+
+
 def agent_status(pings: DataFrame, now, gap_seconds: int = labels.ONLINE_SECONDS) -> DataFrame:
     """Whether each agent is online at ``now`` (a timestamp column or literal)."""
     at = F.lit(now) if not hasattr(now, "alias") else now

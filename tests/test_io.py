@@ -14,7 +14,7 @@ from lectern.plans import notes
 from lectern.sources import captions, documents, inputs, jobs, silence, sinks, speech, textfiles
 from lectern.streaming import captions as caption_stream
 from lectern.streaming import jobs as job_stream
-from lectern.streaming.presence import closed_sessions, presence_sessions
+from lectern.streaming.presence import all_sessions, closed_sessions, presence_sessions
 from lectern.streaming.run import ChangedRows, run_available
 
 SEG = "source_id string, seq int, start double, end double, text string"
@@ -334,6 +334,23 @@ def test_closed_sessions_and_late_pings(spark, tmp_path):
     assert rows == [("a", 0, 50, 2), ("a", 5000, 5010, 2), ("b", 10, 10, 1)] and report["late"] == 3
 
 
+def test_sessions_open_at_the_end_of_a_feed(spark, tmp_path):
+    """All sessions of a feed, those that no later ping closes too; somebody without a name is not the end mark."""
+    feed = [[("a", 0), ("a", 50), ("b", 10)], [("a", 5000), (None, 5001)], [("a", 5010)], [("c", 5100), ("c", 5190)]]
+    schema = "agent string, s long"
+    for k, rows in enumerate(feed):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "feed" / f"k={k}"))
+        os.utime(next((tmp_path / "feed" / f"k={k}").glob("part-*")), (1e9 + k * 100, 1e9 + k * 100))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
+        str(tmp_path / "feed")).selectExpr("agent", "timestamp_seconds(s) AS ts")
+    report = {}
+    got = all_sessions(stream, "100 seconds", 90, report)
+    rows = [tuple(r) for r in got.selectExpr("agent", "unix_seconds(online_from)", "unix_seconds(last_ping)", "pings").collect()]
+    assert sorted(rows, key=str) == [
+        ("a", 0, 50, 2), ("a", 5000, 5010, 2), ("b", 10, 10, 1), ("c", 5100, 5190, 2), (None, 5001, 5001, 1)]
+    assert report["late"] == 0 and report["batches"] > len(feed)
+
+
 def test_folders_of_changed_rows_stay_few(spark, tmp_path):
     """Many batches, repeated ones, and one that was merged before it was repeated."""
     from pyspark.sql import types as T

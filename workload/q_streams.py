@@ -56,10 +56,10 @@ def s1(spark, sf):
     return _shown(presence.presence_sessions(pings(fx.events(spark, sf)), GAP))
 
 
-@query("s1_presence_stream", f"SELECT * FROM ({SESSIONS}) WHERE CAST(last_ping AS TIMESTAMP) + to_seconds({GAP}) <= (SELECT max(ts) - to_seconds(3600) FROM events)")
+@query("s1_presence_stream", SESSIONS)
 def s1s(spark, sf):
-    """Closed sessions: those that the watermark, an hour behind the last ping, has passed."""
-    return _shown(run_available(presence.closed_sessions(pings(stream_events(spark, sf)), "1 hour", GAP)))
+    """All sessions: those the watermark has passed as they close, the others at the end of the feed."""
+    return _shown(presence.all_sessions(pings(stream_events(spark, sf)), "1 hour", GAP))
 
 
 @query("s1_agent_status", f"""
