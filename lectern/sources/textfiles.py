@@ -14,6 +14,7 @@ file systems it knows. Rows need ``path`` (relative, with ``/``), ``ord`` and ``
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -128,6 +129,39 @@ def _publisher(target: str, staging: str):
     return run
 
 
+def _digester(root: str):
+    """The sha256 of each file, read in chunks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = place(root)
+        for frame in batches:
+            found = []
+            for path in frame["path"]:
+                digest = hashlib.sha256()
+                with files.open_input_stream(f"{folder}/{path}") as text:
+                    while chunk := text.read(COPY_BYTES):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            yield frame.assign(content=found)
+
+    return run
+
+
+def file_digests(written: DataFrame, path: str) -> DataFrame:
+    """(path, lines, content) of the files that ``write_text_files`` has written below ``path``.
+
+    ``content`` is the sha256 of the file as it is stored. Tasks open the files by the names
+    in ``written``: no folder is listed, so millions of files cost the driver nothing.
+    """
+    return spread(written).mapInPandas(_digester(path), "path string, lines long, content string")
+
+
+def spread(paths: DataFrame) -> DataFrame:
+    """Rows that stand for files, dealt to all cores: their bytes say nothing of the work."""
+    spark = paths.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return paths.repartition(parts, "path")
+
+
 def committed_parts(spark: SparkSession, staging: str) -> DataFrame:
     """(path, parts, lines) of a staging folder: the parts of the tasks that succeeded, in order."""
     tasks = spark.read.schema("task string").json(f"{staging}/committed")
@@ -156,7 +190,7 @@ def write_text_files(rows: DataFrame, path: str) -> DataFrame:
         rows.repartitionByRange("path", "ord").sortWithinPartitions("path", "ord").select("path", "line")
         .write.format("text_parts").option("path", staging).mode("append").save()
     )
-    done = stage(committed_parts(spark, staging).repartition("path").mapInPandas(
+    done = stage(spread(committed_parts(spark, staging)).mapInPandas(
         _publisher(path, staging), "path string, lines long"))
     files.delete_dir(scratch)
     return done

@@ -113,6 +113,21 @@ def test_library_export(spark, tmp_path):
     assert sinks.write_library(layout.where("false"), lines, str(tmp_path / "none")).count() == 0
 
 
+def test_digests_of_written_files(spark, tmp_path):
+    """Files are opened by their names, in tasks: any name, and none that was not written now."""
+    import hashlib
+
+    notes = {"_x/.a.md": ["one", "two"], "x y/b%20+ç.md": [""], "c.md": ["z" * 3_000_000, "end"]}
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "old.md").write_text("of an earlier export")
+    rows = spark.createDataFrame([(p, i, line) for p, lines in notes.items() for i, line in enumerate(lines)],
+                                 "path string, ord int, line string").repartition(5)
+    done = textfiles.write_text_files(rows, str(tmp_path / "lib"))
+    got = textfiles.file_digests(done, str(tmp_path / "lib"))
+    assert {tuple(r) for r in got.collect()} == {
+        (p, len(lines), hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()) for p, lines in notes.items()}
+
+
 def test_parts_of_lost_tasks_are_not_published(spark, tmp_path):
     """What a failed attempt has left is neither listed nor moved; an aborted write leaves nothing."""
     spark.dataSource.register(textfiles.TextParts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import naming
 from lectern.operators import distinct, library, parts
 from lectern.operators.stage import shared_folder, stage
-from lectern.sources import sinks
+from lectern.sources import sinks, textfiles
 
 from . import fixtures as fx
 from .q_scalars import GENERIC_SQL, KEY_SQL, SAFE_SQL
@@ -278,11 +278,7 @@ def a13f(spark, sf):
     folder = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
     layout = library.export_layout(fx.jobs(spark, sf), fx.note_ids(spark, sf))
     written = sinks.write_library(layout, note_lines(spark, sf), folder)
-    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("file"),
-        F.sha2("value", 256).alias("content"))
-    name = F.substring_index("file", f"{folder.rpartition('/')[2]}/", -1)
-    return written.join(read.select(name.alias("path"), "content"), "path").select("path", "lines", "content")
+    return textfiles.file_digests(written, folder).select("path", "lines", "content")
 
 
 ROLLUP = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.operators import parts, screen, sections
 from lectern.operators.stage import shared_folder, stage
 from lectern.plans import notes, study
-from lectern.sources import sinks
+from lectern.sources import sinks, textfiles
 
 from . import fixtures as fx
 from .q_packing import STUDY, TIME_PARTS, assigned, time_parts
@@ -126,11 +126,8 @@ def a9f(spark, sf):
     folder = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
     lines = timed_lines(spark, sf).withColumn("id", F.col("source_id").cast("string"))
     layout = lines.select("id").distinct().select("id", F.concat(F.lit("notes/"), "id", F.lit(".md")).alias("path"))
-    sinks.write_library(layout, lines.select("id", "ord", "line"), folder)
-    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-    return read.select(
-        F.substring_index("_metadata.file_path", f"{folder.rpartition('/')[2]}/", -1).alias("path"),
-        F.sha2("value", 256).alias("content"))
+    written = sinks.write_library(layout, lines.select("id", "ord", "line"), folder)
+    return textfiles.file_digests(written, folder).select("path", "content")
 
 
 @query("a10_render_paged", cte(fx.SEGMENTS, fx.SOURCES, PAGES, NOTE_BASE, """
