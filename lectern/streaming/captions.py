@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from ..sources.captions import parse_captions
 
+BATCH_BYTES = 1 << 30  # of caption files read in one micro-batch
+
 
 def stream_captions(
-    spark: SparkSession, path: str, max_files: int = 1000, glob: str = "*.subs.json3"
+    spark: SparkSession, path: str, max_files: int | None = None, glob: str = "*.subs.json3",
+    max_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Segments of caption files as a stream; each file is read once.
 
-    The source is the file's stem, or the ``source_id=`` folder it lies in.
+    The source is the file's stem, or the ``source_id=`` folder it lies in. A micro-batch
+    takes ``max_bytes`` of files, or ``max_files`` where a caller counts them: files are
+    small, and a fixed number of them would make batches as many as the files are.
     """
+    limit = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
     files = (
         spark.readStream.format("text").option("wholetext", "true")
-        .option("maxFilesPerTrigger", max_files)
+        .option(*limit)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).load(path)
     )

@@ -45,6 +45,17 @@ def test_captions_round_trip(spark, segments, tmp_path):
         assert sorted((r.source_id, r.start, r.end, r.text) for r in out.collect()) == want
 
 
+def test_caption_batches_are_not_counted_in_files(spark, tmp_path):
+    """Many small files are few micro-batches, as their bytes say; each file is read once."""
+    for k in range(1100):
+        (tmp_path / f"s{k}.subs.json3").write_text(json.dumps({"events": [{"tStartMs": k, "segs": [{"utf8": f"t{k}"}]}]}))
+    for limit, batches in (({}, 1), ({"max_files": 600}, 2)):
+        report = {}
+        got = run_available(caption_stream.stream_captions(spark, str(tmp_path), **limit), report=report)
+        assert {(r.source_id, r.text) for r in got.collect()} == {(f"s{k}", f"t{k}") for k in range(1100)}
+        assert got.count() == 1100 and report["batches"] == batches
+
+
 def test_rolling_repeats_and_empty_files(spark):
     body = {"events": [
         {"tStartMs": 5, "segs": [{"utf8": "a"}, {"utf8": " b\n"}]}, {"segs": [{"utf8": "zero"}]},
