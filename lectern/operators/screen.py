@@ -18,6 +18,13 @@ SOURCE = ["source_id"]
 _FRAME = ["source_id", "frame_idx"]
 
 
+def _middle(confs: Column) -> Column:
+    """Median of a sorted list."""
+    last = F.size(confs) - 1
+    two = F.get(confs, F.floor(last / 2).cast("int")) + F.get(confs, F.ceil(last / 2).cast("int"))
+    return F.when(last >= 0, two / 2).cast("double")
+
+
 def _word_lists(words: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: the usable words in order and their median confidence."""
     usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
@@ -26,11 +33,7 @@ def _word_lists(words: DataFrame, keys: list[str]) -> DataFrame:
     grouped = words.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(usable, word))).alias("words")
     ).withColumn("_confs", F.sort_array(F.transform("words", lambda w: w["conf"])))
-    last = F.size("_confs") - 1
-    middle = (
-        F.get("_confs", F.floor(last / 2).cast("int")) + F.get("_confs", F.ceil(last / 2).cast("int"))
-    ) / 2
-    return grouped.select(*keys, "words", F.when(last >= 0, middle).cast("double").alias("conf"))
+    return grouped.select(*keys, "words", _middle(F.col("_confs")).alias("conf"))
 
 
 def _joined(words: str) -> Column:
@@ -71,16 +74,37 @@ def best_rotation(
 
 
 def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> DataFrame:
-    """Best read of every frame.
+    """Best read of every frame: ``best_rotation`` of its ``ocr_read``.
 
-    All words of a frame are brought together once; the reads and the choice between
-    them then need no further shuffle, and only the chosen read is made a text. A
+    All words of a frame, at every angle, are gathered by one aggregate; reads and the
+    choice between them are made on that list, and only the chosen read is made a text. A
     frame is one screen of words.
     """
-    together = words.repartition(*_FRAME)
-    lists = _word_lists(together, [*_FRAME, "rotation"])
-    chosen = best_rotation(lists, min_conf, "words")
-    return chosen.select(*_FRAME, _joined("words"), "conf", "rotation")
+    usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
+    word = F.struct("rotation", "widx", strip(F.col("word")).alias("word"), "conf")
+    lists = words.groupBy(*_FRAME).agg(
+        F.sort_array(F.collect_list(F.when(usable, word))).alias("_words"),
+        F.max(F.col("rotation") == 0).alias("_upright"),
+    )
+    turns = F.array_distinct(F.transform("_words", lambda w: w["rotation"]))
+
+    def at(rotation: Column) -> Column:
+        return F.filter("_words", lambda w: w["rotation"].eqNullSafe(rotation))
+
+    confs = F.transform(turns, lambda r: F.struct(
+        r.alias("rotation"), F.sort_array(F.transform(at(r), lambda w: w["conf"])).alias("confs")))
+    rated = lists.withColumn("_reads", F.transform(confs, lambda t: F.struct(
+        _middle(t["confs"]).alias("conf"), (-t["rotation"]).alias("rank"), t["rotation"].alias("rotation"))))
+    base = F.get(F.filter("_reads", lambda r: r["rotation"] == 0), 0)["conf"]
+    weak = F.coalesce(base < min_conf, F.lit(False))
+    best = F.array_max("_reads")
+    upright = F.when(F.col("_upright"), F.lit(0).cast(words.schema["rotation"].dataType))
+    chosen = rated.select(
+        *_FRAME, "_words", "_upright", F.when(weak, best["conf"]).otherwise(base).alias("conf"),
+        F.when(weak, best["rotation"]).otherwise(upright).alias("rotation"))
+    # a frame without an upright read has none
+    mine = F.when(F.col("_upright"), at(F.col("rotation")))
+    return chosen.withColumn("words", mine).select(*_FRAME, _joined("words"), "conf", "rotation")
 
 
 def clean_lines(text: Column) -> Column:

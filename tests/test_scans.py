@@ -152,3 +152,21 @@ def test_screen_pieces_joined_are_the_screen_text(spark):
     assert max(len(r.screen) for r in pieces) < 300 + 80 and len(pieces) > 40
     for k, text in whole.items():
         assert "\n\n".join(r.screen for r in pieces if r.source_id == k) == text
+
+
+def test_frames_are_read_where_they_lie(spark):
+    """Words of sources that lie together are not shuffled again; odd frames read as by ocr_read and best_rotation."""
+    rng = random.Random(5)
+    words = [(s, f, r, w, rng.choice(["a", " b ", " ", "cd", None]), rng.choice([-1, None, 20, 59, 60, 61, 90]))
+             for s in range(3) for f in range(40) for r in rng.sample([0, 90, 180, 270, None], rng.randint(1, 5))
+             for w in range(rng.randint(1, 6)) for _ in range(rng.choice([1, 1, 2]))]
+    cells = spark.createDataFrame(words, "source_id int, frame_idx int, rotation int, widx int, word string, conf int")
+    want = screen.best_rotation(screen.ocr_read(cells))
+    got = screen.read_frames(cells)
+    assert got.columns == ["source_id", "frame_idx", "text", "conf", "rotation"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    packed = cells.groupBy("source_id").agg(F.collect_list(F.struct(*[c for c in cells.columns if c != "source_id"])).alias("w"))
+    near = screen.read_frames(packed.repartition(5, "source_id").select("source_id", F.inline("w")))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 2
+    assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
