@@ -72,9 +72,12 @@ def real_word_ratio(text: Column) -> Column:
     """
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)([^\W\d_]{2,})"), F.lit(1))
 
-    def plausible(token: Column) -> Column:
+    def counted(token: Column) -> Column:
         size = F.length(token)
-        vowels = size - F.length(F.translate(token, labels.VOWELS, ""))
+        return F.struct(size.alias("n"), (size - F.length(F.translate(token, labels.VOWELS, ""))).alias("v"))
+
+    def plausible(token: Column) -> Column:
+        size, vowels = token["n"], token["v"]
         return (
             (vowels >= 1)
             & (size <= 22)
@@ -82,10 +85,14 @@ def real_word_ratio(text: Column) -> Column:
             & (vowels / size <= F.lit(0.75))
         )
 
-    return F.when(
-        F.size(tokens) >= labels.MIN_RATIO_WORDS,
-        F.size(F.filter(tokens, plausible)) / F.size(tokens),
-    )
+    def share(found: Column) -> Column:
+        return F.when(
+            F.size(found) >= labels.MIN_RATIO_WORDS,
+            F.size(F.filter(F.transform(found, counted), plausible)) / F.size(found),
+        )
+
+    # a list of one list: its tokens are looked for once, not wherever they are named
+    return F.get(F.transform(F.array(tokens), share), 0)
 
 
 def glossary_key(term: Column) -> Column:

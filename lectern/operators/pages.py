@@ -29,8 +29,11 @@ def gate_pages(
     the OCR read is used, quarantined when its confidence is low or unknown.
     """
     layer = strip(F.coalesce("text_layer", F.lit("")))
-    rated = page_inputs.withColumn("_layer", layer).withColumn(
-        "_ratio", real_word_ratio(F.col("_layer"))
+    # given out by a generator, the ratio is worked out once a page: as a plain column it
+    # would be repeated in every filter on the text that follows
+    once = F.struct(layer.alias("layer"), real_word_ratio(layer).alias("ratio"))
+    rated = page_inputs.withColumn("_once", F.explode(F.array(once))).withColumns(
+        {"_layer": F.col("_once.layer"), "_ratio": F.col("_once.ratio")}
     )
     good = (F.length("_layer") >= min_chars) & (
         F.col("_ratio").isNull() | (F.col("_ratio") >= min_ratio)
