@@ -15,8 +15,13 @@ from lectern.operators import scan
 from lectern.operators.stage import stage
 
 
+def undealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as it lies, for what takes a little of each row."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = undealt(spark, sf, name)
     if name != "documents":
         return rows
     # texts are dealt by document at once, which what follows would do with their lines: windows
@@ -132,9 +137,10 @@ TERM_EXPR = """CASE seq % 3 WHEN 0 THEN translate(upper(replace(split_part(text,
        WHEN 1 THEN lower(split_part(text, ' ', 1)) ELSE split_part(text, ' ', 1) END"""
 
 
-def terms(spark: SparkSession, sf: str) -> DataFrame:
+def terms(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """First word of every line as a term, in changing case, Turkish letters included."""
-    return segments(spark, sf).selectExpr(
+    rows = segments(spark, sf) if rows is None else rows
+    return rows.selectExpr(
         "source_id", "seq AS pos", f"{TERM_EXPR} AS term", "'d' || CAST(seq AS STRING) AS definition"
     )
 

@@ -27,8 +27,8 @@ SELECT source_id, window_id, 'Video başlığı: ' || max(title) || chr(10) || c
   || string_agg({LINES}, chr(10) ORDER BY seq) AS "user"
 FROM segments JOIN windows USING (source_id, seq) JOIN sources USING (source_id) GROUP BY source_id, window_id""")
 def m1(spark, sf):
-    windowed = sections.boundary_windows(fx.segments(spark, sf), BOUNDARY)
-    return requests.boundary_requests(windowed, fx.sources(spark, sf))
+    rows = stage(fx.segments(spark, sf))
+    return requests.boundary_requests(sections.boundary_windows(rows, BOUNDARY), fx.sources(spark, sf, rows))
 
 
 @query("m2_section_requests", cte(*STUDY, recursive=True) + f"""
