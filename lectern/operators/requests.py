@@ -96,20 +96,40 @@ def section_requests(assigned: DataFrame, screen: DataFrame | None = None) -> Da
     return table.select(*SECTION, user.alias("user"))
 
 
+def _beside(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Each row of ``owners`` (section, _own) with the sorted ``_rows`` (section, _row) of its section.
+
+    Both go through one shuffle. Grouping the rows and joining the groups would be two: the
+    number that starts a section is brought into one form before a join, and so dealt anew.
+    """
+    named = F.col(SECTION[0]).isNotNull() & F.col(SECTION[1]).isNotNull()
+    both = rows.where(named).unionByName(owners, allowMissingColumns=True)
+    return both.groupBy(*SECTION).agg(
+        F.sort_array(F.collect_list("_row")).alias("_rows"), F.collect_list("_own").alias("_owners")
+    ).select(*SECTION, "_rows", F.explode("_owners").alias("_own"))
+
+
 def section_drafts(notes: DataFrame, points: DataFrame) -> DataFrame:
     """Draft text per section: the summary and a stamped bullet per point."""
     bullet = F.concat(F.lit("- "), stamped_line(F.col("ts"), F.col("text")))
-    listed = points.groupBy(*SECTION).agg(join_ordered(["ts", "seq"], bullet, "\n").alias("_b"))
-    draft = F.concat_ws("\n", F.col("summary"), F.col("_b"))
-    return notes.join(listed, SECTION, "left").select(*SECTION, draft.alias("draft"))
+    rows = points.select(*SECTION, F.struct("ts", "seq", bullet.alias("line")).alias("_row"))
+    listed = _beside(rows, notes.select(*SECTION, F.struct("summary").alias("_own")))
+    bullets = F.when(F.size("_rows") > 0, F.array_join(F.transform("_rows", lambda r: r["line"]), "\n"))
+    draft = F.concat_ws("\n", F.col("_own.summary"), bullets)
+    return listed.select(*SECTION, draft.alias("draft"))
 
 
 def critic_requests(
     assigned: DataFrame, drafts: DataFrame, screen: DataFrame | None = None
 ) -> DataFrame:
     """One request per section: source text, screen text and the draft note."""
-    texts = assemble_text(assigned, SECTION)
-    table = _with_screen(texts, screen, SECTION).join(drafts, SECTION)
+    line = stamped_line(F.col("start"), F.col("text"))
+    rows = assigned.select(*SECTION, F.struct("start", "seq", line.alias("line")).alias("_row"))
+    found = _beside(rows, drafts.select(*SECTION, F.struct("draft").alias("_own"))).where(F.size("_rows") > 0)
+    texts = found.select(
+        *SECTION, F.array_join(F.transform("_rows", lambda r: r["line"]), "\n").alias("text"),
+        F.col("_own.draft").alias("draft"))
+    table = _with_screen(texts, screen, SECTION)
     user = F.concat(
         F.lit("BÖLÜM TRANSKRİPTİ:\n\n"), F.col("text"), _block(labels.SCREEN_BLOCK, "screen"),
         F.lit(labels.DRAFT_BLOCK), F.col("draft"),
