@@ -18,6 +18,7 @@ from ..functions.timecode import stamped_line
 from . import scan
 from .folds import Rule, assign_groups, group_rows
 from .sections import window_table
+from .stage import stage
 from .transcripts import assemble_text, join_ordered
 
 SECTION = ["source_id", "sec_start"]
@@ -318,12 +319,15 @@ def relevant_segments(questions: DataFrame, segments: DataFrame, limit: int) ->
     index; a segment scores a thousand times the logarithm of how rare in its source each
     word is that it shares with the question. Lines are taken from the highest score down,
     earlier ones first among equals, while their characters are within ``limit``: a source
-    that fits comes whole, of a longer one the lines that speak of the question. Only as
-    many lines as could fit are ranked, and only the words asked for are joined.
+    that fits comes whole, of a longer one the lines that speak of the question. Of the index
+    only the words asked of a source are kept, where the segment lies; lines are ranked by
+    their lengths, and only the chosen ones take their text along.
     """
-    index = segments.select("source_id", "seq", F.explode(_terms(F.col("text"))).alias("term"))
     asked = questions.select("id", "source_id", F.explode(_terms(F.col("question"))).alias("term"))
-    named = index.join(asked.select("source_id", "term").distinct(), ["source_id", "term"], "left_semi")
+    wanted = asked.groupBy("source_id").agg(F.collect_set("term").alias("_wanted"))
+    hits = F.array_intersect(_terms(F.col("text")), F.col("_wanted"))
+    named = stage(segments.select("source_id", "seq", "text").join(wanted, "source_id").select(
+        "source_id", "seq", F.explode(hits).alias("term")))
     rare = named.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("_df"))
     sizes = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
     weights = asked.join(rare, ["source_id", "term"]).join(sizes, "source_id").select(
@@ -331,14 +335,20 @@ def relevant_segments(questions: DataFrame, segments: DataFrame, limit: int) ->
     scores = named.join(weights, ["source_id", "term"]).groupBy("id", "source_id", "seq").agg(
         F.sum("_w").alias("_score"))
     line = stamped_line(F.col("start"), F.col("text"))
-    lines = segments.select("source_id", "start", "seq", line.alias("line"))
-    scored = questions.select("id", "source_id").join(lines, "source_id").join(
+    same = F.xxhash64("start", "seq", line)
+    sized = segments.select("source_id", "start", "seq", F.length(line).alias("_size"), same.alias("_same"))
+    scored = questions.select("id", "source_id").join(sized, "source_id").join(
         scores, ["id", "source_id", "seq"], "left").select(
-        "id", "start", "seq", "line", F.coalesce("_score", F.lit(0).cast("long")).alias("score"))
+        "id", "source_id", "start", "seq", "_size", "_same", F.coalesce("_score", F.lit(0).cast("long")).alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "start", "seq")
     first = scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit // LEAST_LINE)
-    upto = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("_upto", upto).where(F.col("_upto") <= limit + 1).drop("_rn", "_upto")
+    upto = F.sum(F.col("_size") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("_upto", upto).where(F.col("_upto") <= limit + 1).select(
+        "id", "source_id", "start", "seq", "score", "_same")
+    # equal rows are one text, given to each of them
+    texts = segments.select("source_id", same.alias("_same"), line.alias("line")).groupBy(
+        "source_id", "_same").agg(F.first("line").alias("line"))
+    return chosen.join(texts, ["source_id", "_same"]).select("id", "start", "seq", "line", "score")
 
 
 def retrieved_question_requests(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:

@@ -195,7 +195,7 @@ SELECT a.id, a.source_id, coalesce(n, 0) - coalesce(lines, 0) AS left_out,
 FROM asked a LEFT JOIN carried USING (id) LEFT JOIN sizes USING (source_id) LEFT JOIN history ON conv_id = a.id""")
 def m7r(spark, sf):
     """Every document asks about a document: its last line is the question."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.undealt(spark, sf, "documents")
     about = docs.select(F.col("doc_id").alias("source_id"))
     asked = docs.select(
         F.col("doc_id").alias("id"), F.expr("doc_id - doc_id % 3").alias("source_id"),
