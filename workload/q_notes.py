@@ -31,16 +31,15 @@ def _link(seconds: str) -> str:
     )
 
 
-def words(spark, sf):
+def words(spark, sf, rows=None):
     """Every line, in order: bullets and steps of the notes."""
-    return fx.segments(spark, sf).select(
-        "source_id", F.col("seq").alias("pos"), F.col("text").alias("bullet")
-    )
+    rows = fx.segments(spark, sf) if rows is None else rows
+    return rows.select("source_id", F.col("seq").alias("pos"), F.col("text").alias("bullet"))
 
 
-def learning(spark, sf):
+def learning(spark, sf, rows=None):
     cells = F.sort_array(F.collect_list(F.struct("pos", "bullet")))
-    listed = words(spark, sf).groupBy("source_id").agg(F.transform(cells, lambda c: c["bullet"]).alias("steps"))
+    listed = words(spark, sf, rows).groupBy("source_id").agg(F.transform(cells, lambda c: c["bullet"]).alias("steps"))
     return listed.select(
         "source_id", "steps", F.array().cast("array<string>").alias("actions"),
         F.array(F.struct(F.lit("Neden?").alias("soru"), F.element_at("steps", 1).alias("cevap"))).alias("quiz"),
@@ -48,12 +47,12 @@ def learning(spark, sf):
     )
 
 
-def note_sources(spark, sf):
-    return fx.sources(spark, sf).withColumn("url", F.expr(_URL)).withColumn("uploader", F.expr(_UPLOADER))
+def note_sources(spark, sf, rows=None):
+    return fx.sources(spark, sf, rows).withColumn("url", F.expr(_URL)).withColumn("uploader", F.expr(_UPLOADER))
 
 
-def glossary(spark, sf):
-    return fx.terms(spark, sf).select("source_id", "pos", "term", "definition")
+def glossary(spark, sf, rows=None):
+    return fx.terms(spark, sf, rows).select("source_id", "pos", "term", "definition")
 
 
 _MARKS_ONLY = fx.MARKS.replace(fx.SEGMENTS + ",", "").strip()
@@ -142,7 +141,8 @@ UNION ALL SELECT source_id, 7, number, CASE WHEN number % 2 = 0 THEN '![Sayfa '
 UNION ALL SELECT source_id, 8, 0.0, '---' || {NL} || {NL} || '<sub>Otomatik üretildi · ' || CAST(n AS VARCHAR) || ' sayfa · ' || CAST(r AS VARCHAR) || ' okundu · ' || CAST(s AS VARCHAR) || ' bölüm · eleştirmen 0 madde ekledi'
   || CASE WHEN q > 0 THEN ' · ' || CAST(q AS VARCHAR) || ' sayfa karantinada' ELSE '' END || '</sub>' || {NL} FROM counted""")
 def a10(spark, sf):
-    pages = stage(gated(spark, sf).withColumn(
+    rows = stage(fx.segments(spark, sf))
+    pages = stage(gated(spark, sf, rows).withColumn(
         "img_rel", F.expr("CASE WHEN number % 2 = 0 THEN concat('p/', number, '.jpg') END")
     ))
     readable = pages.where(F.trim("text") != "").select(
@@ -154,8 +154,8 @@ def a10(spark, sf):
         F.col("summary").alias("text"),
     )
     lines = notes.render_paged(
-        stage(note_sources(spark, sf)), pages, readable, points, words(spark, sf), glossary(spark, sf),
-        learning(spark, sf),
+        stage(note_sources(spark, sf, rows)), pages, readable, points, words(spark, sf, rows),
+        glossary(spark, sf, rows), learning(spark, sf, rows),
     )
     return notes.note_pieces(lines)
 
