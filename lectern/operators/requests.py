@@ -402,7 +402,8 @@ def score(
 
     ``fn`` maps an iterator of frames with request_id, system, user and max_tokens
     to frames with request_id and body. A batch that raises is retried row by row;
-    a row that keeps failing becomes an error row. The job never fails for it.
+    a row that keeps failing becomes an error row. The job never fails for it. Requests
+    are scored where they lie; with ``partitions`` they are dealt out first.
     """
 
     def call(frame: pd.DataFrame) -> dict:
@@ -435,7 +436,7 @@ def score(
             yield pd.DataFrame(rows, columns=["request_id", "body", "error", "attempts"])
 
     slim = requests.select("request_id", "system", "user", "max_tokens")
-    spread = slim.repartition(partitions) if partitions else slim.repartition("request_id")
+    spread = slim.repartition(partitions) if partitions else slim
     kind = requests.schema["request_id"].dataType.simpleString()
     return spread.mapInPandas(
         run, f"request_id {kind}, body string, error string, attempts int"
