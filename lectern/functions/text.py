@@ -21,6 +21,18 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
+def strip_word(word: Column) -> Column:
+    """``strip`` for single words, most of which begin and end in a visible ASCII character.
+
+    Those have nothing to strip and are not compared with the list of white space. ``word``
+    should be a plain column, as it is named several times.
+    """
+    def visible(start: Column) -> Column:
+        return (start >= "!") & (start < "\x7f")
+
+    return F.when(visible(word) & visible(F.right(word, F.lit(1))), word).otherwise(strip(word))
+
+
 def squeeze(text: Column) -> Column:
     """Collapse runs of white space to one space and strip the ends."""
     return F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))

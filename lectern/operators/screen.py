@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels
-from ..functions.text import is_blank, strip
+from ..functions.text import strip, strip_word
 from ..functions.timecode import fmt_ts
 from . import scan
 from .intervals import flag_inside, point_in_interval
@@ -25,19 +25,28 @@ def _middle(confs: Column) -> Column:
     return F.when(last >= 0, two / 2).cast("double")
 
 
+def _usable_words(words: DataFrame, keys: list[str], *fields: str) -> DataFrame:
+    """``(*keys, _word)``: the stripped word with its fields, NULL where it is none.
+
+    The struct is made before words are gathered: there it is compiled and each word is
+    stripped once, while an expression inside ``collect_list`` is interpreted row by row.
+    """
+    stripped = words.withColumn("word", strip_word(F.col("word")))
+    usable = (F.col("conf") >= 0) & (F.col("word") != "")
+    return stripped.select(*keys, F.when(usable, F.struct(*fields)).alias("_word"))
+
+
 def _word_lists(words: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: the usable words in order and their median confidence."""
-    usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
-    word = F.struct("widx", strip(F.col("word")).alias("word"), F.col("conf").alias("conf"))
     # a screen's words are few, so one small list serves both text and median
-    grouped = words.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(usable, word))).alias("words")
-    ).withColumn("_confs", F.sort_array(F.transform("words", lambda w: w["conf"])))
+    grouped = _usable_words(words, keys, "widx", "word", "conf").groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_word")).alias("words")
+    ).withColumn("_confs", F.sort_array(F.col("words")["conf"]))
     return grouped.select(*keys, "words", _middle(F.col("_confs")).alias("conf"))
 
 
 def _joined(words: str) -> Column:
-    return F.array_join(F.transform(words, lambda w: w["word"]), " ").alias("text")
+    return F.array_join(F.col(words)["word"], " ").alias("text")
 
 
 def ocr_read(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -80,10 +89,9 @@ def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> Data
     choice between them are made on that list, and only the chosen read is made a text. A
     frame is one screen of words.
     """
-    usable = (F.col("conf") >= 0) & ~is_blank(F.col("word"))
-    word = F.struct("rotation", "widx", strip(F.col("word")).alias("word"), "conf")
-    lists = words.groupBy(*_FRAME).agg(
-        F.sort_array(F.collect_list(F.when(usable, word))).alias("_words"),
+    usable = _usable_words(words, [*_FRAME, "rotation"], "rotation", "widx", "word", "conf")
+    lists = usable.groupBy(*_FRAME).agg(
+        F.sort_array(F.collect_list("_word")).alias("_words"),
         F.max(F.col("rotation") == 0).alias("_upright"),
     )
     turns = F.array_distinct(F.transform("_words", lambda w: w["rotation"]))

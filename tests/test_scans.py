@@ -1,10 +1,12 @@
 """Block scans and interval joins against plain Python."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip_word
 from lectern.operators import intervals, quality, scan, screen
 
 
@@ -170,3 +172,23 @@ def test_frames_are_read_where_they_lie(spark):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 2
     assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+
+
+def test_words_are_stripped_once_before_they_are_gathered(spark):
+    """Reads of odd words, and nothing is worked out row by row inside the aggregate."""
+    space = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    odd = [None, "", " ", space, "a", " a", "a ", "a b", "\x7f", "\x00", "é", "\u3000é\xa0", "é!", "!é ", "~", "\u200b", "İ\x85", "😀", "\x85x", space + "w" + space]
+    rows = [(k, r, w, word, (k * 7 + w * 13 + r) % 120 - 20 if (k + w) % 9 else None)
+            for k, word in enumerate(odd) for r in (0, 90) for w, word in enumerate([word, "z", word, None][: 1 + k % 4])]
+    words = spark.createDataFrame(rows, "source_id int, rotation int, widx int, word string, conf int").withColumn("frame_idx", F.lit(3)).repartition(4)
+    one = spark.createDataFrame([(w,) for w in odd], "w string").select("w", strip_word(F.col("w")).alias("s")).collect()
+    assert [r.s for r in one] == [None if w is None else w.strip(space) for w in odd]
+    reads = screen.ocr_read(words)
+    for read in (reads, screen.read_frames(words)):
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(_word" in plan and plan.count("trim(") == 1
+    got = {(r.source_id, r.rotation): (r.text, r.conf) for r in reads.collect()}
+    assert len(got) == 2 * len(odd)
+    for (k, r), read in got.items():
+        mine = [(w, word.strip(space), c) for s, t, w, word, c in rows if (s, t) == (k, r) and c is not None and c >= 0 and word is not None and word.strip(space)]
+        assert read == (" ".join(w for _, w, _ in sorted(mine)), statistics.median(c for *_, c in mine) if mine else None)
