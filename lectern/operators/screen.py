@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ SOURCE = ["source_id"]
 _FRAME = ["source_id", "frame_idx"]
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _middle(confs: Column) -> Column:
     """Median of a sorted list."""
     last = F.size(confs) - 1
@@ -87,32 +94,37 @@ def read_frames(words: DataFrame, min_conf: float = labels.OCR_CONF_MIN) -> Data
 
     All words of a frame, at every angle, are gathered by one aggregate; reads and the
     choice between them are made on that list, and only the chosen read is made a text. A
-    frame is one screen of words.
+    frame is one screen of words. The read is a result of the aggregate, so a condition on
+    it stays above and does not work it out again, word by word where it is named in a list.
     """
     usable = _usable_words(words, [*_FRAME, "rotation"], "rotation", "widx", "word", "conf")
-    lists = usable.groupBy(*_FRAME).agg(
-        F.sort_array(F.collect_list("_word")).alias("_words"),
-        F.max(F.col("rotation") == 0).alias("_upright"),
-    )
-    turns = F.array_distinct(F.transform("_words", lambda w: w["rotation"]))
-
-    def at(rotation: Column) -> Column:
-        return F.filter("_words", lambda w: w["rotation"].eqNullSafe(rotation))
-
-    confs = F.transform(turns, lambda r: F.struct(
-        r.alias("rotation"), F.sort_array(F.transform(at(r), lambda w: w["conf"])).alias("confs")))
-    rated = lists.withColumn("_reads", F.transform(confs, lambda t: F.struct(
-        _middle(t["confs"]).alias("conf"), (-t["rotation"]).alias("rank"), t["rotation"].alias("rotation"))))
-    base = F.get(F.filter("_reads", lambda r: r["rotation"] == 0), 0)["conf"]
-    weak = F.coalesce(base < min_conf, F.lit(False))
-    best = F.array_max("_reads")
-    upright = F.when(F.col("_upright"), F.lit(0).cast(words.schema["rotation"].dataType))
-    chosen = rated.select(
-        *_FRAME, "_words", "_upright", F.when(weak, best["conf"]).otherwise(base).alias("conf"),
-        F.when(weak, best["rotation"]).otherwise(upright).alias("rotation"))
-    # a frame without an upright read has none
-    mine = F.when(F.col("_upright"), at(F.col("rotation")))
-    return chosen.withColumn("words", mine).select(*_FRAME, _joined("words"), "conf", "rotation")
+    zero = F.lit(0).cast(words.schema["rotation"].dataType)
+
+    def at(found: Column, rotation: Column) -> Column:
+        return F.filter(found, lambda w: w["rotation"].eqNullSafe(rotation))
+
+    def rated(found: Column) -> Column:
+        turns = F.array_distinct(found["rotation"])
+        return F.transform(turns, lambda r: _named(F.sort_array(at(found, r)["conf"]), lambda confs: F.struct(
+            _middle(confs).alias("conf"), (-r).alias("rank"), r.alias("rotation"))))
+
+    def choice(reads: Column, upright: Column) -> Column:
+        base = F.get(F.filter(reads, lambda r: r["rotation"] == 0), 0)["conf"]
+        stays = F.struct(base.alias("conf"), F.when(upright, zero).alias("rotation"))
+        best = _named(F.array_max(reads), lambda r: F.struct(r["conf"].alias("conf"), r["rotation"].alias("rotation")))
+        return F.when(base < min_conf, best).otherwise(stays)
+
+    def read(frame: Column) -> Column:
+        found, upright = frame["words"], frame["upright"]
+        # a frame without an upright read has none
+        return _named(_named(rated(found), lambda reads: choice(reads, upright)), lambda chosen: F.struct(
+            F.when(upright, F.array_join(at(found, chosen["rotation"])["word"], " ")).alias("text"),
+            chosen["conf"].alias("conf"), chosen["rotation"].alias("rotation")))
+
+    frame = F.struct(
+        F.sort_array(F.collect_list("_word")).alias("words"), F.max(F.col("rotation") == 0).alias("upright"))
+    reads = usable.groupBy(*_FRAME).agg(_named(frame, read).alias("_read"))
+    return reads.select(*_FRAME, "_read.text", "_read.conf", "_read.rotation")
 
 
 def clean_lines(text: Column) -> Column:

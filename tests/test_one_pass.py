@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lectern.operators import pages, requests
+from lectern.operators import pages, requests, screen
 from workload import all_queries
 
 
@@ -36,6 +36,19 @@ def test_word_ratio_of_a_page_is_worked_out_once(spark):
     assert [(r.seq, r.text) for r in out.orderBy("seq").collect()] == [(1, words.strip()), (3, "scanned text")]
 
 
+def test_reads_of_frames_are_not_worked_out_again_where_they_are_tested(spark):
+    words = [(1, f, turn, w, word, conf) for f, turn, conf in (
+        (0, 0, 90), (1, 0, 20), (1, 180, 91), (2, 0, 20), (2, 90, 30), (3, 0, -1), (4, 90, 80), (5, None, 80))
+        for w, word in enumerate(f"screen {f} at {turn}".split())]
+    cells = spark.createDataFrame(
+        words, "source_id long, frame_idx int, rotation int, widx int, word string, conf int")
+    out = screen.quarantine_frames(screen.read_frames(cells), min_chars=5)
+    optimized = plan(out, "optimizedPlan")
+    assert optimized.count("array_distinct(") == 1 and optimized.count("sort_array(filter(") == 1
+    assert sorted(map(tuple, out.select("frame_idx", "text", "conf", "rotation", "quarantined").collect())) == [
+        (0, "screen 0 at 0", 90.0, 0, False), (1, "screen 1 at 180", 91.0, 180, False), (2, "", 30.0, 90, True)]
+
+
 def test_boundary_requests_read_the_documents_once(spark, tmp_path):
     out = all_queries()[0]["m1_boundary_requests"](spark, documents(spark, tmp_path))
     assert not any("documents.parquet" in f for f in out.inputFiles())
