@@ -30,6 +30,24 @@ def segments(spark):
     return spark.createDataFrame(rows, SEG)
 
 
+def test_announced_captions_are_opened_by_name(spark, segments, tmp_path):
+    """The rows of a listed folder, from files that are named: one that is not announced is not seen."""
+    folder, announced = tmp_path / "subs", str(tmp_path / "announced")
+    named = captions.write_captions(segments, str(folder)).select("path")
+    deep = folder / "source_id=deep"
+    deep.mkdir()
+    (deep / "x.subs.json3").write_text(json.dumps({"events": [{"tStartMs": 1, "segs": [{"utf8": "şimdi"}]}]}))
+    (folder / "skipped.txt").write_text("{}")
+    listed = run_available(caption_stream.stream_captions(spark, str(folder)))
+    want = sorted(map(tuple, listed.collect()))
+    more = spark.createDataFrame([("source_id=deep/x.subs.json3",), ("skipped.txt",)], "path string")
+    named.unionByName(more).write.parquet(announced)
+    (folder / "late.subs.json3").write_text(json.dumps({"events": [{"tStartMs": 1, "segs": [{"utf8": "late"}]}]}))
+    got = run_available(caption_stream.stream_captions(spark, str(folder), announced=announced))
+    assert got.dtypes == listed.dtypes
+    assert sorted(map(tuple, got.collect())) == want and ("deep", "şimdi") in {(r[0], r[4]) for r in want}
+
+
 def test_captions_round_trip(spark, segments, tmp_path):
     sidecars = tmp_path / "in"
     done = captions.write_captions(segments, str(sidecars))

@@ -119,8 +119,9 @@ SELECT CAST(source_id AS VARCHAR) AS source_id, CAST(trunc(start * 1000) AS DOUB
   trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM segments""")
 def s4(spark, sf):
     folder = f"{shared_folder(spark)}/captions-{uuid.uuid4().hex}"
-    write_captions(fx.segments(spark, sf), folder)
-    out = run_available(caption_stream.stream_captions(spark, folder))
+    announced = f"{folder}-announced"
+    write_captions(fx.segments(spark, sf), folder).select("path").write.parquet(announced)
+    out = run_available(caption_stream.stream_captions(spark, folder, announced=announced))
     return out.select("source_id", "start", "text")
 
 
