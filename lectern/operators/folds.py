@@ -423,9 +423,9 @@ def group_rows(
 
 def assign_groups(
     df: DataFrame, pieces: DataFrame, keys: list[str], seq: str, block_rows: int = BLOCK_ROWS,
-    how: str = "inner",
+    how: str = "inner", more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add ``window_id`` to every row by looking its position up in the pieces.
+    """Add ``window_id``, and ``more`` columns of the pieces, to every row by its position in the pieces.
 
     With ``how`` left, rows of keys that were not packed get NULL.
     """
@@ -436,7 +436,7 @@ def assign_groups(
     return (
         left.alias("l")
         .join(pieces.alias("r"), condition, how)
-        .select(*[F.col(f"l.{c}") for c in df.columns], "window_id")
+        .select(*[F.col(f"l.{c}") for c in df.columns], "window_id", *more)
     )
 
 

@@ -10,6 +10,7 @@ from ..functions.text import ends_sentence
 from ..functions.timecode import stamped_line
 from . import scan
 from .folds import Rule, assign_groups, group_rows, keep_spaced
+from .stage import stage
 from .transcripts import join_ordered
 
 SOURCE = ["source_id"]
@@ -187,11 +188,17 @@ def split_oversized(
         .select(*keys)
     )
     slim = assigned.select(*keys, "seq", line_cost(F.col("text")).alias("cost"))
-    pieces = group_rows(
+    pieces = stage(group_rows(
         slim.join(big, keys, "left_semi"), keys, "seq", F.col("cost"), Rule("before", limit),
         block_rows=block_rows,
-    )
-    placed = assign_groups(assigned, pieces, keys, "seq", block_rows, how="left")
+    ))
+    # the starts of parts are looked up by the pieces, so that texts are dealt once
+    times = assigned.select(*keys, "seq", "start").join(pieces.select(*keys).distinct(), keys, "left_semi")
+    opened = assign_groups(times, pieces.where(F.col("window_id") > 0), keys, "seq", block_rows).groupBy(
+        *keys, "window_id").agg(F.min("start").alias("_first"))
+    own = _distinct_starts(assigned.select(*keys).distinct(), opened)
+    placed = assign_groups(
+        assigned, pieces.join(own, [*keys, "window_id"], "left"), keys, "seq", block_rows, how="left", more=("_own",))
     suffix = F.concat(
         F.lit(" ("),
         F.replace(
@@ -200,13 +207,8 @@ def split_oversized(
         F.lit(")"),
     )
     title = F.concat("sec_title", F.coalesce(suffix, F.lit("")))
-    opened = placed.where(F.col("window_id") > 0).groupBy(*keys, "window_id").agg(
-        F.min("start").alias("_first")
-    )
-    own = _distinct_starts(assigned.select(*keys).distinct(), opened)
     return (
-        placed.join(own, [*keys, "window_id"], "left")
-        .withColumn("sec_start", F.coalesce("_own", "sec_start"))
+        placed.withColumn("sec_start", F.coalesce("_own", "sec_start"))
         .withColumn("sec_title", title)
         .select(*[c for c in assigned.columns], F.col("window_id").alias("part_no"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger, requests, responses, sections
-from ..operators.stage import stage
+from ..operators.stage import stage, unstage
 from ..operators.transcripts import source_ends
 
 WINDOW = ["source_id", "window_id"]
@@ -49,12 +49,13 @@ def boundary_round(
 
 def sectioned(
     windowed: DataFrame, sources: DataFrame, asked: DataFrame, replies: DataFrame,
-    section_limit: int, min_gap: float = 45.0,
+    section_limit: int, min_gap: float = 45.0, spend: bool = False,
 ) -> DataFrame:
     """Segments with their section, from boundary replies.
 
     A failed window contributes no marks. Marks outside their window are dropped,
-    close ones thinned, and sections beyond the budget split.
+    close ones thinned, and sections beyond the budget split. With ``spend``, written
+    copies of ``windowed``, ``asked`` and ``replies`` are removed once they are read.
     """
     marks = responses.decode_marks(answered(asked, replies, WINDOW)).select(
         *WINDOW, "ts", "title",
@@ -63,10 +64,15 @@ def sectioned(
     ends = stage(source_ends(windowed))
     valid = sections.valid_marks(marks, sections.window_table(windowed), ends)
     kept = stage(sections.thin_marks(valid, min_gap))
+    if spend:
+        unstage(asked, replies)
     known = sources.select("source_id", "title").join(ends, "source_id")
     skeleton = stage(sections.section_skeleton(kept, known))
     assigned = stage(sections.assign_sections(windowed.drop("window_id"), skeleton))
-    return stage(sections.split_oversized(assigned, section_limit))
+    unstage(ends, kept, skeleton, *([windowed] if spend else []))
+    split = stage(sections.split_oversized(assigned, section_limit))
+    unstage(assigned)
+    return split
 
 
 def section_round(
@@ -78,15 +84,23 @@ def section_round(
 
 def critic_round(
     assigned: DataFrame, asked: DataFrame, replies: DataFrame,
-    screen: DataFrame | None = None, system: str = "",
+    screen: DataFrame | None = None, system: str = "", spend: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Section notes, their points, and one critic request per section."""
+    """Section notes, their points, and one critic request per section.
+
+    With ``spend``, written copies of ``asked``, ``replies`` and ``assigned`` are removed once
+    they are read.
+    """
     answers = stage(answered(asked, replies, SECTION))
+    if spend:
+        unstage(asked, replies)
     notes = responses.decode_sections(answers).where(F.col("summary").isNotNull())
     points = responses.decode_points(answers).withColumnRenamed("pos", "seq")
-    drafts = requests.section_drafts(notes.select(*SECTION, "summary"), points)
-    work = requests.critic_requests(assigned, drafts, screen)
-    return notes, points, request_table(work, "critic", SECTION, system)
+    # written, so that what was shuffled for the drafts is gone when they meet the lines
+    drafts = stage(requests.section_drafts(notes.select(*SECTION, "summary"), points))
+    criticised = request_table(requests.critic_requests(assigned, drafts, screen), "critic", SECTION, system)
+    unstage(drafts, *([assigned] if spend else []))
+    return notes, points, criticised
 
 
 def audited(

@@ -1,10 +1,15 @@
 """What is worked out or sent once: seen in the plan, with right rows."""
 
+import time
+from pathlib import Path
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from lectern.operators import pages, requests, screen
+from lectern.operators import pages, requests, screen, sections
+from lectern.operators.stage import CLEANUP, shared_folder, stage, unstage
+from lectern.plans import rounds
 from workload import all_queries
 
 
@@ -101,3 +106,64 @@ def test_requests_are_scored_where_they_lie(spark):
     out = requests.score(asked, echo)
     assert "Exchange" not in plan(out)
     assert out.where("body = 'u' AND error IS NULL").count() == 5
+
+
+def test_what_a_round_has_read_is_removed(spark):
+    """Written copies go during the run, once they are read."""
+    def scorer(frames):
+        for frame in frames:
+            yield frame[["request_id"]].assign(
+                body='{"summary": "s", "points": [{"ts": "00:01", "text": "p"}], "missing": [{"ts": "00:02", "text": "m"}]}')
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("stage-*"))
+    lines = stage(spark.createDataFrame(
+        [(s, t, f"T{t}", t, int(t), "text") for s in range(3) for t in (0.0, 1.0)],
+        "source_id long, sec_start double, sec_title string, start double, seq int, text string"))
+    asked = rounds.section_round(lines)
+    replies = stage(requests.score(asked, scorer))
+    notes, points, criticised = rounds.critic_round(lines, asked, replies, spend=True)
+    assert len(set(folder.glob("stage-*")) - before) == 2  # the answers and the critic's requests
+    assert notes.count() == points.count() == criticised.count() == 6
+    merged, _ = rounds.audited(points, criticised, stage(requests.score(criticised, scorer)))
+    assert sorted((r.source_id, r.text, r.added) for r in merged.collect()) == sorted(
+        (s, t, a) for s in range(3) for _ in range(2) for t, a in (("p", 0), ("m", 1)))
+    unstage(criticised, lines, merged)
+    assert len(set(folder.glob("stage-*")) - before) == 3
+
+
+def test_shuffles_of_a_written_copy_are_removed(spark):
+    env, new_id = spark.sparkContext._jvm.org.apache.spark.SparkEnv, spark.sparkContext._jsc.sc().newShuffleId
+    before, first = spark.conf.get(CLEANUP, None), new_id()
+    copy = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert copy.count() == 7 and spark.conf.get(CLEANUP, None) == before
+    mine = tuple(f"shuffle_{n}_" for n in range(first + 1, first + 2))
+    files = env.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        found = files.getAllFiles()
+        left = [n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith(mine)]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and new_id() > first + 1
+
+
+def test_split_sections_deal_their_texts_once(spark, no_broadcast):
+    rows = [(1, t, float(t), float(t) + 1, "x" * 20 + str(t), "S", 0.0) for t in range(12)] + [
+        (1, 12, 12.0, 13.0, "short", "T", 12.0), (2, 0, 0.0, 1.0, "y", "U", 0.0)]
+    df = spark.createDataFrame(
+        rows, "source_id long, seq int, start double, end double, text string, sec_title string, sec_start double")
+    out = sections.split_oversized(df, 100, block_rows=4)
+    nodes = plan(out).split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in nodes]
+    at = next(i for i, x in enumerate(nodes) if "Scan ExistingRDD" in x)
+    above, level = [], depth[at]
+    for i in range(at, -1, -1):
+        if depth[i] < level:
+            above, level = [*above, nodes[i]], depth[i]
+    assert sum("Exchange hashpartitioning" in x for x in above) == 1
+    got = {(r.source_id, r.seq): (r.part_no, r.sec_start, r.sec_title) for r in out.collect()}
+    assert len(got) == 14 and got[1, 12] == (None, 12.0, "T") and got[2, 0] == (None, 0.0, "U")
+    parts = [got[1, t] for t in range(12)]
+    assert parts[0] == (0, 0.0, "S (1. kısım)") and parts == sorted(parts) and parts[-1][0] > 1
+    assert all(start == min(t for t in range(12) if parts[t][0] == part) for part, start, _ in parts)
